@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality_rules
 
 
 def queries() -> dict:
-    return {"op10_mixing": mixing.query}
+    return {"op2_quality_rules": quality_rules.query, "op10_mixing": mixing.query}
 
 
 def oracle_sql() -> dict[str, str]:
