@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import chat, mixing, quality_rules, simhash, url_filter
 
 
 def queries() -> dict:
-    return {"op2_quality_rules": quality_rules.query, "op10_mixing": mixing.query}
+    return {
+        "op2_quality_rules": quality_rules.query,
+        "op3_chat": chat.query,
+        "op6_url_filter": url_filter.query,
+        "op9_simhash": simhash.query,
+        "op10_mixing": mixing.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.SQL}
+    return {"op3_chat": chat.SQL, "op10_mixing": mixing.SQL}
