@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality_rules, simhash, url_filter
+from . import chat, mixing, packing, quality_rules, simhash, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_quality_rules": quality_rules.query,
         "op3_chat": chat.query,
         "op6_url_filter": url_filter.query,
+        "op8_packing": packing.query,
         "op9_simhash": simhash.query,
         "op10_mixing": mixing.query,
     }
