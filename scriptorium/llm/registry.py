@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality_rules, simhash, url_filter
+from . import ann, chat, mixing, packing, quality_rules, simhash, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_ann": ann.query,
         "op2_quality_rules": quality_rules.query,
         "op3_chat": chat.query,
         "op6_url_filter": url_filter.query,
