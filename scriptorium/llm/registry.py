@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, mixing, packing, quality_rules, simhash, url_filter
+from . import ann, chat, classifier, mixing, packing, quality_rules, simhash, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality_rules": quality_rules.query,
         "op3_chat": chat.query,
         "op6_url_filter": url_filter.query,
+        "op7_classifier": classifier.query,
         "op8_packing": packing.query,
         "op9_simhash": simhash.query,
         "op10_mixing": mixing.query,
