@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, classifier, mixing, packing, pii, quality_rules, simhash, url_filter
+from . import ann, chat, classifier, html_extract, mixing, packing, pii, quality_rules, simhash, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_ann": ann.query,
         "op2_quality_rules": quality_rules.query,
         "op3_chat": chat.query,
+        "op4_html_extract": html_extract.query,
         "op5_pii": pii.query,
         "op6_url_filter": url_filter.query,
         "op7_classifier": classifier.query,
