@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import ann, chat, classifier, html_extract, mixing, packing, pii, quality_rules, simhash, url_filter
 
 
@@ -17,8 +19,10 @@ def queries() -> dict:
         "op8_packing": packing.query,
         "op9_simhash": simhash.query,
         "op10_mixing": mixing.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.SQL, "op10_mixing": mixing.SQL}
+    own = {"op3_chat": chat.SQL, "op10_mixing": mixing.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {k: v for k, v in own.items() if v}
