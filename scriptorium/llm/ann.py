@@ -44,7 +44,7 @@ LEAF = 50
 SAMPLE = 16_384
 PROBE_SHARE = 0.1
 LEAST_CANDIDATES = 4096
-CELL = 8192
+CELL = 32_768
 QUERIES = 2048
 K = 20
 
