@@ -24,6 +24,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -35,35 +36,93 @@ CAPACITY = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 450_000
+#: Marks that may follow a run of letters (no apostrophe: contractions are split otherwise).
+MARKS = ".,;:!?*#%&$|<>()-"
+#: Letters below this one have a single, composed lower-case form.
+SIMPLE = "\u0130"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
 class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, word by word from a cache.
 
-    The vocabulary never joins across white space, so a text's ids are those of its
-    space-separated words in a row. Texts with control or unusual white space take part in the
-    same way: only blanks and line feeds separate words here, the tokenizer sees the rest.
+    The vocabulary never joins across white space, so a text's ids are those of its words in a
+    row; only blanks and line feeds separate words here, the tokenizer sees any other white space.
+    It splits letters from marks, and every run of letters ends with an id that closes a word: so
+    unknown runs are encoded many at a time and told apart by those ids. Words of another make are
+    encoded one by one. Two generations of the cache bound what a worker remembers.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        vocabulary = self.model.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, text: str | None) -> bytes:
         words = (text or "").replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in self.known]
+        known = self.known
+        new = [w for w in set(words) if w not in known]
         if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known = {"": b""}
-                new = list(set(words) - {""})
-            for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+            if len(known) + len(new) > CACHE_WORDS:
+                self.older, self.known = known, {"": b""}
+                new = [w for w in set(words) if w]
+            self._learn(new)
         return b"".join(map(self.known.__getitem__, words))
 
+    def _learn(self, new: list[str]) -> None:
+        known, older = self.known, self.older
+        parts, fresh = [], set()
+        for w in new:
+            if w in older:
+                known[w] = older[w]
+                continue
+            core = w.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() or max(core) < SIMPLE):
+                key, tail = core.lower(), w[len(core) :]
+                parts.append((w, key, tail))
+                if key not in known:
+                    if key in older:
+                        known[key] = older[key]
+                    else:
+                        fresh.add(key)
+                if tail not in known:
+                    known[tail] = self._one(tail)
+            else:
+                known[w] = self._one(w)
+        if fresh:
+            runs = list(fresh)
+            ids = np.array(self.model.encode(" ".join(runs), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(runs) and ends[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for run, end in zip(runs, (ends * 4).tolist(), strict=True):
+                    known[run] = raw[at:end]
+                    at = end
+            else:
+                for run in runs:
+                    known[run] = self._one(run)
+        for w, key, tail in parts:
+            known[w] = known[key] + known[tail]
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.model.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+_loaded: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_at(path: str) -> WordTokenizer:
+    """A worker's own tokenizer, kept with its cache from task to task."""
+    if path not in _loaded:
+        _loaded[path] = WordTokenizer(path)
+    return _loaded[path]
+
 
 def cuts(tokens: int, capacity: int = CAPACITY) -> list[int]:
     """Lengths of the pieces of a document of so many tokens."""
@@ -79,7 +138,7 @@ def cuts(tokens: int, capacity: int = CAPACITY) -> list[int]:
 
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenize = WordTokenizer(path)
+        tokenize = tokenizer_at(path)
         end = end_id.to_bytes(4, "little")
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
