@@ -11,17 +11,20 @@ def _ordered(order: str, value):
 
 
 def guarded(hits: DataFrame, allowed: str | None) -> DataFrame:
-    """hits, failing when run if a row's visibility is not the allowed one."""
+    """hits, failing when run if a row's visibility is not the allowed one.
+
+    The check is part of the body, which the context needs, so the optimizer cannot drop it.
+    """
     if allowed is None:
         return hits
     bad = F.coalesce(F.col("sensitivity"), F.lit("")) != allowed
-    return hits.withColumn("sensitivity", F.when(bad, F.raise_error(F.concat(F.lit("hidden row in context: "), F.col("chunk_id").cast("string")))).otherwise(F.col("sensitivity")))
+    return hits.withColumn("body", F.when(bad, F.raise_error(F.concat(F.lit("hidden row in context: "), F.col("chunk_id").cast("string")))).otherwise(F.col("body")))
 
 
 def assemble(hits: DataFrame, allowed: str | None = None) -> DataFrame:
     """(qid, context): blocks in score order, from hits (qid, ord, chunk_id, path, prelude, body, sensitivity)."""
     rows = guarded(hits, allowed)
-    block = F.concat(F.lit("[["), F.col("path"), F.lit("]]\n"), F.col("prelude"), F.lit("\n\n"), F.col("body"), F.when(F.col("sensitivity").isNull(), "").otherwise(""))
+    block = F.concat(F.lit("[["), F.col("path"), F.lit("]]\n"), F.col("prelude"), F.lit("\n\n"), F.col("body"))
     return rows.groupBy("qid").agg(F.array_join(_ordered("ord", block), "\n\n---\n\n").alias("context"))
 
 

@@ -22,7 +22,13 @@ def index(store: Store, listing: DataFrame, settings: Settings, *, rebuild: bool
     """Brings a store up to date with (doc_id, path, rev, mtime, markdown) notes; returns the one-row report."""
     notes = listing.where(X.in_corpus(F.col("path"), settings.include, settings.exclude))
     docs, chunks, vectors, edges = (store.read(t) for t in ("docs", "chunks", "vectors", "edges"))
-    classified = cdc.classify(notes, docs, rebuild).persist()
+    held_frames: list[DataFrame] = []
+
+    def held(df: DataFrame) -> DataFrame:
+        held_frames.append(df.persist())
+        return df
+
+    classified = held(cdc.classify(notes, docs, rebuild))
     try:
         cdc.check_deletions(classified, docs, allow_mass_delete, floor=settings.delete_floor, fraction=settings.delete_fraction)
         summary = store.spark.createDataFrame([cdc.report(classified).first()])
@@ -33,17 +39,19 @@ def index(store: Store, listing: DataFrame, settings: Settings, *, rebuild: bool
         rows = cdc.document_rows(fresh, settings.personal)
         kept = cdc.upsert(docs.join(of("deleted"), "doc_id", "left_anti"), rows)
         kept = cdc.touch(kept, notes.join(of("touched"), "doc_id", "left_semi"))
-        kept = cdc.reclassify(kept, settings.personal).drop("changed")
+        # Documents without their texts: links are resolved against them several times.
+        kept = held(cdc.reclassify(kept, settings.personal).drop("changed"))
         gone = of("deleted", "changed", "new")
         made = chunking.chunk(rows.join(fresh.select("doc_id", "markdown"), "doc_id"), settings.target_tokens, settings.hard_tokens)
         all_chunks = cdc.spread_sensitivity(chunks.join(gone, "doc_id", "left_anti").unionByName(made), kept)
-        new_edges = links.edges(fresh.join(rows.select("doc_id", "frontmatter"), "doc_id"), kept)
+        new_edges = held(links.edges(fresh.join(kept.select("doc_id", "frontmatter"), "doc_id"), kept))
         all_edges = links.resolve_pending(edges.join(gone.withColumnRenamed("doc_id", "src"), "src", "left_anti").unionByName(new_edges), kept)
         stale = chunks.join(gone, "doc_id", "left_semi").select("chunk_id")
         store.commit({"docs": kept, "chunks": all_chunks, "edges": all_edges, "vectors": vectors.join(stale, "chunk_id", "left_anti")})
         return summary
     finally:
-        classified.unpersist()
+        for df in held_frames:
+            df.unpersist()
 
 
 def embed_pending(store: Store, embedder: Embedder, model: str, dim: int, rebuild: bool = False) -> int:

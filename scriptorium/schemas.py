@@ -4,24 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+TEXT, LONG, INT, FLAG = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType()
+TEXTS, VECTOR = T.ArrayType(TEXT), T.ArrayType(T.FloatType())
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
 
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-ENTRY = _struct("doc_id STRING, path STRING, rev STRING, children ARRAY<STRING>, mtime BIGINT")
+
+ENTRY = _struct(doc_id=TEXT, path=TEXT, rev=TEXT, children=TEXTS, mtime=LONG)
 LISTING = _struct(
-    "id STRING, key STRING, value STRUCT<rev: STRING>, "
-    "doc STRUCT<_id: STRING, type: STRING, path: STRING, deleted: BOOLEAN, children: ARRAY<STRING>, mtime: BIGINT, data: STRING>"
+    id=TEXT, key=TEXT, value=_struct(rev=TEXT), doc=_struct(_id=TEXT, type=TEXT, path=TEXT, deleted=FLAG, children=TEXTS, mtime=LONG, data=TEXT)
 )
-NOTE = _struct("doc_id STRING, path STRING, rev STRING, mtime BIGINT, markdown STRING")
-DOCS = _struct("doc_id STRING, path STRING, title STRING, rev STRING, content_hash STRING, sensitivity STRING, mtime BIGINT, frontmatter STRING")
-CHUNKS = _struct("chunk_id STRING, doc_id STRING, ordinal INT, heading_path STRING, prelude STRING, body STRING, sensitivity STRING")
-VECTORS = _struct("chunk_id STRING, embedding ARRAY<FLOAT>")
-EDGES = _struct("src STRING, dst STRING, kind STRING, resolved BOOLEAN")
-META = _struct("key STRING, value STRING")
-QUESTIONS = _struct("qid BIGINT, text STRING")
-MESSAGES = _struct("conv_id BIGINT, turn BIGINT, role STRING, content STRING")
+NOTE = _struct(doc_id=TEXT, path=TEXT, rev=TEXT, mtime=LONG, markdown=TEXT)
+DOCS = _struct(doc_id=TEXT, path=TEXT, title=TEXT, rev=TEXT, content_hash=TEXT, sensitivity=TEXT, mtime=LONG, frontmatter=TEXT)
+CHUNKS = _struct(chunk_id=TEXT, doc_id=TEXT, ordinal=INT, heading_path=TEXT, prelude=TEXT, body=TEXT, sensitivity=TEXT)
+VECTORS = _struct(chunk_id=TEXT, embedding=VECTOR)
+EDGES = _struct(src=TEXT, dst=TEXT, kind=TEXT, resolved=FLAG)
+META = _struct(key=TEXT, value=TEXT)
+QUESTIONS = _struct(qid=LONG, text=TEXT)
+MESSAGES = _struct(conv_id=LONG, turn=LONG, role=TEXT, content=TEXT)
 
 SENSITIVITIES = ("open", "personal")
 KINDS = ("wikilink", "topic", "tag")
