@@ -366,12 +366,12 @@ def stream_ingest(spark, sf):
     """Listing files as a stream: the refreshed store's documents after all batches."""
     import uuid
 
+    from . import scratch
     from .settings import Settings
     from .sources.store import Store
     from .streaming import refresh
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/scriptorium"
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{scratch.folder(spark)}/stream-{uuid.uuid4().hex}"
     n = notes(spark, sf).select(F.lower("path").alias("doc_id"), "path", F.lit("1").alias("rev"), F.col("doc_id").alias("mtime"), F.col("text").alias("markdown"))
     n.write.json(f"{at}/in")
     store = Store(spark, f"{at}/store")
