@@ -6,12 +6,13 @@ executors share, so that work done once survives the loss of executors.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
+
 #: White space that separates words, as a Java and Python character class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -29,21 +30,13 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="scriptorium-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df once to the shared scratch folder and reads it back: lineage ends there.
 
     Files are removed when the JVM's file system closes.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/scriptorium/{uuid.uuid4().hex}"
+    path = f"{scratch.folder(spark)}/scriptorium/{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
