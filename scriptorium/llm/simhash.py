@@ -31,12 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, small_batches, table
+from .common import broadcast_if_small, components, materialize, small_batches, table
 
 SEED = 42
 SHINGLE = 3
 MOST_BITS = 2
 PAIRWISE = 64
+#: Copies from which a fingerprint is looked up apart.
+HOT = 500
 _POP16 = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -125,7 +127,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def classes(prints: DataFrame) -> DataFrame:
     """(fp, root): every distinct fingerprint and the smallest fingerprint it reaches through links."""
-    nodes = prints.select("fp").distinct()
+    # Dealt anew, since the 28 postings of each outgrow the partitions that the small rows were put in.
+    nodes = prints.select("fp").distinct().repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
     keys = []
     for i, (a, b) in enumerate(_conjunctions()):
@@ -141,12 +144,17 @@ def classes(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): every document's fingerprint and the smallest id it reaches."""
     prints = materialize(fingerprints(docs))
-    lowest = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    lowest = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     linked = materialize(classes(prints))
     low = lowest.join(linked, "fp").groupBy("root").agg(F.min("least").alias("component"))
     merged = linked.join(low, "root").select("fp", "component")
-    final = lowest.join(merged, "fp", "left").select("fp", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.least("component", "least")).alias("component_id"))
-    return prints.join(final, "fp").select("doc_id", "fp", "component_id")
+    root = F.when(F.col("component").isNull(), F.col("least")).otherwise(F.least("component", "least"))
+    final = materialize(lowest.join(merged, "fp", "left").select("fp", "n", root.alias("component_id")))
+    # Fingerprints of many copies are looked up apart, so that no task gets all rows of one.
+    hot = broadcast_if_small(final.where(F.col("n") >= HOT))
+    out = ["doc_id", "fp", "component_id"]
+    rest = prints.join(hot.select("fp"), "fp", "left_anti").join(final.where(F.col("n") < HOT), "fp")
+    return prints.join(hot, "fp").select(*out).union(rest.select(*out))
 
 
 def query(spark, sf_dir):
