@@ -98,7 +98,9 @@ def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         F.coalesce(lines, F.lit(0)).cast("long").alias("n_dup_lines"), s["n_repeat_words"].alias("n_repeat_words"),
         failed.alias("base_failed"), (~failed & (s["score"] >= LEAST_SCORE)).alias("kept"), s["score"].alias("score"),
     )
-    return docs.withColumn("w_", weights(docs, trusted).scalar()).withColumn("s_", _hashes(F.col("text"), of)).withColumn("rules", rules).drop("s_", "w_")
+    # A generator of one row: filters on the verdict stay above it, so a text is judged once.
+    once = F.explode(F.array(_hashes(F.col("text"), of)))
+    return docs.withColumn("w_", weights(docs, trusted).scalar()).withColumn("s_", once).withColumn("rules", rules).drop("s_", "w_")
 
 
 def trusted_ids(spark, sf_dir: str) -> DataFrame:
