@@ -13,6 +13,13 @@ gives links that span its linked groups, not all pairs; components are found ite
 
 Exact copies are one fingerprint: they are grouped before the index and expanded after it.
 
+``near_duplicates`` is for corpora: two texts link if the sets of their ``shingle``-word shingles
+have a Jaccard similarity of ``jaccard`` or more. Two bits of a SimHash reach hardly any of these, so
+the index lists each distinct text under keys of a MinHash signature (``bands`` keys of ``rows`` minima):
+a pair at 0.8 shares none of 32 keys of 4 with a chance of (1 - 0.8**4)**32 < 5e-8. Every pair that
+shares a key is then verified on its whole shingle sets, or is linked already through others: first
+each list's members with its ends, which joins dense groups, then all pairs that are still apart.
+
 Edge cases: null and empty texts and texts of white space have fingerprint zero and link like any
 other; texts of fewer words than a shingle have one shingle, the whole sequence; repeated rows
 stay, each with its component; rows with a null doc_id keep a fingerprint and take the component
@@ -22,6 +29,7 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -39,22 +47,34 @@ MOST_BITS = 2
 PAIRWISE = 64
 #: Copies from which a fingerprint is looked up apart.
 HOT = 500
+#: Near-duplicate stages: words of a shingle, similarity, and the keys of a signature and minima of a key.
+NEAR_SHINGLE = 5
+NEAR_JACCARD = 0.8
+BANDS = 32
+BAND_ROWS = 4
 _POP16 = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle, repeated ones too; of the whole sequence if it is shorter."""
+    hash64 = xxhash.xxh64_intdigest
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([hash64(joined, seed)] if words else [], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[: -shingle] + 1))
+    return np.fromiter((hash64(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(starts))
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The unsigned 64-bit fingerprint of a whole text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    h = shingle_hashes(_words(text), shingle, seed)
+    if not len(h):
         return 0
-    joined = b" ".join(words)
-    hash64 = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        h = np.array([hash64(joined, seed)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[: -shingle] + 1))
-        h = np.fromiter((hash64(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(starts))
     n = len(h)
     count = np.zeros(64, dtype=np.int64)
     for i in range(0, n, 1 << 15):
@@ -141,7 +161,7 @@ def classes(prints: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("fp"), "root")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def fingerprint_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): every document's fingerprint and the smallest id it reaches."""
     prints = materialize(fingerprints(docs))
     lowest = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
@@ -157,6 +177,107 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(hot, "fp").select(*out).union(rest.select(*out))
 
 
+def keys(h: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS, seed: int = SEED) -> np.ndarray:
+    """The index keys of a set of shingle hashes: for each band a hash of its minima."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    mult, add = rng.integers(0, 1 << 63, (2, bands * rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    low = np.full(bands * rows, (1 << 64) - 1, dtype=np.uint64)
+    for i in range(0, len(h), 1024):
+        low = np.minimum(low, ((h[i : i + 1024, None] ^ add) * mult).min(axis=0))
+    out = np.arange(bands, dtype=np.uint64)
+    for x in low.reshape(bands, rows).T:
+        out = (out ^ (x >> np.uint64(29)) ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
+
+def _signed(shingle: int, bands: int, rows: int):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            digest, listed = [], []
+            for t in texts:
+                w = _words(t)
+                digest.append(hashlib.md5(b" ".join(w)).digest())
+                listed.append(keys(shingle_hashes(w, shingle), bands, rows) if w else [])
+            yield pd.DataFrame({"digest": digest, "keys": listed})
+
+    return F.pandas_udf(run, "digest binary, keys array<long>")
+
+
+def _similar(shingle: int, jaccard: float):
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            out, known = [], {}
+            for pair in zip(a, b, strict=True):
+                x, y = (known[t] if t in known else known.setdefault(t, np.unique(shingle_hashes(_words(t), shingle))) for t in pair)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(both >= jaccard * (len(x) + len(y) - both) - 1e-9)
+            yield pd.Series(out, dtype=bool)
+
+    return F.pandas_udf(run, "boolean")
+
+
+def _apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All pairs of a list's members that have different roots."""
+    for df in batches:
+        for nodes, roots in zip(df["node"], df["root"], strict=True):
+            nodes, roots = np.asarray(nodes, dtype=np.int64), np.asarray(roots, dtype=np.int64)
+            for i in range(len(nodes) - 1):
+                other = nodes[i + 1 :][roots[i + 1 :] != roots[i]]
+                if len(other):
+                    yield pd.DataFrame({"a": np.minimum(nodes[i], other), "b": np.maximum(nodes[i], other)})
+
+
+def row_groups(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, jaccard: float = NEAR_JACCARD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """(row, digest, root): of docs' rows (row, text), ``row`` a unique long, the digest of the words and the group."""
+    small_batches(docs.sparkSession)
+    signed = _signed(shingle, bands, rows)
+    prints = materialize(docs.select("row", signed("text").alias("s")).select("row", "s.digest", "s.keys"))
+    # Texts of the same words are one node, the smallest of their rows.
+    least = materialize(prints.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("n"), F.min("keys").alias("keys")))
+    posted = least.select("node", F.explode("keys").alias("key"))
+    lists = posted.groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("node")).where(F.size("node") > 1)
+    lists = materialize(lists.select("node").distinct().withColumn("list", F.monotonically_increasing_id()))
+
+    named = broadcast_if_small(materialize(lists.select(F.explode("node").alias("row")).distinct()))
+    texts = materialize(docs.select("row", "text").join(named, "row", "left_semi"))
+    similar = _similar(shingle, jaccard)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a = broadcast_if_small(pairs).join(texts.select(F.col("row").alias("a"), F.col("text").alias("x")), "a")
+        return materialize(a.join(texts.select(F.col("row").alias("b"), F.col("text").alias("y")), "b").where(similar("x", "y")).select("a", "b"))
+
+    ends = lists.select(F.explode("node").alias("i"), F.array(F.element_at("node", 1), F.element_at("node", -1)).alias("ends")).select("i", F.explode("ends").alias("j"))
+    star = materialize(ends.where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct())
+    links = verified(star)
+    roots = materialize(components(links))
+    members = lists.select("list", F.explode("node").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = members.groupBy("list").agg(F.collect_list(F.struct("node", "root")).alias("m")).where(F.size(F.array_distinct("m.root")) > 1)
+    apart = mixed.select(F.col("m.node").alias("node"), F.col("m.root").alias("root")).mapInPandas(_apart, "a long, b long").distinct()
+    apart = materialize(apart.join(star, ["a", "b"], "left_anti"))
+    more = verified(apart)
+    if not more.isEmpty():
+        roots = materialize(components(links.union(more)))
+    final = materialize(least.select("digest", "node", "n").join(roots, "node", "left").select("digest", "n", F.coalesce("root", "node").alias("root")))
+    # Texts of many copies are looked up apart, so that no task gets all rows of one.
+    hot = broadcast_if_small(final.where(F.col("n") >= HOT))
+    out = ["row", "digest", "root"]
+    rest = prints.join(hot.select("digest"), "digest", "left_anti").join(final.where(F.col("n") < HOT), "digest")
+    return materialize(prints.join(hot, "digest").select(*out).union(rest.select(*out)))
+
+
+def near_duplicates(docs: DataFrame, **kw) -> DataFrame:
+    """(doc_id, fp, component_id): a digest of every document's words and the smallest id its group has.
+
+    The digest is zero for texts without words. Parameters are those of ``row_groups``.
+    """
+    rows = materialize(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    groups = row_groups(rows, **kw).join(rows.select("row", "doc_id"), "row")
+    least = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    fp = F.when(F.col("digest") == F.unhex(F.lit(hashlib.md5(b"").hexdigest())), F.lit(0)).otherwise(F.xxhash64("digest"))
+    return groups.join(least, "root").select("doc_id", fp.cast("long").alias("fp"), "component_id")
+
+
 def query(spark, sf_dir):
-    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = fingerprint_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

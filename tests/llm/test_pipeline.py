@@ -41,3 +41,26 @@ def test_stages_take_odd_rows(spark, sf, odd):
             assert out.columns == odd.columns
     one = corpus_pipeline.near_duplicates(spark, odd, sf)
     assert one.where("doc_id = 1").count() == 1 and one.where("doc_id IS NULL").count() == 1
+
+
+def test_near_copies_of_five_word_shingles(spark, docs, texts):
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, ids = {i: shingles(t) for i, t in texts.items()}, sorted(texts)
+    root = {i: i for i in ids}
+    near = [(i, j) for i in ids for j in ids if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in ids:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    assert any(bin(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).count("1") > 2 for i, j in near)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == root
+
+
+def test_one_row_of_a_group_whatever_its_id(spark, sf):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, text), (None, text), (1, text + " end"), (2, "some other text"), (2, text), (3, "of a third kind"), (3, "another of id three"), (None, "null but alone")]
+    frame = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, frame, sf).collect()}
+    assert got == {(1, text + " end"), (2, "some other text"), (3, "of a third kind"), (3, "another of id three"), (None, "null but alone")}
