@@ -9,8 +9,12 @@ after it. Distinct (pattern, instance) pairs make a graph that Spark scores in r
 pattern's confidence is the mean score of its instances, damped by its support; an
 instance's score is the noisy-or of its patterns' confidences (a seed's is 1). After
 ``ROUNDS`` rounds, instances of confident patterns (with at least ``SUPPORT`` trusted instances) that
-are no seeds are new identifiers, and all their occurrences become spans of kind ``id``. Graph,
-scores and decisions are tables of the cluster; nothing of them is collected.
+are no seeds are new identifiers, and all their occurrences become spans of kind ``id``.
+
+Keys of secrets (``token=``) hardly ever hold a seed, so key patterns are trusted in two ways of their
+own: by their name (``SECRET``), however few their instances, or if most of their instances are random
+strings of one alphabet and length. Their instances are identifiers too, but lend no trust to the words
+around them, which are those of any text. Graph, scores and decisions are tables of the cluster; nothing of them is collected.
 
 Edge cases: null and empty texts have no spans; very long texts are read whole (all matchers
 are linear); repeated rows get their spans each, and count once in the graph; rows with null ids get
@@ -33,6 +37,13 @@ ROUNDS = 3
 SUPPORT = 4
 CONFIDENT = 0.6
 DAMPING = 2.0
+#: Key patterns that name a secret, and what makes a string random: its length and distinct characters.
+SECRET = (
+    r"(?:^K |[^a-z])(?:(?:access|auth|api|secret|client|session|bearer|refresh)?(?:token|secret|passwo?r?d|passphrase|passcode|pwd|credential|authorization)"
+    r"|(?:api|access|secret|private|auth|encryption|signing|account|license)[_.-]?key)s?[^a-z0-9]*[=:]$"
+)
+RANDOM_LENGTH = 16
+RANDOM_CHARACTERS = 10
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -140,6 +151,20 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": df["doc_id"].astype("Int64"), "digest": df["digest"], "base": base, "seen": seen})
 
 
+def trusted_keys(edges: DataFrame) -> DataFrame:
+    """(pattern,): key patterns that name a secret, or whose instances mostly are random strings of one format."""
+    keys = edges.where(F.col("pattern").startswith("K "))
+    v = F.col("instance")
+    alphabet = F.when(v.rlike("^[0-9a-f]+$"), "x").when(v.rlike("^[0-9A-F]+$"), "X").when(v.rlike("^[0-9A-Za-z+/=_-]+$"), "w")
+    random = v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.length(v) >= RANDOM_LENGTH) & (F.size(F.array_distinct(F.split(v, ""))) >= RANDOM_CHARACTERS)
+    format = F.when(random, F.concat(alphabet, F.length(v).cast("string")))
+    each = keys.groupBy("pattern", format.alias("format")).agg(F.count("*").alias("n"))
+    most = F.max(F.when(F.col("format").isNotNull(), F.col("n")))
+    whole = each.groupBy("pattern").agg(F.sum("n").alias("n"), most.alias("most"))
+    alike = (F.col("most") >= SUPPORT) & (F.col("most") / (F.col("n") + F.lit(DAMPING)) >= CONFIDENT)
+    return whole.where(F.col("pattern").rlike(SECRET) | F.coalesce(alike, F.lit(False))).select("pattern")
+
+
 def bootstrap(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """New identifiers: (instance,) from distinct (pattern, instance, seed) edges."""
     edges = materialize(pairs)
@@ -152,7 +177,8 @@ def bootstrap(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         hit = edges.join(rule, "pattern").groupBy("instance").agg((F.lit(1.0) - F.exp(doubt)).alias("hit"))
         score = materialize(score.join(hit, "instance", "left").select("instance", F.greatest("score", F.coalesce("hit", F.lit(0.0))).alias("score")))
     seeds = edges.where("seed").select("instance").distinct()
-    return score.where(F.col("score") >= CONFIDENT).select("instance").join(seeds, "instance", "left_anti")
+    keyed = edges.join(trusted_keys(edges), "pattern").select("instance")
+    return score.where(F.col("score") >= CONFIDENT).select("instance").union(keyed).distinct().join(seeds, "instance", "left_anti")
 
 
 _SPANS = "array<struct<kind:string,first:bigint,last:bigint>>"

@@ -140,6 +140,21 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert [s["kind"] for s in got[20]] == ["id"] and rows[8][1][got[20][0]["first"] : got[20][0]["last"]] == "ID-77310924" and got[40] == []
 
 
+def test_keys_of_secrets_are_found(spark):
+    rng = random.Random(3)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 6)) + "12ab34"
+    lines = {i: (line, secret) for i, (line, secret) in enumerate([(f"{k}{secret}", secret) for k in ('token = "', "export API_KEY=", "db.password: ", '"client_secret": "', "auth_token=") for secret in (hexes(40), hexes(24))])}
+    lines |= {100 + i: (f'widget = "{s}"', s) for i, s in enumerate(hexes(32) for _ in range(9))}
+    plain = {200: "order = 20240131-77", 201: "tokens seen: 20240131", 202: "monkey: 12345678", 203: "size=1234567890123456"}
+    words = lambda: " ".join(rng.choice(["alder", "birch", "cedar", "dogwood", "elder"]) + str(rng.randrange(9)) for _ in range(12))
+    rows = [(i, f"{words()}\n{line}\" \n{words()}" if line.count('"') % 2 else f"{words()}\n{line}\n{words()}") for i, (line, _) in lines.items()]
+    rows += [(i, f"{words()}\n{t}\n{words()}") for i, t in plain.items()]
+    text = dict(rows)
+    found = {r["doc_id"]: [text[r["doc_id"]][s["first"] : s["last"]] for s in r["spans"] if s["kind"] == "id"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, (_, secret) in lines.items() if secret not in found[i]] == []
+    assert all(found[i] == [] for i in plain)
+
+
 def test_classifier(spark, odd):
     sf = "/root/testdata/sf0.01"
     got = registry.queries()["op7_classifier"](spark, sf).toPandas()
