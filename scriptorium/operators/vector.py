@@ -47,24 +47,35 @@ def _nearest(qids: np.ndarray, q: np.ndarray, k: int):
 def search(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int, *, visible: str | None, key: str = "chunk_id") -> DataFrame:
     """(qid, rank, id, distance): the k nearest visible vectors of each (qid, embedding) question.
 
-    Only chunks that have a vector take part; ties go to the smaller id. More questions than
-    ``QUESTIONS`` are refused: ask them in several calls.
+    Only chunks that have a vector take part; ties go to the smaller id. Questions are taken to the
+    vectors in blocks of ``QUESTIONS``.
     """
     spark = vectors.sparkSession
-    asked = questions.select("qid", F.col("embedding").cast("array<double>").alias("e")).orderBy("qid").limit(QUESTIONS + 1).collect()
-    if len(asked) > QUESTIONS:
-        raise ValueError(f"more than {QUESTIONS} questions in one call")
     kind = vectors.schema[key].dataType.simpleString()
-    if not asked:
-        return spark.createDataFrame([], f"qid long, rank int, id {kind}, distance double")
-    qids, q = np.array([r[0] for r in asked]), np.array([r[1] for r in asked], dtype=np.float64)
     seen = chunks.where(X.visible(F.col("sensitivity"), visible)).select(key)
     rows = vectors.join(seen, key, "left_semi").select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).where("id IS NOT NULL AND embedding IS NOT NULL")
-    near = rows.mapInPandas(_nearest(qids, q, k), f"qid long, id {kind}, distance double")
+    near = None
+    for qids, q in _blocks(questions.select("qid", F.col("embedding").cast("array<double>").alias("e"))):
+        part = rows.mapInPandas(_nearest(qids, q, k), f"qid long, id {kind}, distance double")
+        near = part if near is None else near.union(part)
+    if near is None:
+        return spark.createDataFrame([], f"qid long, rank int, id {kind}, distance double")
     w = Window.partitionBy("qid").orderBy(F.round("distance", 9), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "distance")
 
 
+def _blocks(asked: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(qids, vectors) of all questions in the order of qid, at most ``QUESTIONS`` at a time."""
+    block: list = []
+    for r in asked.orderBy("qid").toLocalIterator():
+        block.append(r)
+        if len(block) == QUESTIONS:
+            yield np.array([r[0] for r in block]), np.array([r[1] for r in block], dtype=np.float64)
+            block = []
+    if block:
+        yield np.array([r[0] for r in block]), np.array([r[1] for r in block], dtype=np.float64)
+
+
 def search_or_nothing(*args, **kw) -> DataFrame | None:
     """The vector arm when vectors may be missing: any failure to set it up gives None."""
     try:

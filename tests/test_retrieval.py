@@ -125,3 +125,14 @@ def test_document_tools(spark):
     c = spark.createDataFrame([("a/x.md", 0, "", "one", "open"), ("a/x.md", 1, "H", "two", "open"), ("a/x.md", 2, "H", "three", "open")], "doc_id string, ordinal int, heading_path string, body string, sensitivity string")
     got = graph.read_document(c, docs.where("doc_id = 'a/x.md'"), visible=None).first()["text"]
     assert got == "# Ex\n[[A/X.md]]\n\none\n\n## H\n\ntwo\n\nthree"
+
+
+def test_more_questions_than_a_block(spark, monkeypatch):
+    from scriptorium.operators import vector
+
+    monkeypatch.setattr(vector, "QUESTIONS", 3)
+    vectors = spark.createDataFrame([(f"c{i}", [float(i), 0.0]) for i in range(10)], "chunk_id string, embedding array<float>")
+    chunks = spark.createDataFrame([(f"c{i}", "open") for i in range(10)], "chunk_id string, sensitivity string")
+    asked = spark.createDataFrame([(i, [float(i) + 0.1, 0.0]) for i in range(8)], "qid long, embedding array<float>")
+    got = vector.search_or_nothing(asked, vectors, chunks, 1, visible=None)
+    assert got is not None and sorted((r["qid"], r["id"]) for r in got.collect()) == [(i, f"c{i}") for i in range(8)]
