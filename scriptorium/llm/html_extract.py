@@ -24,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,7 +35,7 @@ from .common import broadcast_if_small, materialize, small_batches, table
 
 LEAST_PAGES = 12
 SAME_SHARE = 0.98
-#: Nodes of a tree and of the children of one node that take part in an alignment.
+#: Trees up to this size are aligned exactly; of larger ones the children are paired by kind and size first.
 ALIGN_NODES = 400
 REFERENCES = 2_000
 #: Open elements at most; what lies deeper becomes siblings.
@@ -216,15 +217,24 @@ def skeleton(root: Node) -> Skeleton:
 
 
 def align(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
-    """Simple tree matching: index pairs of the largest top-down, order-keeping alignment."""
-    a, b = a[:ALIGN_NODES], b[:ALIGN_NODES]
-    kids = []
+    """Simple tree matching: index pairs of the largest top-down, order-keeping alignment.
+
+    All nodes take part. Where two nodes hold too much for that, their children are paired in order,
+    weighed by kind and size instead of by their best alignment, and each pair is aligned in turn.
+    """
+    most = ALIGN_NODES * ALIGN_NODES
+    kids, sizes = [], []
     for t in (a, b):
         c: list[list[int]] = [[] for _ in t]
         for i, (parent, _, _) in enumerate(t):
             if parent >= 0:
                 c[parent].append(i)
         kids.append(c)
+        n = [1] * len(t)
+        for i in range(len(t) - 1, 0, -1):
+            if t[i][0] >= 0:
+                n[t[i][0]] += n[i]
+        sizes.append(n)
     memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
 
     def match(i: int, j: int) -> tuple[int, list[tuple[int, int]]]:
@@ -237,7 +247,12 @@ def align(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
         if not x or not y:
             memo[i, j] = (1, [])
             return memo[i, j]
-        w = [[match(p, q)[0] for q in y] for p in x]
+        pairs = paired(x, y, [[match(p, q)[0] for q in y] for p in x])
+        memo[i, j] = (1 + sum(match(p, q)[0] for p, q in pairs), pairs)
+        return memo[i, j]
+
+    def paired(x: list[int], y: list[int], w: list[list[int]]) -> list[tuple[int, int]]:
+        """The order-keeping pairs of the largest weight, from the last to the first."""
         best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for p in range(1, len(x) + 1):
             row, prev, wp = best[p], best[p - 1], w[p - 1]
@@ -252,19 +267,50 @@ def align(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
                 p -= 1
             else:
                 q -= 1
-        memo[i, j] = (1 + best[len(x)][len(y)], pairs)
-        return memo[i, j]
-
-    out, todo = [], [(0, 0)] if a and b and match(0, 0)[0] else []
+        return pairs
+
+    def linear(x: list[int], y: list[int]) -> list[tuple[int, int]]:
+        """Pairs of equal kinds from both ends, then by weight if few are left, else each with the next of its kind."""
+        pairs, same = [], lambda p, q: a[p][1] == b[q][1]
+        first, last = 0, min(len(x), len(y))
+        while first < last and same(x[first], y[first]):
+            pairs.append((x[first], y[first]))
+            first += 1
+        back = 0
+        while first + back < last and same(x[-1 - back], y[-1 - back]):
+            pairs.append((x[-1 - back], y[-1 - back]))
+            back += 1
+        x, y = x[first : len(x) - back], y[first : len(y) - back]
+        if len(x) * len(y) <= most:
+            return pairs + paired(x, y, [[min(sizes[0][p], sizes[1][q]) if same(p, q) else 0 for q in y] for p in x])
+        places: dict[str, list[int]] = {}
+        for k, q in enumerate(y):
+            places.setdefault(b[q][1], []).append(k)
+        at = 0
+        for p in x:
+            known = places.get(a[p][1], [])
+            k = bisect_left(known, at)
+            if k < len(known):
+                pairs.append((p, y[known[k]]))
+                at = known[k] + 1
+        return pairs
+
+    out, todo = [], [(0, 0)] if a and b and a[0][1] == b[0][1] else []
+    whole = set()
     while todo:
         i, j = todo.pop()
         out.append((i, j))
-        todo += match(i, j)[1]
+        if (i, j) in whole or sizes[0][i] * sizes[1][j] <= most:
+            below = match(i, j)[1]
+            whole.update(below)
+        else:
+            below = linear(kids[0][i], kids[1][j])
+        todo += below
     return out
 
 
 def _pack(tree: Skeleton) -> str:
-    return "\n".join(f"{p}\t{t}\t{h}" for p, t, h in tree[:ALIGN_NODES])
+    return "\n".join(f"{p}\t{t}\t{h}" for p, t, h in tree)
 
 
 def _unpack(packed: str | None) -> Skeleton:

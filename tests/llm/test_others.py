@@ -132,3 +132,12 @@ def test_odd_vectors(spark):
     assert ann.search(v.limit(0), v).count() == 0
     few = v.where("vec_id < 3")
     assert ann.search(few, few).count() == 6
+
+
+def test_long_pages_are_aligned_to_their_end(spark):
+    from scriptorium.llm import html_extract
+
+    page = lambda i: "<html><body>" + "".join(f"<p>page {i} says {j} of {i * j}</p>" for j in range(500 + 7 * i)) + "<div>All rights of this site are kept</div></body></html>"
+    pages = spark.createDataFrame([(i, f"http://long.example/{i}", page(i)) for i in range(14)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert all("All rights" not in t and t.count("\n") == 499 + 7 * i for i, t in got.items())
