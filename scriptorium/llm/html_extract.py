@@ -1,55 +1,73 @@
 """Main-text extraction by wrapper induction.
 
-Pages of a host share a template. For each host one reference page (the smallest id with a usable
-tree) is kept as a small tree of tags, classes and text digests. Every page's DOM tree is aligned
-with its host's reference by simple tree matching, and for each reference node the aligned
-pages and the equal texts among them are counted over all pages of the host, with partial sums. A
-leaf is a template node if at least ``LEAST_PAGES`` pages align with it and nearly all of them say
-the same there; what varies is content. Boilerplate that varies from page to page (menus,
-adverts, footers) is told by its elements, roles and class names, and dropped with all it holds.
-If an article (or main) element is marked up, the text is what it holds; template nodes inside it
-are dropped too, unless nothing else is left. Hosts whose slots hardly vary get no template.
-
-Work per page is one parse and one alignment, twice; pages are never compared with each other
-beyond the reference, so a hot host costs no more per page than another. References are
-broadcast if they have been counted to be few, else joined by host.
-
-Edge cases: null and empty html give an empty text; cut-off and unbalanced markup is closed at
-the end; pages of a null or odd url belong to the host ''; a host with few pages has no template
-nodes; repeated rows are extracted each; an empty table gives no rows; extra columns are ignored.
+Pages of a host share a template. Each page is read once into the tree of its block elements and its
+lines of text, each with the block it stands in. Pages of one host and one layout (the kinds of
+the elements down to the children of body) form a group; those of thin groups are grouped by host, then by
+layout alone. A group has a reference page, and every page's tree is aligned with the
+reference's by simple tree matching. An aligned block is a slot of the wrapper; a block without a
+partner belongs to the slot of its nearest aligned ancestor, told apart by the kinds of elements
+on the way. For every slot the different pages, the different texts, the words and the linked words
+are counted over the whole group, with partial sums and sketches. Pages that share their ``LONGEST``
+longest lines are one page there, so copies of a page do not make its text a template.
+
+The counts decide: a slot is template if its texts repeat (at most ``VARIED`` different ones for each page), else
+content; a slot of under ``LEAST_PAGES`` pages goes by all its siblings of the same kind. The content region is
+the deepest container that holds ``REGION`` of the group's unlinked content words; lists of links
+inside it are left out. A page's text is its lines in the region whose slot is not template, and
+varied first headings elsewhere. Of these, lines that elements, roles or class names mark as no part of an article (forms,
+comments and the like, which differ from page to page inside an article) are dropped after that.
+Pages of which the wrapper keeps nothing, and those without one, keep what such marks leave.
+
+Pages are never compared with each other beyond the reference, so a hot host costs no more per page
+than another. Wrappers are broadcast if they have been counted to be few, else joined by group, where
+adaptive execution splits a hot one.
+
+Edge cases: null and empty html give an empty text; cut-off and unbalanced markup is closed at the
+end; very long and deep pages are read and aligned whole; pages of a null or odd url belong to the host '';
+of equal candidates the reference is the tree of the smallest hash; repeated rows are extracted each; an empty
+table gives no rows; null page_ids and extra columns change nothing.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 import zlib
 from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, small_batches, table
+from .common import broadcast_if_small, materialize, table
 
-LEAST_PAGES = 12
-SAME_SHARE = 0.98
+LEAST_PAGES = 8
+VARIED = 0.5
+REGION = 0.85
+LINKED = 0.8
+LONGEST = 4
 #: Trees up to this size are aligned exactly; of larger ones the children are paired by kind and size first.
 ALIGN_NODES = 400
-REFERENCES = 2_000
-#: Open elements at most; what lies deeper becomes siblings.
-DEPTH = 150
+#: Wrappers that may be broadcast.
+WRAPPERS = 2_000
+#: Alignments and wrappers a task remembers.
+REMEMBERED = 4_096
 
-#: Elements without content, without text, of boilerplate, and that open a block.
+#: Elements without content, without text, that open a block, and that hold only text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript textarea title svg math iframe object canvas".split())
-BOILERPLATE = frozenset("nav header footer aside form button select dialog menu head script style template noscript textarea svg math iframe object canvas figure label fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Words in class, id or role that mark boilerplate.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dd dt caption figcaption".split())
+#: Fixed values, for the marks: elements that are no part of an article, and words in class, id or role.
+BOILERPLATE = frozenset("nav header footer aside button select dialog menu head figure label fieldset".split())
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|related|share|sharing|social|"
     r"cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|search|comments?|commentlist|disqus|replies|reply|respond|pagination|pager|skip|toolbar|contentinfo|complementary|hidden|sr-only)(?=$|[\s_-])",
@@ -60,163 +78,134 @@ _SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^>\"'])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|(?=[\s/]|\Z))", re.I)
 
+#: What is known of a place: it is marked, inside a form, an article, a main element, a link.
+MARK, FORM, ARTICLE, MAIN, LINK = 1, 2, 4, 8, 16
 
-class Node:
-    __slots__ = ("attrs", "kids", "tag")
+#: Block elements in document order: (parent's index, kind), the first being the page.
+Tree = list[tuple[int, str]]
+#: (index of its block, text, words, linked words, what is known of its place).
+Line = tuple[int, str, int, int, int]
 
-    def __init__(self, tag: str, attrs: str = "") -> None:
-        self.tag, self.attrs, self.kids = tag, attrs, []
 
+def _attributes(attrs: str) -> tuple[str, bool, bool]:
+    """An element's class without digits, whether it is marked, and whether its role is main."""
+    kind, marked, main = "", False, False
+    for m in _ATTR.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "class":
+            kind = re.sub(r"[0-9]+", "", " ".join(value.split()))
+        main |= name == "role" and value.lower() == "main"
+        marked |= name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name in ("class", "id", "role") and MARKED.search(value) is not None)
+    return kind, marked, main
 
-def parse(source: str | None) -> Node:
-    """A tree of nodes and text strings; comments and raw elements' contents are dropped."""
-    root = Node("#root")
-    stack = [root]
+
+def _known(tag: str, marked: bool, main: bool, above: int) -> int:
+    """What is known inside an element, given what is known around it."""
+    if tag == "article" or tag == "main" or main:
+        return (above & ~FORM) | (ARTICLE if tag == "article" else MAIN)
+    if tag in ("html", "body"):
+        return above
+    if tag in BOILERPLATE and not (above & (ARTICLE | MAIN) and tag in ("header", "figure", "label")):
+        marked = True
+    return above | (MARK if marked else 0) | (FORM if tag == "form" else 0) | (LINK if tag == "a" else 0)
+
+
+def read_page(source: str | None) -> tuple[Tree, list[Line]]:
+    """The tree of a page's blocks, and its lines of text in page order, in one pass.
+
+    Comments and the contents of raw elements are dropped. Marked parts of a block are a line of their own.
+    """
     text = source or ""
+    tree: Tree = [(-1, "#page")]
+    lines: list[Line] = []
+    stack = [("#page", 0, 0)]
+    opened: Counter = Counter()
+    runs: tuple[list, list] = ([], [])
+
+    def flush() -> None:
+        for pieces in runs:
+            if pieces:
+                line = " ".join(entities.unescape("".join([p for p, _, _ in pieces])).split())
+                if line:
+                    _, node, known = next(p for p in pieces if not p[0].isspace())
+                    linked = sum(len(p.split()) for p, _, k in pieces if k & LINK)
+                    lines.append((node, line, line.count(" ") + 1, linked, known))
+                pieces.clear()
+
+    def say(piece: str) -> None:
+        _, node, known = stack[-1]
+        run = runs[1 if known & (MARK | FORM) else 0]
+        if run or not piece.isspace():
+            run.append((piece, node, known))
+
+    def close(i: int) -> None:
+        for tag, _, _ in stack[i:]:
+            opened[tag] -= 1
+        if any(tag in BLOCKS for tag, _, _ in stack[i:]):
+            flush()
+        del stack[i:]
+
     at = 0
     while at < len(text):
         m = _TOKEN.search(text, at)
         if m is None:
-            stack[-1].kids.append(text[at:])
+            say(text[at:])
             break
         if m.start() > at:
-            stack[-1].kids.append(text[at : m.start()])
+            say(text[at : m.start()])
         at = m.end()
         if m["name"] is None:
             continue
-        tag = m["name"].lower()
+        tag, attrs = m["name"].lower(), m["attrs"]
         if m["close"]:
+            i = len(stack) - 1 if opened[tag] else 0
+            while i > 0 and stack[i][0] != tag:
+                i = 0 if stack[i][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html") else i - 1
+            if i > 0:
+                close(i)
+            elif tag in BLOCKS:
+                flush()
+            continue
+        if tag in _CLOSES_P or tag in _SAME_CLOSES:
+            ends = _SAME_CLOSES.get(tag, set()) | ({"p"} if tag in _CLOSES_P else set())
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
+                if stack[i][0] in ends:
+                    close(i)
                     break
-                if stack[i].tag in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
+                if stack[i][0] in BLOCKS and stack[i][0] != "p":
                     break
-            continue
-        if tag in _CLOSES_P or tag in _SAME_CLOSES:
-            _close_implied(stack, tag)
-        node = Node(tag, m["attrs"])
-        stack[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(text, at)
             at = end.end() if end else len(text)
-        elif tag not in VOID and not m["attrs"].rstrip().endswith("/") and len(stack) < DEPTH:
-            stack.append(node)
-    return root
-
-
-def _close_implied(stack: list[Node], tag: str) -> None:
-    """Ends an open p (and what it holds), or an open item of the same list, before ``tag``."""
-    ends = _SAME_CLOSES.get(tag, set()) | ({"p"} if tag in _CLOSES_P else set())
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in ends:
-            del stack[i:]
-            return
-        if stack[i].tag in BLOCKS and stack[i].tag != "p":
-            return
-
-
-def is_boilerplate(node: Node) -> bool:
-    if node.tag in BOILERPLATE:
-        # A header inside an article holds its heading: told apart by the caller.
-        return True
-    if node.attrs and node.tag not in ("html", "body", "article", "main"):
-        for m in _ATTR.finditer(node.attrs):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name in ("class", "id", "role") and MARKED.search(value)):
-                return True
-    return False
-
-
-def _content_roots(node: Node) -> list[Node]:
-    """The outermost article elements, else main elements, that hold text and are no boilerplate."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
-
-    def walk(n: Node, inside: frozenset) -> None:
-        for k in n.kids:
-            if isinstance(k, Node) and not is_boilerplate(k):
-                kind = k.tag if k.tag in found else "main" if re.search(r"role\s*=\s*[\"']?main\b", k.attrs) else None
-                if kind and kind not in inside:
-                    found[kind].append(k)
-                walk(k, inside | {kind} if kind else inside)
-
-    walk(node, frozenset())
-    has_text = lambda n: any(k.strip() if isinstance(k, str) else has_text(k) for k in n.kids)
-    return next((r for r in ([n for n in found[k] if has_text(n)] for k in ("article", "main")) if r), [])
-
-
-def blocks(root: Node) -> list[tuple[str, bool, int]]:
-    """(text, is inside the marked-up article, index of its node) of the blocks in page order.
-
-    The index counts the page's nodes in document order, as ``skeleton`` does.
-    """
-    number = {}
-
-    def index(n: Node) -> None:
-        number[id(n)] = len(number)
-        for k in n.kids:
-            if isinstance(k, Node):
-                index(k)
-
-    index(root)
-    roots = {id(n) for n in _content_roots(root)}
-    out: list[tuple[str, bool, int]] = []
-    run: list[str] = []
-    owner = [0, False]
-
-    def flush() -> None:
-        line = " ".join(entities.unescape("".join(run)).split())
-        run.clear()
-        if line:
-            out.append((line, owner[1], owner[0]))
-
-    def walk(n: Node, inside: bool) -> None:
-        inside = inside or id(n) in roots
-        block = n.tag in BLOCKS
-        if block:
-            flush()
-        for k in n.kids:
-            if isinstance(k, str):
-                if not run:
-                    owner[0], owner[1] = number[id(n)], inside
-                run.append(k)
-            elif k.tag == "br":
-                run.append(" ")
-            elif not is_boilerplate(k) or (inside and k.tag in ("header", "figure", "label")):
-                walk(k, inside)
-                if k.tag in BLOCKS:
-                    flush()
-            elif k.tag in BLOCKS:
-                flush()
-        if block:
+            continue
+        if tag in BLOCKS:
             flush()
-
-    walk(root, False)
+        elif tag == "br":
+            say(" ")
+        if tag in VOID or attrs.rstrip().endswith("/"):
+            continue
+        kind, marked, main = _attributes(attrs) if attrs else ("", False, False)
+        _, node, above = stack[-1]
+        if tag in BLOCKS:
+            tree.append((node, f"{tag}.{kind}" if kind else tag))
+            node = len(tree) - 1
+        stack.append((tag, node, _known(tag, marked, main, above)))
+        opened[tag] += 1
     flush()
-    return out
-
-
-Skeleton = list[tuple[int, str, int]]
-
+    return tree, lines
 
-def skeleton(root: Node) -> Skeleton:
-    """The tree's nodes in document order: (parent's index, tag and class, digest of own text)."""
-    out: Skeleton = []
 
-    def walk(n: Node, parent: int) -> None:
-        mine = len(out)
-        own = " ".join(entities.unescape("".join(k for k in n.kids if isinstance(k, str))).split())
-        kind = next((m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(n.attrs) if m[1].lower() == "class"), "") if n.attrs else ""
-        out.append((parent, f"{n.tag}.{kind}" if kind else n.tag, zlib.crc32(own.encode("utf-8", "surrogatepass")) if own else 0))
-        for k in n.kids:
-            if isinstance(k, Node):
-                walk(k, mine)
-
-    walk(root, -1)
-    return out
+def layout(tree: Tree) -> int:
+    """A digest of the kinds of elements down to the children of body."""
+    depth, paths = [0] * len(tree), [""] * len(tree)
+    for i, (parent, kind) in enumerate(tree):
+        depth[i] = depth[parent] + 1 if parent >= 0 else 0
+        if depth[i] <= 3:
+            paths[i] = f"{paths[parent] if parent >= 0 else ''}/{kind}"
+    return zlib.crc32("\n".join(sorted(set(paths))).encode("utf-8", "surrogatepass"))
 
 
-def align(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
+def align(a: Tree, b: Tree) -> list[tuple[int, int]]:
     """Simple tree matching: index pairs of the largest top-down, order-keeping alignment.
 
     All nodes take part. Where two nodes hold too much for that, their children are paired in order,
@@ -226,14 +215,13 @@ def align(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
     kids, sizes = [], []
     for t in (a, b):
         c: list[list[int]] = [[] for _ in t]
-        for i, (parent, _, _) in enumerate(t):
+        for i, (parent, _) in enumerate(t):
             if parent >= 0:
                 c[parent].append(i)
         kids.append(c)
         n = [1] * len(t)
         for i in range(len(t) - 1, 0, -1):
-            if t[i][0] >= 0:
-                n[t[i][0]] += n[i]
+            n[t[i][0]] += n[i]
         sizes.append(n)
     memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
 
@@ -309,87 +297,210 @@ def align(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
     return out
 
 
-def _pack(tree: Skeleton) -> str:
-    return "\n".join(f"{p}\t{t}\t{h}" for p, t, h in tree)
+def places(reference: Tree, tree: Tree) -> list[tuple[int, int]]:
+    """The slot of each block of a page: (reference block, 0), or that of an ancestor and a digest of the way down."""
+    partner = {j: i for i, j in align(reference, tree)}
+    out: list[tuple[int, int]] = []
+    for j, (parent, kind) in enumerate(tree):
+        if j in partner:
+            out.append((partner[j], 0))
+        else:
+            slot, way = out[parent] if parent >= 0 else (0, 0)
+            out.append((slot, zlib.crc32(kind.encode("utf-8", "surrogatepass"), way)))
+    return out
+
+
+Wrapper = tuple[dict[tuple[int, int], bool], frozenset[int]]
+
+
+def induce(reference: Tree, counts: list[tuple[int, int, int, int, int, int]]) -> Wrapper:
+    """Which slots hold content, and the reference blocks of the content region.
+
+    counts: (slot, way, different pages, different texts, words, linked words).
+    """
+    kin = lambda slot, way: (slot, way) if way else (reference[slot][0], zlib.crc32(reference[slot][1].encode("utf-8", "surrogatepass")))
+    pooled: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0])
+    for slot, way, n, texts, _, _ in counts:
+        pool = pooled[kin(slot, way)]
+        pool[0] += n
+        pool[1] += texts
+    content: dict[tuple[int, int], bool] = {}
+    for slot, way, n, texts, _, _ in counts:
+        n, texts = (n, texts) if n >= LEAST_PAGES else pooled[kin(slot, way)]
+        if n >= LEAST_PAGES:
+            content[slot, way] = texts > VARIED * n
+    for key, (n, texts) in pooled.items():
+        if n >= LEAST_PAGES:
+            content.setdefault(key, texts > VARIED * n)
+    mass, words, linked = ([0] * len(reference) for _ in range(3))
+    for slot, way, _, _, w, k in counts:
+        mass[slot] += max(0, w - k) if content.get((slot, way)) else 0
+        words[slot] += w
+        linked[slot] += k
+    kids: list[list[int]] = [[] for _ in reference]
+    for i in range(len(reference) - 1, 0, -1):
+        parent = reference[i][0]
+        kids[parent].append(i)
+        for total in (mass, words, linked):
+            total[parent] += total[i]
+    if not mass[0]:
+        return content, frozenset()
+    top = 0
+    while True:
+        down = [i for i in kids[top] if mass[i] >= REGION * mass[0] and reference[i][1].split(".")[0] not in TEXTUAL]
+        if not down:
+            break
+        top = down[0]
+    region, todo = set(), [top]
+    while todo:
+        i = todo.pop()
+        region.add(i)
+        todo += [k for k in kids[i] if not (words[k] and linked[k] >= LINKED * words[k])]
+    return content, frozenset(region)
+
+
+def wrapped(slots: list[tuple[int, int]], heading: list[bool], wrapper: Wrapper, parents: list[int], kinds: list[int]) -> list[bool]:
+    """Whether the wrapper keeps each line, given its slot and whether it is a first heading."""
+    content, region = wrapper
+    out = []
+    for (slot, way), first in zip(slots, heading, strict=True):
+        good = content.get((slot, way))
+        if good is None and not way:
+            good = content.get((parents[slot], kinds[slot]))
+        out.append(good is not False if slot in region else bool(first and good))
+    return out
+
+
+def marked_text(lines: list[str], known: list[int], strict: bool = False) -> list[str]:
+    """What the marks leave: unmarked lines of articles, else of main elements, else (unless strict) all."""
+    clear = [(t, k) for t, k in zip(lines, known, strict=True) if not k & (MARK | FORM)]
+    for inside in (ARTICLE, MAIN):
+        if any(k & inside for _, k in clear):
+            return [t for t, k in clear if k & inside]
+    return [] if strict else [t for t, _ in clear]
 
 
-def _unpack(packed: str | None) -> Skeleton:
-    return [(int(p), t, int(h)) for p, t, h in (x.split("\t") for x in packed.split("\n"))] if packed else []
+def pack(tree: Tree) -> str:
+    return "\n".join(f"{p}\t{k}" for p, k in tree)
 
 
-def _clean(kind: str) -> str:
-    return re.sub(r"\s+", " ", kind)
+def unpack(packed: str) -> Tree:
+    return [(int(p), k) for p, k in (x.split("\t") for x in packed.split("\n"))]
 
 
-def _tree(source: str | None) -> tuple[Node, Skeleton]:
-    root = parse(source)
-    return root, [(p, _clean(t), h) for p, t, h in skeleton(root)]
+_READ = "layout long, page long, tree string, block array<int>, text string, digest array<long>, words array<int>, linked array<int>, known array<int>"
 
 
-def _skeletons(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for pages in batches:
-        yield pd.Series([_pack(_tree(h)[1]) for h in pages], dtype=object)
-
-
-def _aligned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """For each page: the reference nodes with text it aligns with, doubled, plus 1 if texts are equal."""
-    for pages, references in batches:
-        out, known = [], {}
-        for h, r in zip(pages, references, strict=True):
-            ref = known.setdefault(r, _unpack(r))
-            mine = _tree(h)[1]
-            out.append([2 * i + (ref[i][2] == mine[j][2]) for i, j in align(ref, mine) if ref[i][2]])
-        yield pd.Series(out, dtype=object)
-
-
-def page_text(source: str | None, reference: Skeleton, template: frozenset[int]) -> str:
-    """The text of a page, given its host's reference tree and which of its nodes are template."""
-    root, mine = _tree(source)
-    found = blocks(root)
-    marked = any(inside for _, inside, _ in found)
-    if marked:
-        found = [b for b in found if b[1]]
-    if template:
-        fixed = {j for i, j in align(reference, mine) if i in template and reference[i][2] == mine[j][2]}
-        varying = [b for b in found if b[2] not in fixed]
-        if varying:
-            found = varying
-    return "\n".join(line for line, _, _ in found)
-
-
-def _texts(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for pages, references, templates in batches:
-        known: dict = {}
-        out = []
-        for h, r, t in zip(pages, references, templates, strict=True):
-            nodes = frozenset() if t is None else frozenset(int(x) for x in t)
-            out.append(page_text(h, known.setdefault(r, _unpack(r)) if nodes else [], nodes))
-        yield pd.Series(out, dtype=object)
-
-
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) of every page."""
-    small_batches(pages.sparkSession)
+        rows = []
+        for source in pages:
+            tree, lines = read_page(source)
+            digest = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for _, t, _, _, _ in lines], dtype=np.uint64).view(np.int64)
+            longest = sorted(zip([-r[2] for r in lines], digest.tolist(), strict=True))[:LONGEST]
+            page = xxhash.xxh64_intdigest(repr(longest).encode()) >> 1 if lines else None
+            columns = [np.array([r[c] for r in lines], dtype=np.int32) for c in (0, 2, 3, 4)]
+            rows.append((layout(tree), page, pack(tree), columns[0], "\n".join([t for _, t, _, _, _ in lines]), digest, *columns[1:]))
+        yield pd.DataFrame(rows, columns=["layout", "page", "tree", "block", "text", "digest", "words", "linked", "known"]).astype({"page": "Int64"})
+
+
+class _Memory(dict):
+    """Results of a function of two strings, forgotten all at once when they are many."""
+
+    def __init__(self, function) -> None:
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, key):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[key] = self.function(*key)
+        return self[key]
+
+
+def _placed() -> _Memory:
+    return _Memory(lambda reference, tree: places(unpack(reference), unpack(tree)))
+
+
+def _slots(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    placed = _placed()
+    for trees, blocks, references in batches:
+        found = [[placed[r, t][b] for b in own] for t, own, r in zip(trees, blocks, references, strict=True)]
+        yield pd.DataFrame({"slot": [np.array([s for s, _ in f], dtype=np.int32) for f in found], "way": [np.array([w for _, w in f], dtype=np.int64) for f in found]})
+
+
+def _induced(references: pd.Series, counts: pd.Series) -> pd.Series:
+    out = []
+    for r, rows in zip(references, counts, strict=True):
+        content, region = induce(unpack(r), [tuple(c[k] for k in ("slot", "way", "pages", "texts", "words", "linked")) for c in rows])
+        out.append(json.dumps([sorted([s, w, int(v)] for (s, w), v in content.items()), sorted(region)]))
+    return pd.Series(out, dtype=object)
+
+
+def _loaded(reference: str, induced: str) -> tuple[Wrapper, list[int], list[int]]:
+    content, region = json.loads(induced)
+    tree = unpack(reference)
+    return ({(s, w): bool(v) for s, w, v in content}, frozenset(region)), [p for p, _ in tree], [zlib.crc32(k.encode("utf-8", "surrogatepass")) for _, k in tree]
+
+
+def page_text(tree: str, blocks, text: str, known, reference: str | None, induced: str | None, marks: bool = True, placed: _Memory | None = None, loaded: _Memory | None = None) -> str:
+    """The text of a page that was read, given its group's reference tree and induced wrapper, if there is one."""
+    lines, known = text.split("\n") if text else [], [int(k) for k in known]
+    if reference is None or induced is None:
+        return "\n".join(marked_text(lines, known))
+    wrapper, parents, kinds = (_loaded(reference, induced)) if loaded is None else loaded[reference, induced]
+    if not wrapper[1]:
+        return "\n".join(marked_text(lines, known))
+    at = places(unpack(reference), unpack(tree)) if placed is None else placed[reference, tree]
+    nodes = unpack(tree)
+    kept = wrapped([at[b] for b in blocks], [nodes[b][1].split(".")[0] == "h1" for b in blocks], wrapper, parents, kinds)
+    found = [t for t, k, keep in zip(lines, known, kept, strict=True) if keep and not (marks and k & (MARK | FORM))]
+    return "\n".join(found or marked_text(lines, known, strict=True))
+
+
+def _texts(marks: bool):
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        placed, loaded = _placed(), _Memory(_loaded)
+        for batch in batches:
+            yield pd.Series([page_text(*row, marks=marks, placed=placed, loaded=loaded) for row in zip(*batch, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")
+
+
+def _grouped(read: DataFrame) -> DataFrame:
+    """(host, layout, group): layouts of a host, hosts and layouts of enough different pages, in this order."""
+    sizes = materialize(read.where("page IS NOT NULL").groupBy("host", "layout").agg(F.approx_count_distinct("page").alias("n")))
+    thin = sizes.where(F.col("n") < LEAST_PAGES)
+    hosts = thin.groupBy("host").agg((F.sum("n") >= LEAST_PAGES).alias("enough"))
+    own = F.concat_ws(" ", "host", F.col("layout").cast("string"))
+    name = F.when(F.col("n") >= LEAST_PAGES, own).when(F.col("enough"), F.concat("host", F.lit(" *"))).otherwise(F.concat(F.lit("* "), F.col("layout").cast("string")))
+    return materialize(sizes.join(hosts, "host", "left").select("host", "layout", name.alias("group")))
+
+
+def extract(pages: DataFrame, marks: bool = True) -> DataFrame:
+    """(page_id, url, text) of every page; without marks the wrapper alone decides where there is one."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", "html", host.alias("host"))
-    # The reference of a host: a min over structs, combined before any shuffle; only ids travel.
-    first = rows.where("html <> ''").groupBy("host").agg(F.min("page_id").alias("page_id"), F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    chosen = broadcast_if_small(first.select("page_id", F.col("host").alias("h")), REFERENCES)
-    source = rows.join(chosen, "page_id").where("h = host").groupBy("host").agg(F.min("html").alias("html"))
-    references = materialize(source.select("host", F.pandas_udf(_skeletons, "string")("html").alias("reference")))
-    known = broadcast_if_small(references, REFERENCES)
-
-    hits = rows.where("html <> ''").join(known, "host").select("host", F.explode(F.pandas_udf(_aligned, "array<int>")("html", "reference")).alias("hit"))
-    node = F.floor(F.col("hit") / 2).cast("int")
-    counts = hits.groupBy("host", node.alias("node")).agg(F.count("*").alias("n"), F.sum(F.col("hit") % 2).alias("same"))
-    # Hosts that mostly hold copies of one page tell nothing: a quarter of the slots must vary.
-    every = Window.partitionBy("host")
-    counts = counts.where(F.col("n") >= LEAST_PAGES).withColumn("varying", F.avg((F.col("same") * 2 < F.col("n")).cast("int")).over(every))
-    fixed = counts.where((F.col("varying") >= 0.25) & (F.col("same") >= F.col("n") * SAME_SHARE))
-    nodes = fixed.groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("template"))
-    templates = materialize(references.join(nodes, "host", "left"))
-    both = rows.join(broadcast_if_small(templates, REFERENCES), "host", "left")
-    return both.select("page_id", "url", F.pandas_udf(_texts, "string")("html", "reference", "template").alias("text"))
+    read = materialize(pages.select("page_id", "url", host.alias("host"), F.pandas_udf(_read, _READ)("html").alias("p")).select("page_id", "url", "host", "p.*"))
+    groups = broadcast_if_small(_grouped(read))
+    member = read.join(groups, ["host", "layout"], "left")
+
+    # The reference of a group: a tree of moderate size, else any, by hash; combined before any shuffle.
+    pick = F.struct(F.length("tree") > 20_000, F.xxhash64("tree"), F.col("tree").alias("tree"))
+    references = member.where("group IS NOT NULL").groupBy("group").agg(F.min(pick).alias("r")).select("group", F.col("r.tree").alias("reference"))
+    references = broadcast_if_small(materialize(references), WRAPPERS)
+
+    placed = member.join(references, "group").select("group", "page", "digest", "words", "linked", F.pandas_udf(_slots, "slot array<int>, way array<long>")("tree", "block", "reference").alias("at"))
+    line = F.arrays_zip(F.col("at.slot").alias("slot"), F.col("at.way").alias("way"), "digest", "words", "linked")
+    lines = placed.select("group", "page", F.explode(line).alias("l")).select("group", "page", "l.*")
+    counts = lines.groupBy("group", "slot", "way").agg(
+        F.approx_count_distinct("page").alias("pages"), F.approx_count_distinct("digest").alias("texts"), F.sum("words").alias("words"), F.sum("linked").alias("linked"),
+    )
+    # Ways of few pages tell nothing, and only they may be many.
+    slots = counts.where((F.col("way") == 0) | (F.col("pages") >= LEAST_PAGES)).groupBy("group").agg(F.collect_list(F.struct("slot", "way", "pages", "texts", "words", "linked")).alias("counts"))
+    wrappers = materialize(slots.join(references, "group").select("group", "reference", F.pandas_udf(_induced, "string")("reference", "counts").alias("induced")))
+
+    whole = member.join(broadcast_if_small(wrappers, WRAPPERS), "group", "left")
+    return whole.select("page_id", "url", _texts(marks)("tree", "block", "text", "known", "reference", "induced").alias("text"))
 
 
 def query(spark, sf_dir):
