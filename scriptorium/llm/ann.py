@@ -3,25 +3,26 @@
 Index. Each tree has orthonormal Gaussian directions, one for each level, and splits every node
 at the median projection of a bounded sample of vectors (``SAMPLE`` rows, the smallest by a hash of
 the id); below the sample's resolution a node splits at its mean. Every vector is then assigned
-to one leaf per tree. Of exact copies only the 21 with the smallest ids are indexed: the others
+to one leaf per tree. Of exact copies only the k + 1 with the smallest ids are indexed: the others
 can be in no result, since ties go to smaller ids.
 
 Search. The trees of a query share one priority queue, ordered by the sum of squared margins of
 the splits taken against the query, which bounds the squared distance to a leaf from below.
-It is popped until ``PROBE_SHARE`` of all leaves (and enough for ``LEAST_CANDIDATES``) are found.
+It is popped until ``PROBE_SHARE`` of all leaves are found, at every size of the table.
 
-Rerank. Leaves are gathered in cells of about ``CELL`` vectors; oversized cells and long lists of
-their queries are split by hash, so no task holds more than a bounded block of either. A block
-scores a query's leaf candidates exactly, in double precision, and keeps its best 20; the best of
-all blocks are merged.
+Rerank. The index is dealt by a hash of the id into blocks of about ``BLOCK`` vectors, each shipped once with its
+leaves; a block keeps the lists of its leaves in memory. A query's candidates in a block are the
+members of the leaves it found, each once; they are scored exactly, in double precision, and the best of
+all blocks are merged. Queries come to a block in groups of ``QUERIES``, so a task holds a bounded part of both.
 
 Vectors of nearly independent directions in 64 dimensions have no near neighbours to speak of; a
-recall of 0.9 then takes about half of the vectors as candidates. Lower the share for
-clustered data.
+recall of 0.9 then takes over half of the vectors as candidates, the more the smaller the table. Lower the
+share for clustered data.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part,
 nor do vectors of another length than the most common one; rows with null ids take no part;
-repeated ids are vectors of their own, except that a query skips all vectors of its own id; an
+repeated ids are vectors of their own, except that a query skips all vectors of its own id, and a vector that
+two rows repeat under one id is one result; ties go to the smaller id; very long vectors are read whole; an
 empty table gives no rows; extra columns are ignored.
 """
 
@@ -29,7 +30,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,15 +37,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, table
+from .common import materialize, table
 
-TREES = 8
+TREES = 16
 LEAF = 50
+#: Levels of a tree at most; leaves grow beyond.
+MOST_DEPTH = 10
 SAMPLE = 16_384
-PROBE_SHARE = 0.1
-LEAST_CANDIDATES = 4096
-CELL = 32_768
-QUERIES = 2048
+PROBE_SHARE = 0.085
+BLOCK = 32_768
+QUERIES = 4_096
 K = 20
 
 
@@ -55,7 +56,7 @@ class Forest:
     def __init__(self, sample: np.ndarray, total: int, trees: int = TREES, leaf: int = LEAF, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
-        self.depth = min(dim, max(1, round(math.log2(max(2, total / leaf)))))
+        self.depth = min(dim, MOST_DEPTH, max(1, round(math.log2(max(2, total / leaf)))))
         self.fitted = min(self.depth, max(1, int(math.log2(max(2, len(sample) / 8)))))
         self.directions, self.medians, self.means = [], [], []
         for _ in range(trees):
@@ -121,51 +122,54 @@ def valid(df: DataFrame) -> DataFrame:
     return kept.where(F.size("embedding") == (length["n"] if length else 0))
 
 
-def _assign(forest: Forest, shift: int):
+def _assign(forest: Forest):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             if len(df):
-                leaves = forest.leaves(np.stack(df["embedding"].to_numpy()))
-                for t in range(leaves.shape[1]):
-                    yield pd.DataFrame({"tree": np.int32(t), "cell": leaves[:, t] >> shift, "leaf": leaves[:, t], "vec_id": df["vec_id"], "embedding": df["embedding"]})
+                yield df.assign(leaves=list(forest.leaves(np.stack(df["embedding"].to_numpy())).astype(np.int32)))
 
     return run
 
 
-def _probe(forest: Forest, shift: int, probes: int):
+def _probe(forest: Forest, probes: int):
+    """The leaves of each query; a leaf's number counts through all trees."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            rows = []
-            for i, q in zip(df["query_id"], df["query"], strict=True):
-                cells = defaultdict(list)
-                for t, leaf in forest.search(np.asarray(q), probes):
-                    cells[t, leaf >> shift].append(leaf)
-                rows += [(t, c, i, leaves, q) for (t, c), leaves in cells.items()]
-            yield pd.DataFrame(rows, columns=["tree", "cell", "query_id", "leaves", "query"])
+            yield df.assign(found=[np.array([(t << forest.depth) + leaf for t, leaf in forest.search(np.asarray(q), probes)], dtype=np.int32) for q in df["query"]])
 
     return run
 
 
-def _rerank(k: int):
+def _rerank(k: int, depth: int):
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: tuple[list, list, list] = ([], [], [])
         if len(vectors) and len(queries):
-            order = np.argsort(vectors["leaf"].to_numpy(), kind="stable")
-            leaf, ids = vectors["leaf"].to_numpy()[order], vectors["vec_id"].to_numpy()[order]
-            x = np.stack(vectors["embedding"].to_numpy()[order])
-            for i, leaves, q in zip(queries["query_id"], queries["leaves"], queries["query"], strict=True):
-                firsts, ends = np.searchsorted(leaf, leaves, "left"), np.searchsorted(leaf, leaves, "right")
-                at = np.concatenate([np.arange(a, b) for a, b in zip(firsts, ends, strict=True)])
-                at = at[ids[at] != i]
-                if len(at):
-                    scores = (x[at] * np.asarray(q)).sum(axis=1)
-                    if len(at) > k:
-                        top = scores >= np.partition(scores, len(at) - k)[len(at) - k]
-                        at, scores = at[top], scores[top]
-                    best = np.lexsort((ids[at], -scores))[:k]
-                    out[0].append(np.full(len(best), i))
-                    out[1].append(ids[at][best])
-                    out[2].append(scores[best])
+            ids, x = vectors["vec_id"].to_numpy(), np.stack(vectors["embedding"].to_numpy())
+            leaves = np.stack(vectors["leaves"].to_numpy()).astype(np.int64)
+            trees = leaves.shape[1]
+            flat = (leaves + (np.arange(trees) << depth)).ravel()
+            members = np.argsort(flat, kind="stable") // trees
+            size = np.bincount(flat, minlength=trees << depth)
+            first = np.cumsum(size) - size
+            for i, found, q in zip(queries["query_id"], queries["found"], queries["query"], strict=True):
+                n = size[found]
+                at = np.repeat(first[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                hit = np.zeros(len(ids), dtype=bool)
+                hit[members[at]] = True
+                at = np.flatnonzero(hit & (ids != i))
+                if not len(at):
+                    continue
+                q = np.asarray(q)
+                if len(at) > k:
+                    rough = x[at] @ q
+                    least = np.partition(rough, len(at) - k)[len(at) - k]
+                    at = at[rough >= least - 1e-9 * max(1.0, abs(least))]
+                scores = (x[at] * q).sum(axis=1)
+                best = np.lexsort((ids[at], -scores))[:k]
+                out[0].append(np.full(len(best), i))
+                out[1].append(ids[at][best])
+                out[2].append(scores[best])
         cat = lambda a, kind: np.concatenate(a).astype(kind) if a else np.array([], dtype=kind)
         return pd.DataFrame({"query_id": cat(out[0], np.int64), "vec_id": cat(out[1], np.int64), "score": cat(out[2], np.float64)})
 
@@ -185,24 +189,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = np.array([r[0] for r in kept.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(SAMPLE).collect()])
     forest = Forest(sample, total, trees, leaf)
-    shift = max(0, forest.depth - max(0, math.ceil(math.log2(max(1, total / CELL)))))
-    probes = max(math.ceil(probe_share * trees * 2**forest.depth), math.ceil(LEAST_CANDIDATES * 2**forest.depth / total))
+    probes = math.ceil(probe_share * trees * 2**forest.depth)
 
     dim = "array<double>"
-    index = kept.mapInPandas(_assign(forest, shift), f"tree int, cell long, leaf long, vec_id long, embedding {dim}")
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    asked = asked.repartition(spark.sparkContext.defaultParallelism * 2)
-    asked = materialize(asked.mapInPandas(_probe(forest, shift, probes), f"tree int, cell long, query_id long, leaves array<long>, query {dim}"))
-    # Blocks: oversized cells and the queries that visit them are split apart by hash.
-    size = index.groupBy("tree", "cell").agg(F.ceil(F.count("*") / (2 * CELL)).cast("int").alias("parts"))
-    load = asked.groupBy("tree", "cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("lists"))
-    cells = broadcast_if_small(materialize(size.join(load, ["tree", "cell"])))
-    part = lambda key, n: F.pmod(F.xxhash64(key, F.lit(1)), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    v = index.join(cells, ["tree", "cell"]).select("tree", "cell", part("vec_id", "parts").alias("part"), each("lists").alias("list"), "leaf", "vec_id", "embedding")
-    q = asked.join(cells, ["tree", "cell"]).select("tree", "cell", each("parts").alias("part"), part("query_id", "lists").alias("list"), "query_id", "leaves", "query")
-    block = ["tree", "cell", "part", "list"]
-    found = v.groupBy(*block).cogroup(q.groupBy(*block)).applyInPandas(_rerank(k), "query_id long, vec_id long, score double")
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).repartition(spark.sparkContext.defaultParallelism * 2, "query_id")
+    asked = materialize(asked.mapInPandas(_probe(forest, probes), f"query_id long, query {dim}, found array<int>"))
+    blocks, lists = max(1, math.ceil(total / BLOCK)), max(1, math.ceil(asked.count() / QUERIES))
+    # Small tables are cut finer, so that no task stands idle.
+    blocks = max(blocks, min(spark.sparkContext.defaultParallelism, math.ceil(total / 2_000)))
+    part = lambda key, n: F.pmod(F.xxhash64(key, F.lit(1)), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    index = kept.mapInPandas(_assign(forest), f"vec_id long, embedding {dim}, leaves array<int>")
+    v = index.select(part("vec_id", blocks).alias("block"), each(lists).alias("list"), "vec_id", "embedding", "leaves")
+    q = asked.select(each(blocks).alias("block"), part("query_id", lists).alias("list"), "query_id", "query", "found")
+    found = v.groupBy("block", "list").cogroup(q.groupBy("block", "list")).applyInPandas(_rerank(k, forest.depth), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best))
     return merged.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
