@@ -2,14 +2,18 @@
 
 A text's fingerprint has a bit set where over half of its shingles' XXH64 values have it. Two
 fingerprints link at two or fewer differing bits; two bits lie in at most two of the eight bytes,
-so a linked pair shares at least six (position, byte) postings. The index lists each distinct
-fingerprint under the 28 conjunctions of six positional bytes: a pair meets in a list exactly if
-its tally of shared bytes reaches six (C(tally, 6) times in all), which is the count filter without
-counting pairs below it. Inside a list only the two other bytes differ, so a list holds
-at most 2**16 distinct fingerprints however many texts there are. They are verified on those 16
-bits: short lists pair by pair, longer ones by masking out every two bits and linking what is
-then equal (equal under such a mask is exactly two or fewer differing bits). A list
-gives links that span its linked groups, not all pairs; components are found iteratively.
+so a linked pair shares at least six (position, byte) postings. Lists of single postings would
+hold a 256th of all fingerprints each, and pairs that share one byte are of no use; so the index lists
+each distinct fingerprint under the 28 conjunctions of six postings, and a pair meets in a list
+exactly if its tally reaches six. Pairs that meet are tallied (equal bytes counted), retained at six or more,
+and verified on all 64 bits.
+
+Inside a list only the two other bytes differ, so a list holds at most 2**16 distinct fingerprints
+however many texts there are. Short lists are taken pair by pair. In longer ones every two of the 16 free
+bits are masked in turn: fingerprints equal under the mask are neighbours after sorting, and such neighbours
+are the pairs that are tallied and verified (two fingerprints of two or fewer differing bits are equal
+under some mask, and what is equal under one is linked through neighbours). A list gives links that span its
+linked groups, not all pairs; components are found iteratively.
 
 Exact copies are one fingerprint: they are grouped before the index and expanded after it.
 
@@ -23,7 +27,8 @@ each list's members with its ends, which joins dense groups, then all pairs that
 Edge cases: null and empty texts and texts of white space have fingerprint zero and link like any
 other; texts of fewer words than a shingle have one shingle, the whole sequence; repeated rows
 stay, each with its component; rows with a null doc_id keep a fingerprint and take the component
-of the smallest id they reach (null if none); an empty table gives no rows; extra columns are
+of the smallest id they reach (null if none); very long texts are hashed whole, their bits counted in slices; of
+equal candidates the smallest id (or row) stands for a group; an empty table gives no rows; extra columns are
 ignored.
 """
 
@@ -39,20 +44,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, components, materialize, small_batches, table
+from .common import broadcast_if_small, components, materialize, table
 
 SEED = 42
 SHINGLE = 3
 MOST_BITS = 2
+#: Equal bytes of a pair at least: two bits lie in two bytes at most.
+LEAST_TALLY = 8 - MOST_BITS
 PAIRWISE = 64
 #: Copies from which a fingerprint is looked up apart.
-HOT = 500
+HOT = 50
 #: Near-duplicate stages: words of a shingle, similarity, and the keys of a signature and minima of a key.
 NEAR_SHINGLE = 5
 NEAR_JACCARD = 0.8
 BANDS = 32
 BAND_ROWS = 4
-_POP16 = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -93,9 +99,18 @@ def _conjunctions() -> list[tuple[int, int]]:
     return list(combinations(range(8), 2))
 
 
-def span(values: np.ndarray) -> list[tuple[int, int]]:
-    """Links (i, j) that span the groups of distinct 16-bit values at two or fewer differing bits."""
-    n = len(values)
+def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether fingerprints link: their tally of equal bytes reaches the least, and few enough bits differ."""
+    x = np.ascontiguousarray(a ^ b)
+    tally = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1)
+    out = tally >= LEAST_TALLY
+    out[out] = np.bitwise_count(x[out]) <= MOST_BITS
+    return out
+
+
+def span(prints: np.ndarray, free: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links (i, j) that span the groups of distinct fingerprints which may differ in the bytes ``free``."""
+    n = len(prints)
     links: list[tuple[int, int]] = []
     parent = list(range(n))
 
@@ -105,34 +120,33 @@ def span(values: np.ndarray) -> list[tuple[int, int]]:
             i = parent[i]
         return i
 
-    def link(i: int, j: int) -> None:
-        a, b = root(i), root(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            links.append((i, j))
+    def link(first: np.ndarray, second: np.ndarray) -> None:
+        good = linked(prints[first], prints[second])
+        for i, j in zip(first[good].tolist(), second[good].tolist(), strict=True):
+            a, b = root(i), root(j)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((i, j))
 
-    v = values.astype(np.uint16)
     if n <= PAIRWISE:
-        x = v[:, None] ^ v[None, :]
-        near = (_POP16[x & 255] + _POP16[x >> 8]) <= MOST_BITS
-        for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-            link(int(i), int(j))
+        link(*np.triu_indices(n, 1))
         return links
-    for a, b in combinations(range(16), 2):
-        masked = v & np.uint16(0xFFFF ^ (1 << a) ^ (1 << b))
+    for a, b in combinations([8 * p + i for p in free for i in range(8)], 2):
+        masked = prints & ~np.uint64((1 << a) | (1 << b))
         order = np.argsort(masked, kind="stable")
-        same = np.nonzero(masked[order][1:] == masked[order][:-1])[0]
-        for k in same.tolist():
-            link(int(order[k]), int(order[k + 1]))
+        same = np.flatnonzero(masked[order][1:] == masked[order][:-1])
+        link(order[same], order[same + 1])
     return links
 
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links between representatives, from posting lists of (free bytes, representative)."""
+    """Links between fingerprints, from posting lists of (conjunction, fingerprints)."""
+    pairs = _conjunctions()
     for df in batches:
         a, b = [], []
-        for free, node in zip(df["free"], df["node"], strict=True):
-            for i, j in span(np.asarray(free, dtype=np.int32)):
+        for c, node in zip(df["c"], df["node"], strict=True):
+            node = np.asarray(node, dtype=np.int64)
+            for i, j in span(node.view(np.uint64), pairs[c]):
                 a.append(node[i])
                 b.append(node[j])
         yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
@@ -140,24 +154,23 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every document."""
-    small_batches(docs.sparkSession)
     fp = F.pandas_udf(_fingerprints, "long")
     return docs.select("doc_id", fp("text").alias("fp"))
 
 
 def classes(prints: DataFrame) -> DataFrame:
     """(fp, root): every distinct fingerprint and the smallest fingerprint it reaches through links."""
-    # Dealt anew, since the 28 postings of each outgrow the partitions that the small rows were put in.
-    nodes = prints.select("fp").distinct().repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
+    # Dealt anew by another key, since the 28 postings of each outgrow the partitions that the small rows were put in.
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = materialize(prints.select("fp").distinct()).repartition(parts, F.xxhash64("fp", F.lit(SEED)))
     keys = []
     for i, (a, b) in enumerate(_conjunctions()):
         mask = ((1 << 64) - 1) ^ (255 << (8 * a)) ^ (255 << (8 * b))
         signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(i).cast("byte").alias("c"), F.col("fp").bitwiseAND(F.lit(signed)).alias("key"), (byte(a) + byte(b) * 256).cast("int").alias("free")))
+        keys.append(F.struct(F.lit(i).cast("byte").alias("c"), F.col("fp").bitwiseAND(F.lit(signed)).alias("key")))
     posted = nodes.select("fp", F.explode(F.array(*keys)).alias("p")).select("p.*", "fp")
-    lists = posted.groupBy("c", "key").agg(F.collect_list("free").alias("free"), F.collect_list("fp").alias("node")).where(F.size("free") > 1)
-    links = lists.select("free", "node").mapInPandas(_links, "a long, b long")
+    lists = posted.groupBy("c", "key").agg(F.collect_list("fp").alias("node")).where(F.size("node") > 1)
+    links = lists.select("c", "node").mapInPandas(_links, "a long, b long")
     return components(links).select(F.col("node").alias("fp"), "root")
 
 
@@ -230,7 +243,6 @@ def _apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def row_groups(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, jaccard: float = NEAR_JACCARD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """(row, digest, root): of docs' rows (row, text), ``row`` a unique long, the digest of the words and the group."""
-    small_batches(docs.sparkSession)
     signed = _signed(shingle, bands, rows)
     prints = materialize(docs.select("row", signed("text").alias("s")).select("row", "s.digest", "s.keys"))
     # Texts of the same words are one node, the smallest of their rows.
