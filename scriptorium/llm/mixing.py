@@ -1,23 +1,28 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-1. Sizes are summed per source; the plan (one row per source) is solved on the driver: weights
-   5, 2, 1 repeat over the sources in code-point order (null last), shares of 150 % of all words
-   are capped at twice a source's size and the excess is shared again by weight.
+1. Sizes are summed per source. Sources are ranked in code-point order (null last) over range
+   partitions; weights 5, 2, 1 repeat over the ranks. Shares of 150 % of all words are capped at twice a
+   source's size and the excess is shared again by weight: each round is one aggregation of the sources'
+   table, until no further source reaches its cap.
 2. A source's documents lie in the order of a keyed digest, which is a random permutation; the
    digest's first three hex digits cut it into 4096 blocks. A quota below the source's size
    takes a prefix of that permutation; beyond it the whole source and a prefix of a second,
-   independent permutation. Only block totals are summed along a source (at most 4096 rows);
-   documents are ranked only in the one block the quota ends in, so a hot source is never
-   gathered. The document in which a quota ends is cut, so quotas are met exactly.
-3. Each source's taken blocks are dealt to output shards by the tree: a node splits its block
-   counts per source between its halves with a multivariate hypergeometric draw, so every shard
+   independent permutation. Only block totals are summed along a source (at most 4096 rows); the one block
+   the quota ends in gives the digest at which it ends, so a hot source is never gathered and a document is
+   judged by comparing its digest with its source's. The document in which a quota ends is cut, so quotas are met exactly.
+3. The taken blocks are dealt to output shards by the tree. Sources are hashed to ``BUCKETS`` buckets; a node splits
+   its block counts per bucket between its halves with a multivariate hypergeometric draw, so every shard
    has the composition of a uniform shuffle, exact quotas add up, and shards draw disjoint ranges
-   of permuted blocks. Inside a shard, documents are ordered by another digest.
+   of permuted blocks. Below, each bucket's share of every shard is dealt to its sources in the same way, one task a
+   bucket. Inside a shard, documents are ordered by another digest.
+
+What decides about a document is its source's row and its block's row; both are broadcast after a count, so neither
+documents nor texts are shuffled.
 
 Edge cases: a null source is a source of its own; null and empty texts have size 0 and are
-taken 0 words; repeated rows count once each (a tie of identical rows is cut in either one, the
-rows being equal); an empty table gives no rows; further columns are ignored by ``mix``, and kept by
-``mixed_documents``.
+taken 0 words; a document without an id goes by a digest of its text; very long texts are counted and cut whole; repeated rows count
+once each, and where a quota ends among rows of one id the smaller ones come first (identical rows being equal);
+an empty table gives no rows; further columns are ignored by ``mix``, and kept by ``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,26 +41,33 @@ SHARE = 1.5
 MOST = 2
 BLOCK_DIGITS = 3
 SHARDS = 16
-#: One plan row per source; more sources than this are refused rather than collected.
-MOST_SOURCES = 10_000
-
-
-def source_plan(sizes: list[tuple[str | None, int]]) -> list[tuple[str | None, int, float]]:
-    """(source, size, target) from (source, size), by filling shares up to their caps."""
-    order = sorted(sizes, key=lambda r: (r[0] is None, r[0] or ""))
-    weight = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(order))]
-    cap = [MOST * n for _, n in order]
-    total = SHARE * sum(n for _, n in order)
-    open_ = set(range(len(order)))
-    full: set[int] = set()
-    while open_:
-        unit = (total - sum(cap[i] for i in full)) / sum(weight[i] for i in open_)
-        over = {i for i in open_ if weight[i] * unit >= cap[i]}
-        if not over:
+BUCKETS = 256
+
+
+def source_plan(sizes: DataFrame) -> DataFrame:
+    """(source, size, target) of (source, size): shares by weight, filled up to their caps."""
+    spark = sizes.sparkSession
+    order = [F.col("source").isNull(), F.col("source")]
+    dealt = materialize(sizes.repartitionByRange(*order).select("source", "size", F.spark_partition_id().alias("part")))
+    parts = dealt.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # one row a partition
+    before = np.cumsum([0, *[r["n"] for r in parts]]).tolist()
+    offsets = spark.createDataFrame([(r["part"], n) for r, n in zip(parts, before, strict=False)], "part int, before long")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(place, F.lit(len(WEIGHTS))) + 1).cast("int"))
+    known = materialize(dealt.join(F.broadcast(offsets), "part").select("source", "size", (F.col("size") * MOST).alias("cap"), weight.cast("long").alias("weight")))
+    first = known.agg(F.sum("size"), F.sum("weight")).first()
+    total, unit, full = SHARE * (first[0] or 0), 0.0, -1
+    caps, weights = 0, first[1] or 0
+    while weights:
+        unit = (total - caps) / weights
+        over = F.col("weight") * F.lit(unit) >= F.col("cap")
+        now = known.agg(F.count_if(over), F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if now[0] == full:
             break
-        full |= over
-        open_ -= over
-    return [(s, n, float(cap[i]) if i in full else weight[i] * unit) for i, (s, n) in enumerate(order)]
+        full, caps, weights = now[0], now[1] or 0, now[2] or 0
+    share = F.col("weight") * F.lit(unit)
+    target = F.when((share >= F.col("cap")) | F.lit(not weights), F.col("cap").cast("double")).otherwise(share)
+    return known.select("source", "size", target.alias("target"))
 
 
 def split_quotas(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -81,39 +94,52 @@ def split_quotas(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _ranges(counts: list[tuple[int, str, int]], shards: int, seed: str) -> list[tuple[int, str, int, int, int]]:
-    """(epoch, source key, shard, from, to): the positions of a source's taken blocks for each shard."""
-    counts = sorted(counts)
-    quotas = split_quotas(np.array([n for *_, n in counts]), shards, zlib.crc32(seed.encode()))
-    ends = quotas.cumsum(axis=0)
-    return [(e, k, s, int(ends[s, i] - quotas[s, i]), int(ends[s, i])) for i, (e, k, _) in enumerate(counts) for s in range(shards) if quotas[s, i]]
+def _dealt(quotas: dict[int, list[int]], seed: str):
+    """The positions of a source's taken blocks for each shard, from the shares of its bucket."""
 
+    def run(sources: pd.DataFrame) -> pd.DataFrame:
+        sources = sources.sort_values(["epoch", "skey"])
+        bucket = int(sources["bucket"].iloc[0])
+        left = np.array(quotas[bucket], dtype=np.int64)
+        rng = np.random.Generator(np.random.PCG64(zlib.crc32(f"{seed}:{bucket}".encode())))
+        out = []
+        for epoch, skey, n in zip(sources["epoch"], sources["skey"], sources["n"], strict=True):
+            mine = rng.multivariate_hypergeometric(left, int(n), method="marginals")
+            left -= mine
+            ends = mine.cumsum().tolist()
+            out += [(epoch, skey, shard, end - m, end) for shard, (m, end) in enumerate(zip(mine.tolist(), ends, strict=True)) if m]
+        return pd.DataFrame(out, columns=["epoch", "skey", "shard", "first", "last"])
 
-def _digest(seed: str):
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)))
+    return run
 
 
-def mix(docs: DataFrame, seed: str = ":mix", shards: int = SHARDS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, and its draws.
+def _keyed(docs: DataFrame, seed: str, *keep) -> DataFrame:
+    """The columns ``keep`` with a document's source key, key, size and places in both permutations."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    skey = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+    rows = docs.select(*keep, skey.alias("skey"), key.alias("key"), word_count(F.col("text")).alias("size"))
+    for e in (1, 2):
+        rows = rows.withColumn(f"digest{e}", F.md5(F.concat("key", F.lit(f"{seed}:{e}"))))
+        rows = rows.withColumn(f"block{e}", F.conv(F.substring(f"digest{e}", 1, BLOCK_DIGITS), 16, 10).cast("int"))
+    return rows
 
-    ``draws`` lists structs (epoch, words, shard, place): which pass takes how many of its first
-    words, for which output shard, and the key of its place in that shard's shuffled order.
+
+def _decisions(kept: DataFrame, shards: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """What decides about documents: a row for each source, and one for each taken block.
+
+    Of a source: its size and target, and for each pass the quota, the digest it ends at (null if it takes all), the
+    words left there and the rows of that digest. Of a block: epoch, skey, block, shard.
     """
-    spark = docs.sparkSession
-    kept = materialize(
-        docs.select(
-            "doc_id", "source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("skey"),
-            word_count(F.col("text")).alias("size"), _digest(f"{seed}:1").alias("digest1"), _digest(f"{seed}:2").alias("digest2"),
-        )
+    spark = kept.sparkSession
+    source = F.when(F.col("skey") != "null", F.substring("skey", 2, 2**31 - 1))
+    plan = source_plan(kept.groupBy("skey").agg(F.sum("size").alias("size")).select(source.alias("source"), "size"))
+    whole = F.floor("target").cast("long")
+    quotas = plan.select(
+        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("skey"), F.col("size").alias("source_size"), "target",
+        F.least(whole, F.col("size")).alias("quota1"), F.greatest(F.lit(0), whole - F.col("size")).alias("quota2"),
     )
-    totals = kept.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    plan = source_plan([(r[0], int(r[1])) for r in totals])
-    quota = [("null" if s is None else f"={s}", n, t, min(int(t), n), max(0, int(t) - n)) for s, n, t in plan]
-    rows = kept.join(F.broadcast(spark.createDataFrame(quota, "skey string, source_size long, target double, quota1 long, quota2 long")), "skey")
-    for e in (1, 2):
-        rows = rows.withColumn(f"block{e}", F.conv(F.substring(f"digest{e}", 1, BLOCK_DIGITS), 16, 10).cast("int"))
+    quotas = materialize(quotas)
+    rows = kept.join(broadcast_if_small(quotas), "skey")
 
     # Totals of blocks, cumulated along each source: at most 4096 rows a source and epoch.
     each = []
@@ -124,47 +150,81 @@ def mix(docs: DataFrame, seed: str = ":mix", shards: int = SHARDS) -> DataFrame:
     blocks = each[0].union(each[1]).withColumn("before", F.sum("words").over(w) - F.col("words")).where("before < quota and words > 0")
     blocks = materialize(blocks.withColumn("at", F.row_number().over(w) - 1))
 
-    # The tree deals each source's taken blocks to the shards.
-    counts = [tuple(r) for r in blocks.groupBy("epoch", "skey").agg(F.count("*").alias("n")).collect()]
-    deal = spark.createDataFrame(_ranges(counts, shards, seed), "epoch int, skey string, shard int, first int, last int")
-    dealt = blocks.join(F.broadcast(deal), ["epoch", "skey"]).where("at >= first and at < last")
-    dealt = dealt.select("epoch", "skey", "block", "shard", "before", (F.col("before") + F.col("words") > F.col("quota")).alias("partial"))
+    # The documents of the one block a quota ends in, in order: where does it end?
+    ends = []
+    for e in (1, 2):
+        last = broadcast_if_small(blocks.where(f"epoch = {e} and before + words > quota").select("skey", F.col("block").alias(f"block{e}"), "before"))
+        found = rows.join(last, ["skey", f"block{e}"]).groupBy("skey", F.col(f"digest{e}").alias(f"cut{e}"), F.col(f"quota{e}").alias("quota"), "before").agg(F.sum("size").alias("words"), F.count("*").alias(f"rows{e}"))
+        along = Window.partitionBy("skey").orderBy(f"cut{e}").rowsBetween(Window.unboundedPreceding, -1)
+        left = F.col("quota") - F.col("before") - F.coalesce(F.sum("words").over(along), F.lit(0))
+        ends.append(found.withColumn(f"left{e}", left).where(f"left{e} > 0 and left{e} <= words").select("skey", f"cut{e}", f"left{e}", f"rows{e}"))
+    sources = materialize(quotas.join(ends[0], "skey", "left").join(ends[1], "skey", "left"))
 
+    # The tree deals buckets of sources to the shards, and each bucket's shares to its sources.
+    counts = blocks.groupBy("epoch", "skey").agg(F.count("*").alias("n")).withColumn("bucket", F.pmod(F.xxhash64("epoch", "skey"), F.lit(BUCKETS)).cast("int"))
+    totals = sorted(tuple(r) for r in counts.groupBy("bucket").agg(F.sum("n")).collect())  # at most BUCKETS rows
+    shares = split_quotas(np.array([n for _, n in totals], dtype=np.int64), shards, zlib.crc32(seed.encode()))
+    quota = {b: shares[:, i].tolist() for i, (b, _) in enumerate(totals)}
+    deal = counts.groupBy("bucket").applyInPandas(_dealt(quota, seed), "epoch int, skey string, shard int, first long, last long")
+    placed = blocks.join(broadcast_if_small(materialize(deal)), ["epoch", "skey"]).where("at >= first and at < last")
+    return sources, materialize(placed.select("epoch", "skey", "block", "shard"))
+
+
+def _drawn(rows: DataFrame, sources: DataFrame, placed: DataFrame, seed: str) -> DataFrame:
+    """rows, as ``_keyed`` gives them, with source_size, target, taken and draws."""
+    rows = rows.join(broadcast_if_small(sources), "skey")
     for e in (1, 2):
-        place = dealt.where(F.col("epoch") == e).select("skey", F.col("block").alias(f"block{e}"), F.col("shard").alias(f"shard{e}"), "before", "partial")
+        place = placed.where(F.col("epoch") == e).select("skey", F.col("block").alias(f"block{e}"), F.col("shard").alias(f"shard{e}"))
         rows = rows.join(broadcast_if_small(place), ["skey", f"block{e}"], "left")
-        # Only the block a quota ends in is ranked; every other document is a group of its own.
-        group = F.when(F.col("partial"), F.concat(F.col(f"block{e}").cast("string"), "skey")).otherwise(F.col(f"digest{e}"))
-        w = Window.partitionBy(group).orderBy(f"digest{e}", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-        left = F.col(f"quota{e}") - F.col("before") - F.coalesce(F.sum("size").over(w), F.lit(0))
-        took = F.when(F.col("partial"), F.least(F.col("size"), F.greatest(F.lit(0), left))).when(F.col("partial").isNotNull(), F.col("size")).otherwise(F.lit(0))
-        rows = rows.withColumn(f"words{e}", took).drop("before", "partial")
-    draw = [F.when(F.col(f"words{e}") > 0, F.struct(F.lit(e).alias("epoch"), F.col(f"words{e}").alias("words"), F.col(f"shard{e}").alias("shard"), _digest(f"{seed}:place{e}").alias("place"))) for e in (1, 2)]
-    return rows.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("words1") + F.col("words2")).cast("long").alias("taken"),
-        F.filter(F.array(*draw), lambda d: d.isNotNull()).alias("draws"),
-    )
+    shared = F.lit(False)
+    for e in (1, 2):
+        shared = shared | ((F.col(f"digest{e}") == F.col(f"cut{e}")) & (F.col(f"rows{e}") > 1))
+    shared = F.coalesce(shared, F.lit(False))
+    zero = F.lit(0).cast("long")
+    parts = [rows.where(~shared).withColumn("ahead", zero)]
+    if not sources.where("rows1 > 1 or rows2 > 1").isEmpty():
+        # Rows of one digest share what is left of a quota: few, and only they are gathered.
+        w = Window.partitionBy("skey", "digest1").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+        parts.append(rows.where(shared).withColumn("ahead", F.coalesce(F.sum("size").over(w), zero)))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    draws = []
+    for e in (1, 2):
+        digest, cut = F.col(f"digest{e}"), F.col(f"cut{e}")
+        rest = F.greatest(zero, F.least(F.col("size"), F.col(f"left{e}") - F.col("ahead")))
+        took = F.when(F.col(f"quota{e}") == 0, zero).when(cut.isNull() | (digest < cut), F.col("size")).when(digest == cut, rest).otherwise(zero)
+        rows = rows.withColumn(f"words{e}", took)
+        place = F.md5(F.concat("key", F.lit(f"{seed}:place{e}")))
+        draws.append(F.when(F.col(f"words{e}") > 0, F.struct(F.lit(e).alias("epoch"), F.col(f"words{e}").alias("words"), F.col(f"shard{e}").alias("shard"), place.alias("place"))))
+    return rows.withColumn("taken", F.col("words1") + F.col("words2")).withColumn("draws", F.filter(F.array(*draws), lambda d: d.isNotNull()))
+
+
+def mix(docs: DataFrame, seed: str = ":mix", shards: int = SHARDS) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, and its draws.
+
+    ``draws`` lists structs (epoch, words, shard, place): which pass takes how many of its first
+    words, for which output shard, and the key of its place in that shard's shuffled order.
+    """
+    kept = materialize(_keyed(docs, seed, "doc_id", "source"))
+    drawn = _drawn(kept, *_decisions(kept, shards, seed), seed)
+    return drawn.select("doc_id", "source", "size", "source_size", "target", "taken", "draws")
 
 
-def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: str = ":mix", shards: int = SHARDS) -> DataFrame:
     """The mix itself: docs' columns, a row for each draw, texts cut to the draw's words.
 
-    Rows that share a doc_id are matched in the order of source, size and text. A column
-    n_chars, if there is one, is counted again.
+    A column n_chars, if there is one, is counted again. Texts are read a second time and not shuffled.
     """
-    order = [F.col("source").asc_nulls_last(), F.col("size_")]
-    by = Window.partitionBy("doc_id")
-    draws = mix(docs, **kw).withColumnRenamed("size", "size_").withColumn("copy_", F.row_number().over(by.orderBy(*order)))
-    draws = draws.where(F.size("draws") > 0).select(F.col("doc_id").alias("id_"), F.col("copy_").alias("k_"), "draws")
-    full = docs.withColumn("size_", word_count(F.col("text"))).withColumn("copy_", F.row_number().over(by.orderBy(*order, "text")))
-    rows = full.join(draws, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("copy_") == F.col("k_"))).withColumn("draw_", F.explode("draws"))
+    kept = materialize(_keyed(docs, seed))
+    rows = _keyed(docs, seed, F.struct(*docs.columns).alias("row"))
+    rows = _drawn(rows, *_decisions(kept, shards, seed), seed).select("row", "size", F.explode("draws.words").alias("words"))
     # The end of the last word taken: the words before it and the white space between.
-    lead = F.regexp_extract_all("text", F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0))
-    cut = F.when(F.col("draw_.words") == F.col("size_"), F.col("text")).otherwise(F.array_join(F.slice(lead, F.lit(1), F.col("draw_.words").cast("int")), ""))
-    rows = rows.withColumn("text", cut)
+    lead = F.regexp_extract_all("row.text", F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0))
+    cut = F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(lead, F.lit(1), F.col("words").cast("int")), ""))
+    rows = rows.withColumn("cut", cut)
+    new = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.length("cut").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir):
@@ -173,7 +233,7 @@ def query(spark, sf_dir):
 
 SQL = """
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source
 ), w AS (
@@ -193,8 +253,8 @@ WITH d AS (
 ), r AS (
   SELECT doc_id, size, n, target,
          least(CAST(floor(target) AS BIGINT), n) AS q1, greatest(0, CAST(floor(target) AS BIGINT) - n) AS q2,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':mix:1'), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b1,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':mix:2'), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b2
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(key || ':mix:1'), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b1,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(key || ':mix:2'), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b2
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, n AS source_size, target,

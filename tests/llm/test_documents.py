@@ -90,11 +90,17 @@ def test_simhash(spark, sf, texts, odd):
 
 def test_chained_fingerprints_of_a_dense_group():
     rng = random.Random(5)
-    for n in (40, 300):
-        v = np.array(rng.sample(range(1 << 12), n), dtype=np.int32)
-        groups = lambda links: _groups(n, links)
+    for n, free in ((40, (0, 1)), (300, (2, 7))):
+        low = rng.sample(range(1 << 12), n)
+        v = np.array([(v & 255) << (8 * free[0]) | (v >> 8) << (8 * free[1]) | 0x0000110011000000 & ~(255 << (8 * free[0])) for v in low], dtype=np.uint64)
         brute = [(i, j) for i in range(n) for j in range(i + 1, n) if bin(int(v[i]) ^ int(v[j])).count("1") <= 2]
-        assert groups(simhash.span(v)) == groups(brute)
+        assert _groups(n, simhash.span(v, free)) == _groups(n, brute)
+
+
+def test_pairs_are_retained_by_their_tally():
+    a = np.array([0, 0, 0, 0, 0], dtype=np.uint64)
+    b = np.array([0, 1 << 63 | 1, 0b11, 0b111, 1 | 1 << 8 | 1 << 16], dtype=np.uint64)
+    assert simhash.linked(a, b).tolist() == [True, True, True, False, False]
 
 
 def _groups(n, links):
@@ -238,5 +244,37 @@ def test_the_tree_deals_exact_quotas():
     out = mixing.split_quotas(counts, 8, 3)
     assert (out.sum(axis=0) == counts).all() and out.sum(axis=1).max() - out.sum(axis=1).min() <= 8
     assert (out == mixing.split_quotas(counts, 8, 3)).all()
-    plan = mixing.source_plan([("b", 100), (None, 50), ("a", 10), ("c", 1)])
-    assert [p[0] for p in plan] == ["a", "b", "c", None] and plan[0][2] == 20 and abs(sum(p[2] for p in plan) - 1.5 * 161) < 1e-9
+
+
+def plain_plan(sizes):
+    order = sorted(sizes, key=lambda r: (r[0] is None, r[0] or ""))
+    weight, cap = [mixing.WEIGHTS[i % 3] for i in range(len(order))], [2 * n for _, n in order]
+    full = set()
+    while len(full) < len(order):
+        unit = (1.5 * sum(n for _, n in order) - sum(cap[i] for i in full)) / sum(weight[i] for i in range(len(order)) if i not in full)
+        over = {i for i in range(len(order)) if i not in full and weight[i] * unit >= cap[i]}
+        if not over:
+            break
+        full |= over
+    return {s: (n, float(cap[i]) if i in full else weight[i] * unit) for i, (s, n) in enumerate(order)}
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(6)
+    many = [(f"s{i}" if i else None, rng.choice([0, 1, 7, 50, 10**6])) for i in range(12_000)]
+    for sizes in (many, [("b", 100), (None, 50), ("a", 10), ("c", 1)], [("a", 0)], [("a", 5)]):
+        got = {r["source"]: (r["size"], r["target"]) for r in mixing.source_plan(spark.createDataFrame(sizes, "source string, size long")).collect()}
+        want = plain_plan(sizes)
+        assert got.keys() == want.keys() and all(got[s][0] == n and abs(got[s][1] - t) < 1e-6 * max(1, t) for s, (n, t) in want.items())
+
+
+def test_mix_of_repeated_and_nameless_rows(spark):
+    """Quotas end among rows that share an id; rows without an id are told apart by their texts."""
+    rows = [(7, "w " * n, "a") for n in (5, 9, 9, 1)] + [(None, f"x{i} " * 4, "b") for i in range(300)] + [(i, "y z", "c") for i in range(50)] + [(None, None, "b"), (1, "", None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows)
+    for source in ("a", "b", "c", None):
+        part = [r for r in got if r["source"] == source]
+        assert sum(r["taken"] for r in part) == int(part[0]["target"]) and all(0 <= r["taken"] <= 2 * r["size"] for r in part)
+        assert all(sum(d["words"] for d in r["draws"]) == r["taken"] and all(d["shard"] is not None for d in r["draws"]) for r in part)
+    assert 1 < len({r["taken"] for r in got if r["source"] == "b"}) and len({d["shard"] for r in got for d in r["draws"]}) > 4
