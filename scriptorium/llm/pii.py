@@ -2,9 +2,9 @@
 
 Base spans are matched over whole texts: emails, IP addresses, card numbers (Luhn), phones.
 
-Bootstrapping. Tokens that look like identifiers (``CANDIDATE``: at least six digits or a mix of
-letters and several digits) are instances; base entities are the seeds. Each occurrence of an instance has
-lexical patterns: the key it is assigned to (``password=``), the word before it, the word
+Bootstrapping. Tokens that look like identifiers (``looks_like_identifier``: at least eight characters, with six digits or a mix of
+letters and three digits; runs of 13 to 19 bare digits are no candidates, since the base rules refuse those that are no cards) are instances; base entities are the seeds. Each
+occurrence of an instance has lexical patterns: the key it is assigned to (``password=``), the word before it, the word
 after it. Distinct (pattern, instance) pairs make a graph that Spark scores in rounds: a
 pattern's confidence is the mean score of its instances, damped by its support; an
 instance's score is the noisy-or of its patterns' confidences (a seed's is 1). After
@@ -14,11 +14,12 @@ are no seeds are new identifiers, and all their occurrences become spans of kind
 Keys of secrets (``token=``) hardly ever hold a seed, so key patterns are trusted in two ways of their
 own: by their name (``SECRET``), however few their instances, or if most of their instances are random
 strings of one alphabet and length. Their instances are identifiers too, but lend no trust to the words
-around them, which are those of any text. Graph, scores and decisions are tables of the cluster; nothing of them is collected.
+around them, which are those of any text. Graph, scores and decisions are tables of the cluster; nothing of them is collected. Confident
+patterns are broadcast to the graph after a count, so a pattern of very many instances is not gathered.
 
 Edge cases: null and empty texts have no spans; very long texts are read whole (all matchers
 are linear); repeated rows get their spans each, and count once in the graph; rows with null ids get
-spans like any other; an empty table gives no rows; extra columns are ignored.
+spans like any other; spans of equal place keep the order of their kinds; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, small_batches, table
+from .common import broadcast_if_small, materialize, table
 
 KINDS = ("email", "ip", "card", "phone", "id")
 ROUNDS = 3
@@ -96,6 +97,8 @@ def base_spans(text: str | None) -> list[Span]:
 
 def looks_like_identifier(token: str) -> bool:
     digits = sum("0" <= c <= "9" for c in token)
+    if 13 <= digits <= 19 and not any(c.isalpha() for c in token):
+        return False
     return len(token) >= 8 and (digits >= 6 or (digits >= 3 and any(c.isalpha() for c in token)))
 
 
@@ -173,11 +176,12 @@ def bootstrap(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         known = edges.join(score, "instance")
         rule = known.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("score").alias("mass"), F.sum((F.col("score") >= CONFIDENT).cast("int")).alias("support"))
         rule = rule.where(F.col("support") >= SUPPORT).select("pattern", (F.col("mass") / (F.col("n") + F.lit(DAMPING))).alias("conf")).where(F.col("conf") >= CONFIDENT)
+        rule = broadcast_if_small(materialize(rule))
         doubt = F.sum(F.log1p(-F.least(F.col("conf"), F.lit(0.999))))
         hit = edges.join(rule, "pattern").groupBy("instance").agg((F.lit(1.0) - F.exp(doubt)).alias("hit"))
         score = materialize(score.join(hit, "instance", "left").select("instance", F.greatest("score", F.coalesce("hit", F.lit(0.0))).alias("score")))
     seeds = edges.where("seed").select("instance").distinct()
-    keyed = edges.join(trusted_keys(edges), "pattern").select("instance")
+    keyed = edges.join(broadcast_if_small(materialize(trusted_keys(edges))), "pattern").select("instance")
     return score.where(F.col("score") >= CONFIDENT).select("instance").union(keyed).distinct().join(seeds, "instance", "left_anti")
 
 
@@ -189,7 +193,6 @@ def find(docs: DataFrame) -> DataFrame:
 
     ``digest`` is the MD5 of the text, to tell rows of one doc_id apart.
     """
-    small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
     found = materialize(keyed.mapInPandas(_find, "doc_id long, digest string, " + _FOUND).withColumn("row", F.monotonically_increasing_id()))
     seen = found.select("row", F.explode("seen").alias("o")).select("row", "o.*")

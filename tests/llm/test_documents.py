@@ -161,6 +161,46 @@ def test_keys_of_secrets_are_found(spark):
     assert all(found[i] == [] for i in plain)
 
 
+def test_keyed_secrets_of_the_tables(spark):
+    """Recall of ``token = "<40 hex>"`` over whole tables; no bare run of digits that fails Luhn is flagged."""
+    for sf in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+        want = {(i, *m.span(1)) for i, t in text.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+        spans = {(r["doc_id"], s["first"], s["last"]) for r in pii.find(docs).collect() for s in r["spans"] if s["kind"] == "id"}
+        assert want and len(want & spans) >= 0.9 * len(want)
+        assert not [1 for i, a, b in spans if re.fullmatch(r"[0-9 -]{13,}", text[i][a:b])]
+
+
+def plain_bootstrap(edges):
+    """Scores of instances after all rounds, from {(pattern, instance): is seed}."""
+    score = {}
+    for (_, i), seed in edges.items():
+        score[i] = max(score.get(i, 0.0), float(seed))
+    for _ in range(pii.ROUNDS):
+        members = defaultdict(list)
+        for p, i in edges:
+            members[p].append(score[i])
+        conf = {p: sum(v) / (len(v) + pii.DAMPING) for p, v in members.items() if sum(x >= pii.CONFIDENT for x in v) >= pii.SUPPORT}
+        conf = {p: c for p, c in conf.items() if c >= pii.CONFIDENT}
+        doubt = defaultdict(lambda: 1.0)
+        for p, i in edges:
+            doubt[i] *= 1 - min(conf.get(p, 0.0), 0.999)
+        score = {i: max(s, 1 - doubt[i]) for i, s in score.items()}
+    return {i for i, s in score.items() if s >= pii.CONFIDENT} - {i for (_, i), seed in edges.items() if seed}
+
+
+def test_graph_scores_equal_a_plain_version(spark):
+    rng = random.Random(11)
+    for share in (0.3, 0.7):
+        seeds = {f"i{k}" for k in range(120) if rng.random() < share}
+        edges = {(f"L p{rng.randrange(20)}", i): i in seeds for i in (f"i{rng.randrange(120)}" for _ in range(500))}
+        frame = spark.createDataFrame([(p, i, s) for (p, i), s in edges.items()], "pattern string, instance string, seed boolean")
+        got = {r["instance"] for r in pii.bootstrap(frame).collect()}
+        assert got == plain_bootstrap(edges)
+    assert got
+
+
 def test_classifier(spark, odd):
     sf = "/root/testdata/sf0.01"
     got = registry.queries()["op7_classifier"](spark, sf).toPandas()
