@@ -208,21 +208,26 @@ def layout(tree: Tree) -> int:
 def align(a: Tree, b: Tree) -> list[tuple[int, int]]:
     """Simple tree matching: index pairs of the largest top-down, order-keeping alignment.
 
-    All nodes take part. Where two nodes hold too much for that, their children are paired in order,
+    All nodes take part. Equal subtrees at either end of two lists of children are paired at once, which is always
+    among the best. Where two nodes hold too much for an exact alignment, their children are paired in order,
     weighed by kind and size instead of by their best alignment, and each pair is aligned in turn.
     """
     most = ALIGN_NODES * ALIGN_NODES
-    kids, sizes = [], []
+    kids, sizes, shapes = [], [], []
+    known_shapes: dict[tuple, int] = {}
     for t in (a, b):
         c: list[list[int]] = [[] for _ in t]
         for i, (parent, _) in enumerate(t):
             if parent >= 0:
                 c[parent].append(i)
         kids.append(c)
-        n = [1] * len(t)
-        for i in range(len(t) - 1, 0, -1):
-            n[t[i][0]] += n[i]
+        n, shape = [1] * len(t), [0] * len(t)
+        for i in range(len(t) - 1, -1, -1):
+            shape[i] = known_shapes.setdefault((t[i][1], *[shape[k] for k in c[i]]), len(known_shapes))
+            if i:
+                n[t[i][0]] += n[i]
         sizes.append(n)
+        shapes.append(shape)
     memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
 
     def match(i: int, j: int) -> tuple[int, list[tuple[int, int]]]:
@@ -233,10 +238,19 @@ def align(a: Tree, b: Tree) -> list[tuple[int, int]]:
             return memo[i, j]
         x, y = kids[0][i], kids[1][j]
         if not x or not y:
-            memo[i, j] = (1, [])
-            return memo[i, j]
-        pairs = paired(x, y, [[match(p, q)[0] for q in y] for p in x])
-        memo[i, j] = (1 + sum(match(p, q)[0] for p, q in pairs), pairs)
+            return 1, []
+        if shapes[0][i] == shapes[1][j]:
+            return sizes[0][i], list(zip(x, y, strict=True))
+        first, last = 0, min(len(x), len(y))
+        while first < last and shapes[0][x[first]] == shapes[1][y[first]]:
+            first += 1
+        back = 0
+        while first + back < last and shapes[0][x[-1 - back]] == shapes[1][y[-1 - back]]:
+            back += 1
+        xm, ym = x[first : len(x) - back], y[first : len(y) - back]
+        pairs = paired(xm, ym, [[match(p, q)[0] for q in ym] for p in xm]) if xm and ym else []
+        ends = [*zip(x[:first], y[:first], strict=True), *zip(x[len(x) - back :], y[len(y) - back :], strict=True)]
+        memo[i, j] = (1 + sum(sizes[0][p] for p, _ in ends) + sum(match(p, q)[0] for p, q in pairs), ends + pairs)
         return memo[i, j]
 
     def paired(x: list[int], y: list[int], w: list[list[int]]) -> list[tuple[int, int]]:
