@@ -7,13 +7,19 @@ the questions, and the first document of a source is the topic note of its other
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
 from .functions import text as X
 from .operators import cdc, chunking, context, fusion, grading, graph, keyword, links, vector
 from .operators.sizes import broadcast_if_small
-from .plans import evaluate
+from .plans import engine, evaluate
+from .settings import Settings
+from .sources import external
+from .sources.store import Store
 
 PERSONAL = ("src1?/*", "src7/de/*")
 INCLUDE, EXCLUDE = ("src*/*",), ("*/es/*", "src3/*")
@@ -60,11 +66,14 @@ def _knn(spark, sf, visible=None, k=TOP_K):
 
 
 def _fused(spark, sf, visible=None):
-    return fusion.fuse(_knn(spark, sf, visible), _fts(spark, sf, visible), FUSED)
+    """The fused lists, written once: every query below uses them more than once."""
+    return scratch.write(fusion.fuse(_knn(spark, sf, visible), _fts(spark, sf, visible), FUSED))
 
 
 def _expanded(spark, sf, fused, visible=None):
-    return fusion.expand(fused.withColumn("doc_id", F.col("id")), topic_edges(spark, sf), notes(spark, sf), chunks(spark, sf), SIBLINGS, DISCOUNT, visible=visible)
+    # Without texts: what expansion reads several times is a few columns.
+    edges, rows = scratch.write(topic_edges(spark, sf)), scratch.write(chunks(spark, sf).drop("body"))
+    return fusion.expand(fused.withColumn("doc_id", F.col("id")), edges, rows, rows, SIBLINGS, DISCOUNT, visible=visible)
 
 
 def fts_bm25_topk(spark, sf, visible=None):
@@ -118,9 +127,36 @@ def quota_merge(spark, sf):
     return _shown(fusion.merge(fused.where("ord <= 6"), up, FINAL, SLOTS))
 
 
+def _retrieve(spark, sf, grader=None, **changes):
+    """The engine's retrieval over the tables, the web being allowed, so that only open rows count."""
+    chosen = Settings(fts_top_k=TOP_K, vec_top_k=TOP_K, fusion_top_k=FUSED, graph_siblings=SIBLINGS, graph_discount=DISCOUNT, graph_slots=SLOTS, final_top_k=FINAL).with_(**changes)
+    c = chunks(spark, sf).withColumn("heading_path", F.when(F.col("chunk_id") % 2 == 0, F.lit("part")))
+    v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = _questions(spark, sf).join(v.withColumnRenamed("chunk_id", "qid"), "qid", "left")
+    rows, edges = scratch.write(c.drop("body")), scratch.write(topic_edges(spark, sf))
+    # Only a grader reads texts.
+    known = c.drop("path", "title") if grader else rows.drop("path", "title")
+    return engine.retrieve(asked, rows, known, edges, keyword.build_index(c, columns=("body",)), v, chosen, allow_web=True, grader=grader)
+
+
 def hybrid_search_batch(spark, sf):
-    fused = _fused(spark, sf, "open")
-    return _shown(fusion.merge(fused, _expanded(spark, sf, fused, "open"), FINAL, SLOTS))
+    return _shown(_retrieve(spark, sf))
+
+
+def hybrid_search_without_graph(spark, sf):
+    return _shown(_retrieve(spark, sf, graph_enabled=False))
+
+
+def _grade(_, prompt: str) -> str:
+    """A stand-in grader: a candidate's grade is its number and the question's length, modulo 4."""
+    import re
+
+    n = len(prompt.split("\n\nCandidates:\n")[0]) - len("Question: ")
+    return "\n".join(f"{k}: {(int(k) + n) % 4}" for k in re.findall(r"(?m)^\[([0-9]+)\] doc [0-9]+(?: > part)?$", prompt) if (int(k) + n) % 4)
+
+
+def hybrid_search_reranked(spark, sf):
+    return _shown(_retrieve(spark, sf, _grade, rerank=True, rerank_top_k=12))
 
 
 def rerank_apply(spark, sf):
@@ -214,6 +250,71 @@ def heading_chunks(spark, sf):
     return chunking.chunk(rows, 120, 200).select("chunk_id", "doc_id", "ordinal", "heading_path", F.md5("body").alias("digest"))
 
 
+LINK_TEXT = "see [[doc {next}]] and [[ {path} |an alias]], [[ ]], [[doc {next}]]\n<!-- begin:clippings -->\n- [[n {chars}]]\n<!-- end:clippings --> [[gone {id}]]"
+
+
+def _linked(spark, sf):
+    """Notes with links of every kind, tags, and names under which some are ambiguous."""
+    d = _named(spark, sf).join(notes(spark, sf).select(F.lower("path").alias("doc_id"), F.col("doc_id").alias("id"), "n_chars", "lang", "source"), "doc_id")
+    text = F.lit(LINK_TEXT)
+    for name, value in (("next", F.col("id") + 1), ("path", F.regexp_replace("path", r"\.md$", "")), ("chars", F.col("n_chars")), ("id", F.col("id"))):
+        text = F.replace(text, F.lit("{" + name + "}"), value.cast("string"))
+    kind = F.col("id") % 4
+    tags = F.when(kind == 0, F.concat(F.lit('{"tags": ["'), "lang", F.lit('", "", "'), "source", F.lit('"]}'))).when(kind == 1, F.concat(F.lit('{"tags": "'), "lang", F.lit('"}'))).when(kind == 2, F.lit('{"tags": 3}')).otherwise(F.lit("{}"))
+    return d.select("doc_id", "path", "title", text.alias("markdown"), tags.alias("frontmatter"))
+
+
+def wikilinks(spark, sf):
+    return _linked(spark, sf).select("doc_id", F.posexplode(links.wikilinks(F.col("markdown"))).alias("pos", "target"))
+
+
+def topic_links(spark, sf):
+    return _linked(spark, sf).select("doc_id", F.posexplode(links.topic_links(F.col("markdown"))).alias("pos", "target"))
+
+
+def tags(spark, sf):
+    return _linked(spark, sf).select("doc_id", F.explode(X.tags(F.col("frontmatter"))).alias("tag"))
+
+
+def edge_build(spark, sf):
+    rows = _linked(spark, sf)
+    return links.edges(rows, rows)
+
+
+def edge_catch_up(spark, sf):
+    """Edges built while only half of the documents were known, after the others have come."""
+    rows = _linked(spark, sf)
+    early = links.edges(rows, rows.where(F.length("doc_id") % 2 == 0))
+    return links.resolve_pending(early, rows)
+
+
+def edge_backfill(spark, sf):
+    """Documents already indexed, for which edges alone are computed again."""
+    from .sources import listing
+
+    return listing.backfill(_new(spark, sf), _old(spark, sf)).select("doc_id")
+
+
+def frontmatter(spark, sf):
+    """Markdown with sound, open, broken and missing frontmatter."""
+    d = notes(spark, sf)
+    head = F.concat(F.lit("---\ntitle: '"), "title", F.lit("'\nn: "), F.col("n_chars").cast("string"), F.lit("\n---\n"))
+    kind = F.col("doc_id") % 4
+    md = F.when(kind == 0, F.concat(head, "text")).when(kind == 1, F.concat(F.lit("---\ntitle: open\n"), "source")).when(kind == 2, F.concat(F.lit("---\n: [\n---\n"), "text")).otherwise(F.col("text"))
+    d = d.select("doc_id", md.alias("md"))
+    front = X.frontmatter_json(F.coalesce(X.frontmatter_block(F.col("md")), F.lit("")))
+    return d.select("doc_id", front.alias("front"), F.md5(X.strip_frontmatter(F.col("md"))).alias("digest"))
+
+
+def sections(spark, sf):
+    """Lines of documents under headings of both levels, with their breadcrumbs."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    head = lambda i: F.when(i % 3 == 1, F.lit("\n## part ")).otherwise(F.lit("\n### item "))
+    md = F.array_join(F.transform(lines, lambda x, i: F.concat(F.when(i == 0, F.lit("")).otherwise(F.concat(head(i), i.cast("string"), F.lit("\n"))), F.trim(x))), "\n")
+    rows = _t(spark, sf, "documents").select("doc_id", md.alias("body"))
+    return chunking.sections(rows).select("doc_id", "pos", "heading_path", F.md5("text").alias("digest"))
+
+
 def extract_links(spark, sf):
     p = _t(spark, sf, "pages").select("page_id", F.posexplode(links.hrefs(F.col("html"))).alias("pos", "target"))
     return p.select("page_id", "pos", "target")
@@ -280,6 +381,75 @@ def reclassify(spark, sf):
     return cdc.reclassify(d, ("src2/*",)).select("doc_id", "sensitivity", "changed")
 
 
+def cdc_rebuild(spark, sf):
+    return cdc.classify(_new(spark, sf), _old(spark, sf), rebuild=True)
+
+
+def touch_docs(spark, sf):
+    touched = cdc_classify(spark, sf).where("class = 'touched'").select("doc_id")
+    return cdc.touch(_old(spark, sf), _new(spark, sf).join(touched, "doc_id", "left_semi"))
+
+
+def _listing(spark, sf, earlier: bool):
+    d = notes(spark, sf)
+    text = F.when(F.col("lang") == "de", F.concat("text", F.lit("x"))).otherwise(F.col("text")) if earlier else F.when(F.col("source") != "src4", F.col("text"))
+    rev = F.when(F.col("source") > "src15", F.lit("1")).otherwise(F.lit("2")) if earlier else F.lit("2")
+    return d.where("lang <> 'es'" if earlier else "source <> 'src3'").select(F.lower("path").alias("doc_id"), "path", rev.alias("rev"), F.col("doc_id").alias("mtime"), text.alias("markdown"))
+
+
+def index_apply(spark, sf):
+    """The documents of a store after two listings: notes have come, gone, changed, been touched and been unreadable."""
+    store = Store(spark, f"{scratch.folder(spark)}/store-{uuid.uuid4().hex}")
+    for earlier in (True, False):
+        engine.index(store, _listing(spark, sf, earlier), Settings(), allow_mass_delete=True)
+    held = store.read("chunks").groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    return store.read("docs").join(held, "doc_id", "left").select("doc_id", "rev", "content_hash", (F.coalesce("n_chunks", F.lit(0)) > 0).alias("chunked"))
+
+
+def engine_search(spark, sf):
+    """A store is indexed, then asked by keywords: the best document of each question, one chunk a document."""
+    store = Store(spark, f"{scratch.folder(spark)}/store-{uuid.uuid4().hex}")
+    d = notes(spark, sf).select(F.lower("path").alias("doc_id"), "path", F.lit("1").alias("rev"), F.col("doc_id").alias("mtime"), F.trim(F.translate("text", "\n\t\r#", "    ")).alias("markdown"))
+    engine.index(store, d, Settings(personal=PERSONAL, target_tokens=100_000, hard_tokens=100_000))
+    hits = engine.Engine(spark, store.root, Settings(graph_enabled=False, final_top_k=3, fusion_top_k=3)).search(_questions(spark, sf), allow_web=True)
+    return hits.select("qid", "ord", "doc_id", F.round("score", 9).alias("score"), "source")
+
+
+def embed_chunks(spark, sf):
+    """Chunks through a stand-in embedding model; documents of one source fail."""
+    rows = notes(spark, sf).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.concat("source", F.lit("!")).alias("prelude"), F.col("text").alias("body"))
+
+    def model(texts: list[str]) -> list[list[float]]:
+        if texts[0].startswith("src9!"):
+            raise RuntimeError("no model")
+        return [[float(len(t)), float(t.count("a"))] for t in texts]
+
+    return external.embed(rows, model).select("chunk_id", F.element_at("embedding", 1).cast("double").alias("n"), F.element_at("embedding", 2).cast("double").alias("a"))
+
+
+def listing_entries(spark, sf):
+    """Rows of a change feed in a key range: notes, leaves, deleted rows and rows without an id."""
+    from .sources import listing
+
+    return listing.entries(_feed(spark, sf), "SRC1").select("doc_id", "path", "rev", F.size("children").cast("long").alias("n_children"), "mtime")
+
+
+def point_get(spark, sf):
+    from .sources import listing
+
+    return listing.point_get(_feed(spark, sf), "src1/en/10.md").unionByName(listing.point_get(_feed(spark, sf), "nowhere")).select("id", F.col("value.rev").alias("rev"))
+
+
+def _feed(spark, sf):
+    d = notes(spark, sf)
+    k = F.col("doc_id")
+    doc = F.struct(
+        F.lower("path").alias("_id"), F.when(k % 5 == 0, "leaf").when(k % 2 == 0, "plain").otherwise("newnote").alias("type"), F.when(k % 3 == 0, F.lit("")).otherwise(F.col("path")).alias("path"),
+        F.when(k % 7 == 0, F.lit(True)).when(k % 7 == 1, F.lit(False)).alias("deleted"), F.when(k % 4 == 0, F.array(F.lit("h:1"), F.lit("h:2"))).alias("children"), F.when(k % 6 != 0, k).alias("mtime"), F.lit("x").alias("data"),
+    )
+    return d.select(F.when(k % 11 != 0, F.lower("path")).alias("id"), F.lower("path").alias("key"), F.struct((k % 9).cast("string").alias("rev")).alias("value"), doc.alias("doc"))
+
+
 def missing_embeddings(spark, sf):
     v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     return cdc.missing_vectors(chunks(spark, sf), v).select("chunk_id")
@@ -321,7 +491,8 @@ def last_user_message(spark, sf):
 
 
 def _context_rows(spark, sf):
-    return _fused(spark, sf, "open").withColumnRenamed("id", "chunk_id").join(chunks(spark, sf), "chunk_id").withColumn("prelude", F.concat("title", F.lit("\n"), "path"))
+    rows = chunks(spark, sf).withColumn("heading_path", F.when(F.col("chunk_id") % 2 == 0, F.lit("part")))
+    return broadcast_if_small(_fused(spark, sf, "open").withColumnRenamed("id", "chunk_id")).join(rows, "chunk_id")
 
 
 def assemble_context(spark, sf):
@@ -329,12 +500,30 @@ def assemble_context(spark, sf):
 
 
 def hits_json(spark, sf):
-    return context.as_json(_context_rows(spark, sf).withColumn("score", F.round("score", 9)), ("ord", "path", "title", "score", "source"))
+    return context.as_json(_context_rows(spark, sf).withColumn("score", F.round("score", 9)))
+
+
+def hits_text(spark, sf):
+    return context.as_text(_context_rows(spark, sf).withColumn("score", F.round("score", 9)))
+
+
+def _web(spark, sf):
+    """Results of a web search that finds nothing for some questions, and rows without a url for others."""
+    find = lambda question, limit: [{"title": f" about {question[:9]} ", "url": "" if i == 2 else f"http://w/{len(question)}/{i}", "snippet": question[:20]} for i in range(len(question) % 5)]
+    return external.web_results(_questions(spark, sf), find, 3)
+
+
+def web_context(spark, sf):
+    return context.web_context(_web(spark, sf)).select("qid", F.md5("web").alias("digest"))
+
+
+def model_messages(spark, sf):
+    rows = context.assemble(_context_rows(spark, sf).where("qid % 3 > 0"), "open")
+    return context.messages(_questions(spark, sf), rows, context.web_context(_web(spark, sf))).select("qid", F.md5("message").alias("digest"))
 
 
 def rerank_prompt(spark, sf):
-    rows = _context_rows(spark, sf).withColumn("heading_path", F.when(F.col("chunk_id") % 2 == 0, F.lit("part")))
-    return grading.prompt_lines(rows).select("qid", "ord", "line")
+    return grading.prompts(_questions(spark, sf), _context_rows(spark, sf)).select("qid", "n", F.md5("prompt").alias("digest"))
 
 
 def parse_grades(spark, sf):
@@ -342,7 +531,7 @@ def parse_grades(spark, sf):
     h = _fused(spark, sf).withColumn("g", (F.col("id") + F.col("qid")) % 4).where("g > 0")
     line = F.concat(F.col("ord").cast("string"), F.lit(": "), F.when(F.col("qid") % 7 == 0, F.lit("9")).otherwise(F.col("g").cast("string")))
     reply = h.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda s: s["l"]), "\n").alias("reply"))
-    return reply.select("qid", F.to_json(grading.parse_grades_udf("reply", F.lit(FUSED))).alias("grades"))
+    return reply.select("qid", F.to_json(grading.parse_grades(F.col("reply"), F.lit(FUSED))).alias("grades"))
 
 
 def fts_query(spark, sf):
@@ -364,11 +553,6 @@ def note_reassembly(spark, sf):
 
 def stream_ingest(spark, sf):
     """Listing files as a stream: the refreshed store's documents after all batches."""
-    import uuid
-
-    from . import scratch
-    from .settings import Settings
-    from .sources.store import Store
     from .streaming import refresh
 
     at = f"{scratch.folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -383,7 +567,8 @@ _QUERIES = (
     fts_bm25_topk, fts_bm25_open_only, knn_l2_topk, knn_open_only, rrf_fuse, rrf_per_doc_cap, graph_topics, graph_siblings, graph_expand, quota_merge, hybrid_search_batch,
     rerank_apply, web_trigger, web_calibration, graph_ab_displacement, graph_ab_totals, classify_sensitivity, corpus_filter, unmatched_globs, title_derivation, content_hash, chunk_ids,
     chunk_token_windows, runt_merge, hard_split, heading_chunks, extract_links, resolve_links, name_index, cdc_classify, cdc_report, cdc_deletions, mass_delete_guard, upsert_docs, reclassify,
-    missing_embeddings, lead_chunk, read_document, neighbors, resolve_doc, last_user_message, assemble_context, hits_json, rerank_prompt, parse_grades, fts_query, note_reassembly, stream_ingest,
+    wikilinks, topic_links, tags, edge_build, edge_catch_up, edge_backfill, frontmatter, sections, cdc_rebuild, touch_docs, index_apply, engine_search, embed_chunks, listing_entries, point_get,
+    hybrid_search_without_graph, hybrid_search_reranked, hits_text, web_context, model_messages, missing_embeddings, lead_chunk, read_document, neighbors, resolve_doc, last_user_message, assemble_context, hits_json, rerank_prompt, parse_grades, fts_query, note_reassembly, stream_ingest,
 )
 
 

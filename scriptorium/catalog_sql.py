@@ -63,15 +63,15 @@ firsts AS (
 expanded AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY ord, topic, k, cand) AS ord, cand AS id, score * 0.5::DOUBLE AS score FROM firsts)"""
 
 
-def _merge(fused: str, expanded: str, name: str = "merged") -> str:
-    """CTEs of the quota merge: 2 slots, 8 rows."""
+def _merge(fused: str, expanded: str, name: str = "merged", k: int = 8) -> str:
+    """CTEs of the quota merge: 2 slots, k rows."""
     return f"""
 {name}_r AS (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, graph, pos) AS o,
          graph = 1 AND sum(graph) OVER (PARTITION BY qid ORDER BY score DESC, graph, pos ROWS UNBOUNDED PRECEDING) > 2 AS held
   FROM (SELECT qid, id, score, source, 0 AS graph, ord AS pos FROM {fused} UNION ALL SELECT qid, id, score, 'graph', 1, ord FROM {expanded})
 ),
-{name}_k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY held, o) AS take FROM {name}_r QUALIFY take <= 8),
+{name}_k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY held, o) AS take FROM {name}_r QUALIFY take <= {k}),
 {name} AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, held, o) AS ord, id, score, source FROM {name}_k)"""
 
 
@@ -110,7 +110,50 @@ parts AS (SELECT doc_id, pos, source || '/' || pos AS heading_path, text, len(re
 islands AS (SELECT *, sum(CASE WHEN first OR n >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) = 1 AS first FROM parts))"""
 
 _CONTEXT = """
-blocks AS (SELECT qid, ord, title, path, text, score, fused.source, fused.id FROM fused JOIN notes ON notes.doc_id = fused.id)"""
+blocks AS (
+  SELECT qid, ord, title, path, text, score, fused.source, fused.id, sensitivity, CASE WHEN fused.id % 2 = 0 THEN 'part' END AS h,
+         '[[' || path || '|' || title || ']]' || CASE WHEN fused.id % 2 = 0 THEN ' (part)' ELSE '' END AS cited
+  FROM fused JOIN notes ON notes.doc_id = fused.id
+),
+contexts AS (SELECT qid, string_agg('### ' || cited || chr(10) || text, chr(10) || chr(10) ORDER BY ord) AS c FROM blocks GROUP BY qid)"""
+
+_WEB = """
+results AS (SELECT item_id AS qid, text, unnest(range(0, length(text) % 5)) AS i FROM benchmark),
+webs AS (
+  SELECT qid, '## From the web (not from the notes; cite by URL)' || chr(10) || chr(10) || string_agg('### about ' || rtrim(left(text, 9), ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || 'http://w/' || length(text) || '/' || i || chr(10) || trim(left(text, 20), ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) ORDER BY i) AS w
+  FROM results WHERE i <> 2 GROUP BY qid
+)"""
+
+_LINKED = """
+linked AS (
+  SELECT n.doc_id AS id, d.doc_id, d.path, d.title, n.lang, n.source, 'doc ' || (n.doc_id + 1) AS next, regexp_replace(n.path, '\\.md$', '') AS bare, 'n ' || n.n_chars AS chars
+  FROM named d JOIN notes n ON d.doc_id = lower(n.path)
+),
+written AS (SELECT *, 'see [[' || next || ']] and [[ ' || bare || ' |an alias]], [[ ]], [[' || next || ']]' || chr(10) || '<!-- begin:clippings -->' || chr(10) || '- [[' || chars || ']]' || chr(10) || '<!-- end:clippings --> [[gone ' || id || ']]' AS md FROM linked),
+wiki AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(md, '\\[\\[([^\\]|]+)(?:\\|[^\\]]*)?\\]\\]', 1), lambda t: trim(t)), lambda t: t <> '') AS ts FROM written),
+topical AS (SELECT doc_id, [chars] AS ts FROM linked),
+tagged AS (SELECT doc_id, unnest(CASE id % 4 WHEN 0 THEN [lang, source] WHEN 1 THEN [lang] ELSE [] END) AS tag FROM linked),
+targets AS (SELECT doc_id AS src, unnest(ts) AS target, 'wikilink' AS kind FROM wiki UNION ALL SELECT doc_id, unnest(ts), 'topic' FROM topical)"""
+
+
+def _resolved(name: str, targets: str, docs: str) -> str:
+    """A CTE of targets resolved against some of the documents."""
+    return f"""
+{name}_keys AS (SELECT key, min(doc_id) AS doc_id FROM (SELECT DISTINCT doc_id, key FROM (SELECT doc_id, lower(regexp_replace(split_part(path, '/', 3), '\\.md$', '')) AS key FROM {docs} UNION ALL SELECT doc_id, lower(title) FROM {docs}) WHERE key <> '') GROUP BY key HAVING count(*) = 1),
+{name} AS (
+  SELECT DISTINCT src, coalesce(a.doc_id, b.doc_id, c.doc_id, target) AS dst, kind, coalesce(a.doc_id, b.doc_id, c.doc_id) IS NOT NULL AS resolved
+  FROM {targets} LEFT JOIN {docs} a ON a.doc_id = lower(target) || '.md' LEFT JOIN {docs} b ON b.doc_id = lower(target) LEFT JOIN {name}_keys c ON c.key = lower(split_part(target, '/', -1))
+)"""
+
+
+_FEED = """
+feed AS (
+  SELECT *, CASE WHEN doc_id % 11 <> 0 THEN lower(path) END AS id, CASE WHEN doc_id % 5 = 0 THEN 'leaf' ELSE 'note' END AS type FROM notes
+)"""
+
+#: Keyword search over a store's chunks: the prelude (title and path) and the whole text of each document.
+_STORED = """
+bodies AS (SELECT doc_id, path, trim(translate(text, chr(10) || chr(9) || chr(13) || '#', '    ')) AS body, regexp_matches(source || '/', '^src1./') OR (source = 'src7' AND lang = 'de') AS hidden FROM notes)"""
 
 SQL: dict[str, str] = {
     "fts_bm25_topk": _with(_FTS_OUT, _FTS),
@@ -200,11 +243,76 @@ UNION ALL SELECT doc_id, 'out', 'wikilink', 'raw ' || lang FROM seen UNION ALL S
     ),
     "last_user_message": "SELECT conv_id, arg_max(text, (turn, text)) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id",
     "assemble_context": _with(
-        "SELECT qid, md5(c) AS digest, length(c) AS n_chars FROM (SELECT qid, string_agg('[[' || path || ']]' || chr(10) || title || chr(10) || path || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS c FROM blocks GROUP BY qid)",
+        "SELECT qid, md5(c) AS digest, length(c) AS n_chars FROM contexts",
         *_SEARCH, _CONTEXT, seen=_OPEN,
     ),
+    "hits_json": _with(
+        """SELECT qid, '[' || string_agg('{"rank":' || ord || ',"score":' || round(score, 9) || ',"source":"' || source || '","path":"' || path || '","title":"' || title || '"' || coalesce(',"heading_path":"' || h || '"', '')
+  || ',"doc_id":' || id || ',"chunk_id":' || id || ',"sensitivity":"' || sensitivity || '"}', ',' ORDER BY ord) || ']' AS hits FROM blocks GROUP BY qid""",
+        *_SEARCH, _CONTEXT, seen=_OPEN,
+    ),
+    "hits_text": _with(
+        "SELECT qid, count(*) || ' hit(s):' || chr(10) || string_agg('  ' || printf('%.6f', round(score, 9)) || '  [' || source || ']  ' || cited, chr(10) ORDER BY ord) AS listing FROM blocks GROUP BY qid", *_SEARCH, _CONTEXT, seen=_OPEN
+    ),
+    "web_context": "WITH" + _WEB + "\nSELECT qid, md5(w) AS digest FROM webs",
+    "model_messages": _with(
+        """SELECT item_id AS qid, md5('Question: ' || text || chr(10) || chr(10) || 'Context from the notes:' || chr(10) || chr(10) || coalesce(c, '') || coalesce(chr(10) || chr(10) || w, '')) AS digest
+FROM benchmark LEFT JOIN (SELECT * FROM contexts WHERE qid % 3 > 0) x ON x.qid = item_id LEFT JOIN webs ON webs.qid = item_id WHERE c IS NOT NULL OR w IS NOT NULL""",
+        *_SEARCH, _CONTEXT, _WEB, seen=_OPEN,
+    ),
+    "parse_grades": _with(
+        "SELECT q.qid, CASE WHEN q.qid % 7 <> 0 THEN '[' || string_agg(coalesce((f.id + f.qid) % 4, 0), ',' ORDER BY i) || ']' END AS grades FROM q, range(1, 21) r(i) LEFT JOIN fused f ON f.qid = q.qid AND f.ord = i GROUP BY q.qid",
+        *_SEARCH,
+        "\nq AS (SELECT DISTINCT qid FROM fused WHERE (id + qid) % 4 > 0)",
+    ),
+    "hybrid_search_without_graph": _with(_SHOWN + "fused WHERE ord <= 8", *_SEARCH, seen=_OPEN),
+    "hybrid_search_reranked": _with(
+        "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, ord) AS ord, id AS chunk_id, round(score, 9) AS score, source FROM g WHERE top = 0 OR grade > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY grade DESC, ord) <= 8",
+        *_SEARCH, _EDGES, _EXPAND, _merge("fused", "expanded", k=12),
+        "\ng AS (SELECT *, max(grade) OVER (PARTITION BY qid) AS top FROM (SELECT m.*, CASE WHEN count(*) OVER (PARTITION BY qid) < 2 THEN 0 ELSE (ord + length(text)) % 4 END AS grade FROM merged m JOIN benchmark ON item_id = qid))",
+        seen=_OPEN,
+    ),
+    "wikilinks": _with("SELECT doc_id, unnest(ts) AS target, generate_subscripts(ts, 1) - 1 AS pos FROM wiki", _NAMED, _LINKED),
+    "topic_links": _with("SELECT doc_id, chars AS target, 0 AS pos FROM linked", _NAMED, _LINKED),
+    "tags": _with("SELECT doc_id, tag FROM tagged", _NAMED, _LINKED),
+    "edge_build": _with("SELECT * FROM built UNION ALL SELECT doc_id, 'tag:' || tag, 'tag', FALSE FROM tagged", _NAMED, _LINKED, _resolved("built", "targets", "named")),
+    "edge_catch_up": _with(
+        """SELECT src, dst, kind, bool_or(resolved) AS resolved FROM (SELECT * FROM early WHERE resolved UNION ALL SELECT * FROM again UNION ALL SELECT doc_id, 'tag:' || tag, 'tag', FALSE FROM tagged) GROUP BY src, dst, kind""",
+        _NAMED, _LINKED, "\nhalf AS (SELECT * FROM named WHERE length(doc_id) % 2 = 0)", _resolved("early", "targets", "half"),
+        "\npending AS (SELECT src, dst AS target, kind FROM early WHERE NOT resolved)", _resolved("again", "pending", "named"),
+    ),
+    "edge_backfill": "WITH" + _OLD + "\nSELECT doc_id FROM new WHERE doc_id IN (SELECT doc_id FROM old)",
+    "frontmatter": _with(
+        """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{"title": "' || title || '", "n": ' || n_chars || '}' ELSE '{}' END AS front, md5(CASE WHEN doc_id % 4 = 1 THEN '---' || chr(10) || 'title: open' || chr(10) || source ELSE text END) AS digest FROM notes"""
+    ),
+    "sections": """
+WITH l AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: trim(x)) AS ls FROM documents), e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM l)
+SELECT doc_id, i AS pos, CASE WHEN i = 0 THEN '' WHEN i % 3 = 1 THEN 'part ' || i ELSE 'part ' || (i - (i - 1) % 3) || ' > item ' || i END AS heading_path, md5(line) AS digest FROM e""",
+    "cdc_rebuild": "WITH" + _OLD + "\nSELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN 'deleted' WHEN markdown IS NULL THEN 'skipped' WHEN o.doc_id IS NULL THEN 'new' ELSE 'changed' END AS class FROM new n FULL JOIN old o ON n.doc_id = o.doc_id",
+    "touch_docs": "WITH" + _OLD + "\nSELECT doc_id, CASE WHEN class = 'touched' THEN '2' ELSE rev END AS rev, content_hash FROM old JOIN classed USING (doc_id)",
+    "index_apply": _with(
+        """SELECT lower(path) AS doc_id, CASE WHEN class IN ('new', 'changed', 'touched') THEN '2' ELSE o.rev END AS rev, CASE WHEN class IN ('new', 'changed') THEN sha256(text) ELSE o.content_hash END AS content_hash, regexp_matches(text, '\\S') AS chunked
+FROM classed JOIN notes USING (doc_id) LEFT JOIN old o USING (doc_id) WHERE class <> 'deleted' AND NOT (class = 'skipped' AND o.doc_id IS NULL)""",
+        _OLD,
+    ),
+    "engine_search": _with(
+        "SELECT qid, rank AS ord, lower(path) AS doc_id, round(1.0::DOUBLE / (60 + rank), 9) AS score, 'fts' AS source FROM fts JOIN notes ON notes.doc_id = id WHERE rank <= 3",
+        _STORED,
+        _FTS.replace("toks AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS terms FROM documents)", "toks AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(doc_id || ' ' || path || ' ' || body)), '[\\p{L}\\p{N}]+') AS terms FROM bodies WHERE body <> '')")
+        .replace("ORDER BY round(score, 9), id)", "ORDER BY round(score, 9), left(sha256(lower(path) || '0'), 16))")
+        .replace("{seen} QUALIFY", "id IN (SELECT doc_id FROM bodies WHERE NOT hidden) QUALIFY"),
+    ),
+    "embed_chunks": "SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN source <> 'src9' THEN CAST(length(source) + 3 + length(text) AS DOUBLE) END AS n, CASE WHEN source <> 'src9' THEN CAST(length(text) - length(replace(text, 'a', '')) AS DOUBLE) END AS a FROM documents",
+    "listing_entries": _with(
+        """SELECT id AS doc_id, CASE WHEN doc_id % 3 = 0 THEN id ELSE path END AS path, (doc_id % 9)::VARCHAR AS rev, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END AS n_children, CASE WHEN doc_id % 6 <> 0 THEN doc_id ELSE 0 END AS mtime
+FROM feed WHERE id >= 'src1' AND id <= 'src2' AND doc_id % 7 <> 0 AND type <> 'leaf'""",
+        _FEED,
+    ),
+    "point_get": _with("SELECT id, (doc_id % 9)::VARCHAR AS rev FROM feed WHERE id = 'src1/en/10.md'", _FEED),
     "rerank_prompt": _with(
-        "SELECT qid, ord, '[' || ord || '] ' || title || CASE WHEN id % 2 = 0 THEN ' > part' ELSE '' END || chr(10) || left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 500) AS line FROM blocks", *_SEARCH, _CONTEXT, seen=_OPEN
+        """SELECT qid, count(*) AS n, md5('Question: ' || any_value(q.text) || chr(10) || chr(10) || 'Candidates:' || chr(10) || string_agg('[' || ord || '] ' || title || coalesce(' > ' || h, '') || chr(10) || left(trim(regexp_replace(blocks.text, '\\s+', ' ', 'g')), 500), chr(10) ORDER BY ord)) AS digest
+FROM blocks JOIN benchmark q ON item_id = qid GROUP BY qid""",
+        *_SEARCH, _CONTEXT, seen=_OPEN,
     ),
     "fts_query": "SELECT item_id AS qid, array_to_string(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda t: '\"' || t || '\"'), ' OR ') AS fts FROM benchmark",
     "note_reassembly": """SELECT doc_id::VARCHAR AS doc_id, CASE WHEN source = 'src9' AND len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END >= 3 THEN NULL ELSE sha256(text) END AS content_hash FROM documents""",

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-CLASSES = ("new", "changed", "touched", "unchanged", "skipped", "kept_torn")
-
 
 class MassDeletion(RuntimeError):
     pass
@@ -22,15 +20,16 @@ def classify(listing: DataFrame, docs: DataFrame, rebuild: bool = False) -> Data
     revisions nor hashes. Documents that are not listed are ``deleted``.
     """
     old = docs.select("doc_id", F.col("rev").alias("old_rev"), F.col("content_hash").alias("old_hash"), F.lit(True).alias("known"))
-    new = listing.select("doc_id", "rev", "markdown", F.lit(True).alias("listed"))
+    # Hashes travel, not texts.
+    new = listing.select("doc_id", "rev", X.content_hash(F.col("markdown")).alias("hash"), F.lit(True).alias("listed"))
     both = new.join(old, "doc_id", "full_outer")
     known, trust = F.col("known").isNotNull(), F.lit(not rebuild)
     kind = (
         F.when(F.col("listed").isNull(), "deleted")
         .when(known & trust & F.col("rev").eqNullSafe(F.col("old_rev")), "unchanged")
-        .when(F.col("markdown").isNull(), "skipped")
+        .when(F.col("hash").isNull(), "skipped")
         .when(~known, "new")
-        .when(trust & (X.content_hash(F.col("markdown")) == F.col("old_hash")), "touched")
+        .when(trust & (F.col("hash") == F.col("old_hash")), "touched")
         .otherwise("changed")
     )
     return both.select("doc_id", kind.alias("class"))

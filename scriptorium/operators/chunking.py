@@ -52,12 +52,3 @@ def chunk(docs: DataFrame, target: int, hard: int) -> DataFrame:
         X.chunk_id(F.col("doc_id"), F.col("heading_path"), F.col("ordinal")).alias("chunk_id"), "doc_id", F.col("ordinal").cast("int").alias("ordinal"), "heading_path",
         X.prelude(F.col("title"), F.col("path"), F.col("heading_path")).alias("prelude"), "body", "sensitivity",
     )
-
-
-def replace_rows(old: DataFrame, fresh: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Whole-key replacement: old rows of keys that ``fresh`` has go, then fresh rows come."""
-    return old.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
-
-
-def delete_rows(old: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    return old.join(keys.select(key).distinct(), key, "left_anti")

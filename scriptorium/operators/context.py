@@ -22,27 +22,50 @@ def guarded(hits: DataFrame, allowed: str | None) -> DataFrame:
 
 
 def assemble(hits: DataFrame, allowed: str | None = None) -> DataFrame:
-    """(qid, context): blocks in score order, from hits (qid, ord, chunk_id, path, prelude, body, sensitivity)."""
-    rows = guarded(hits, allowed)
-    block = F.concat(F.lit("[["), F.col("path"), F.lit("]]\n"), F.col("prelude"), F.lit("\n\n"), F.col("body"))
-    return rows.groupBy("qid").agg(F.array_join(_ordered("ord", block), "\n\n---\n\n").alias("context"))
+    """(qid, context): cited blocks in score order, from hits (qid, ord, chunk_id, path, title, heading_path, body, sensitivity)."""
+    block = F.concat(F.lit("### "), _cited(), F.lit("\n"), F.col("body"))
+    return guarded(hits, allowed).groupBy("qid").agg(F.array_join(_ordered("ord", block), "\n\n").alias("context"))
 
 
-def as_json(hits: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """(qid, hits): a JSON array of the hits in order."""
-    return hits.groupBy("qid").agg(F.to_json(_ordered("ord", F.struct(*columns))).alias("hits"))
+def _cited():
+    """``[[path|title]]`` and the heading, if there is one, in brackets."""
+    heading = F.when(F.coalesce("heading_path", F.lit("")) != "", F.concat(F.lit(" ("), "heading_path", F.lit(")"))).otherwise(F.lit(""))
+    return F.concat(F.lit("[["), F.col("path"), F.lit("|"), F.col("title"), F.lit("]]"), heading)
+
+
+#: The fields of a hit for machines, in order; ``rank`` is its place.
+FIELDS = ("score", "source", "path", "title", "heading_path", "doc_id", "chunk_id", "sensitivity")
+
+
+def as_json(hits: DataFrame, columns: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(qid, hits): a JSON array of the hits in order; null fields are left out."""
+    return hits.groupBy("qid").agg(F.to_json(_ordered("ord", F.struct(F.col("ord").alias("rank"), *columns))).alias("hits"))
 
 
 def as_text(hits: DataFrame) -> DataFrame:
-    line = F.concat_ws("  ", F.col("ord").cast("string"), F.format_number("score", 6), "source", "path")
-    return hits.groupBy("qid").agg(F.array_join(_ordered("ord", line), "\n").alias("listing"))
+    """(qid, listing): how many hits, and a line for each with its score, source and citation."""
+    source = F.when(F.coalesce("source", F.lit("")) != "", F.concat(F.lit("  ["), "source", F.lit("]"))).otherwise(F.lit(""))
+    line = F.concat(F.lit("  "), F.format_string("%.6f", "score"), source, F.lit("  "), _cited())
+    count = F.concat(F.count("*").cast("string"), F.lit(" hit(s):\n"))
+    return hits.groupBy("qid").agg(F.concat(count, F.array_join(_ordered("ord", line), "\n")).alias("listing"))
+
+
+WEB_HEADING = "## From the web (not from the notes; cite by URL)"
 
 
 def web_context(results: DataFrame) -> DataFrame:
-    """One row (context): a heading and a block per result (ord, title, url, snippet); '' without results."""
-    block = F.concat("title", F.lit("\n<"), "url", F.lit(">\n"), "snippet")
-    joined = F.array_join(_ordered("ord", block), "\n\n")
-    return results.agg(F.when(F.count("*") > 0, F.concat(F.lit("From the web:\n\n"), joined)).otherwise(F.lit("")).alias("context"))
+    """(qid, web): a heading of its own and a block per result (qid, ord, title, url, snippet)."""
+    block = F.concat(F.lit("### "), "title", F.lit("\n"), "url", F.lit("\n"), "snippet")
+    return results.groupBy("qid").agg(F.concat(F.lit(f"{WEB_HEADING}\n\n"), F.array_join(_ordered("ord", block), "\n\n")).alias("web"))
+
+
+def messages(questions: DataFrame, contexts: DataFrame, web: DataFrame | None = None) -> DataFrame:
+    """(qid, message): the question and its context, then what the web gave, for questions that have either."""
+    rows = questions.select("qid", "text").join(contexts, "qid", "left")
+    rows = rows.join(web, "qid", "left") if web is not None else rows.withColumn("web", F.lit(None).cast("string"))
+    body = F.concat(F.lit("Question: "), "text", F.lit("\n\nContext from the notes:\n\n"), F.coalesce("context", F.lit("")))
+    rows = rows.where("context IS NOT NULL OR web IS NOT NULL")
+    return rows.select("qid", F.concat(body, F.when(F.col("web").isNotNull(), F.concat(F.lit("\n\n"), "web")).otherwise(F.lit(""))).alias("message"))
 
 
 def thin(questions: DataFrame, hits: DataFrame, thin_hits: int, thin_distance: float, allow_web: bool = True, enabled: bool = True) -> DataFrame:

@@ -1,18 +1,28 @@
-"""Reranking by grades: the prompt, reading a grader's reply, applying the grades."""
+"""Reranking by grades: the prompts, an external grader, reading its replies, applying the grades."""
 
 from __future__ import annotations
 
-import re
+import logging
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions import text as X
 
 BODY_CHARS = 500
 MOST = 3
 
+#: What a grader is told once; its replies are lines of ``number: grade``, or ``none``.
+INSTRUCTION = (
+    "Grade each numbered passage by how directly it answers the question: 1 touches it, 2 is relevant, 3 is about it. "
+    "Answer with lines of the form `number: grade` for passages graded 1 to 3 only, or with `none`."
+)
+
+Grader = Callable[[str, str], str]
+
 
 class RateLimited(RuntimeError):
     pass
@@ -25,34 +35,39 @@ def prompt_lines(hits: DataFrame) -> DataFrame:
     return hits.select("qid", "ord", F.concat(head, F.lit("\n"), body).alias("line"))
 
 
-_PAIR = re.compile(r"\[?\s*([0-9]+)\s*\]?\s*[:=]\s*(-?[0-9]+(?:\.[0-9]+)?)")
-_NUMBER = re.compile(r"-?[0-9]+(?:\.[0-9]+)?")
+def prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """(qid, n, prompt): the question, then its numbered candidates in order."""
+    lines = prompt_lines(hits).groupBy("qid").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("lines"))
+    listed = F.array_join(F.transform("lines", lambda s: s["line"]), "\n")
+    return questions.select("qid", "text").join(lines, "qid").select("qid", "n", F.concat(F.lit("Question: "), "text", F.lit("\n\nCandidates:\n"), listed).alias("prompt"))
 
 
-def parse_grades(reply: str | None, n: int) -> list[int] | None:
-    """Grades of hits 1..n, 0 where none is given; None if the reply cannot be trusted.
+def parse_grades(reply: Column, n: Column) -> Column:
+    """Grades of hits 1 to n, 0 where none is given; null if the reply cannot be trusted.
 
-    Refused: labels outside 1..n, two grades for a label, grades that are not 0 to 3 or not whole.
-    ``none`` grades all 0. A bare list counts only if it has exactly n whole grades.
+    ``label: grade`` pairs count anywhere in the reply. Refused: labels outside 1 to n, two grades for a
+    label, grades that are not whole numbers from 0 to 3. Without pairs, ``none`` grades all 0, and a bare list counts
+    if it has exactly n whole grades.
     """
-    text = (reply or "").strip().strip("`").strip()
-    whole = lambda g: int(g) if "." not in g and 0 <= int(g) <= MOST else None
-    if text.lower().rstrip(".") == "none":
-        return [0] * n
-    grades: dict[int, int] = {}
-    for label, grade in _PAIR.findall(text):
-        g = whole(grade)
-        if g is None or not 1 <= int(label) <= n or grades.get(int(label), g) != g:
-            return None
-        grades[int(label)] = g
-    if grades:
-        return [grades.get(i, 0) for i in range(1, n + 1)]
-    bare = [whole(g) for g in _NUMBER.findall(text)]
-    return bare if len(bare) == n and None not in bare else None
-
-
-#: parse_grades as a column function of (reply, n).
-parse_grades_udf = F.udf(parse_grades, T.ArrayType(T.IntegerType()))
+    text = F.coalesce(reply, F.lit(""))
+    pair, number = F.lit(r"([0-9]+)\s*[:=]\s*(-?[0-9]+(?:\.[0-9]+)?)"), F.lit(r"-?[0-9]+(?:\.[0-9]+)?")
+    numbers = lambda a: F.transform(a, lambda x: x.try_cast("double"))
+    labels, values = numbers(F.regexp_extract_all(text, pair, F.lit(1))), numbers(F.regexp_extract_all(text, pair, F.lit(2)))
+    none = F.array_repeat(F.lit(0), n)
+    whole = lambda v: v.isNotNull() & (v >= 0) & (v <= MOST) & (v == F.floor(v))
+
+    def labelled(p: Column) -> Column:
+        sound = F.forall(p, lambda x: x["label"].between(1, n) & whole(x["value"])) & (F.size(F.array_distinct(p)) == F.size(F.array_distinct(F.transform(p, lambda x: x["label"]))))
+        given = F.transform(F.sequence(F.lit(1), n), lambda i: F.coalesce(F.get(F.filter(p, lambda x: x["label"] == i), F.lit(0))["value"], F.lit(0.0)).cast("int"))
+        return F.when(sound, given)
+
+    def bare(v: Column) -> Column:
+        return F.when((F.size(v) == n) & F.forall(v, whole), F.transform(v, lambda x: x.cast("int")))
+
+    def read(p: Column) -> Column:
+        return F.when(F.size(p) > 0, labelled(p)).when(text.rlike(r"(?i)\A[^0-9a-z_]*none[^0-9a-z_]*\z"), none).otherwise(X.let(numbers(F.regexp_extract_all(text, number, F.lit(0))), bare))
+
+    return F.when(n > 0, X.let(F.arrays_zip(labels.alias("label"), values.alias("value")), read))
 
 
 def apply_grades(hits: DataFrame, grades: DataFrame, k: int | None = None) -> DataFrame:
@@ -65,24 +80,32 @@ def apply_grades(hits: DataFrame, grades: DataFrame, k: int | None = None) -> Da
     return out if k is None else out.where(F.col("new_ord") <= k)
 
 
-def rerank(hits: list[dict], ask: Callable[[str], str], wait: float = 2.0) -> list[dict] | None:
-    """The driver's barrier around an external grader; None keeps the fused order."""
-    if len(hits) < 2:
-        return None
-    lines = []
-    for i, h in enumerate(hits, 1):
-        head = f"[{i}] {h['title']}" + (f" > {h['heading_path']}" if h.get("heading_path") else "")
-        lines.append(f"{head}\n{' '.join(h['body'].split())[:BODY_CHARS]}")
-    for attempt in (1, 2):
-        try:
-            grades = parse_grades(ask("\n\n".join(lines)), len(hits))
-            break
-        except RateLimited:
-            if attempt == 2:
+def _asked(grader: Grader, wait: float):
+    def ask(prompt: str) -> str | None:
+        for attempt in (1, 2):
+            try:
+                return grader(INSTRUCTION, prompt)
+            except RateLimited:
+                if attempt == 1:
+                    time.sleep(wait)
+            except Exception:
+                logging.getLogger(__name__).warning("a grader failed", exc_info=True)
                 return None
-            time.sleep(wait)
-        except Exception:
-            return None
-    if grades is None or not any(grades):
-        return None if grades is None else hits
-    return [h for g, _, h in sorted(((-g, i, h) for i, (g, h) in enumerate(zip(grades, hits, strict=True)) if g), key=lambda x: x[:2])]
+        return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            yield pd.DataFrame({"qid": df["qid"], "n": df["n"], "reply": [ask(p) for p in df["prompt"]]})
+
+    return run
+
+
+def rerank(questions: DataFrame, hits: DataFrame, grader: Grader, k: int | None = None, wait: float = 2.0) -> DataFrame:
+    """hits (qid, ord, title, heading_path, body, …) with ``new_ord``, by the grades of an external grader.
+
+    The grader is called once a question, where the question's row is; a rate limit is waited for once. Questions of one
+    candidate are not asked about. Where a call fails or a reply cannot be read, the order stays.
+    """
+    asked = prompts(questions, hits).where("n >= 2").mapInPandas(_asked(grader, wait), f"qid {hits.schema['qid'].dataType.simpleString()}, n int, reply string")
+    grades = asked.select("qid", F.posexplode(parse_grades(F.col("reply"), F.col("n"))).alias("at", "grade"))
+    return apply_grades(hits, grades.select("qid", (F.col("at") + 1).alias("ord"), "grade"), k)

@@ -31,8 +31,7 @@ def resolve_doc(docs: DataFrame, needle: str, *, visible: str | None) -> DataFra
     by_id = (F.col("doc_id") == as_id) | (F.col("doc_id") == want)
     loose = (F.lower("title") == want) | path.endswith(f"/{as_id}") | (path == as_id)
     found = rows.where(by_id | loose).withColumn("exact", by_id)
-    best = found.withColumn("any_exact", F.max("exact").over(Window.partitionBy(F.lit(1))))  # a handful of rows
-    return best.where("exact = any_exact").drop("exact", "any_exact")
+    return found.where(F.col("exact") == found.agg(F.max("exact")).scalar()).drop("exact")
 
 
 def read_document(chunks: DataFrame, docs: DataFrame, *, visible: str | None) -> DataFrame:

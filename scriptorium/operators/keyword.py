@@ -4,56 +4,87 @@ The score is that of SQLite's full-text index: k1 = 1.2, b = 0.75, an idf floore
 statistics over the whole table whatever the visibility filter lets through, negative so that smaller is
 better. A term asked twice counts twice. An underscore separates terms, so ``foo_bar`` asks for
 both terms, not for the phrase.
+
+Terms are counted within a row (sorted, then the lengths of runs), so building the index moves
+nothing; a posting carries the length of its chunk, so scoring joins only the asked terms' weights.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import text as X
 from .sizes import broadcast_if_small
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Asked terms up to which they are a filter of the scan, which skips row groups of postings sorted by term.
+PUSHED = 1_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, id, tf), lengths (id, dl), stats (n, avgdl)."""
+    """postings (term, id, tf, dl) and stats, one row (n, avgdl)."""
 
     postings: DataFrame
-    lengths: DataFrame
     stats: DataFrame
 
 
-def build_index(chunks: DataFrame, key: str = "chunk_id", columns: tuple[str, ...] = ("prelude", "body")) -> Index:
-    """The index over the given text columns; write its frames to Parquet to reuse them."""
+def runs(terms: Column) -> Column:
+    """An array of terms as structs (term, tf), sorted by term."""
+    starts = lambda s: F.filter(F.transform(s, lambda t, i: F.struct(t.alias("term"), i.alias("at"))), lambda e: (e["at"] == 0) | (F.get(s, e["at"] - 1) != e["term"]))
+    count = lambda s, b: F.transform(b, lambda e, k: F.struct(e["term"].alias("term"), (F.coalesce(F.get(b, k + 1)["at"], F.size(s)) - e["at"]).cast("long").alias("tf")))
+    return X.let(F.sort_array(terms), lambda s: X.let(starts(s), lambda b: count(s, b)))
+
+
+def entries(chunks: DataFrame, key: str = "chunk_id", columns: tuple[str, ...] = ("prelude", "body")) -> DataFrame:
+    """(id, dl, terms) of every chunk over the given text columns."""
     found = chunks.select(F.col(key).alias("id"), F.concat(*[X.terms(F.col(c)) for c in columns]).alias("terms"))
-    lengths = found.select("id", F.size("terms").cast("long").alias("dl"))
-    postings = found.select("id", F.explode("terms").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    return Index(postings, lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    return found.select("id", F.size("terms").cast("long").alias("dl"), runs(F.col("terms")).alias("terms"))
+
+
+def postings(entries_: DataFrame) -> DataFrame:
+    return entries_.select("id", "dl", F.explode("terms").alias("t")).select("t.term", "id", "t.tf", "dl")
+
+
+def statistics(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def build_index(chunks: DataFrame, key: str = "chunk_id", columns: tuple[str, ...] = ("prelude", "body")) -> Index:
+    """An index for one batch of questions, in the scratch folder: the texts are read once. A store keeps its own."""
+    rows = scratch.write(entries(chunks, key, columns))
+    return Index(postings(rows), statistics(rows))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(X.terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(questions: DataFrame, index: Index) -> DataFrame:
-    """(qid, id, score) of every chunk that has a term of the question; smaller is better.
+def _wanted(index: Index, asked: DataFrame) -> DataFrame:
+    """The postings of asked terms: a pushed filter if they are few, else a join (broadcast if small)."""
+    terms = asked.select("term").distinct()
+    few = terms.limit(PUSHED + 1).collect()
+    if len(few) <= PUSHED:
+        return index.postings.where(F.col("term").isin([r["term"] for r in few]))
+    return index.postings.join(broadcast_if_small(terms), "term", "left_semi")
 
-    Only postings of asked terms are scored: the terms are broadcast to them if few.
-    """
-    asked = question_terms(questions)
-    wanted = broadcast_if_small(asked.select("term").distinct())
-    hit = index.postings.join(wanted, "term")
+
+def bm25(questions: DataFrame, index: Index, only: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score) of every chunk (of ``only``, if given) that has a term of the question; smaller is better."""
+    asked = scratch.write(question_terms(questions))
+    hit = _wanted(index, asked)
     df = hit.groupBy("term").agg(F.count("*").alias("nt"))
-    stats = F.broadcast(index.stats)  # one row
     idf = F.log((F.col("n") - F.col("nt") + 0.5) / (F.col("nt") + 0.5))
-    weights = asked.join(df, "term").join(stats).select("qid", "term", "qtf", "avgdl", F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf).alias("idf"))
-    scored = hit.join(broadcast_if_small(weights), "term").join(index.lengths, "id")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    weight = F.col("qtf") * F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
+    weights = scratch.write(asked.join(df, "term").join(F.broadcast(index.stats)).select("qid", "term", weight.alias("weight"), "avgdl"))  # stats: one row
+    if only is not None:
+        hit = hit.join(broadcast_if_small(only), "id", "left_semi")
+    scored = hit.join(broadcast_if_small(weights), "term")
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return scored.groupBy("qid", "id").agg((-F.sum(part)).alias("score"))
 
 
@@ -63,7 +94,6 @@ def search(questions: DataFrame, index: Index, chunks: DataFrame, k: int, *, vis
     The filter stands below the limit. Scores are compared rounded to nine digits, so that equal
     texts tie whatever the order of summation.
     """
-    seen = chunks.where(X.visible(F.col("sensitivity"), visible)).select(F.col(key).alias("id"))
-    scored = bm25(questions, index).join(seen, "id", "left_semi")
+    seen = None if visible is None else chunks.where(X.visible(F.col("sensitivity"), visible)).select(F.col(key).alias("id"))
     w = Window.partitionBy("qid").orderBy(F.round("score", 9), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "score")
+    return bm25(questions, index, seen).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "score")

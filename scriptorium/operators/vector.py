@@ -1,12 +1,13 @@
 """Exact nearest neighbours by Euclidean distance, filtered before the limit, for many questions.
 
-Questions are a bounded set held against all vectors in blocks: every batch of vectors keeps its own k
-best for each question, so what is shuffled does not grow with the table's rows beyond k a
-batch. Distances are computed in double precision.
+Questions are taken to all vectors in blocks: every partition of vectors keeps its own k
+best for each question, so what is shuffled is k rows a question and partition. Distances are
+computed in double precision, only between vectors of one length.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,21 +26,36 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.stack([((x - v) ** 2).sum(axis=1) for v in q]))
 
 
+def _best(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the k smallest distances and their ids, ties to the smaller id."""
+    order = np.lexsort((ids, d), axis=-1)[:, :k]
+    return np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+
+
 def _nearest(qids: np.ndarray, q: np.ndarray, k: int):
+    """The k nearest of a whole partition, kept while its batches pass by and emitted at its end."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for df in batches:
             if not len(df):
                 continue
             x, ids = np.stack(df["embedding"].to_numpy()), df["id"].to_numpy()
-            if x.shape[1] != q.shape[1]:
-                raise ValueError(f"vectors have {x.shape[1]} components, questions {q.shape[1]}")
-            order = np.argsort(ids, kind="stable")
-            x, ids = x[order], ids[order]
+            ids = ids.astype(str) if ids.dtype == object else ids
             for at in range(0, len(q), BLOCK):
                 d = distances(x, q[at : at + BLOCK])
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                n = best.shape[1]
-                yield pd.DataFrame({"qid": np.repeat(qids[at : at + BLOCK], n), "id": ids[best.ravel()], "distance": np.take_along_axis(d, best, 1).ravel()})
+                if len(ids) > 2 * k:
+                    # What is beyond the k-th distance (give or take rounding) cannot be among the best of any row.
+                    some = np.flatnonzero((d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] + 1e-9).any(axis=0))
+                    d, mine = d[:, some], ids[some]
+                else:
+                    mine = ids
+                rows = np.broadcast_to(mine, d.shape)
+                if at in best:
+                    d, rows = np.hstack([best[at][0], d]), np.hstack([best[at][1], rows])
+                best[at] = _best(d, rows, k)
+        for at, (d, ids) in best.items():
+            yield pd.DataFrame({"qid": np.repeat(qids[at : at + BLOCK], d.shape[1]), "id": ids.ravel(), "distance": d.ravel()})
 
     return run
 
@@ -56,7 +72,7 @@ def search(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int,
     rows = vectors.join(seen, key, "left_semi").select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).where("id IS NOT NULL AND embedding IS NOT NULL")
     near = None
     for qids, q in _blocks(questions.select("qid", F.col("embedding").cast("array<double>").alias("e"))):
-        part = rows.mapInPandas(_nearest(qids, q, k), f"qid long, id {kind}, distance double")
+        part = rows.where(F.size("embedding") == q.shape[1]).mapInPandas(_nearest(qids, q, k), f"qid long, id {kind}, distance double")
         near = part if near is None else near.union(part)
     if near is None:
         return spark.createDataFrame([], f"qid long, rank int, id {kind}, distance double")
@@ -76,12 +92,18 @@ def _blocks(asked: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.array([r[0] for r in block]), np.array([r[1] for r in block], dtype=np.float64)
 
 
-def search_or_nothing(*args, **kw) -> DataFrame | None:
-    """The vector arm when vectors may be missing: any failure to set it up gives None."""
+def search_or_nothing(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int, **kw) -> DataFrame | None:
+    """The vector arm when vectors may be missing or of another space: a failure gives None, and is logged.
+
+    Lengths are compared by an aggregate before the plan is built, since the plan itself only runs later.
+    """
+    log = logging.getLogger(__name__)
     try:
-        return search(*args, **kw)
+        asked = questions.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+        if asked[0] is not None and not vectors.where("embedding IS NOT NULL").where((F.size("embedding") < asked[0]) | (F.size("embedding") > asked[1])).isEmpty():
+            log.warning("vector search is unavailable: questions have %d to %d components, some vectors others", *asked)
+            return None
+        return search(questions, vectors, chunks, k, **kw)
     except Exception:
-        import logging
-
-        logging.getLogger(__name__).warning("vector search is unavailable", exc_info=True)
+        log.warning("vector search is unavailable", exc_info=True)
         return None

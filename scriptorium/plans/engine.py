@@ -2,33 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import text as X
-from ..operators import cdc, chunking, context, fusion, graph, keyword, links, vector
+from ..operators import cdc, chunking, context, fusion, grading, graph, keyword, links, vector
 from ..operators.sizes import broadcast_if_small
 from ..settings import Settings
-from ..sources.external import Embedder, check_space, embed
+from ..sources.external import Embedder, WebSearch, answer, check_space, embed, web_results
 from ..sources.store import Store
 
+#: The answer where nothing was found.
+SILENT = "The notes hold nothing about this."
+
 
 def gate(allow_web: bool) -> str | None:
     """With the web allowed only open rows are candidates, before any limit."""
     return "open" if allow_web else None
 
 
-def index(store: Store, listing: DataFrame, settings: Settings, *, rebuild: bool = False, dry_run: bool = False, allow_mass_delete: bool = False) -> DataFrame:
-    """Brings a store up to date with (doc_id, path, rev, mtime, markdown) notes; returns the one-row report."""
+def index(store: Store, listing: DataFrame, settings: Settings, *, rebuild: bool = False, dry_run: bool = False, allow_mass_delete: bool = False, full: bool = True) -> DataFrame:
+    """Brings a store up to date with (doc_id, path, rev, mtime, markdown) notes; returns the one-row report.
+
+    A full listing names all notes: those it lacks are deleted, and visibility is computed again for all. Otherwise it
+    names changed notes only, and what is read and written besides the link names grows with them.
+    """
     notes = listing.where(X.in_corpus(F.col("path"), settings.include, settings.exclude))
-    docs, chunks, vectors, edges = (store.read(t) for t in ("docs", "chunks", "vectors", "edges"))
+    version = store.current()
+    docs, chunks, edges = (store.read(t, version) for t in ("docs", "chunks", "edges"))
     held_frames: list[DataFrame] = []
 
     def held(df: DataFrame) -> DataFrame:
         held_frames.append(df.persist())
         return df
 
-    classified = held(cdc.classify(notes, docs, rebuild))
+    known = docs if full else docs.join(notes.select("doc_id"), "doc_id", "left_semi")
+    classified = held(cdc.classify(notes, known, rebuild))
     try:
         cdc.check_deletions(classified, docs, allow_mass_delete, floor=settings.delete_floor, fraction=settings.delete_fraction)
         summary = store.spark.createDataFrame([cdc.report(classified).first()])
@@ -36,18 +48,36 @@ def index(store: Store, listing: DataFrame, settings: Settings, *, rebuild: bool
             return summary
         of = lambda *kinds: classified.where(F.col("class").isin(*kinds)).select("doc_id")
         fresh = notes.join(of("new", "changed"), "doc_id", "left_semi")
-        rows = cdc.document_rows(fresh, settings.personal)
-        kept = cdc.upsert(docs.join(of("deleted"), "doc_id", "left_anti"), rows)
-        kept = cdc.touch(kept, notes.join(of("touched"), "doc_id", "left_semi"))
-        # Documents without their texts: links are resolved against them several times.
-        kept = held(cdc.reclassify(kept, settings.personal).drop("changed"))
+        rows = held(cdc.document_rows(fresh, settings.personal))
         gone = of("deleted", "changed", "new")
-        made = chunking.chunk(rows.join(fresh.select("doc_id", "markdown"), "doc_id"), settings.target_tokens, settings.hard_tokens)
-        all_chunks = cdc.spread_sensitivity(chunks.join(gone, "doc_id", "left_anti").unionByName(made), kept)
-        new_edges = held(links.edges(fresh.join(kept.select("doc_id", "frontmatter"), "doc_id"), kept))
-        all_edges = links.resolve_pending(edges.join(gone.withColumnRenamed("doc_id", "src"), "src", "left_anti").unionByName(new_edges), kept)
+        kept = docs.join(gone, "doc_id", "left_anti")
+
+        # Kept documents whose row changes: their revision, or their visibility (which their chunks follow).
+        touched = cdc.touch(kept.join(of("touched"), "doc_id", "left_semi"), notes.join(of("touched"), "doc_id", "left_semi"))
+        rest = kept.join(of("touched"), "doc_id", "left_anti") if full else kept.limit(0)
+        moved = held(cdc.reclassify(rest.withColumn("touched", F.lit(False)).unionByName(touched.withColumn("touched", F.lit(True))), settings.personal).where("changed OR touched"))
+        now = rows.unionByName(moved.drop("changed", "touched"))
+        after = docs.join(gone, "doc_id", "left_anti").join(moved.select("doc_id"), "doc_id", "left_anti").unionByName(now)
+        turned = moved.where("changed").select("doc_id")
+        made = held(chunking.chunk(rows.join(fresh.select("doc_id", "markdown"), "doc_id"), settings.target_tokens, settings.hard_tokens))
+        shifted = cdc.spread_sensitivity(chunks.join(turned, "doc_id", "left_semi"), moved)
+
+        # Links: of the fresh notes, and of notes that had unresolved ones which now resolve.
+        standing = edges.join(gone.withColumnRenamed("doc_id", "src"), "src", "left_anti")
+        new_edges = links.edges(fresh.join(rows.select("doc_id", "frontmatter"), "doc_id"), after)
+        waiting = standing.join(standing.where("NOT resolved AND kind IN ('wikilink', 'topic')").select("src").distinct(), "src", "left_semi")
+        settled = held(links.resolve_pending(waiting, after))
+        again = settled.where("resolved").join(waiting.where("NOT resolved"), ["src", "kind"], "left_semi").select("src").distinct()
+
+        entries = held(keyword.entries(made))
         stale = chunks.join(gone, "doc_id", "left_semi").select("chunk_id")
-        store.commit({"docs": kept, "chunks": all_chunks, "edges": all_edges, "vectors": vectors.join(stale, "chunk_id", "left_anti")})
+        store.commit(
+            {
+                "docs": now, "chunks": made.unionByName(shifted), "edges": new_edges.unionByName(settled.join(again, "src", "left_semi")),
+                "postings": keyword.postings(entries).withColumnRenamed("id", "chunk_id"), "lengths": entries.select(F.col("id").alias("chunk_id"), "dl"),
+            },
+            {"docs": gone.union(moved.select("doc_id")), "chunks": gone.union(turned), "edges": gone.union(again), "vectors": stale, "postings": stale, "lengths": stale} if version is not None else {},
+        )
         return summary
     finally:
         for df in held_frames:
@@ -57,23 +87,27 @@ def index(store: Store, listing: DataFrame, settings: Settings, *, rebuild: bool
 def embed_pending(store: Store, embedder: Embedder, model: str, dim: int, rebuild: bool = False) -> int:
     """Vectors for all chunks without one, in the recorded space; returns how many chunks failed."""
     meta = {r["key"]: r["value"] for r in store.read("meta").collect()}  # two rows
-    vectors = store.read("vectors").where(F.lit(check_space(meta, model, dim, rebuild) != "reset"))
-    chunks = store.read("chunks")
-    made = embed(cdc.missing_vectors(chunks, vectors), embedder).persist()
+    reset = check_space(meta, model, dim, rebuild) == "reset"
+    vectors, chunks = store.read("vectors"), store.read("chunks")
+    made = embed(chunks if reset else cdc.missing_vectors(chunks, vectors), embedder).persist()
     try:
         failed = made.where("embedding IS NULL").count()
         new = made.where("embedding IS NOT NULL").select("chunk_id", "embedding")
         recorded = store.spark.createDataFrame([("embedding_model", model), ("embedding_dim", str(dim))], "key string, value string")
-        store.commit({"vectors": vectors.unionByName(new), "meta": recorded})
+        store.commit({"vectors": new, "meta": recorded}, {"meta": recorded.select("key")} | ({"vectors": vectors.select("chunk_id")} if reset else {}))
         return failed
     finally:
         made.unpersist()
 
 
-def retrieve(questions: DataFrame, docs: DataFrame, chunks: DataFrame, edges: DataFrame, index_: keyword.Index, vectors: DataFrame | None, settings: Settings, *, allow_web: bool, top_k: int | None = None) -> DataFrame:
-    """(qid, ord, id, score, source): hybrid search for (qid, text, embedding) questions.
+def retrieve(
+    questions: DataFrame, docs: DataFrame, chunks: DataFrame, edges: DataFrame, index_: keyword.Index, vectors: DataFrame | None, settings: Settings,
+    *, allow_web: bool, top_k: int | None = None, grader: grading.Grader | None = None,
+) -> DataFrame:
+    """(qid, ord, id, score, source, distance): hybrid search for (qid, text, embedding) questions.
 
-    Both arms see only rows that pass the gate; without vectors the keyword arm answers alone.
+    Both arms see only rows that pass the gate; without vectors the keyword arm answers alone. With reranking on, a
+    grader reorders more candidates than are returned; without one their fused order stands.
     Ids and scores travel through the plan; texts are joined by ``with_texts`` at the end.
     """
     visible = gate(allow_web)
@@ -82,11 +116,19 @@ def retrieve(questions: DataFrame, docs: DataFrame, chunks: DataFrame, edges: Da
     if vec is None:
         vec = fts.limit(0).select("qid", "rank", "id", F.lit(None).cast("double").alias("distance"))
     owner = chunks.select(F.col("chunk_id").alias("id"), "doc_id")
-    fused = fusion.fuse(vec, fts, settings.fusion_top_k, owner, settings.max_per_doc)
-    hits = fused.join(owner, "id")
-    expanded = fusion.expand(hits, edges, docs, chunks, settings.graph_siblings, settings.graph_discount, visible=visible)
-    k = top_k or settings.final_top_k
-    return fusion.merge(fused, expanded, max(settings.rerank_top_k, k) if settings.rerank else k, settings.graph_slots)
+    fused = scratch.write(fusion.fuse(vec, fts, settings.fusion_top_k, owner, settings.max_per_doc))
+    if settings.graph_enabled:
+        expanded = fusion.expand(fused.join(owner, "id"), edges, docs, chunks, settings.graph_siblings, settings.graph_discount, visible=visible)
+    else:
+        expanded = fused.limit(0)
+    k = settings.final_top_k if top_k is None else top_k
+    near = fused.select("qid", "id", "distance")
+    hits = fusion.merge(fused, expanded, max(settings.rerank_top_k, k) if settings.rerank else k, settings.graph_slots).join(near, ["qid", "id"], "left")
+    if settings.rerank and grader is not None:
+        hits = scratch.write(hits)
+        graded = grading.rerank(questions, with_texts(hits, chunks, docs), grader, k)
+        hits = graded.select("qid", F.col("new_ord").alias("ord"), F.col("chunk_id").alias("id"), "score", "source", "distance")
+    return hits.where(F.col("ord") <= k).select("qid", "ord", "id", "score", "source", "distance")
 
 
 def with_texts(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -103,18 +145,40 @@ class Engine:
         self.store, self.settings = Store(spark, root), settings or Settings()
         version = self.store.current()
         self.docs, self.chunks, self.vectors, self.edges = (self.store.read(t, version) for t in ("docs", "chunks", "vectors", "edges"))
-        self.index = keyword.build_index(self.chunks)
+        postings = self.store.read("postings", version).withColumnRenamed("chunk_id", "id")
+        self.index = keyword.Index(postings, keyword.statistics(self.store.read("lengths", version)))
 
-    def search(self, questions: DataFrame, *, allow_web: bool = False, k: int | None = None) -> DataFrame:
+    def search(self, questions: DataFrame, *, allow_web: bool = False, k: int | None = None, grader: grading.Grader | None = None) -> DataFrame:
         asked = questions if "embedding" in questions.columns else questions.withColumn("embedding", F.lit(None).cast("array<float>"))
         vectors = self.vectors if "embedding" in questions.columns else None
-        hits = retrieve(asked, self.docs, self.chunks, self.edges, self.index, vectors, self.settings, allow_web=allow_web, top_k=k)
+        hits = retrieve(asked, self.docs, self.chunks, self.edges, self.index, vectors, self.settings, allow_web=allow_web, top_k=k, grader=grader)
         return with_texts(hits, self.chunks, self.docs)
 
     def answer_context(self, questions: DataFrame, *, allow_web: bool = True) -> DataFrame:
-        """(qid, context) for a model; questions without hits are absent: they are answered with silence."""
+        """(qid, context) for a model; questions without hits are absent."""
         return context.assemble(self.search(questions, allow_web=allow_web), gate(allow_web))
 
+    def ask(
+        self, questions: DataFrame, generate: Callable[[str], str] | None = None, *, web: WebSearch | None = None, grader: grading.Grader | None = None, allow_web: bool = True, dry_run: bool = False
+    ) -> DataFrame:
+        """(qid, answer, generated): one answer for each question.
+
+        Questions for which neither notes nor web give anything are answered ``SILENT`` without a call of the model. A dry run
+        lists the hits instead of answering.
+        """
+        hits = scratch.write(self.search(questions, allow_web=allow_web, grader=grader))
+        found = None
+        if web is not None and allow_web and self.settings.web:
+            thin = context.thin(questions, hits, self.settings.thin_hits, self.settings.thin_distance, allow_web).where("search_web")
+            found = scratch.write(web_results(questions.join(thin.select("qid"), "qid", "left_semi"), web))
+        if dry_run or generate is None:
+            said = context.as_text(hits).select("qid", F.col("listing").alias("answer"), F.lit(False).alias("generated"))
+        else:
+            asked = context.messages(questions, context.assemble(hits, gate(allow_web)), None if found is None else context.web_context(found))
+            said = answer(asked, generate).withColumn("generated", F.lit(True))
+        rows = questions.select("qid").join(said, "qid", "left")
+        return rows.select("qid", F.coalesce("answer", F.lit(SILENT)).alias("answer"), F.coalesce("generated", F.lit(False)).alias("generated"))
+
     def read(self, needle: str, *, allow_web: bool = False) -> DataFrame:
         found = graph.resolve_doc(self.docs, needle, visible=gate(allow_web))
         return graph.read_document(self.chunks, found, visible=gate(allow_web))

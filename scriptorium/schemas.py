@@ -20,6 +20,8 @@ NOTE = _struct(doc_id=TEXT, path=TEXT, rev=TEXT, mtime=LONG, markdown=TEXT)
 DOCS = _struct(doc_id=TEXT, path=TEXT, title=TEXT, rev=TEXT, content_hash=TEXT, sensitivity=TEXT, mtime=LONG, frontmatter=TEXT)
 CHUNKS = _struct(chunk_id=TEXT, doc_id=TEXT, ordinal=INT, heading_path=TEXT, prelude=TEXT, body=TEXT, sensitivity=TEXT)
 VECTORS = _struct(chunk_id=TEXT, embedding=VECTOR)
+POSTINGS = _struct(term=TEXT, chunk_id=TEXT, tf=LONG, dl=LONG)
+LENGTHS = _struct(chunk_id=TEXT, dl=LONG)
 EDGES = _struct(src=TEXT, dst=TEXT, kind=TEXT, resolved=FLAG)
 META = _struct(key=TEXT, value=TEXT)
 QUESTIONS = _struct(qid=LONG, text=TEXT)

@@ -1,10 +1,11 @@
-"""The folder for intermediate tables, shared by driver and executors."""
+"""Intermediate tables, in a folder shared by driver and executors."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
@@ -20,3 +21,16 @@ def folder(spark: SparkSession) -> str:
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="scriptorium-")
     return _local[app]
+
+
+def write(df: DataFrame) -> DataFrame:
+    """Writes df once to the shared folder and reads it back: lineage ends there.
+
+    Files are removed when the JVM's file system closes.
+    """
+    spark = df.sparkSession
+    path = f"{folder(spark)}/scriptorium/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)

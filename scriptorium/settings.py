@@ -24,6 +24,7 @@ class Settings:
     vec_top_k: int = 40
     fusion_top_k: int = 20
     max_per_doc: int = 0
+    graph_enabled: bool = True
     graph_siblings: int = 5
     graph_discount: float = 0.5
     graph_slots: int = 2
@@ -52,7 +53,7 @@ class Settings:
 
 
 #: Keys that a running service may override.
-OVERRIDABLE = frozenset({"fts_top_k", "vec_top_k", "fusion_top_k", "max_per_doc", "graph_siblings", "graph_discount", "graph_slots", "rerank", "rerank_top_k", "final_top_k", "web", "thin_hits", "thin_distance"})
+OVERRIDABLE = frozenset({"fts_top_k", "vec_top_k", "fusion_top_k", "max_per_doc", "graph_enabled", "graph_siblings", "graph_discount", "graph_slots", "rerank", "rerank_top_k", "final_top_k", "web", "thin_hits", "thin_distance"})
 
 
 def overrides(text: str | None) -> dict:

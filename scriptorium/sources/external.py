@@ -7,8 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 log = logging.getLogger(__name__)
 
@@ -30,8 +29,8 @@ def embed(chunks: DataFrame, embedder: Embedder) -> DataFrame:
             for doc_id, rows in df.groupby("doc_id", sort=False, dropna=False):
                 try:
                     vectors = embedder((rows["prelude"] + "\n\n" + rows["body"]).tolist()) if len(rows) else []
-                except Exception:
-                    log.warning("embedding failed for %s", doc_id, exc_info=True)
+                except Exception as e:
+                    log.warning("embedding failed for %s: %s", doc_id, e)
                     vectors = [None] * len(rows)
                 out.append(pd.DataFrame({"chunk_id": rows["chunk_id"], "doc_id": doc_id, "embedding": [None if v is None else np.asarray(v, dtype=np.float32) for v in vectors]}))
             yield pd.concat(out) if out else pd.DataFrame({"chunk_id": [], "doc_id": [], "embedding": []})
@@ -54,16 +53,31 @@ def provider_available(name: str, keys: dict[str, str | None]) -> bool:
     return name in PROVIDERS and (name in KEYLESS or bool(keys.get(name)))
 
 
-def web_results(spark: SparkSession, search: WebSearch, question: str, limit: int = 5) -> DataFrame:
-    """(title, url, snippet) of a search; rows without a url are dropped, failures give none."""
-    try:
-        found = search(question, limit)
-    except Exception:
-        log.warning("web search failed", exc_info=True)
-        found = []
-    rows = [tuple(str(r.get(k) or "").strip() for k in ("title", "url", "snippet")) for r in found]
-    return spark.createDataFrame([r for r in rows if r[1]][:limit], "title string, url string, snippet string")
+def web_results(questions: DataFrame, search: WebSearch, limit: int = 5) -> DataFrame:
+    """(qid, ord, title, url, snippet) of a search for each question; rows without a url are dropped, failures give none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = []
+            for qid, question in zip(df["qid"], df["text"], strict=True):
+                try:
+                    found = search(question, limit)
+                except Exception:
+                    log.warning("web search failed", exc_info=True)
+                    found = []
+                texts = [tuple(str(r.get(k) or "").strip() for k in ("title", "url", "snippet")) for r in found]
+                rows += [(qid, i, *t) for i, t in enumerate([t for t in texts if t[1]][:limit], 1)]
+            yield pd.DataFrame(rows, columns=["qid", "ord", "title", "url", "snippet"])
 
+    kind = questions.schema["qid"].dataType.simpleString()
+    return questions.select("qid", "text").mapInPandas(run, f"qid {kind}, ord int, title string, url string, snippet string")
+
+
+def answer(messages: DataFrame, generate: Callable[[str], str]) -> DataFrame:
+    """(qid, answer) of a model called for each (qid, message), where the row is; a failing call fails the job."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            yield pd.DataFrame({"qid": df["qid"], "answer": [generate(m) for m in df["message"]]})
 
-def web_citation(url):
-    return F.concat(F.lit("<"), url, F.lit(">"))
+    return messages.select("qid", "message").mapInPandas(run, f"qid {messages.schema['qid'].dataType.simpleString()}, answer string")

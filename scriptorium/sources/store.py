@@ -1,19 +1,32 @@
-"""Snapshots of the engine's tables: a new directory for each version, then a pointer file moves.
+"""The engine's tables on shared storage, as segments of rows and of hidden keys.
 
-Readers pin the directory the pointer names when they open it, so they never see half a write.
+A commit writes one segment: the new rows of some tables, and keys whose rows in earlier segments no longer
+count. What it costs therefore grows with the change, not with the corpus. A numbered manifest lists the segments;
+it appears under its final name by one rename that never replaces a file, so of two writers one fails, and readers that hold a number
+keep seeing its segments. When segments have become many they are merged into one; ``clean`` removes what recent
+manifests no longer name.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.sizes import broadcast_if_small
 
-TABLES = {"docs": schemas.DOCS, "chunks": schemas.CHUNKS, "vectors": schemas.VECTORS, "edges": schemas.EDGES, "meta": schemas.META}
-POINTER = "current"
+#: The tables, their schemas and the key that replaces their rows.
+TABLES = {
+    "docs": (schemas.DOCS, "doc_id"), "chunks": (schemas.CHUNKS, "doc_id"), "vectors": (schemas.VECTORS, "chunk_id"), "edges": (schemas.EDGES, "src"),
+    "postings": (schemas.POSTINGS, "chunk_id"), "lengths": (schemas.LENGTHS, "chunk_id"), "meta": (schemas.META, "key"),
+}
+MOST_SEGMENTS = 8
+_MANIFEST = "manifest-"
 
 
 def _files(spark: SparkSession, path: str):
@@ -26,33 +39,91 @@ class Store:
     spark: SparkSession
     root: str
 
-    def current(self) -> str | None:
-        """The pinned version's directory, None before the first commit."""
-        fs, at = _files(self.spark, f"{self.root}/{POINTER}")
-        if not fs.exists(at):
-            return None
-        return f"{self.root}/{self.spark.read.text(f'{self.root}/{POINTER}').first()[0]}"
-
-    def read(self, name: str, version: str | None = None) -> DataFrame:
-        at = version or self.current()
-        schema = TABLES[name]
-        return self.spark.read.schema(schema).parquet(f"{at}/{name}") if at else self.spark.createDataFrame([], schema)
-
-    def commit(self, tables: dict[str, DataFrame]) -> str:
-        """Writes all tables (missing ones are carried over) and moves the pointer; returns the new version."""
-        version = uuid.uuid4().hex
-        for name in TABLES:
-            df = tables.get(name)
-            df = self.read(name) if df is None else df
-            writer = df.select(*TABLES[name].fieldNames()).write
+    def versions(self) -> list[int]:
+        """The numbers of all manifests, oldest first."""
+        fs, at = _files(self.spark, self.root)
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(int(n[len(_MANIFEST) :]) for n in names if n.startswith(_MANIFEST) and n[len(_MANIFEST) :].isdigit())
+
+    def current(self) -> int | None:
+        """The latest version, None before the first commit."""
+        return max(self.versions(), default=None)
+
+    def segments(self, version: int | None = None) -> list[dict]:
+        """The segments of a version, oldest first: id, tables with rows, tables with hidden keys."""
+        version = self.current() if version is None else version
+        if version is None:
+            return []
+        return json.loads(self.spark.read.text(f"{self.root}/{_MANIFEST}{version:012d}").first()[0])
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        schema, key = TABLES[name]
+        found, hidden = [], []
+        for i, s in enumerate(self.segments(version)):
+            if name in s["rows"]:
+                found.append(self.spark.read.schema(schema).parquet(f"{self.root}/{s['id']}/{name}").select(*schema.fieldNames(), F.lit(i).alias("at_")))
+            if name in s["hidden"] and found:
+                hidden.append(self.spark.read.schema(f"{key} string").parquet(f"{self.root}/{s['id']}/hidden-{name}").select(F.col(key).alias("key_"), F.lit(i).alias("until_")))
+        if not found:
+            return self.spark.createDataFrame([], schema)
+        rows = reduce(DataFrame.unionAll, found)
+        if hidden:
+            last = reduce(DataFrame.unionAll, hidden).groupBy("key_").agg(F.max("until_").alias("until_"))
+            rows = rows.join(broadcast_if_small(last), (F.col(key) == F.col("key_")) & (F.col("at_") < F.col("until_")), "left_anti")
+        return rows.drop("at_")
+
+    def _write(self, name: str, rows: DataFrame, segment: str) -> None:
+        rows, at = rows.select(*TABLES[name][0].fieldNames()), f"{self.root}/{segment}/{name}"
+        if name == "chunks":
             # Visibility is a directory level: the gate prunes partitions.
-            writer.partitionBy("sensitivity").parquet(f"{self.root}/{version}/{name}") if name == "chunks" else writer.parquet(f"{self.root}/{version}/{name}")
-        fs, new = _files(self.spark, f"{self.root}/{POINTER}.{version}")
+            rows.write.partitionBy("sensitivity").parquet(at)
+        elif name == "postings":
+            # Sorted by term over all files, so that a question reads few row groups.
+            rows.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.parquet(at)
+        else:
+            rows.write.parquet(at)
+
+    def commit(self, rows: dict[str, DataFrame], hidden: dict[str, DataFrame] | None = None) -> int:
+        """Adds a segment: new rows, after the rows of earlier segments with the ``hidden`` keys are taken away."""
+        base = self.current()
+        old, segment, hidden = self.segments(base), uuid.uuid4().hex, hidden or {}
+        for name, keys in hidden.items():
+            key = TABLES[name][1]
+            keys.select(F.col(keys.columns[0]).cast("string").alias(key)).distinct().write.parquet(f"{self.root}/{segment}/hidden-{name}")
+        for name, df in rows.items():
+            self._write(name, df, segment)
+        segments = [*old, {"id": segment, "rows": sorted(rows), "hidden": sorted(hidden)}]
+        version = self._publish(segments, base)
+        return self.compact() if len(segments) > MOST_SEGMENTS else version
+
+    def compact(self) -> int:
+        """Merges all segments into one."""
+        base, segment = self.current(), uuid.uuid4().hex
+        names = sorted({n for s in self.segments(base) for n in s["rows"]})
+        for name in names:
+            self._write(name, self.read(name, base), segment)
+        return self._publish([{"id": segment, "rows": names, "hidden": []}], base)
+
+    def _publish(self, segments: list[dict], base: int | None) -> int:
+        version = 0 if base is None else base + 1
+        fs, new = _files(self.spark, f"{self.root}/.{uuid.uuid4().hex}")
         out = fs.create(new, True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray(json.dumps(segments).encode()))
         out.close()
-        _, pointer = _files(self.spark, f"{self.root}/{POINTER}")
-        fs.delete(pointer, False)
-        if not fs.rename(new, pointer):
-            raise OSError(f"the pointer of {self.root} could not be moved")
+        _, final = _files(self.spark, f"{self.root}/{_MANIFEST}{version:012d}")
+        if fs.exists(final) or not fs.rename(new, final):
+            fs.delete(new, False)
+            raise OSError(f"version {version} of {self.root} was written by another")
         return version
+
+    def clean(self, keep: int = 2) -> int:
+        """Deletes manifests but the last ``keep``, and segments none of those names; returns how many segments went."""
+        fs, at = _files(self.spark, self.root)
+        versions = self.versions()
+        wanted = {s["id"] for v in versions[-keep:] for s in self.segments(v)}
+        gone = {s["id"] for v in versions[:-keep] for s in self.segments(v)} - wanted
+        for v in versions[:-keep]:
+            fs.delete(_files(self.spark, f"{self.root}/{_MANIFEST}{v:012d}")[1], False)
+        for s in gone:
+            fs.delete(_files(self.spark, f"{self.root}/{s}")[1], True)
+        return len(gone)

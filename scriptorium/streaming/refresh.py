@@ -22,11 +22,9 @@ def read_notes(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
 
 
 def merge_batch(store: Store, batch: DataFrame, settings: Settings) -> None:
-    """Applies one micro-batch: of several rows of a note the one of the latest mtime counts."""
+    """Applies one micro-batch, as a listing of changed notes: of several rows of a note the one of the latest mtime counts."""
     latest = batch.groupBy("doc_id").agg(F.max_by(F.struct("path", "rev", "mtime", "markdown"), F.struct("mtime", "rev")).alias("n")).select("doc_id", "n.*")
-    docs = store.read("docs")
-    rest = docs.join(latest.select("doc_id"), "doc_id", "left_anti").select("doc_id", "path", "rev", "mtime", F.lit(None).cast("string").alias("markdown"))
-    engine.index(store, latest.unionByName(rest), settings)
+    engine.index(store, latest, settings, full=False)
 
 
 def refresh(notes: DataFrame, store: Store, checkpoint: str, settings: Settings | None = None, every: str | None = None) -> StreamingQuery:

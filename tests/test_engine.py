@@ -72,9 +72,28 @@ def test_external(spark):
     with pytest.raises(ValueError, match="not of"):
         external.check_space(meta, "m", 8)
     assert external.provider_available("duckduckgo", {}) and not external.provider_available("brave", {}) and not external.provider_available("x", {"x": "k"})
-    found = external.web_results(spark, lambda q, n: [{"title": " t ", "url": "u"}, {"title": "no url"}], "q")
-    assert [tuple(r) for r in found.collect()] == [("t", "u", "")]
-    assert external.web_results(spark, lambda q, n: 1 / 0, "q").count() == 0
+    q = spark.createDataFrame([(0, "q"), (1, "r")], "qid long, text string")
+    found = external.web_results(q, lambda q, n: [{"title": f" {q} ", "url": "u"}, {"title": "no url"}] if q == "q" else 1 / 0)
+    assert [tuple(r) for r in found.collect()] == [(0, 1, "q", "u", "")]
+
+
+def test_a_store_keeps_versions_and_refuses_a_second_writer(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    row = lambda *r: spark.createDataFrame(list(r), "key string, value string")
+    values = lambda version=None: {r["key"]: r["value"] for r in store.read("meta", version).collect()}
+    assert store.current() is None and values() == {}
+    first = store.commit({"meta": row(("a", "1"), ("b", "1"))})
+    for i in range(2, 12):
+        store.commit({"meta": row(("a", str(i)))}, {"meta": row(("a", "")).select("key")})
+        assert values() == {"a": str(i), "b": "1"}
+    assert values(first) == {"a": "1", "b": "1"} and len(store.segments()) <= 8
+    store.commit({}, {"meta": row(("b", "")).select("key")})
+    assert values() == {"a": "11"}
+    with pytest.raises(OSError, match="another"):
+        store._publish([], store.current() - 1)
+    assert store.clean() > 0 and values() == {"a": "11"} and len(store.versions()) == 2
+    store.compact()
+    assert values() == {"a": "11"} and len(store.segments()) == 1
 
 
 def test_index_search_and_refresh(spark, tmp_path):
@@ -90,6 +109,8 @@ def test_index_search_and_refresh(spark, tmp_path):
     vectors = {"fox": [1.0, 0.0], "dog": [0.0, 1.0], "hub": [0.5, 0.5]}
     embedder = lambda texts: [next(v for w, v in vectors.items() if w in t) for t in texts]
     assert engine.embed_pending(store, embedder, "m", 2) == 0
+    dry = engine.index(store, notes(spark, first[1:]), chosen, dry_run=True).first()
+    assert dry["n_deleted"] == 1 and store.read("docs").count() == 4
     e = engine.Engine(spark, store.root, chosen)
     q = spark.createDataFrame([(0, "red fox", [1.0, 0.0])], "qid long, text string, embedding array<float>")
     seen = {r["doc_id"]: r["source"] for r in e.search(q, allow_web=True).collect()}
@@ -99,6 +120,18 @@ def test_index_search_and_refresh(spark, tmp_path):
     assert {(r["direction"], r["neighbor"]) for r in e.neighbors("N/a", allow_web=True).collect()} == {("in", "N/b.md"), ("in", "Topics/T.md")}
     assert e.read("n/b").first()["text"].endswith("a blue dog [[a]]")
     assert e.read("secret/s", allow_web=True).count() == 0
+    two = spark.createDataFrame([(0, "red fox"), (1, "zebra")], "qid long, text string")
+    said = {r["qid"]: (r["answer"], r["generated"]) for r in e.ask(two, lambda m: m.upper()).collect()}
+    assert said[1] == (engine.SILENT, False) and said[0][1]
+    assert said[0][0].startswith("QUESTION: RED FOX\n\nCONTEXT FROM THE NOTES:\n\n### [[N/A.MD|A]]\nTHE RED FOX\n\n### [[TOPICS/T.MD|TOPIC]]\n")
+    assert {r["qid"]: r["answer"] for r in e.ask(two, dry_run=True).collect()}[0] == "2 hit(s):\n  0.016393  [fts]  [[N/a.md|a]]\n  0.008197  [graph]  [[Topics/T.md|Topic]]"
+    webbed = engine.Engine(spark, store.root, chosen.with_(web=True))
+    found = lambda q, n: [{"title": "Z", "url": "http://z", "snippet": "stripes"}] if q == "zebra" else []
+    said = {r["qid"]: r["answer"] for r in webbed.ask(two, lambda m: m, web=found).collect()}
+    assert said[1].endswith("### Z\nhttp://z\nstripes") and "From the web" not in said[0]
+    graded = engine.Engine(spark, store.root, chosen.with_(rerank=True, rerank_top_k=8, graph_enabled=False))
+    order = [r["doc_id"] for r in graded.search(q, allow_web=True, grader=lambda i, p: "2: 3\n1: 1").orderBy("ord").collect()]
+    assert order == ["topics/t.md", "n/a.md"]
 
     from scriptorium.streaming import refresh
 

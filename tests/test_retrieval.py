@@ -87,18 +87,50 @@ def test_quota(spark):
 
 
 def test_grades(spark):
-    parse = grading.parse_grades
-    assert parse("1: 3\n3: 1", 3) == [3, 0, 1] and parse("```\n[2]: 2\n1: 0\n```", 2) == [0, 2]
-    assert parse("none", 2) == [0, 0] and parse("3 1 0", 3) == [3, 1, 0]
-    for bad in ("0: 1", "4: 1", "1: 1.5", "1: 9", "1: 2\n1: 3", "3 1", ""):
-        assert parse(bad, 3) is None
+    good = [
+        ("1: 3\n3: 1", 3, [3, 0, 1]), ("3 = 2\n1: 3 \n2 : 0", 3, [3, 0, 2]), ("```\n2: 2\n1: 0\n```", 2, [0, 2]), ("1: 2.0", 2, [2, 0]), ("1: 2\n1: 2.0", 2, [2, 0]),
+        ("none", 2, [0, 0]), ("**None**.", 2, [0, 0]), ("- none", 1, [0]), ("3 1 0", 3, [3, 1, 0]), ("1.0, 0.0, 3.0", 3, [1, 0, 3]), ("[3, 0, 2]", 3, [3, 0, 2]), ("3 of 1: 1", 2, [1, 0]),
+    ]
+    bad = ["0: 1", "4: 1", "1: 1.5", "1: 9", "1: -1", "1: 2\n1: 3", "99999999999999999999: 1", "3 1", "", None, "nonesuch", "none of 3", "1 2 3.5", "-1 1 2", "[1, 2, 9]", '["a","b"]', "1: 3\n2: 1 4: x5: 1"]
+    rows = spark.createDataFrame([(i, t, n) for i, (t, n, _) in enumerate(good)] + [(100 + i, t, 3) for i, t in enumerate(bad)], "i int, reply string, n int")
+    got = {r["i"]: r["g"] for r in rows.select("i", grading.parse_grades(F.col("reply"), F.col("n")).alias("g")).collect()}
+    assert [got[i] for i in range(len(good))] == [g for *_, g in good]
+    assert [t for i, t in enumerate(bad) if got[100 + i] is not None] == []
     hits = spark.createDataFrame([(0, i, x) for i, x in enumerate("abcd", 1)] + [(1, 1, "z")], "qid long, ord int, id string")
     g = spark.createDataFrame([(0, 1, 1), (0, 2, 0), (0, 3, 3), (0, 4, 1)], "qid long, ord int, grade int")
     got = grading.apply_grades(hits, g).orderBy("qid", "new_ord").collect()
     assert [r["id"] for r in got] == ["c", "a", "d", "z"]
-    texts = [{"title": x, "body": x} for x in "abc"]
-    assert [h["title"] for h in grading.rerank(texts, lambda _: "1: 1\n3: 2")] == ["c", "a"]
-    assert grading.rerank(texts, lambda _: "what?") is None and grading.rerank(texts[:1], lambda _: "1: 1") is None
+
+
+def test_reranking_asks_once_a_question(spark):
+    rows = [(q, i, x, None if i < 3 else "part", f" {x}\n {x} ") for q in (0, 1, 2, 3) for i, x in enumerate("abc", 1)] + [(4, 1, "a", None, "a")]
+    hits = spark.createDataFrame(rows, "qid long, ord int, title string, heading_path string, body string")
+    q = spark.createDataFrame([(i, f"ask {i}") for i in range(5)], "qid long, text string")
+    asked = {r["qid"]: r["prompt"] for r in grading.prompts(q, hits).collect()}
+    assert asked[1] == "Question: ask 1\n\nCandidates:\n[1] a\na a\n[2] b\nb b\n[3] c > part\nc c"
+
+    def grader(instruction, prompt):
+        which = int(prompt.split("\n")[0][-1])
+        if which == 2:
+            raise ValueError("down")
+        if which == 4:
+            raise AssertionError("one candidate")
+        return ("1: 1\n3: 2", "what?", "", "none")[which]
+
+    got = {}
+    for r in grading.rerank(q, hits, grader).orderBy("qid", "new_ord").collect():
+        got.setdefault(r["qid"], []).append(r["title"])
+    assert got == {0: ["c", "a"], 1: ["a", "b", "c"], 2: ["a", "b", "c"], 3: ["a", "b", "c"], 4: ["a"]}
+    tries = []
+
+    def limited(instruction, prompt):
+        tries.append(1)
+        raise grading.RateLimited
+
+    run = grading._asked(limited, 0.0)
+    import pandas as pd
+
+    assert next(run(iter([pd.DataFrame({"qid": [0], "n": [2], "prompt": ["x"]})])))["reply"].tolist() == [None] and len(tries) == 2
 
 
 def test_web_trigger(spark):
@@ -112,12 +144,36 @@ def test_web_trigger(spark):
 def test_context_refuses_hidden_rows(spark):
     import pytest
 
-    hits = spark.createDataFrame([(0, 1, "c", "p.md", "t", "b", "open"), (0, 2, "d", "q.md", "t", "hidden", "personal")], "qid long, ord int, chunk_id string, path string, prelude string, body string, sensitivity string")
-    assert context.assemble(hits).first()["context"] == "[[p.md]]\nt\n\nb\n\n---\n\n[[q.md]]\nt\n\nhidden"
+    hits = spark.createDataFrame([(0, 1, "c", "p.md", "t", "b", "open", None), (0, 2, "d", "q.md", "t", "hidden", "personal", "H")], "qid long, ord int, chunk_id string, path string, title string, body string, sensitivity string, heading_path string")
+    assert context.assemble(hits).first()["context"] == "### [[p.md|t]]\nb\n\n### [[q.md|t]] (H)\nhidden"
     with pytest.raises(Exception, match="hidden row"):
         context.assemble(hits, "open").collect()
 
 
+def test_a_vector_of_another_space_leaves_the_arm_out(spark):
+    c = chunks(spark, [("a", "a", 0, "", "x", "open"), ("b", "b", 0, "", "x", "open")])
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0])], "chunk_id string, embedding array<float>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, embedding array<float>")
+    assert vector.search_or_nothing(asked, v, c, 5, visible=None) is None
+    assert [r["id"] for r in vector.search(asked, v, c, 5, visible=None).collect()] == ["a"]
+    assert vector.search_or_nothing(asked, v.where("chunk_id = 'a'"), c, 5, visible=None).count() == 1
+
+
+def test_the_best_of_many_batches(spark):
+    """Ties go to the smaller id whatever the batches; strings and numbers are ids."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    x, q = rng.integers(0, 4, (500, 3)).astype(float), rng.integers(0, 4, (7, 3)).astype(float)
+    for ids in (rng.permutation(500), np.array([f"c{i:03}" for i in rng.permutation(500)], dtype=object)):
+        frames = [pd.DataFrame({"id": ids[i : i + 90], "embedding": list(x[i : i + 90])}) for i in range(0, 500, 90)]
+        got = pd.concat(vector._nearest(np.arange(7), q, 5)(iter(frames)))
+        for k in range(7):
+            d = np.sqrt(((x - q[k]) ** 2).sum(axis=1))
+            assert got[got["qid"] == k]["id"].tolist() == [ids[i] for i in sorted(range(500), key=lambda i: (d[i], ids[i]))[:5]]
+
+
 def test_document_tools(spark):
     docs = spark.createDataFrame([("a/x.md", "A/X.md", "Ex", "open"), ("b/x.md", "B/x.md", "Ex", "open"), ("c/y.md", "c/y.md", "Why", "personal")], "doc_id string, path string, title string, sensitivity string")
     name = lambda n, v=None: sorted(r["doc_id"] for r in graph.resolve_doc(docs, n, visible=v).collect())
