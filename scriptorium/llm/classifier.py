@@ -1,8 +1,8 @@
 """Quality classifier: a sparse rule ensemble compiled into Spark columns.
 
 Statistics of the text are Spark expressions. On a bounded sample of labelled training rows
-(``SAMPLE`` at most, the smallest by a hash of the id; documented, and independent of the input's size)
-small boosted regression trees are grown on the driver; every path of every tree becomes a
+(``SAMPLE`` documents at most, the smallest by a hash of id and statistics, whatever their labels; independent of the input's size)
+small boosted regression trees are grown on the driver, each on ``TREE_SAMPLE`` of these rows drawn anew; every path of every tree becomes a
 conjunctive rule over the statistics; a lasso logistic regression picks and weighs few of them; the
 chosen rules become one Spark column, so scoring is a scan without Python.
 
@@ -11,8 +11,9 @@ lang, source or doc_id enter a score.
 
 Edge cases: null and empty texts have all statistics 0 and get the score those rules give;
 repeated rows are scored each time, and a repeated label counts as often as it occurs; labels
-that are null take no part; without training rows of both classes every score is the share of
-label 1 (0.5 if there is none); an empty table gives no rows; extra columns are ignored.
+that are null take no part, nor do labels of ids no document has; with fewer than ``LEAST_TRAINED`` training rows, or without both
+classes among them, every score is the share of label 1 (0.5 if there is none); rows with null ids are scored, never held out and never
+trained on; very long texts are read whole; documents of equal statistics get equal scores; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, materialize, table, words
 from .quality_rules import let
 
+#: Labelled documents the ensemble is fitted on at most, of these each tree, and at least.
 SAMPLE = 20_000
+TREE_SAMPLE = 4_000
+LEAST_TRAINED = 40
 FOLDS = 5
 THRESHOLD = 0.3
 TREES = 40
@@ -122,13 +126,13 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> tuple[float, list[tuple
     """The intercept and the weighted rules of a lasso over the paths of boosted trees."""
     share = float(y.mean()) if len(y) else 0.5
     base = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    if len(y) < 40 or share in (0.0, 1.0):
+    if len(y) < LEAST_TRAINED or share in (0.0, 1.0):
         return base, []
     rng = np.random.default_rng(seed)
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     z, rules = np.full(len(y), base), []
     for _ in range(TREES):
-        some = rng.permutation(len(y))[: min(len(y), 4000)]
+        some = rng.permutation(len(y))[: min(len(y), TREE_SAMPLE)]
         columns = np.sort(rng.permutation(x.shape[1])[: max(2, x.shape[1] * 2 // 3)])
         p = _sigmoid(z[some])
         found: list[tuple[Rule, float]] = []
@@ -170,9 +174,10 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """(doc_id, held_out, score, predicted) of every document, labels being (doc_id, quality)."""
     stats = materialize(docs.select("doc_id", statistics(F.col("text")).alias("s")))
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    chosen = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = stats.join(broadcast_if_small(chosen), "doc_id").select("quality", *[F.col("s")[c].alias(c) for c in STATISTICS]).orderBy("quality", *STATISTICS).limit(2 * sample).collect()
-    data = np.array([tuple(r) for r in rows], dtype=np.float64).reshape(-1, 1 + len(STATISTICS))
+    trained = stats.join(broadcast_if_small(known.where(~held_out(F.col("doc_id")))), "doc_id")
+    chosen = trained.orderBy(F.xxhash64("doc_id", "s"), "doc_id", "quality").limit(sample)
+    rows = chosen.select("quality", *[F.col("s")[c].alias(c) for c in STATISTICS]).collect()
+    data = np.array(sorted(tuple(r) for r in rows), dtype=np.float64).reshape(-1, 1 + len(STATISTICS))
     intercept, rules = fit(data[:, 1:], data[:, 0])
     out = stats.withColumn("score", score_column(F.col("s"), intercept, rules))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

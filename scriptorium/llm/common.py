@@ -1,17 +1,18 @@
-"""What several operators share: tables, whole-word rules, scratch tables, linking.
+"""What several operators share: tables, whole-word rules, scratch tables (``materialize``), linking.
 
 Scratch tables go to the folder the session names in ``spark.checkpoint.dir``, which driver and
-executors share, so that work done once survives the loss of executors.
+executors share, so that work done once survives the loss of executors. Arrow batches of whole texts are bounded by
+Spark's own limit of bytes a batch; no operator changes the session's settings.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import scratch
+from ..scratch import write as materialize
+
+__all__ = ["BROADCAST_ROWS", "SPACE", "WORD", "broadcast_if_small", "components", "materialize", "table", "unused", "word_count", "words"]
 
 #: White space that separates words, as a Java and Python character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -25,25 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds what one Arrow batch of whole texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared scratch folder and reads it back: lineage ends there.
-
-    Files are removed when the JVM's file system closes.
-    """
-    spark = df.sparkSession
-    path = f"{scratch.folder(spark)}/scriptorium/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has been counted and holds at most ``rows`` rows.
 
@@ -52,6 +34,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores until it is none of the columns (whatever their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), rf"[{SPACE}]+"), lambda w: w != "")

@@ -13,7 +13,8 @@ packed together by best fit.
 Each document is tokenized once; what is written and ranked is one short row per piece.
 
 Edge cases: null and empty texts are the end id alone; very long texts are cut like any other; a
-repeated row is packed as often as it occurs; rows with a null id are packed too; an empty table
+repeated row is packed as often as it occurs; rows with a null id are packed too; pieces of equal length lie in the order they are
+read, those left over by length, id and start; an empty table
 gives no rows; extra columns are ignored.
 """
 
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, small_batches, table
+from .common import broadcast_if_small, materialize, table
 
 CAPACITY = 4096
 END_ID = 2
@@ -182,7 +183,6 @@ def _best_fit(capacity: int):
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: where it starts in its document and where it lies in which sequence."""
     spark = docs.sparkSession
-    small_batches(spark)
     pieces = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_pieces(tokenizer_path, end_id, capacity), PIECES))
     w = Window.partitionBy("length").orderBy("part")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))

@@ -9,7 +9,9 @@ and judged; the weights, one number for each bucket, are a scalar subquery of th
 Edge cases: null and empty texts have no words, fail the base rules and score 0; a repeated row
 is judged (and counted) each time; without labels, or without any target document that is
 present, every score is 0, so the base rules alone decide; an empty table gives no rows.
-Labels with null ids or repeated ids count once each or not at all. Extra columns are ignored.
+Rows with null ids are counted and judged like others, but are no target; labels with null ids count not at all, repeated ones once.
+Very long texts are read whole. A score that equals the threshold is kept, so ties share a verdict. Extra columns stay
+and change nothing, but for one named ``rules``, which is replaced.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, table, words
+from .common import WORD, broadcast_if_small, table, unused, words
 
 BUCKETS = 1 << 16
 #: Raw occurrences that a bucket is credited with on both sides, so that rare n-grams tell little.
 SMOOTHING = 30.0
 LEAST_SCORE = -0.2
+#: Ids of the target that may be broadcast: longs, so 100 MB or less.
+MOST_TRUSTED = 4_000_000
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
@@ -66,7 +70,7 @@ def _bucket(h: Column) -> Column:
 
 def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row, one column: the array of the buckets' log ratios. trusted: the doc_ids of the target."""
-    ids = broadcast_if_small(trusted.where("doc_id IS NOT NULL").select("doc_id").distinct().withColumn("target", F.lit(1)))
+    ids = broadcast_if_small(trusted.where("doc_id IS NOT NULL").select("doc_id").distinct().withColumn("target", F.lit(1)), MOST_TRUSTED)
     grams = _hashes(F.col("text"), lambda w, h, p: F.transform(F.concat(h, p), _bucket))
     each = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("target", F.explode(grams).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("target"))
@@ -78,7 +82,8 @@ def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """docs' columns and a struct ``rules`` of the statistics, the score and the verdict."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, h: s + F.get("w_", _bucket(h)))
+    weight, judged = unused("weights", docs.columns), unused("judged", docs.columns)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, h: s + F.get(F.col(weight), _bucket(h)))
 
     def of(w: Column, h: Column, p: Column) -> Column:
         n_grams = F.size(h) + F.size(p)
@@ -90,7 +95,7 @@ def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         )
 
     lines = let(F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(WORD)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    s = F.col("s_")
+    s = F.col(judged)
     failed = (s["n_words"] < LEAST_WORDS) | (s["n_repeat_words"] * 100 > s["n_words"] * MOST_REPEATED)
     rules = F.struct(
         s["n_words"].alias("n_words"), s["word_chars"].alias("word_chars"),
@@ -100,7 +105,7 @@ def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     )
     # A generator of one row: filters on the verdict stay above it, so a text is judged once.
     once = F.explode(F.array(_hashes(F.col("text"), of)))
-    return docs.withColumn("w_", weights(docs, trusted).scalar()).withColumn("s_", once).withColumn("rules", rules).drop("s_", "w_")
+    return docs.withColumn(weight, weights(docs, trusted).scalar()).withColumn(judged, once).withColumn("rules", rules).drop(judged, weight)
 
 
 def trusted_ids(spark, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ the distinct character n-grams of host and path, hashed apart into 2**14 buckets
 is read; nothing is shuffled.
 
 Edge cases: null urls and urls without ``://`` have empty host and path, fit no rule and get the
-verdict of the model's bias; repeated rows are judged each time; very long urls are read whole;
-an empty table gives no rows; extra columns are ignored.
+verdict of the model's bias; repeated rows are judged each time; very long urls are read whole; of rules of one
+length the first listed wins, and a score that equals the threshold blocks; an empty table gives no rows. Extra columns stay and
+change nothing, but for those named host, path, rule, verdict and score, which are replaced.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ LABELLED = (
         "cheap-pills.example.org/buy", "www.cheap-pills.example.net/en/12", "pills-online.example.org/order-now", "casino-win.example.org/en/1", "best-casino.example.net/bonus",
         "m.free-bets.example.org/de/4", "free-bets.example.net/odds", "www.spam-farm.example.org/link", "spam-farm.example.net/en/3", "ads-track.example.org/click?id=4",
         "ads-track.example.net/en/7", "track-ads.example.org/pixel", "win-money-fast.example.net/now", "cheap-watches.example.org/replica", "hot-singles.example.net/chat",
-        "adult-video.example.org/xxx", "poker-slots.example.net/jackpot", "payday-loans.example.org/apply", "free-casino-bonus.example.net/spin", "click-farm.example.org/traffic",
+        "adult-video.example.org/xxx", "www.adult-chat.example.net/en/8", "m.adult-pics.example.org/de/27", "poker-slots.example.net/jackpot", "payday-loans.example.org/apply", "free-casino-bonus.example.net/spin", "click-farm.example.org/traffic",
         "viagra-pills.example.net/cheap", "seo-links.example.org/buy-links", "betting-tips.example.net/free", "malware-download.example.org/crack.exe", "keygen-warez.example.net/free",
         "blog.cheap-pills.example.net/de/5/", "blog.casino-win.example.org/fr/88.html", "blog.free-bets.example.org/en/7", "blog.spam-farm.example.net/es/30/", "www.ads-track.example.net/de/61.html",
     )),
@@ -47,7 +48,7 @@ LABELLED = (
         "www.theatre.example.org/en/programme", "physics.example.net/lectures/3", "wiki.example.org/en/mathematics", "blog.then.example.net/en/853", "them.example.org/de/144.html",
         "m.other.example.net/en/25", "www.nation.example.org/en/471", "blog.thesis.example.net/de/9", "station.example.org/en/453", "thing.example.net/de/252.html",
         "www.motion.example.org/en/618", "reading.example.net/en/260", "blog.herald.example.org/es/10", "ration.example.org/fr/414", "anthem.example.net/de/797",
-        "m.garden.example.org/en/31", "m.history.example.net/de/57.html", "m.then.example.org/fr/6/", "m.harvest.example.net/es/19", "m.thistle.example.org/en/88",
+        "m.garden.example.org/en/31", "m.history.example.net/de/57.html", "m.then.example.org/fr/6/", "m.harvest.example.net/es/19", "m.thistle.example.org/en/88", "www.theses.example.net/en/39", "thicket.example.net/en/116",
     )),
 )
 

@@ -15,6 +15,15 @@ def odd(spark):
     return spark.createDataFrame([(*r, 1, "s", 2, "f", 3, 4, 5, "h", 6, 7, 8) for r in rows], "doc_id long, text string, lang string, source string, n_chars long" + EXTRA)
 
 
+@pytest.fixture(autouse=True)
+def settings_stay(spark):
+    """No operator changes the session's settings."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n) for n in names]
+    yield
+    assert [spark.conf.get(n) for n in names] == before
+
+
 @pytest.fixture(scope="session")
 def docs(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")

@@ -52,6 +52,10 @@ def test_quality_rules(spark, sf, texts, odd):
     for r in rows:
         assert tuple(r["rules"])[:5] == base_rules(r["text"])
     assert quality_rules.judge(odd.limit(0), none).count() == 0
+    wide = odd.withColumn("weights", F.lit(1)).withColumn("Judged", F.lit("j"))
+    out = quality_rules.judge(wide, none)
+    assert out.columns == wide.columns and {(r["weights"], r["Judged"]) for r in out.collect()} == {(1, "j")}
+    assert sorted(str(r["rules"]) for r in out.collect()) == sorted(str(r["rules"]) for r in rows)
 
 
 def plain_fingerprint(text):
@@ -215,6 +219,42 @@ def test_classifier(spark, odd):
     assert classifier.classify(odd, both).count() == odd.count()
 
 
+def plain_statistics(text):
+    t = text or ""
+    w, lines = WORD.findall(t), [x for x in t.split("\n") if x]
+    n, chars = max(len(w), 1), max(sum(map(len, w)), 1)
+    count = lambda p: len(re.findall(p, t))
+    import unicodedata
+
+    return (
+        len(w), chars / n, count(r"[#*$%&|<>{}=_~^\\]") / n, sum(unicodedata.category(c) == "Lu" for c in t) / chars, count("[0-9]") / chars, len(set(w)) / n,
+        sum(a == b for a, b in zip(w, w[1:])) / n, (len(lines) - len(set(lines))) / max(len(lines), 1), count("[!?]") / n, len(lines) / n,
+        (w.count(w[0]) if w else 0) / n, sum(len(x) <= 3 for x in w) / n,
+    )
+
+
+def test_classifier_statistics_and_compiled_rules(spark, docs, texts, odd):
+    """Statistics against a plain version; a score against the rules applied one by one; both on odd rows too."""
+    rows = docs.select("text").union(odd.select("text")).select("text", classifier.statistics(F.col("text")).alias("s")).collect()
+    for r in rows:
+        assert np.allclose(tuple(r["s"]), plain_statistics(r["text"]))
+    x = np.array([tuple(r["s"]) for r in rows])
+    y = ((x[:, 5] > np.median(x[:, 5])) & (x[:, 1] > np.median(x[:, 1]))).astype(float)
+    intercept, rules = classifier.fit(x, y)
+    assert rules and any(len(rule.terms) > 1 for rule, _ in rules)
+    frame = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "i long, " + ", ".join(f"{n} double" for n in classifier.STATISTICS))
+    got = {r["i"]: r["p"] for r in frame.select("i", classifier.score_column(F.struct(*classifier.STATISTICS), intercept, rules).alias("p")).collect()}
+    for i, v in enumerate(x):
+        z = intercept + sum(w for rule, w in rules if all((v[f] > cut) if above else (v[f] <= cut) for f, above, cut in rule.terms))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+    assert np.mean((np.array([got[i] for i in range(len(x))]) > 0.5) == y) > 0.9
+
+
+def test_the_sample_is_of_both_labels(spark, docs):
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    assert len({r["score"] for r in classifier.classify(docs, labels, sample=60).collect()}) > 1
+
+
 def packed(rows, total):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:

@@ -59,6 +59,23 @@ def test_urls(spark, sf):
     right = [(w[f].sum() / np.sqrt(len(f) + 1.0) + w[-1] > 0) == bool(y) for f, (_, y) in zip(x, url_filter.LABELLED, strict=True)]
     assert np.mean(right) == 1.0
     assert url_filter.judge(every.limit(0)).count() == 0
+    extra = url_filter.judge(every.withColumn("score", F.lit("s")).withColumn("Host2", F.lit(1)))
+    assert extra.columns == ["page_id", "url", "rule", "score", "Host2", "host", "path", "verdict"] and extra.count() == every.count()
+
+
+def test_url_model_on_held_out_urls():
+    """Five folds: urls the model was not trained on, and features recomputed apart."""
+    import xxhash
+
+    right = []
+    for fold in range(5):
+        w = url_filter.train([u for i, u in enumerate(url_filter.LABELLED) if i % 5 != fold])
+        for url, y in url_filter.LABELLED[fold::5]:
+            host, _, path = url.split("://")[1].partition("/")
+            grams = {t[i : i + n] + k for k, t in (("h", f"^{host}$"), ("p", f"^/{path.split('?')[0]}$")) for n in (3, 4, 5) for i in range(len(t) - n + 1)}
+            f = sorted({xxhash.xxh32_intdigest(g.encode()) % url_filter.BUCKETS for g in grams})
+            right.append((w[f].sum() / np.sqrt(len(f) + 1.0) + w[-1] >= 0) == bool(y))
+    assert np.mean(right) >= 0.8
 
 
 PAGE = "<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><a href='/'>Home</a></nav>{body}<footer>&copy; us</footer></body></html>"
