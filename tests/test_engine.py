@@ -60,6 +60,15 @@ def test_listing(spark, tmp_path):
 def test_settings():
     assert settings.load("final_top_k: 16\ngraph_slots: 3", '{"graph_slots": 1, "include": ["x"]}', rerank=True).graph_slots == 1
     assert settings.overrides("not json") == {}
+    layered = settings.load(
+        "final_top_k: 16\ngraph_slots: 3\nthin_hits: 7", '{"thin_hits": 9, "source_url": "no"}', rerank=False,
+        dotenv_text="# note\nSCRIPTORIUM_GRAPH_SLOTS='4'\nexport SCRIPTORIUM_WEB=yes\nbroken", environment={"SCRIPTORIUM_GRAPH_SLOTS": "5", "SCRIPTORIUM_PERSONAL": "a/*, b/*", "OTHER": "1"},
+    )
+    assert (layered.final_top_k, layered.graph_slots, layered.thin_hits, layered.web, layered.personal, layered.source_url) == (16, 5, 9, True, ("a/*", "b/*"), "")
+    with pytest.raises(settings.SettingsError, match="not a int"):
+        settings.load(environment={"SCRIPTORIUM_FINAL_TOP_K": "many"})
+    with pytest.raises(settings.SettingsError, match="source_password"):
+        settings.load(environment={"SCRIPTORIUM_SOURCE_URL": "http://db"})
     for bad in ("target_tokens: 2000", "fusion_top_k: 90", "nonsense: 1"):
         with pytest.raises(settings.SettingsError):
             settings.load(bad)
