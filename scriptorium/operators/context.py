@@ -50,12 +50,17 @@ def as_text(hits: DataFrame) -> DataFrame:
     return hits.groupBy("qid").agg(F.concat(count, F.array_join(_ordered("ord", line), "\n")).alias("listing"))
 
 
+def web_citation(url):
+    """How a web result is cited: by its URL, never as a link between notes."""
+    return F.trim(url)
+
+
 WEB_HEADING = "## From the web (not from the notes; cite by URL)"
 
 
 def web_context(results: DataFrame) -> DataFrame:
     """(qid, web): a heading of its own and a block per result (qid, ord, title, url, snippet)."""
-    block = F.concat(F.lit("### "), "title", F.lit("\n"), "url", F.lit("\n"), "snippet")
+    block = F.concat(F.lit("### "), "title", F.lit("\n"), web_citation(F.col("url")), F.lit("\n"), "snippet")
     return results.groupBy("qid").agg(F.concat(F.lit(f"{WEB_HEADING}\n\n"), F.array_join(_ordered("ord", block), "\n\n")).alias("web"))
 
 

@@ -33,21 +33,26 @@ class Index:
     stats: DataFrame
 
 
+#: A term and its repetitions, in the text of sorted terms.
+_RUN = r"([^ ]+)(?: \1(?= |$))*"
+
+
 def runs(terms: Column) -> Column:
-    """An array of terms as structs (term, tf), sorted by term."""
-    starts = lambda s: F.filter(F.transform(s, lambda t, i: F.struct(t.alias("term"), i.alias("at"))), lambda e: (e["at"] == 0) | (F.get(s, e["at"] - 1) != e["term"]))
-    count = lambda s, b: F.transform(b, lambda e, k: F.struct(e["term"].alias("term"), (F.coalesce(F.get(b, k + 1)["at"], F.size(s)) - e["at"]).cast("long").alias("tf")))
-    return X.let(F.sort_array(terms), lambda s: X.let(starts(s), lambda b: count(s, b)))
+    """The runs of equal terms among the sorted terms, each as text: ``a``, ``fox fox``, ``the``."""
+    return F.regexp_extract_all(F.array_join(F.sort_array(terms), " "), F.lit(_RUN), F.lit(0))
 
 
 def entries(chunks: DataFrame, key: str = "chunk_id", columns: tuple[str, ...] = ("prelude", "body")) -> DataFrame:
-    """(id, dl, terms) of every chunk over the given text columns."""
+    """(id, dl, runs) of every chunk over the given text columns."""
     found = chunks.select(F.col(key).alias("id"), F.concat(*[X.terms(F.col(c)) for c in columns]).alias("terms"))
-    return found.select("id", F.size("terms").cast("long").alias("dl"), runs(F.col("terms")).alias("terms"))
+    return found.select("id", F.size("terms").cast("long").alias("dl"), runs(F.col("terms")).alias("runs"))
 
 
 def postings(entries_: DataFrame) -> DataFrame:
-    return entries_.select("id", "dl", F.explode("terms").alias("t")).select("t.term", "id", "t.tf", "dl")
+    """(term, id, tf, dl) of entries."""
+    each = entries_.select("id", "dl", F.explode("runs").alias("run"))
+    term = F.substring_index("run", " ", 1)
+    return each.select(term.alias("term"), "id", ((F.length("run") + 1) / (F.length(term) + 1)).cast("long").alias("tf"), "dl")
 
 
 def statistics(lengths: DataFrame) -> DataFrame:

@@ -148,6 +148,10 @@ class Engine:
         postings = self.store.read("postings", version).withColumnRenamed("chunk_id", "id")
         self.index = keyword.Index(postings, keyword.statistics(self.store.read("lengths", version)))
 
+    def alive(self) -> bool:
+        """Whether the cluster answers and the snapshot can be read."""
+        return self.store.spark.range(1).count() == 1 and len(self.docs.columns) > 0
+
     def search(self, questions: DataFrame, *, allow_web: bool = False, k: int | None = None, grader: grading.Grader | None = None) -> DataFrame:
         asked = questions if "embedding" in questions.columns else questions.withColumn("embedding", F.lit(None).cast("array<float>"))
         vectors = self.vectors if "embedding" in questions.columns else None

@@ -1,7 +1,7 @@
 """Frozen settings, checked across fields; unknown keys are refused.
 
-Layers, later ones win: defaults, a YAML mapping, the lines of a dotenv file, environment variables
-(``SCRIPTORIUM_`` and the key in capitals; lists are separated by commas), JSON overrides (only the keys allowed), arguments.
+Layers, later ones win: defaults, a YAML mapping, JSON overrides (only the keys allowed), the lines of a dotenv file,
+environment variables (``SCRIPTORIUM_`` and the key in capitals; lists are separated by commas), arguments.
 """
 
 from __future__ import annotations
@@ -111,4 +111,4 @@ def load(yaml_text: str | None = None, override_text: str | None = None, *, dote
     if not isinstance(data, dict):
         raise SettingsError("the configuration is not a mapping")
     lists = {k: tuple(v) if isinstance(v, list) else v for k, v in data.items()}
-    return Settings().with_(**(lists | from_environment(dotenv(dotenv_text)) | from_environment(environment or {}) | overrides(override_text) | arguments))
+    return Settings().with_(**(lists | overrides(override_text) | from_environment(dotenv(dotenv_text)) | from_environment(environment or {}) | arguments))

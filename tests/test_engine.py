@@ -61,7 +61,7 @@ def test_settings():
     assert settings.load("final_top_k: 16\ngraph_slots: 3", '{"graph_slots": 1, "include": ["x"]}', rerank=True).graph_slots == 1
     assert settings.overrides("not json") == {}
     layered = settings.load(
-        "final_top_k: 16\ngraph_slots: 3\nthin_hits: 7", '{"thin_hits": 9, "source_url": "no"}', rerank=False,
+        "final_top_k: 16\ngraph_slots: 3\nthin_hits: 7", '{"thin_hits": 9, "graph_slots": 1, "source_url": "no"}', rerank=False,
         dotenv_text="# note\nSCRIPTORIUM_GRAPH_SLOTS='4'\nexport SCRIPTORIUM_WEB=yes\nbroken", environment={"SCRIPTORIUM_GRAPH_SLOTS": "5", "SCRIPTORIUM_PERSONAL": "a/*, b/*", "OTHER": "1"},
     )
     assert (layered.final_top_k, layered.graph_slots, layered.thin_hits, layered.web, layered.personal, layered.source_url) == (16, 5, 9, True, ("a/*", "b/*"), "")
@@ -121,6 +121,7 @@ def test_index_search_and_refresh(spark, tmp_path):
     dry = engine.index(store, notes(spark, first[1:]), chosen, dry_run=True).first()
     assert dry["n_deleted"] == 1 and store.read("docs").count() == 4
     e = engine.Engine(spark, store.root, chosen)
+    assert e.alive()
     q = spark.createDataFrame([(0, "red fox", [1.0, 0.0])], "qid long, text string, embedding array<float>")
     seen = {r["doc_id"]: r["source"] for r in e.search(q, allow_web=True).collect()}
     assert seen == {"n/a.md": "vector+fts", "n/b.md": "vector", "topics/t.md": "vector"}
