@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, table
+from .common import broadcast_if_small, materialize, table, unused
 
 KINDS = ("email", "ip", "card", "phone", "id")
 ROUNDS = 3
@@ -235,9 +235,11 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     ids = F.filter("spans", lambda s: s["kind"] == "id")
     places = F.array_join(F.transform(ids, lambda s: F.concat_ws(":", s["first"].cast("string"), s["last"].cast("string"))), ",")
-    more = find(docs).where(F.size(ids) > 0).select(F.coalesce("doc_id", F.lit(-1)).alias("k1_"), F.col("digest").alias("k2_"), places.alias("more_")).dropDuplicates(["k1_", "k2_"])
-    rows = docs.withColumn("k1_", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("k2_", F.md5(F.coalesce("text", F.lit(""))))
-    both = rows.join(broadcast_if_small(materialize(more)), ["k1_", "k2_"], "left").withColumn("text", F.pandas_udf(_redact, "string")("text", "more_"))
+    key, digest, more = (unused(n, docs.columns) for n in ("key", "digest", "more"))
+    found = find(docs.select("doc_id", "text")).where(F.size(ids) > 0)
+    found = found.select(F.coalesce("doc_id", F.lit(-1)).alias(key), F.col("digest").alias(digest), places.alias(more)).dropDuplicates([key, digest])
+    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn(digest, F.md5(F.coalesce("text", F.lit(""))))
+    both = rows.join(broadcast_if_small(materialize(found)), [key, digest], "left").withColumn("text", F.pandas_udf(_redact, "string")("text", more))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return both.select(*docs.columns)

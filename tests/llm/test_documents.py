@@ -140,7 +140,7 @@ def test_personal_data(spark, sf, texts, odd):
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and r["spans"].startswith(want)
     assert pii.find(odd).count() == odd.count() and pii.find(odd.limit(0)).count() == 0
     clean = pii.redact(odd)
-    assert clean.columns == odd.columns
+    assert clean.columns == odd.columns and {r["k1_"] for r in clean.collect()} == {7}
     assert [r["text"] for r in clean.where("doc_id IS NULL").collect()] == ["No id, but mail me at <EMAIL> or <PHONE>."]
 
 
