@@ -109,6 +109,36 @@ lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text, ge
 parts AS (SELECT doc_id, pos, source || '/' || pos AS heading_path, text, len(regexp_extract_all(text, '\\S+')) AS n FROM lines WHERE text <> ''),
 islands AS (SELECT *, sum(CASE WHEN first OR n >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) = 1 AS first FROM parts))"""
 
+
+
+def _split(source: str, target: int, hard: int) -> str:
+    """CTEs that fold the paragraphs of source (doc_id, pos, h, t) into pieces (doc_id, pos, h, k, body)."""
+    nothing = "[]::VARCHAR[]"
+    return f"""
+sized AS (SELECT *, len(regexp_extract_all(t, '\\S+')) AS n FROM {source}),
+paragraphs AS (SELECT doc_id, pos, h, unnest(string_split_regex(t, '\\n{{2,}}')) AS p, generate_subscripts(string_split_regex(t, '\\n{{2,}}'), 1) AS i FROM sized WHERE n > {hard}),
+counted_p AS (SELECT *, regexp_extract_all(p, '\\S+') AS w, len(regexp_extract_all(p, '\\S+')) AS n FROM paragraphs),
+steps AS (
+  SELECT doc_id, pos, h, i, 0 AS j, p AS pack, n, FALSE AS closed FROM counted_p WHERE n BETWEEN 1 AND {hard}
+  UNION ALL SELECT doc_id, pos, h, i, j, array_to_string(w[j + 1 : j + {hard}], ' '), least({hard}, n - j), TRUE FROM (SELECT *, unnest(range(0, n, {hard})) AS j FROM counted_p WHERE n > {hard})
+),
+folded AS (
+  SELECT doc_id, pos, h, list_reduce(
+    list_prepend({{'out': {nothing}, 'pack': '', 'n': 0::BIGINT, 'closed': FALSE}}, list({{'out': {nothing}, 'pack': pack, 'n': n::BIGINT, 'closed': closed}} ORDER BY i, j)),
+    lambda a, x: CASE
+      WHEN x.closed THEN {{'out': list_concat(a.out, CASE WHEN a.n > 0 THEN [a.pack] ELSE {nothing} END, [x.pack]), 'pack': '', 'n': 0::BIGINT, 'closed': FALSE}}
+      WHEN a.n = 0 THEN {{'out': a.out, 'pack': x.pack, 'n': x.n, 'closed': FALSE}}
+      WHEN a.n + x.n > {target} THEN {{'out': list_append(a.out, a.pack), 'pack': x.pack, 'n': x.n, 'closed': FALSE}}
+      ELSE {{'out': a.out, 'pack': a.pack || chr(10) || chr(10) || x.pack, 'n': a.n + x.n, 'closed': FALSE}} END) AS r
+  FROM steps GROUP BY doc_id, pos, h
+),
+split_up AS (
+  SELECT doc_id, pos, h, [t] AS bodies FROM sized WHERE n <= {hard}
+  UNION ALL SELECT doc_id, pos, h, list_concat(r.out, CASE WHEN r.n > 0 THEN [r.pack] ELSE {nothing} END) FROM folded
+),
+pieces AS (SELECT doc_id, pos, h, unnest(bodies) AS body, generate_subscripts(bodies, 1) - 1 AS k FROM split_up)"""
+
+
 _CONTEXT = """
 blocks AS (
   SELECT qid, ord, title, path, text, score, fused.source, fused.id, sensitivity, CASE WHEN fused.id % 2 = 0 THEN 'part' END AS h,
@@ -205,6 +235,17 @@ e AS (SELECT min(distance) FILTER (WHERE covered) AS a, max(distance) FILTER (WH
 WITH w AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS t FROM documents), i AS (SELECT doc_id, t, unnest(range(0, len(t), 100)) AS a FROM w)
 SELECT doc_id, CAST(a // 100 AS INTEGER) AS ordinal, least(100, len(t) - a) AS n_tokens, md5(array_to_string(t[a + 1 : a + 100], ' ')) AS digest FROM i""",
     "runt_merge": "WITH" + _LINES + "\nSELECT doc_id, min(pos) AS pos, arg_min(heading_path, pos) AS heading_path, md5(string_agg(text, chr(10) || chr(10) ORDER BY pos)) AS digest FROM islands GROUP BY doc_id, island",
+    "hard_split": "WITH whole AS (SELECT doc_id, 0 AS pos, '' AS h, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents)," + _split("whole", 60, 90) + "\nSELECT doc_id, k AS ordinal, md5(body) AS digest FROM pieces",
+    "heading_chunks": """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+heads AS (SELECT doc_id, pos, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS text, CASE WHEN pos % 3 = 0 THEN 'part ' || pos ELSE 'part ' || (pos - pos % 3) || ' > item ' || pos END AS h FROM l),
+parts AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) = 1 OR len(regexp_extract_all(text, '\\S+')) >= 80 AS starts FROM heads WHERE text <> ''),
+islands AS (SELECT *, sum(starts::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM parts),
+merged AS (SELECT doc_id, min(pos) AS pos, arg_min(h, pos) AS h, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS t FROM islands GROUP BY doc_id, island),"""
+    + _split("merged", 120, 200)
+    + """,
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) - 1 AS ordinal FROM pieces)
+SELECT left(sha256(doc_id || h || ordinal), 16) AS chunk_id, doc_id::VARCHAR AS doc_id, ordinal, h AS heading_path, md5(body) AS digest FROM numbered""",
     "extract_links": "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS target, generate_subscripts(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1), 1) - 1 AS pos FROM pages",
     "resolve_links": _with(
         """SELECT src, target, coalesce(a.doc_id, b.doc_id, c.doc_id, target) AS dst, coalesce(a.doc_id, b.doc_id, c.doc_id) IS NOT NULL AS resolved
