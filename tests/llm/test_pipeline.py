@@ -58,6 +58,32 @@ def test_near_copies_of_five_word_shingles(spark, docs, texts):
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == root
 
 
+def test_groups_of_long_lists_in_blocks(spark):
+    """A chain of edited copies, alike only nearby, and strangers that share much: blocks and ends change nothing."""
+    import random
+
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join([f"x{k}" for k in range(i)] + base[i:]) for i in range(0, 60, 3)]
+    for _ in range(60):
+        w = list(base)
+        for at in rng.sample(range(120), rng.randrange(1, 9)):
+            w[at] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    root = list(range(len(texts)))
+    for _ in root:
+        for i, a in enumerate(shingles):
+            for j in range(i):
+                if len(a & shingles[j]) >= 0.8 * len(a | shingles[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    assert 5 < len(set(root)) < len(texts) - 5
+    for kw in ({}, {"long": 4}, {"long": 4, "block": 3}, {"long": 10**6, "block": 7}):
+        got = {r["row"]: r["root"] for r in simhash.row_groups(rows, **kw).collect()}
+        assert [got[i] for i in range(len(texts))] == root
+
+
 def test_one_row_of_a_group_whatever_its_id(spark, sf):
     text = " ".join(f"w{i}" for i in range(80))
     rows = [(None, text), (None, text), (1, text + " end"), (2, "some other text"), (2, text), (3, "of a third kind"), (3, "another of id three"), (None, "null but alone")]
