@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators.sizes import broadcast_if_small
 
 #: The tables, their schemas and the key that replaces their rows.
 TABLES = {
@@ -50,7 +49,7 @@ class Store:
         return max(self.versions(), default=None)
 
     def segments(self, version: int | None = None) -> list[dict]:
-        """The segments of a version, oldest first: id, tables with rows, tables with hidden keys."""
+        """The segments of a version, oldest first: id, tables with rows, and where the hidden keys of which tables are."""
         version = self.current() if version is None else version
         if version is None:
             return []
@@ -63,13 +62,13 @@ class Store:
             if name in s["rows"]:
                 found.append(self.spark.read.schema(schema).parquet(f"{self.root}/{s['id']}/{name}").select(*schema.fieldNames(), F.lit(i).alias("at_")))
             if name in s["hidden"] and found:
-                hidden.append(self.spark.read.schema(f"{key} string").parquet(f"{self.root}/{s['id']}/hidden-{name}").select(F.col(key).alias("key_"), F.lit(i).alias("until_")))
+                hidden.append(self.spark.read.schema("key_ string").parquet(f"{self.root}/{s['id']}/{s['hidden'][name]}").select("key_", F.lit(i).alias("until_")))
         if not found:
             return self.spark.createDataFrame([], schema)
         rows = reduce(DataFrame.unionAll, found)
         if hidden:
             last = reduce(DataFrame.unionAll, hidden).groupBy("key_").agg(F.max("until_").alias("until_"))
-            rows = rows.join(broadcast_if_small(last), (F.col(key) == F.col("key_")) & (F.col("at_") < F.col("until_")), "left_anti")
+            rows = rows.join(last, (F.col(key) == F.col("key_")) & (F.col("at_") < F.col("until_")), "left_anti")
         return rows.drop("at_")
 
     def _write(self, name: str, rows: DataFrame, segment: str) -> None:
@@ -87,12 +86,14 @@ class Store:
         """Adds a segment: new rows, after the rows of earlier segments with the ``hidden`` keys are taken away."""
         base = self.current()
         old, segment, hidden = self.segments(base), uuid.uuid4().hex, hidden or {}
+        places: dict[int, str] = {}
         for name, keys in hidden.items():
-            key = TABLES[name][1]
-            keys.select(F.col(keys.columns[0]).cast("string").alias(key)).distinct().write.parquet(f"{self.root}/{segment}/hidden-{name}")
+            if id(keys) not in places:  # tables that hide the same keys share them
+                places[id(keys)] = f"hidden-{name}"
+                keys.select(F.col(keys.columns[0]).cast("string").alias("key_")).distinct().write.parquet(f"{self.root}/{segment}/hidden-{name}")
         for name, df in rows.items():
             self._write(name, df, segment)
-        segments = [*old, {"id": segment, "rows": sorted(rows), "hidden": sorted(hidden)}]
+        segments = [*old, {"id": segment, "rows": sorted(rows), "hidden": {name: places[id(keys)] for name, keys in hidden.items()}}]
         version = self._publish(segments, base)
         return self.compact() if len(segments) > MOST_SEGMENTS else version
 
@@ -102,7 +103,7 @@ class Store:
         names = sorted({n for s in self.segments(base) for n in s["rows"]})
         for name in names:
             self._write(name, self.read(name, base), segment)
-        return self._publish([{"id": segment, "rows": names, "hidden": []}], base)
+        return self._publish([{"id": segment, "rows": names, "hidden": {}}], base)
 
     def _publish(self, segments: list[dict], base: int | None) -> int:
         version = 0 if base is None else base + 1
