@@ -44,7 +44,7 @@ LEAF = 50
 #: Levels of a tree at most; leaves grow beyond.
 MOST_DEPTH = 10
 SAMPLE = 16_384
-PROBE_SHARE = 0.085
+PROBE_SHARE = 0.1
 BLOCK = 32_768
 QUERIES = 4_096
 K = 20

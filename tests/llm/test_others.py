@@ -200,7 +200,7 @@ def test_few_candidates_of_clustered_vectors(spark):
     centres = rng.normal(size=(60, 24))
     x = centres[rng.integers(0, 60, 6000)] + 0.3 * rng.normal(size=(6000, 24))
     ids, asked = np.arange(6000), np.arange(0, 6000, 60)
-    forest, share = ann.Forest(x, len(x), ann.TREES, ann.LEAF), 0.0085
+    forest, share = ann.Forest(x, len(x), ann.TREES, ann.LEAF), 0.01
     leaves, found = forest.leaves(x), []
     for i in asked:
         hit = np.zeros(len(x), dtype=bool)
