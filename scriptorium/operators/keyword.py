@@ -61,7 +61,11 @@ def statistics(lengths: DataFrame) -> DataFrame:
 
 def build_index(chunks: DataFrame, key: str = "chunk_id", columns: tuple[str, ...] = ("prelude", "body")) -> Index:
     """An index for one batch of questions, in the scratch folder: the texts are read once. A store keeps its own."""
-    rows = scratch.write(entries(chunks, key, columns))
+    texts, parallel = chunks.select(key, *columns), chunks.sparkSession.sparkContext.defaultParallelism
+    if len(texts.inputFiles()) < parallel:
+        # A few files may be as few tasks, for counting terms and for scoring later.
+        texts = texts.repartition(parallel, key)
+    rows = scratch.write(entries(texts, key, columns))
     return Index(postings(rows), statistics(rows))
 
 
