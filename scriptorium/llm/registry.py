@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, classifier, html_extract, mixing, packing, pii, quality_rules, simhash, url_filter
+from . import ann, chat, classifier, html_extract, mixing, packing, pii, quality_rules, simhash, token_align, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_packing": packing.query,
         "op9_simhash": simhash.query,
         "op10_mixing": mixing.query,
+        "op13_token_align": token_align.query,
     }
 
 
