@@ -9,7 +9,7 @@ closes, and its last tokens are a link.
 
 Neither vocabulary joins or looks across a single space between two characters that are not white space, so texts
 fall into units there; tokens, groups and links of a unit are the same wherever it stands, and the residual at its ends is
-empty. A worker remembers units (``MOST_UNITS`` in two generations, of up to ``LONGEST_UNIT`` characters); new ones are
+empty. A worker remembers units (``MOST_UNITS`` in each of two generations, of up to ``LONGEST_UNIT`` characters); new ones are
 encoded many at a time.
 
 Links are counted by id pair in each document, the document's pairs are written once, and counts of the corpus are their sums. Pairs that
@@ -37,7 +37,7 @@ from .packing import tokenizer_path
 
 BYTE_MODEL, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MOST_STEPS = 1_000_000
-MOST_UNITS = 150_000
+MOST_UNITS = 250_000
 LONGEST_UNIT = 64
 #: Characters of new units that are encoded in one call.
 TOGETHER = 20_000
@@ -93,38 +93,47 @@ class Transducer:
         """How many tokens of each side lie before the end of every group; None if the sides' bytes differ."""
         if len(self.steps) > self.most:
             self._forget()
-        tokens, at, out = (a, b), [0, 0], []
+        out, i, j, m, n = [], 0, 0, len(a), len(b)
         state, steps, states, width = 0, self.steps, self.states, self.WIDTH
         while True:
-            side = states[state][0]
-            i = at[side]
-            if i == len(tokens[side]):
-                return out if not state and at[1] == len(b) else None
-            at[side] = i + 1
-            token = tokens[side][i]
-            known = steps.get(state * width + token)
-            state = self.step(state, token) if known is None else known
+            if states[state][0]:
+                if j == n:
+                    return None
+                token = b[j]
+                j += 1
+            else:
+                if i == m:
+                    return out if not state and j == n else None
+                token = a[i]
+                i += 1
+            try:
+                state = steps[state * width + token]
+            except KeyError:
+                state = self.step(state, token)
             if state <= 0:
                 if state < 0:
                     return None
-                out.append((at[0], at[1]))
+                out.append((i, j))
 
 
 class Aligner:
     """Tokens, groups and links of whole texts, unit by unit from a worker's memory."""
 
     def __init__(self, byte_model: str, piece_model: str) -> None:
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_model)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         letters = byte_letters()
-        entries = sorted((i, w) for w, i in self.a.get_vocab().items())
-        self.a_bytes = [b""] * (entries[-1][0] + 1)
-        for i, w in entries:
-            self.a_bytes[i] = bytes(letters[c] for c in w) if all(c in letters for c in w) else w.encode()
+        vocabulary = Tokenizer.from_file(byte_model).get_vocab(with_added_tokens=False)
+        ranks = {bytes(letters[c] for c in w): i for w, i in vocabulary.items()}
+        # Ids are the order of merges there, which is all that the faster library needs.
+        self.a = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=piece_model)
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for w, i in ranks.items():
+            self.a_bytes[i] = w
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
         self.transducer = Transducer(self.a_bytes, self.b_bytes)
@@ -132,45 +141,47 @@ class Aligner:
         self.older: dict[str, tuple | None] = {}
 
     def _encoded(self, text: str) -> tuple[list[int], list[int]]:
-        return self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text)
-
-    def _tokens(self, units: list[str]) -> list[tuple[list[int], list[int]]]:
-        """The tokens of each unit, from one call if the ends of units are ends of tokens, as they are unless bytes change."""
-        if len(units) > 1:
-            ends = np.cumsum([len(u.encode()) + 1 for u in units])
-            sides = []
-            for ids, known in zip(self._encoded(" ".join(units)), (self.a_bytes, self.b_bytes), strict=True):
-                at = np.cumsum([len(known[i]) for i in ids])
-                stop = np.searchsorted(at, ends) + 1
-                if stop[-1] != len(ids) or not np.array_equal(at[stop - 1], ends):
-                    break
-                stop = stop.tolist()
-                sides.append([ids[i:j] for i, j in zip([0, *stop[:-1]], stop, strict=True)])
-            if len(sides) == 2:
-                return list(zip(*sides, strict=True))
-        return [self._encoded(u) for u in units]
-
-    def _record(self, unit: str, a: list[int], b: list[int]) -> tuple | None:
-        """(tokens of A, tokens of B, groups, links) of a unit; None if tokens do not give its bytes back."""
-        whole = f" {unit}".encode()
-        cuts = None
-        if b"".join([self.a_bytes[i] for i in a]) == whole and b"".join([self.b_bytes[i] for i in b]) == whole:
-            cuts = self.transducer.cuts(a, b)
+        return self.a.encode_ordinary(f" {text}"), self.b.encode(text)
+
+    def _whole(self, text: str, lengths: list[int]) -> list[tuple] | None:
+        """The records of a text's units, of so many bytes each with their spaces; None if its tokens do not give its bytes back."""
+        a, b = self._encoded(text)
+        raw = f" {text}".encode()
+        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
+            return None
+        cuts = self.transducer.cuts(a, b)
         if cuts is None:
             return None
+        as_text, bs_text = list(map(str, a)), list(map(str, b))
         groups, i, j = [], 0, 0
         for x, y in cuts:
-            groups.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
+            one = x - i == 1 == y - j
+            groups.append(f"{as_text[i]}|{bs_text[j]}" if one else f"{','.join(as_text[i:x])}|{','.join(bs_text[j:y])}")
             i, j = x, y
-        links = np.array([a[x - 1] << 32 | b[y - 1] for x, y in cuts], dtype="<i8")
-        return len(a), len(b), ";".join(groups), links.tobytes()
+        at = np.array(cuts, dtype=np.int64).reshape(-1, 2)
+        links = (np.array(a, dtype="<i8")[at[:, 0] - 1] << 32 | np.array(b, dtype="<i8")[at[:, 1] - 1]).tobytes()
+        # Units end where groups end: which group of the text is the last of each unit?
+        closed, wanted = np.cumsum([len(self.a_bytes[i]) for i in a])[at[:, 0] - 1], np.cumsum(lengths)
+        stops = np.searchsorted(closed, wanted) + 1
+        if not np.array_equal(closed[stops - 1], wanted):
+            return None
+        ends = [(0, 0, 0), *zip(stops.tolist(), *at[stops - 1].T.tolist(), strict=True)]
+        return [(y - x, v - u, ";".join(groups[p:q]), links[8 * p : 8 * q]) for (p, x, u), (q, y, v) in zip(ends, ends[1:], strict=False)]
 
     def _learn(self, units: list[str]) -> None:
+        """Encodes units many at a time, one by one if some of them lose bytes."""
         batch, size = [], 0
-        for u in [*units, None]:
+        for u in units:
+            if u[:1].isspace() or u[-1:].isspace() or not u:
+                # At the ends of a text: joined to others, white space would not stay by itself.
+                self.known[u] = (self._whole(u, [len(u.encode()) + 1]) or [None])[0]
+        for u in [*(u for u in units if u not in self.known), None]:
             if batch and (u is None or size + len(u) > TOGETHER):
-                for unit, (a, b) in zip(batch, self._tokens(batch), strict=True):
-                    self.known[unit] = self._record(unit, a, b)
+                lengths = [len(x.encode()) + 1 for x in batch]
+                found = self._whole(" ".join(batch), lengths)
+                if found is None:
+                    found = [(self._whole(x, [n]) or [None])[0] for x, n in zip(batch, lengths, strict=True)]
+                self.known.update(zip(batch, found, strict=True))
                 batch, size = [], 0
             if u is not None:
                 batch.append(u)
