@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, classifier, hard_negatives, html_extract, mixing, packing, pii, quality_rules, simhash, token_align, url_filter
+from . import ann, chat, classifier, hard_negatives, html_extract, hyperminhash, mixing, packing, pii, quality_rules, simhash, token_align, url_filter
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_simhash": simhash.query,
         "op10_mixing": mixing.query,
         "op11_hard_negatives": hard_negatives.query,
+        "op12_hyperminhash": hyperminhash.query,
         "op13_token_align": token_align.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.SQL, "op10_mixing": mixing.SQL, "op11_hard_negatives": hard_negatives.SQL}
+    return {"op3_chat": chat.SQL, "op10_mixing": mixing.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_hyperminhash": hyperminhash.SQL}

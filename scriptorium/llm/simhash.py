@@ -20,12 +20,8 @@ Exact copies are one fingerprint: they are grouped before the index and expanded
 ``near_duplicates`` is for corpora: two texts link if the sets of their ``shingle``-word shingles
 have a Jaccard similarity of ``jaccard`` or more. Two bits of a SimHash reach hardly any of these, so
 the index lists each distinct text under keys of a MinHash signature (``bands`` keys of ``rows`` minima):
-a pair at 0.8 shares none of 32 keys of 4 with a chance of (1 - 0.8**4)**32 < 5e-8. Whole sets decide, and groups come
-out of lists without ever listing their pairs: long lists are first compared with their own ends only, which joins dense
-groups. In each list that then still holds several groups, the members outside its largest one are probes, and probes are compared with all
-members where the sets are, by counting in an index of the members' shingles; only links that join two groups leave. (Two members
-of the largest group are linked already, so every pair that matters holds a probe.) Lists are cut into blocks of bounded
-members and shingles, each met by each block of its probes, so a task's share is bounded whatever the list.
+a pair at 0.8 shares none of 32 keys of 4 with a chance of (1 - 0.8**4)**32 < 5e-8. Whole sets decide; how groups come
+out of the lists is told in ``lists``.
 
 Edge cases: null and empty texts and texts of white space have fingerprint zero and link like any
 other; texts of fewer words than a shingle have one shingle, the whole sequence; repeated rows
@@ -47,7 +43,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import lists
 from .common import broadcast_if_small, components, materialize, table
+from .lists import shingle_hashes, text_words
 
 SEED = 42
 SHINGLE = 3
@@ -62,30 +60,11 @@ NEAR_SHINGLE = 5
 NEAR_JACCARD = 0.8
 BANDS = 32
 BAND_ROWS = 4
-#: Members from which a list is compared with its ends first; members and shingles of a block at most.
-LONG = 64
-BLOCK = 2_048
-BLOCK_SHINGLES = 2_000_000
-
-
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> np.ndarray:
-    """XXH64 of every shingle, repeated ones too; of the whole sequence if it is shorter."""
-    hash64 = xxhash.xxh64_intdigest
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([hash64(joined, seed)] if words else [], dtype=np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[: -shingle] + 1))
-    return np.fromiter((hash64(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(starts))
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The unsigned 64-bit fingerprint of a whole text."""
-    h = shingle_hashes(_words(text), shingle, seed)
+    h = shingle_hashes(text_words(text), shingle, seed)
     if not len(h):
         return 0
     n = len(h)
@@ -176,8 +155,8 @@ def classes(prints: DataFrame) -> DataFrame:
         signed = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.struct(F.lit(i).cast("byte").alias("c"), F.col("fp").bitwiseAND(F.lit(signed)).alias("key")))
     posted = nodes.select("fp", F.explode(F.array(*keys)).alias("p")).select("p.*", "fp")
-    lists = posted.groupBy("c", "key").agg(F.collect_list("fp").alias("node")).where(F.size("node") > 1)
-    links = lists.select("c", "node").mapInPandas(_links, "a long, b long")
+    posted = posted.groupBy("c", "key").agg(F.collect_list("fp").alias("node")).where(F.size("node") > 1)
+    links = posted.select("c", "node").mapInPandas(_links, "a long, b long")
     return components(links).select(F.col("node").alias("fp"), "root")
 
 
@@ -216,7 +195,7 @@ def _signed(shingle: int, bands: int, rows: int):
         for texts in batches:
             digest, listed = [], []
             for t in texts:
-                w = _words(t)
+                w = text_words(t)
                 digest.append(hashlib.md5(b" ".join(w)).digest())
                 listed.append(keys(shingle_hashes(w, shingle), bands, rows) if w else [])
             yield pd.DataFrame({"digest": digest, "keys": listed})
@@ -224,148 +203,17 @@ def _signed(shingle: int, bands: int, rows: int):
     return F.pandas_udf(run, "digest binary, keys array<long>")
 
 
-def _sets(shingle: int):
-    """The distinct shingle hashes of each text, sorted, as bytes, and their number."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            found = [np.unique(shingle_hashes(_words(t), shingle)) for t in texts]
-            yield pd.DataFrame({"shingles": [x.astype("<u8").tobytes() for x in found], "n": [len(x) for x in found]})
-
-    return F.pandas_udf(run, "shingles binary, n int")
-
-
-def alike(both, x, y, jaccard: float):
-    """Whether sets of x and y elements that share ``both`` are similar enough."""
-    return both >= jaccard * (x + y - both) - 1e-9
-
-
-def _similar(jaccard: float):
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            pairs = [(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")) for x, y in zip(a, b, strict=True)]
-            yield pd.Series([bool(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), jaccard)) for x, y in pairs], dtype=bool)
-
-    return F.pandas_udf(run, "boolean")
-
-
-MEMBER, BOTH, PROBE = 0, 1, 2
-
-
-def joining(kinds: np.ndarray, nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], jaccard: float) -> list[tuple[int, int]]:
-    """Links (node, node) of similar sets that join the groups (roots) of one block of a list: of probes and members."""
-    parent = {int(r): int(r) for r in roots}
-
-    def find(r: int) -> int:
-        while parent[r] != r:
-            parent[r] = parent[parent[r]]
-            r = parent[r]
-        return r
-
-    members, probes = np.flatnonzero(kinds != PROBE), np.flatnonzero(kinds != MEMBER)
-    sizes = np.array([len(sets[m]) for m in members])
-    inverted = len(members) * len(probes) > 64
-    if inverted:
-        flat, owner = np.concatenate([sets[m] for m in members]), np.repeat(np.arange(len(members)), sizes)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-    links = []
-    for p in probes.tolist():
-        x = sets[p]
-        if inverted:
-            first, end = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
-            n = end - first
-            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            both = np.bincount(owner[at], minlength=len(members))
-        else:
-            both = np.array([len(np.intersect1d(x, sets[m], assume_unique=True)) if find(int(roots[m])) != find(int(roots[p])) else 0 for m in members])
-        for m in members[alike(both, len(x), sizes, jaccard)].tolist():
-            a, b = find(int(roots[p])), find(int(roots[m]))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                links.append((int(nodes[p]), int(nodes[m])))
-    return links
-
-
-def _joined(jaccard: float):
-    """Links of all blocks, whose rows lie side by side; the last block of a batch may go on in the next."""
-    key = ["list", "block", "probes"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for last, df in _with_last(batches):
-            df = df if rest is None else pd.concat([rest, df], ignore_index=True)
-            if not len(df):
-                continue
-            k = df[key].to_numpy()
-            cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            stop = len(df) if last else (int(cuts[-1]) if len(cuts) else 0)
-            rest = df.iloc[stop:]
-            kinds, nodes, roots = (df[c].to_numpy() for c in ("kind", "node", "root"))
-            a, b = [], []
-            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(df)], strict=True):
-                if j <= stop:
-                    sets = [np.frombuffer(x, dtype="<u8") for x in df["shingles"].iloc[i:j]]
-                    for x, y in joining(kinds[i:j], nodes[i:j], roots[i:j], sets, jaccard):
-                        a.append(x)
-                        b.append(y)
-            yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
-
-    return run
-
-
-def _with_last(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame]]:
-    held = None
-    for df in batches:
-        if held is not None:
-            yield False, held
-        held = df
-    if held is not None:
-        yield True, held
-
-
-def row_groups(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, jaccard: float = NEAR_JACCARD, bands: int = BANDS, rows: int = BAND_ROWS, long: int = LONG, block: int = BLOCK) -> DataFrame:
+def row_groups(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, jaccard: float = NEAR_JACCARD, bands: int = BANDS, rows: int = BAND_ROWS, block: int = lists.BLOCK) -> DataFrame:
     """(row, digest, root): of docs' rows (row, text), ``row`` a unique long, the digest of the words and the group."""
     signed = _signed(shingle, bands, rows)
     prints = materialize(docs.select("row", signed("text").alias("s")).select("row", "s.digest", "s.keys"))
     # Texts of the same words are one node, the smallest of their rows.
     least = materialize(prints.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("n"), F.min("keys").alias("keys")))
-    posted = least.select("node", F.explode("keys").alias("key"))
-    lists = posted.groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("node")).where(F.size("node") > 1)
-    lists = materialize(lists.select("node").distinct().withColumn("list", F.monotonically_increasing_id()))
-
-    named = broadcast_if_small(materialize(lists.select(F.explode("node").alias("row")).distinct()))
-    sets = docs.select("row", "text").join(named, "row", "left_semi").select(F.col("row").alias("node"), _sets(shingle)("text").alias("s"))
-    sets = materialize(sets.select("node", "s.shingles", "s.n"))
-
-    # Long lists: every member with both ends.
-    ends = lists.where(F.size("node") > long).select(F.explode("node").alias("i"), F.array(F.element_at("node", 1), F.element_at("node", -1)).alias("ends")).select("i", F.explode("ends").alias("j"))
-    star = materialize(ends.where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct())
-    x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    links = materialize(broadcast_if_small(star).join(x, "a").join(y, "b").where(_similar(jaccard)("x", "y")).select("a", "b"))
+    listed = lists.listed(least.select("node", F.posexplode("keys").alias("band", "key")))
+    sets = lists.sets_of(docs, listed, shingle)
+    links = lists.verified(lists.stars(listed), sets, jaccard)
     roots = materialize(components(links))
-
-    # Lists of several groups: members outside the largest one are probes.
-    members = lists.select("list", F.explode("node").alias("node")).join(broadcast_if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = materialize(members.join(sets.select("node", "n"), "node"))
-    each = members.groupBy("list", "root").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
-    known = each.groupBy("list").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.max("m").alias("most"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.count("*").alias("groups"))
-    share = F.col("n") / BLOCK_SHINGLES
-    blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(share)).cast("int")
-    probing = F.greatest(F.ceil((F.col("m") - F.col("most")) / block), F.ceil(share * (F.col("m") - F.col("most")) / F.col("m")), F.lit(1)).cast("int")
-    known = materialize(known.where("groups > 1").select("list", "largest", blocks.alias("blocks"), probing.alias("probings")))
-    placed = members.join(broadcast_if_small(known), "list").withColumn("probe", F.col("root") != F.col("largest"))
-    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    single = (F.col("blocks") == 1) & (F.col("probings") == 1)
-    as_member = F.transform(every("probings"), lambda p: F.struct(part("blocks").alias("block"), p.alias("probes"), F.when(single & F.col("probe"), BOTH).otherwise(MEMBER).alias("kind")))
-    as_probe = F.transform(every("blocks"), lambda b: F.struct(b.alias("block"), part("probings").alias("probes"), F.lit(PROBE).alias("kind")))
-    dealt = F.when(single | ~F.col("probe"), as_member).otherwise(F.concat(as_member, as_probe))
-    dealt = placed.select("list", "node", "root", F.explode(dealt).alias("d")).select("list", "d.*", "node", "root")
-    key = ["list", "block", "probes"]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    beside = dealt.join(sets.select("node", "shingles"), "node").repartition(parts, *key).sortWithinPartitions(*key)
-    more = materialize(beside.select(*key, "kind", "node", "root", "shingles").mapInPandas(_joined(jaccard), "a long, b long"))
+    more = lists.between(lists.unsettled(listed, roots), sets, jaccard, block)
     roots = materialize(components(links.union(more)))
     final = materialize(least.select("digest", "node", "n").join(roots, "node", "left").select("digest", "n", F.coalesce("root", "node").alias("root")))
     # Texts of many copies are looked up apart, so that no task gets all rows of one.
