@@ -53,9 +53,22 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
+#: The inverted index of a table of documents, kept while the application runs and the table's files stay the same.
+_indexes: dict[tuple, keyword.Index] = {}
+
+
+def _index(spark, sf) -> keyword.Index:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)]
+    key = (spark.sparkContext.applicationId, scratch.folder(spark), *sorted(files))
+    if key not in _indexes:
+        _indexes[key] = keyword.build_index(chunks(spark, sf), columns=("body",))
+    return _indexes[key]
+
+
 def _fts(spark, sf, visible=None, k=TOP_K):
-    c = chunks(spark, sf)
-    return keyword.search(_questions(spark, sf), keyword.build_index(c, columns=("body",)), c, k, visible=visible)
+    return keyword.search(_questions(spark, sf), _index(spark, sf), chunks(spark, sf), k, visible=visible)
 
 
 def _knn(spark, sf, visible=None, k=TOP_K):
@@ -136,7 +149,7 @@ def _retrieve(spark, sf, grader=None, **changes):
     rows, edges = scratch.write(c.drop("body")), scratch.write(topic_edges(spark, sf))
     # Only a grader reads texts.
     known = c.drop("path", "title") if grader else rows.drop("path", "title")
-    return engine.retrieve(asked, rows, known, edges, keyword.build_index(c, columns=("body",)), v, chosen, allow_web=True, grader=grader)
+    return engine.retrieve(asked, rows, known, edges, _index(spark, sf), v, chosen, allow_web=True, grader=grader)
 
 
 def hybrid_search_batch(spark, sf):

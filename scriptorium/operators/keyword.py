@@ -1,12 +1,25 @@
-"""Keyword search: an inverted index and BM25, for many questions at once.
+"""Keyword search: an inverted index in blocks and BM25, for many questions at once.
 
 The score is that of SQLite's full-text index: k1 = 1.2, b = 0.75, an idf floored at a millionth,
 statistics over the whole table whatever the visibility filter lets through, negative so that smaller is
 better. A term asked twice counts twice. An underscore separates terms, so ``foo_bar`` asks for
 both terms, not for the phrase.
 
-Terms are counted within a row (sorted, then the lengths of runs), so building the index moves
-nothing; a posting carries the length of its chunk, so scoring joins only the asked terms' weights.
+Index. Terms are counted within a row (sorted, then the lengths of runs), so counting moves nothing. A term's postings
+lie in blocks by the leading bits of a hash of their chunk, as many bits (the level) as make about ``BLOCK`` postings each; a block is known by
+its number of postings, its largest tf and its least chunk length, which bound the score of all its postings whatever the average length is.
+
+Search, in three steps that read blocks and not lists:
+
+1. Floor. What the rarest terms of each question alone add up to, over at least ``LEAD`` times k postings if there are as many: the
+   k-th of these sums is a floor that the k best must reach.
+2. Candidates. Terms whose bounds together stay below a share (``PASSIVE``) of the floor cannot make a result by themselves, so if their lists are long they give no
+   candidates (MaxScore). Of the other terms only blocks are read whose bound plus the best of all further terms reaches the floor: every chunk of a
+   block left out misses it.
+3. Scores. Chunks whose sum so far plus what the passive terms may add reaches the floor are looked up in the blocks of those terms that their hash
+   names, and ranked.
+
+What is joined and shuffled is thus bounded by the blocks that can matter, not by the postings of a stop word.
 """
 
 from __future__ import annotations
@@ -23,13 +36,24 @@ from .sizes import broadcast_if_small
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Asked terms up to which they are a filter of the scan, which skips row groups of postings sorted by term.
 PUSHED = 1_000
+#: Postings of a block, about.
+BLOCK = 128
+#: Postings of a question's rarest terms that give its floor, as a multiple of k.
+LEAD = 20
+#: A passive term's list is at least so many times as long as all lists that give candidates: looking up a chunk costs more than reading a posting.
+LOOKED_UP = 3
+#: The share of the floor that passive terms may make up: larger, and more chunks are looked up; smaller, and more postings are read.
+PASSIVE = 0.3
+#: What sums of other orders may differ by.
+ROUNDING = 1e-6
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, id, tf, dl) and stats, one row (n, avgdl)."""
+    """postings (term, block, id, tf, dl), blocks (term, block, n, most_tf, least_dl; several rows of a block add up) and stats, one row (n, avgdl)."""
 
     postings: DataFrame
+    blocks: DataFrame
     stats: DataFrame
 
 
@@ -55,46 +79,141 @@ def postings(entries_: DataFrame) -> DataFrame:
     return each.select(term.alias("term"), "id", ((F.length("run") + 1) / (F.length(term) + 1)).cast("long").alias("tf"), "dl")
 
 
+def _prefix(id_: Column, level: Column) -> Column:
+    """The leading ``level`` bits of a chunk's hash, below the level: the block it lies in."""
+    bits = F.shiftrightunsigned(F.xxhash64(id_.cast("string")), 32)
+    return level * F.lit(1 << 32) + F.floor(bits / F.pow(F.lit(2.0), 32 - level)).cast("long")
+
+
+def blocked(rows: DataFrame) -> DataFrame:
+    """(term, block, id, tf, dl) of postings: a term of n postings has the level that makes ``BLOCK`` of them a block."""
+    frequent = rows.groupBy("term").agg(F.count("*").alias("nt")).where(F.col("nt") > BLOCK)
+    level = F.coalesce(F.ceil(F.log2(F.col("nt") / BLOCK)), F.lit(0)).cast("long")
+    return rows.join(broadcast_if_small(scratch.write(frequent)), "term", "left").select("term", _prefix(F.col("id"), level).alias("block"), "id", "tf", "dl")
+
+
+def bounds(rows: DataFrame) -> DataFrame:
+    """What is known of each block of postings (term, block, tf, dl)."""
+    return rows.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"))
+
+
 def statistics(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def build_index(chunks: DataFrame, key: str = "chunk_id", columns: tuple[str, ...] = ("prelude", "body")) -> Index:
-    """An index for one batch of questions, in the scratch folder: the texts are read once. A store keeps its own."""
+    """An index in the scratch folder: the texts are read once. A store keeps its own."""
     texts, parallel = chunks.select(key, *columns), chunks.sparkSession.sparkContext.defaultParallelism
     if len(texts.inputFiles()) < parallel:
         # A few files may be as few tasks, for counting terms and for scoring later.
         texts = texts.repartition(parallel, key)
     rows = scratch.write(entries(texts, key, columns))
-    return Index(postings(rows), statistics(rows))
+    made = scratch.write(blocked(postings(rows)).repartitionByRange("term", "block").sortWithinPartitions("term", "block"))
+    return Index(made, scratch.write(bounds(made)), scratch.write(statistics(rows)))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(X.terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def _wanted(index: Index, asked: DataFrame) -> DataFrame:
-    """The postings of asked terms: a pushed filter if they are few, else a join (broadcast if small)."""
-    terms = asked.select("term").distinct()
-    few = terms.limit(PUSHED + 1).collect()
-    if len(few) <= PUSHED:
-        return index.postings.where(F.col("term").isin([r["term"] for r in few]))
-    return index.postings.join(broadcast_if_small(terms), "term", "left_semi")
+def _part(tf: Column, dl: Column) -> Column:
+    """A posting's share of a score, for a weight of one; the largest tf and the least dl of several postings bound it."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
 
 
-def bm25(questions: DataFrame, index: Index, only: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score) of every chunk (of ``only``, if given) that has a term of the question; smaller is better."""
-    asked = scratch.write(question_terms(questions))
-    hit = _wanted(index, asked)
-    df = hit.groupBy("term").agg(F.count("*").alias("nt"))
-    idf = F.log((F.col("n") - F.col("nt") + 0.5) / (F.col("nt") + 0.5))
-    weight = F.col("qtf") * F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-    weights = scratch.write(asked.join(df, "term").join(F.broadcast(index.stats)).select("qid", "term", weight.alias("weight"), "avgdl"))  # stats: one row
-    if only is not None:
-        hit = hit.join(broadcast_if_small(only), "id", "left_semi")
-    scored = hit.join(broadcast_if_small(weights), "term")
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("qid", "id").agg((-F.sum(part)).alias("score"))
+@dataclass(frozen=True)
+class Search:
+    """One batch of questions over an index: the steps above, each a table that can be looked at."""
+
+    index: Index
+    k: int
+    #: (qid, term, weight, top, nt, levels, avgdl) and (term, block, most_tf, least_dl) of the asked terms, and the terms themselves if they are few.
+    terms: DataFrame
+    blocks: DataFrame
+    few: list[str] | None
+    only: DataFrame | None
+
+    @classmethod
+    def of(cls, questions: DataFrame, index: Index, k: int, only: DataFrame | None = None) -> Search:
+        asked = scratch.write(question_terms(questions))
+        names = asked.select("term").distinct()
+        few = [r["term"] for r in names.limit(PUSHED + 1).collect()]
+        few = few if len(few) <= PUSHED else None
+        known = index.blocks.where(F.col("term").isin(few)) if few is not None else index.blocks.join(broadcast_if_small(names), "term", "left_semi")
+        known = scratch.write(known.select("term", "block", "n", "most_tf", "least_dl"))
+        # Rows without bounds only take back numbers.
+        blocks = scratch.write(known.where("most_tf IS NOT NULL").groupBy("term", "block").agg(F.max("most_tf").alias("most_tf"), F.min("least_dl").alias("least_dl")))
+        of_term = known.groupBy("term").agg(F.sum("n").alias("nt"), F.max("most_tf").alias("most_tf"), F.min("least_dl").alias("least_dl"), F.collect_set(F.when(F.col("most_tf").isNotNull(), F.shiftright("block", 32))).alias("levels")).where("nt > 0")
+        idf = F.log((F.col("n") - F.col("nt") + 0.5) / (F.col("nt") + 0.5))
+        weight = F.col("qtf") * F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
+        rows = asked.join(of_term, "term").join(F.broadcast(index.stats)).withColumn("weight", weight)  # stats: one row
+        terms = rows.select("qid", "term", "weight", (F.col("weight") * _part(F.col("most_tf"), F.col("least_dl"))).alias("top"), "nt", "levels", "avgdl")
+        return cls(index, k, scratch.write(terms), blocks, few, None if only is None else scratch.write(only))
+
+    def _postings(self) -> DataFrame:
+        rows = self.index.postings
+        return rows if self.few is None else rows.where(F.col("term").isin(self.few))
+
+    def _seen(self, rows: DataFrame) -> DataFrame:
+        return rows if self.only is None else rows.join(broadcast_if_small(self.only), "id", "left_semi")
+
+    def _added(self, found: DataFrame, terms: DataFrame) -> DataFrame:
+        """(qid, id, added): what the given terms add to the scores of (qid, id) rows, from the blocks that hold them."""
+        want = found.select("qid", "id").join(broadcast_if_small(terms.select("qid", "term", "weight", "levels", "avgdl")), "qid")
+        want = want.select("qid", "id", "term", "weight", "avgdl", F.explode("levels").alias("level"))
+        want = scratch.write(want.select("qid", "id", "term", "weight", "avgdl", _prefix(F.col("id"), F.col("level")).alias("block")))
+        held = self._postings().join(broadcast_if_small(want.select("term", "block").distinct()), ["term", "block"], "left_semi")
+        met = want.join(held, ["term", "block", "id"])
+        return met.groupBy("qid", "id").agg(F.sum(F.col("weight") * _part(F.col("tf"), F.col("dl"))).alias("added"))
+
+    def _scored(self, chosen: DataFrame) -> DataFrame:
+        """(qid, id, part): sums over the postings of (qid, term, block, weight, avgdl) rows."""
+        hit = self._seen(self._postings().join(broadcast_if_small(chosen), ["term", "block"]))
+        return hit.groupBy("qid", "id").agg(F.sum(F.col("weight") * _part(F.col("tf"), F.col("dl"))).alias("part"))
+
+    def floors(self) -> DataFrame:
+        """(qid, floor): a score that the k-th best of each question reaches; questions with fewer candidates have none."""
+        rarest = Window.partitionBy("qid").orderBy(F.desc("weight"), "term").rowsBetween(Window.unboundedPreceding, -1)
+        lead = self.terms.withColumn("before", F.coalesce(F.sum("nt").over(rarest), F.lit(0))).where(F.col("before") < LEAD * self.k)
+        lead = scratch.write(lead.join(self.blocks.select("term", "block"), "term").select("qid", "term", "block", "weight", "avgdl"))
+        best = Window.partitionBy("qid").orderBy(F.desc("part"), "id")
+        kth = self._scored(lead).withColumn("place", F.row_number().over(best)).where(F.col("place") == self.k)
+        return scratch.write(kth.select("qid", (F.col("part") - ROUNDING).alias("floor")))
+
+    def judged(self, floors: DataFrame) -> DataFrame:
+        """The terms with their question's floor, whether they are passive, and what all terms and the passive ones may add."""
+        every = Window.partitionBy("qid")
+        upward = every.orderBy("top", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        terms = self.terms.join(broadcast_if_small(floors), "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+        terms = terms.withColumn("weak", F.sum("top").over(upward) < F.col("floor") * PASSIVE).withColumn("all", F.sum("top").over(every))
+        active = F.coalesce(F.sum(F.when(~F.col("weak"), F.col("nt"))).over(every), F.lit(0))
+        terms = terms.withColumn("passive", F.col("weak") & (F.col("nt") > LOOKED_UP * active))
+        return terms.withColumn("rest", F.coalesce(F.sum(F.when(F.col("passive"), F.col("top"))).over(every), F.lit(0.0)))
+
+    def chosen(self, judged: DataFrame) -> DataFrame:
+        """(qid, term, block, weight, avgdl): the blocks that can hold a result."""
+        rows = judged.where("NOT passive").join(self.blocks, "term")
+        reach = F.col("weight") * _part(F.col("most_tf"), F.col("least_dl")) + F.col("all") - F.col("top")
+        return rows.where(reach >= F.col("floor")).select("qid", "term", "block", "weight", "avgdl")
+
+    def results(self) -> DataFrame:
+        """(qid, id, score): whole scores of all chunks that may be among the k best, larger is better."""
+        judged = scratch.write(self.judged(self.floors()))
+        ends = judged.select("qid", "floor", "rest").distinct()
+        parts = self._scored(scratch.write(self.chosen(judged))).join(broadcast_if_small(ends), "qid")
+        parts, passive = parts.where("part + rest >= floor").select("qid", "id", "part"), judged.where("passive")
+        if passive.isEmpty():
+            return parts.withColumnRenamed("part", "score")
+        parts = scratch.write(parts)
+        added = self._added(parts, passive)
+        return parts.join(added, ["qid", "id"], "left").select("qid", "id", (F.col("part") + F.coalesce("added", F.lit(0.0))).alias("score"))
+
+
+def bm25(questions: DataFrame, index: Index) -> DataFrame:
+    """(qid, id, score) of every chunk that has a term of the question, exhaustively; smaller is better."""
+    s = Search.of(questions, index, 1)
+    scored = s._postings().join(broadcast_if_small(s.terms.select("qid", "term", "weight", "avgdl")), "term")
+    return scored.groupBy("qid", "id").agg((-F.sum(F.col("weight") * _part(F.col("tf"), F.col("dl")))).alias("score"))
 
 
 def search(questions: DataFrame, index: Index, chunks: DataFrame, k: int, *, visible: str | None, key: str = "chunk_id") -> DataFrame:
@@ -105,4 +224,5 @@ def search(questions: DataFrame, index: Index, chunks: DataFrame, k: int, *, vis
     """
     seen = None if visible is None else chunks.where(X.visible(F.col("sensitivity"), visible)).select(F.col(key).alias("id"))
     w = Window.partitionBy("qid").orderBy(F.round("score", 9), "id")
-    return bm25(questions, index, seen).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "score")
+    found = Search.of(questions, index, k, seen).results().withColumn("score", -F.col("score"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "score")

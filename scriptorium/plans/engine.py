@@ -24,11 +24,12 @@ def gate(allow_web: bool) -> str | None:
     return "open" if allow_web else None
 
 
-def index(store: Store, listing: DataFrame, settings: Settings, *, rebuild: bool = False, dry_run: bool = False, allow_mass_delete: bool = False, full: bool = True) -> DataFrame:
+def index(store: Store, listing: DataFrame, settings: Settings, *, rebuild: bool = False, dry_run: bool = False, allow_mass_delete: bool = False, full: bool = True, removed: DataFrame | None = None) -> DataFrame:
     """Brings a store up to date with (doc_id, path, rev, mtime, markdown) notes; returns the one-row report.
 
     A full listing names all notes: those it lacks are deleted, and visibility is computed again for all. Otherwise it
-    names changed notes only, and what is read and written besides the link names grows with them.
+    names changed notes only, and what is read and written besides the link names grows with them; ``removed`` (doc_id, mtime, rev) are then the notes
+    that are deleted, which the store remembers. Raises ``store.Conflict`` if another writer changed one of these notes meanwhile.
     """
     notes = listing.where(X.in_corpus(F.col("path"), settings.include, settings.exclude))
     version = store.current()
@@ -39,7 +40,8 @@ def index(store: Store, listing: DataFrame, settings: Settings, *, rebuild: bool
         held_frames.append(df.persist())
         return df
 
-    known = docs if full else docs.join(notes.select("doc_id"), "doc_id", "left_semi")
+    named = notes.select("doc_id") if removed is None else notes.select("doc_id").union(removed.select("doc_id"))
+    known = docs if full else docs.join(named, "doc_id", "left_semi")
     classified = held(cdc.classify(notes, known, rebuild))
     try:
         cdc.check_deletions(classified, docs, allow_mass_delete, floor=settings.delete_floor, fraction=settings.delete_fraction)
@@ -70,13 +72,20 @@ def index(store: Store, listing: DataFrame, settings: Settings, *, rebuild: bool
         again = settled.where("resolved").join(waiting.where("NOT resolved"), ["src", "kind"], "left_semi").select("src").distinct()
 
         entries = held(keyword.entries(made))
-        stale = chunks.join(gone, "doc_id", "left_semi").select("chunk_id")
+        old = held(chunks.join(gone, "doc_id", "left_semi"))
+        stale = old.select("chunk_id")
+        listed = held(keyword.blocked(keyword.postings(entries)))
+        # What stale chunks had counted is taken back, term by term: blocks of no bounds of their own.
+        back = keyword.postings(keyword.entries(old)).select("term", F.lit(0).cast("long").alias("block"), F.lit(-1).cast("long").alias("n"), F.lit(None).cast("long").alias("most_tf"), F.lit(None).cast("long").alias("least_dl"), F.col("id").alias("chunk_id"))
+        # Ids that are remembered as deleted: those of this run, but for notes that have come back.
+        hide_gone = {} if removed is None else {"gone": named.distinct()}
         store.commit(
-            {
+            ({} if removed is None else {"gone": removed}) | {
                 "docs": now, "chunks": made.unionByName(shifted), "edges": new_edges.unionByName(settled.join(again, "src", "left_semi")),
-                "postings": keyword.postings(entries).withColumnRenamed("id", "chunk_id"), "lengths": entries.select(F.col("id").alias("chunk_id"), "dl"),
+                "postings": listed.withColumnRenamed("id", "chunk_id"), "blocks": keyword.bounds(listed).withColumn("chunk_id", F.lit(None).cast("string")).unionByName(back), "lengths": entries.select(F.col("id").alias("chunk_id"), "dl"),
             },
-            {"docs": gone.union(moved.select("doc_id")), "chunks": gone.union(turned), "edges": gone.union(again), "vectors": stale, "postings": stale, "lengths": stale} if version is not None else {},
+            {"docs": gone.union(moved.select("doc_id")), "chunks": gone.union(turned), "edges": gone.union(again), "vectors": stale, "postings": stale, "lengths": stale} | hide_gone if version is not None else {},
+            base=-1 if version is None else version, touched=gone.union(moved.select("doc_id")).union(again.withColumnRenamed("src", "doc_id")),
         )
         return summary
     finally:
@@ -86,15 +95,16 @@ def index(store: Store, listing: DataFrame, settings: Settings, *, rebuild: bool
 
 def embed_pending(store: Store, embedder: Embedder, model: str, dim: int, rebuild: bool = False) -> int:
     """Vectors for all chunks without one, in the recorded space; returns how many chunks failed."""
-    meta = {r["key"]: r["value"] for r in store.read("meta").collect()}  # two rows
+    version = store.current()
+    meta = {r["key"]: r["value"] for r in store.read("meta", version).collect()}  # two rows
     reset = check_space(meta, model, dim, rebuild) == "reset"
-    vectors, chunks = store.read("vectors"), store.read("chunks")
+    vectors, chunks = store.read("vectors", version), store.read("chunks", version)
     made = embed(chunks if reset else cdc.missing_vectors(chunks, vectors), embedder).persist()
     try:
         failed = made.where("embedding IS NULL").count()
         new = made.where("embedding IS NOT NULL").select("chunk_id", "embedding")
         recorded = store.spark.createDataFrame([("embedding_model", model), ("embedding_dim", str(dim))], "key string, value string")
-        store.commit({"vectors": new, "meta": recorded}, {"meta": recorded.select("key")} | ({"vectors": vectors.select("chunk_id")} if reset else {}))
+        store.commit({"vectors": new, "meta": recorded}, {"meta": recorded.select("key")} | ({"vectors": vectors.select("chunk_id")} if reset else {}), base=version, touched=chunks.join(new, "chunk_id", "left_semi").select("doc_id"))
         return failed
     finally:
         made.unpersist()
@@ -146,7 +156,7 @@ class Engine:
         version = self.store.current()
         self.docs, self.chunks, self.vectors, self.edges = (self.store.read(t, version) for t in ("docs", "chunks", "vectors", "edges"))
         postings = self.store.read("postings", version).withColumnRenamed("chunk_id", "id")
-        self.index = keyword.Index(postings, keyword.statistics(self.store.read("lengths", version)))
+        self.index = keyword.Index(postings, self.store.read("blocks", version), keyword.statistics(self.store.read("lengths", version)))
 
     def alive(self) -> bool:
         """Whether the cluster answers and the snapshot can be read."""
