@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import scratch
 from ..plans import engine
 from ..schemas import CHANGE
 from ..settings import Settings
@@ -38,7 +39,7 @@ def latest(batch: DataFrame, store: Store, version: int | None) -> DataFrame:
 def merge_batch(store: Store, batch: DataFrame, settings: Settings) -> None:
     """Applies one micro-batch of changed and deleted notes."""
     for attempt in range(ATTEMPTS):
-        rows = latest(batch, store, store.current()).persist()
+        rows = scratch.write(latest(batch, store, store.current()))
         try:
             removed = rows.where("deleted").select("doc_id", "mtime", "rev")
             engine.index(store, rows.where("NOT deleted").drop("deleted"), settings, full=False, removed=removed, allow_mass_delete=True)
@@ -46,8 +47,6 @@ def merge_batch(store: Store, batch: DataFrame, settings: Settings) -> None:
         except Conflict:
             if attempt + 1 == ATTEMPTS:
                 raise
-        finally:
-            rows.unpersist()
 
 
 def refresh(notes: DataFrame, store: Store, checkpoint: str, settings: Settings | None = None, every: str | None = None) -> StreamingQuery:
