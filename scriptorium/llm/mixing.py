@@ -14,14 +14,17 @@
    its block counts per bucket between its halves with a multivariate hypergeometric draw, so every shard
    has the composition of a uniform shuffle, exact quotas add up, and shards draw disjoint ranges
    of permuted blocks. Below, each bucket's share of every shard is dealt to its sources in the same way, one task a
-   bucket. Inside a shard, documents are ordered by another digest.
+   bucket. A document gives words to a shard that drew its block, and to none if no shard did. Inside a shard, documents are
+   ordered by another digest, their place: ``mixed_rows`` moves them to their shards and sorts there. A shard is laid out in up to
+   ``PARTS`` parts by the leading digits of the place, so that it is not the work of one task.
 
 What decides about a document is its source's row and its block's row; both are broadcast after a count, so neither
 documents nor texts are shuffled.
 
 Edge cases: a null source is a source of its own; null and empty texts have size 0 and are
 taken 0 words; a document without an id goes by a digest of its text; very long texts are counted and cut whole; repeated rows count
-once each, and where a quota ends among rows of one id the smaller ones come first (identical rows being equal);
+once each, and where a quota ends among rows of one id the smaller ones come first (identical rows being equal; they are
+numbered within the tasks that wrote them and counted between tasks, so a row repeated without bound is no one task's work);
 an empty table gives no rows; further columns are ignored by ``mix``, and kept by ``mixed_documents``, whatever their names.
 """
 
@@ -34,13 +37,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, broadcast_if_small, materialize, table, word_count
+from .common import SPACE, WORD, broadcast_if_small, materialize, table, unused, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK_DIGITS = 3
 SHARDS = 16
+PART_DIGITS = 2
+PARTS = 16**PART_DIGITS
 BUCKETS = 256
 
 
@@ -183,15 +188,20 @@ def _drawn(rows: DataFrame, sources: DataFrame, placed: DataFrame, seed: str) ->
     zero = F.lit(0).cast("long")
     parts = [rows.where(~shared).withColumn("ahead", zero)]
     if not sources.where("rows1 > 1 or rows2 > 1").isEmpty():
-        # Rows of one digest share what is left of a quota: few, and only they are gathered.
-        w = Window.partitionBy("skey", "digest1").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-        parts.append(rows.where(shared).withColumn("ahead", F.coalesce(F.sum("size").over(w), zero)))
+        # Rows of one digest share what is left of a quota: summed by size and task, then numbered within those.
+        few = materialize(rows.where(shared).withColumn("task", F.shiftright(F.monotonically_increasing_id(), 33)))
+        same = ["skey", "digest1", "size", "task"]
+        w = Window.partitionBy("skey", "digest1").orderBy("size", "task").rowsBetween(Window.unboundedPreceding, -1)
+        sums = few.groupBy(*same).agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(w), zero)).drop("words")
+        nth = F.row_number().over(Window.partitionBy(*same).orderBy("key")) - 1
+        parts.append(few.withColumn("nth", nth).join(sums, same).withColumn("ahead", F.col("before") + F.col("nth") * F.col("size")).select(*parts[0].columns))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     draws = []
     for e in (1, 2):
         digest, cut = F.col(f"digest{e}"), F.col(f"cut{e}")
         rest = F.greatest(zero, F.least(F.col("size"), F.col(f"left{e}") - F.col("ahead")))
-        took = F.when(F.col(f"quota{e}") == 0, zero).when(cut.isNull() | (digest < cut), F.col("size")).when(digest == cut, rest).otherwise(zero)
+        drawn = (F.col(f"quota{e}") > 0) & F.col(f"shard{e}").isNotNull()
+        took = F.when(~drawn, zero).when(cut.isNull() | (digest < cut), F.col("size")).when(digest == cut, rest).otherwise(zero)
         rows = rows.withColumn(f"words{e}", took)
         place = F.md5(F.concat("key", F.lit(f"{seed}:place{e}")))
         draws.append(F.when(F.col(f"words{e}") > 0, F.struct(F.lit(e).alias("epoch"), F.col(f"words{e}").alias("words"), F.col(f"shard{e}").alias("shard"), place.alias("place"))))
@@ -209,14 +219,15 @@ def mix(docs: DataFrame, seed: str = ":mix", shards: int = SHARDS) -> DataFrame:
     return drawn.select("doc_id", "source", "size", "source_size", "target", "taken", "draws")
 
 
-def mixed_documents(docs: DataFrame, seed: str = ":mix", shards: int = SHARDS) -> DataFrame:
-    """The mix itself: docs' columns, a row for each draw, texts cut to the draw's words.
+def mixed_rows(docs: DataFrame, seed: str = ":mix", shards: int = SHARDS) -> DataFrame:
+    """The mix itself: (row, shard, place), a row for each draw, in the order of its shard.
 
-    A column n_chars, if there is one, is counted again. Texts are read a second time and not shuffled.
+    ``row`` is a struct of docs' columns with the text cut to the draw's words; a column n_chars, if there is one, is counted again.
+    Texts are read a second time, cut, and moved once, to their shard and their part of it.
     """
     kept = materialize(_keyed(docs, seed))
     rows = _keyed(docs, seed, F.struct(*docs.columns).alias("row"))
-    rows = _drawn(rows, *_decisions(kept, shards, seed), seed).select("row", "size", F.explode("draws.words").alias("words"))
+    rows = _drawn(rows, *_decisions(kept, shards, seed), seed).select("row", "size", F.explode("draws").alias("d")).select("row", "size", "d.words", "d.shard", "d.place")
     # The end of the last word taken: the words before it and the white space between.
     lead = F.regexp_extract_all("row.text", F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0))
     cut = F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(lead, F.lit(1), F.col("words").cast("int")), ""))
@@ -224,13 +235,27 @@ def mixed_documents(docs: DataFrame, seed: str = ":mix", shards: int = SHARDS) -
     new = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("cut").cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    rows = rows.select(F.struct(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns]).alias("row"), "shard", "place")
+    return rows.repartition("shard", F.substring("place", 1, PART_DIGITS)).sortWithinPartitions("shard", "place")
+
+
+def mixed_documents(docs: DataFrame, seed: str = ":mix", shards: int = SHARDS) -> DataFrame:
+    """docs' columns of ``mixed_rows``, in its order."""
+    return mixed_rows(docs, seed, shards).select("row.*")
+
+
+def write_shards(docs: DataFrame, path: str, seed: str = ":mix", shards: int = SHARDS) -> None:
+    """The mix as Parquet folders ``shard=N``; the files of a shard, each sorted by place, hold disjoint sets of its parts."""
+    mixed_rows(docs, seed, shards).select("row.*", F.col("place").alias(unused("place", docs.columns)), "shard").write.partitionBy("shard").parquet(path)
 
 
 def query(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """``draws`` lists epoch:shard:words:place, comma-joined, in the order of the passes."""
+    shown = F.transform("draws", lambda d: F.concat_ws(":", d["epoch"].cast("string"), d["shard"].cast("string"), d["words"].cast("string"), d["place"]))
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.array_join(shown, ",").alias("draws"))
 
 
+#: Sizes, targets and words taken; the hypergeometric draws have no SQL, so this covers all columns of the query but ``draws``.
 SQL = """
 WITH d AS (
   SELECT doc_id, source, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents

@@ -4,18 +4,19 @@ Base spans are matched over whole texts: emails, IP addresses, card numbers (Luh
 
 Bootstrapping. Tokens that look like identifiers (``looks_like_identifier``: at least eight characters, with six digits or a mix of
 letters and three digits; runs of 13 to 19 bare digits are no candidates, since the base rules refuse those that are no cards) are instances; base entities are the seeds. Each
-occurrence of an instance has lexical patterns: the key it is assigned to (``password=``), the word before it, the word
-after it. Distinct (pattern, instance) pairs make a graph that Spark scores in rounds: a
-pattern's confidence is the mean score of its instances, damped by its support; an
-instance's score is the noisy-or of its patterns' confidences (a seed's is 1). After
-``ROUNDS`` rounds, instances of confident patterns (with at least ``SUPPORT`` trusted instances) that
-are no seeds are new identifiers, and all their occurrences become spans of kind ``id``.
-
-Keys of secrets (``token=``) hardly ever hold a seed, so key patterns are trusted in two ways of their
-own: by their name (``SECRET``), however few their instances, or if most of their instances are random
-strings of one alphabet and length. Their instances are identifiers too, but lend no trust to the words
-around them, which are those of any text. Graph, scores and decisions are tables of the cluster; nothing of them is collected. Confident
-patterns are broadcast to the graph after a count, so a pattern of very many instances is not gathered.
+occurrence of an instance has lexical patterns: the key it is assigned to (``password=``), the word before it (or before its key), the word
+after it; whole words, however long or far. Instances assigned to a key have a fourth pattern: their format, if they are random strings
+(an alphabet and a length). Distinct (pattern, instance) pairs make a graph that Spark scores in rounds:
+
+* a pattern's confidence is the mean score of its instances, damped by its support, if at least ``SUPPORT`` of them are trusted;
+* keys of secrets hardly ever hold a seed, so a key or format pattern has a confidence from its specificity, too: the damped share of its
+  instances that are random strings of its most frequent format, if at least ``SUPPORT`` are. No list of names is used;
+* an instance's score is the noisy-or of its patterns' confidences (a seed's is 1).
+
+What a key or a format makes trusted lends trust to the words around it in the next round, and so on. After ``ROUNDS`` rounds, trusted
+instances that are no seeds are new identifiers, and all their occurrences become spans of kind ``id``. Graph, scores and decisions are tables
+of the cluster; nothing of them is collected. Confident patterns are broadcast to the graph after a count, so a pattern of very many instances
+is not gathered.
 
 Edge cases: null and empty texts have no spans; very long texts are read whole (all matchers
 are linear); repeated rows get their spans each, and count once in the graph; rows with null ids get
@@ -24,7 +25,9 @@ spans like any other; spans of equal place keep the order of their kinds; an emp
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,11 +41,7 @@ ROUNDS = 3
 SUPPORT = 4
 CONFIDENT = 0.6
 DAMPING = 2.0
-#: Key patterns that name a secret, and what makes a string random: its length and distinct characters.
-SECRET = (
-    r"(?:^K |[^a-z])(?:(?:access|auth|api|secret|client|session|bearer|refresh)?(?:token|secret|passwo?r?d|passphrase|passcode|pwd|credential|authorization)"
-    r"|(?:api|access|secret|private|auth|encryption|signing|account|license)[_.-]?key)s?[^a-z0-9]*[=:]$"
-)
+#: What makes a string random: its length and distinct characters.
 RANDOM_LENGTH = 16
 RANDOM_CHARACTERS = 10
 
@@ -53,9 +52,11 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"(?<![^\s\"'`<>()\[\]{}|,;])[^\s\"'`<>()\[\]{}|,;]*[0-9][^\s\"'`<>()\[\]{}|,;]*")
-_WORD_BEFORE = re.compile(r"(\S+)\s*\Z")
-_WORD_AFTER = re.compile(r"\s*(\S+)")
-_CONTEXT = 80
+#: Words of patterns, and what may stand between a key and its value.
+_WORD = re.compile(r"[^\s\"'`<>()\[\]{}|,;=:]+")
+_ASSIGNED = re.compile(r"[ \t\"'`)\]}]*([=:]+)[ \t\"'`(\[{]*")
+#: Longer words stand in patterns by their digest.
+LONG_WORD = 64
 
 Span = tuple[str, int, int]
 
@@ -118,26 +119,45 @@ def occurrences(text: str | None, spans: list[Span]) -> list[tuple[str, bool, in
             k += 1
         if (k == len(taken) or taken[k][0] >= b) and looks_like_identifier(t[a:b]):
             found.append((t[a:b], False, a, b))
-    out = []
-    for value, seed, a, b in found:
-        before, after = t[max(0, a - _CONTEXT) : a], t[b : b + _CONTEXT]
-        bare = before.rstrip(" \"'`([{")
+    if not found:
+        return []
+    # Words are cut at the neighbouring spans, so that all slices together are no longer than the text.
+    found.sort(key=lambda f: (f[2], f[3]))
+    words = [m.span() for m in _WORD.finditer(t)]
+    starts = [s for s, _ in words]
+
+    def before(at: int, least: int) -> tuple[int, int] | None:
+        k = bisect_left(starts, at) - 1
+        s, e = (max(words[k][0], least), min(words[k][1], at)) if k >= 0 else (0, 0)
+        return (s, e) if s < e else None
+
+    out, end = [], 0
+    for k, (value, seed, a, b) in enumerate(found):
         patterns = []
-        if bare[-1:] in ("=", ":"):
-            key = _WORD_BEFORE.search(bare[:-1].rstrip())
-            if key:
-                patterns.append(f"K {key[1].lower()[-30:]}{bare[-1]}")
-                bare = bare[:-1].rstrip()[: -len(key[1])]
-        left = _WORD_BEFORE.search(bare)
+        left = before(a, end)
+        assigned = left and _ASSIGNED.fullmatch(t, left[1], a)
+        if left and assigned:
+            patterns.append(f"K {_named(t[slice(*left)])}{assigned[1]}")
+            left = before(left[0], end)
         if left:
-            patterns.append(f"L {left[1].lower()[-30:]}")
-        right = _WORD_AFTER.match(after)
-        if right:
-            patterns.append(f"R {right[1].lower()[:30]}")
+            patterns.append(f"L {_named(t[slice(*left)])}")
+        nxt = bisect_left(starts, b)
+        if nxt and words[nxt - 1][1] > b:
+            nxt -= 1
+        if nxt < len(words):
+            s, e = max(words[nxt][0], b), min(words[nxt][1], found[k + 1][2] if k + 1 < len(found) else len(t))
+            if s < e:
+                patterns.append(f"R {_named(t[s:e])}")
+        end = max(end, b)
         out.append((value, seed, a, b, patterns))
     return out
 
 
+def _named(word: str) -> str:
+    word = word.lower()
+    return word if len(word) <= LONG_WORD else hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 _FOUND = (
     "base array<struct<kind string, first long, last long>>, "
     "seen array<struct<instance string, seed boolean, first long, last long, patterns array<string>>>"
@@ -154,35 +174,44 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": df["doc_id"].astype("Int64"), "digest": df["digest"], "base": base, "seen": seen})
 
 
-def trusted_keys(edges: DataFrame) -> DataFrame:
-    """(pattern,): key patterns that name a secret, or whose instances mostly are random strings of one format."""
-    keys = edges.where(F.col("pattern").startswith("K "))
-    v = F.col("instance")
-    alphabet = F.when(v.rlike("^[0-9a-f]+$"), "x").when(v.rlike("^[0-9A-F]+$"), "X").when(v.rlike("^[0-9A-Za-z+/=_-]+$"), "w")
-    random = v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.length(v) >= RANDOM_LENGTH) & (F.size(F.array_distinct(F.split(v, ""))) >= RANDOM_CHARACTERS)
-    format = F.when(random, F.concat(alphabet, F.length(v).cast("string")))
-    each = keys.groupBy("pattern", format.alias("format")).agg(F.count("*").alias("n"))
+def format_of(value):
+    """Alphabet and length of a random string: ``x40`` is 40 lower-case hexadecimal digits. Null for others."""
+    alphabet = F.when(value.rlike("^[0-9a-f]+$"), "x").when(value.rlike("^[0-9A-F]+$"), "X").when(value.rlike("^[0-9A-Za-z+/=_-]+$"), "w")
+    random = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.length(value) >= RANDOM_LENGTH) & (F.size(F.array_distinct(F.split(value, ""))) >= RANDOM_CHARACTERS)
+    return F.when(random, F.concat(alphabet, F.length(value).cast("string")))
+
+
+def with_formats(pairs: DataFrame) -> DataFrame:
+    """(pattern, instance, seed, format): the edges, and one from its format to each random instance that is assigned to a key."""
+    known = pairs.select("pattern", "instance", "seed", F.when(F.col("pattern").startswith("K "), format_of(F.col("instance"))).alias("format"))
+    shaped = known.where("format IS NOT NULL AND NOT seed").select("instance", "format").distinct()
+    return known.unionByName(shaped.select(F.concat(F.lit("F "), "format").alias("pattern"), "instance", F.lit(False).alias("seed"), "format"))
+
+
+def specificity(edges: DataFrame) -> DataFrame:
+    """(pattern, own): the damped share of a key's or format's instances that are random strings of one format."""
+    each = edges.where(F.col("pattern").rlike("^[KF] ")).groupBy("pattern", "format").agg(F.count("*").alias("n"))
     most = F.max(F.when(F.col("format").isNotNull(), F.col("n")))
     whole = each.groupBy("pattern").agg(F.sum("n").alias("n"), most.alias("most"))
-    alike = (F.col("most") >= SUPPORT) & (F.col("most") / (F.col("n") + F.lit(DAMPING)) >= CONFIDENT)
-    return whole.where(F.col("pattern").rlike(SECRET) | F.coalesce(alike, F.lit(False))).select("pattern")
+    return whole.where(F.col("most") >= SUPPORT).select("pattern", (F.col("most") / (F.col("n") + F.lit(DAMPING))).alias("own"))
 
 
 def bootstrap(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """New identifiers: (instance,) from distinct (pattern, instance, seed) edges."""
-    edges = materialize(pairs)
+    edges = materialize(with_formats(pairs))
+    own = materialize(specificity(edges).where(F.col("own") >= CONFIDENT))
     score = edges.select("instance", F.col("seed").cast("double").alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
     for _ in range(rounds):
         known = edges.join(score, "instance")
         rule = known.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("score").alias("mass"), F.sum((F.col("score") >= CONFIDENT).cast("int")).alias("support"))
-        rule = rule.where(F.col("support") >= SUPPORT).select("pattern", (F.col("mass") / (F.col("n") + F.lit(DAMPING))).alias("conf")).where(F.col("conf") >= CONFIDENT)
+        mean = F.when(F.col("support") >= SUPPORT, F.col("mass") / (F.col("n") + F.lit(DAMPING)))
+        rule = rule.join(own, "pattern", "left").select("pattern", F.greatest(mean, "own").alias("conf")).where(F.col("conf") >= CONFIDENT)
         rule = broadcast_if_small(materialize(rule))
         doubt = F.sum(F.log1p(-F.least(F.col("conf"), F.lit(0.999))))
         hit = edges.join(rule, "pattern").groupBy("instance").agg((F.lit(1.0) - F.exp(doubt)).alias("hit"))
         score = materialize(score.join(hit, "instance", "left").select("instance", F.greatest("score", F.coalesce("hit", F.lit(0.0))).alias("score")))
     seeds = edges.where("seed").select("instance").distinct()
-    keyed = edges.join(broadcast_if_small(materialize(trusted_keys(edges))), "pattern").select("instance")
-    return score.where(F.col("score") >= CONFIDENT).select("instance").union(keyed).distinct().join(seeds, "instance", "left_anti")
+    return score.where(F.col("score") >= CONFIDENT).select("instance").join(seeds, "instance", "left_anti")
 
 
 _SPANS = "array<struct<kind:string,first:bigint,last:bigint>>"

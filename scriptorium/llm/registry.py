@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.SQL, "op10_mixing": mixing.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_hyperminhash": hyperminhash.SQL}
+    return {"op3_chat": chat.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_hyperminhash": hyperminhash.SQL}

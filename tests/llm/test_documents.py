@@ -178,6 +178,18 @@ def test_keyed_secrets_of_the_tables(spark):
 
 def plain_bootstrap(edges):
     """Scores of instances after all rounds, from {(pattern, instance): is seed}."""
+
+    def form(v):
+        kinds = [k for k, alphabet in (("x", "[0-9a-f]+"), ("X", "[0-9A-F]+"), ("w", "[0-9A-Za-z+/=_-]+")) if re.fullmatch(alphabet, v)]
+        if kinds and len(v) >= 16 and len(set(v)) >= 10 and re.search("[0-9]", v) and re.search("[A-Za-z]", v):
+            return f"{kinds[0]}{len(v)}"
+
+    edges = edges | {(f"F {form(i)}", i): False for (p, i), seed in edges.items() if p[0] == "K" and form(i) and not seed}
+    own = {}
+    for p in {p for p, _ in edges if p[0] in "KF"}:
+        forms = [form(i) for q, i in edges if q == p]
+        most = max((forms.count(f) for f in forms if f), default=0)
+        own[p] = most / (len(forms) + pii.DAMPING) if most >= pii.SUPPORT else 0.0
     score = {}
     for (_, i), seed in edges.items():
         score[i] = max(score.get(i, 0.0), float(seed))
@@ -186,6 +198,7 @@ def plain_bootstrap(edges):
         for p, i in edges:
             members[p].append(score[i])
         conf = {p: sum(v) / (len(v) + pii.DAMPING) for p, v in members.items() if sum(x >= pii.CONFIDENT for x in v) >= pii.SUPPORT}
+        conf = {p: max(conf.get(p, 0.0), own.get(p, 0.0)) for p in members}
         conf = {p: c for p, c in conf.items() if c >= pii.CONFIDENT}
         doubt = defaultdict(lambda: 1.0)
         for p, i in edges:
@@ -205,6 +218,32 @@ def test_graph_scores_equal_a_plain_version(spark):
     assert got
 
 
+def test_trust_goes_from_keys_to_formats_to_words(spark):
+    """Random strings of one key: their format is trusted, then a rare key of that format and the words beside them, then what else stands there."""
+    rng = random.Random(12)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 6)) + "12ab34"
+    edges = {}
+    for k in range(30):
+        v = hexes(32)
+        edges[("K rare=" if k < 2 else f"K key{k % 3}=", v)] = False
+        edges[(f"L word{k % 3}", v)] = False
+    edges |= {("K size=", f"2024-0{k}-1x{k}{k}{k}") : False for k in range(9)} | {("L word0", "AB-123-456"): False, ("K mail:", "a@b.org"): True, ("L size", "AB-999-123"): False}
+    frame = spark.createDataFrame([(p, i, s) for (p, i), s in edges.items()], "pattern string, instance string, seed boolean")
+    got = {r["instance"] for r in pii.bootstrap(frame).collect()}
+    assert got == plain_bootstrap(edges) and "AB-123-456" in got and "AB-999-123" not in got and not [i for i in got if i.startswith("2024")]
+
+
+def test_words_of_patterns_are_whole():
+    far, key = " " * 500, "k" * 200
+    for text, want in (
+        (f"left {key}1={far}ab12345678{far}right", ["L left", "R right"]), ('say "client_secret": "ab12345678", more', ["K client_secret:", "L say", "R more"]),
+        ("x=ab12345678=cd12345678", ["K ab12345678=", "L x"]), ("ab12345678", []), (f"{'p' * 90} ab12345678", None),
+    ):
+        got = pii.occurrences(text, [])[0][4]
+        assert want is None or [p for p in got if not p.startswith("K ") or len(p) < 30] == want
+    assert pii.occurrences(f"{key}1=ab12345678", [])[0][4] != pii.occurrences(f"{key}2=ab12345678", [])[0][4]
+
+
 def test_classifier(spark, odd):
     sf = "/root/testdata/sf0.01"
     got = registry.queries()["op7_classifier"](spark, sf).toPandas()
@@ -299,8 +338,8 @@ def test_cuts_are_whole_and_of_full_classes():
 
 
 def test_mixing(spark, sf, duck, same, odd):
-    query, sql = registry.queries()["op10_mixing"], registry.oracle_sql()["op10_mixing"]
-    same(query(spark, sf).toPandas(), duck(sql))
+    query, sql = registry.queries()["op10_mixing"], mixing.SQL
+    same(query(spark, sf).drop("draws").toPandas(), duck(sql))
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count()
     by = defaultdict(list)
@@ -326,6 +365,59 @@ def test_the_tree_deals_exact_quotas():
     assert (out == mixing.split_quotas(counts, 8, 3)).all()
 
 
+def test_shards_have_hypergeometric_compositions():
+    counts, shards, runs = np.array([300, 90, 10]), 8, 1500
+    draws = np.array([mixing.split_quotas(counts, shards, seed) for seed in range(runs)])
+    total, share = counts.sum(), counts / counts.sum()
+    size = total // shards
+    spread = size * share * (1 - share) * (total - size) / (total - 1)
+    assert (draws.sum(axis=2) == size).all()
+    assert (np.abs(draws.mean(axis=0) - size * share) < 5 * np.sqrt(spread / runs)).all()
+    assert (np.abs(draws.var(axis=0) / spread - 1) < 0.3).all()
+
+
+def test_words_are_drawn_by_the_shards_of_the_tree(spark, sf, docs, tmp_path):
+    """The query against a plain version: quotas, blocks, what the tree deals, and what each document gives to which shard."""
+    digest = lambda s: hashlib.md5(s.encode()).hexdigest()
+    got = {r["doc_id"]: r for r in registry.queries()["op10_mixing"](spark, sf).collect()}
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    by = defaultdict(list)
+    for i, r in rows.items():
+        by["null" if r["source"] is None else "=" + r["source"]].append(i)
+    want, blocks = defaultdict(list), {}
+    for skey, ids in by.items():
+        whole = sum(got[i]["size"] for i in ids)
+        target = int(got[ids[0]]["target"])
+        for e, quota in ((1, min(target, whole)), (2, max(0, target - whole))):
+            at = 0
+            for i in sorted(ids, key=lambda i: digest(f"{i}:mix:{e}")):
+                words = min(got[i]["size"], quota - at)
+                if words > 0:
+                    block = int(digest(f"{i}:mix:{e}")[:3], 16)
+                    blocks.setdefault((e, skey), []).append(block)
+                    want[i].append((e, words, digest(f"{i}:mix:place{e}"), skey, block))
+                    at += words
+    shard = {}
+    for i, r in got.items():
+        draws = [d.split(":") for d in r["draws"].split(",") if d]
+        assert [(int(d[0]), int(d[2]), d[3]) for d in draws] == [w[:3] for w in want[i]]
+        for d, (e, _, _, skey, block) in zip(draws, want[i], strict=True):
+            assert shard.setdefault((e, skey, block), int(d[1])) == int(d[1])
+    for (e, skey), taken in blocks.items():
+        dealt = [shard[(e, skey, b)] for b in sorted(set(taken))]
+        assert dealt == sorted(dealt)  # each shard draws a range of the permuted blocks
+    held = [list(shard.values()).count(s) for s in range(mixing.SHARDS)]
+    assert sum(held) == len(shard) and max(held) - min(held) <= 1
+
+    mixing.write_shards(docs, str(tmp_path / "mix"))
+    written = spark.read.parquet(str(tmp_path / "mix"))
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sorted((r["doc_id"], r["shard"], words(r["text"])) for r in written.collect()) == sorted((i, shard[w[0], w[3], w[4]], w[1]) for i, ws in want.items() for w in ws)
+    for f in (tmp_path / "mix").glob("shard=*/*.parquet"):
+        places = spark.read.parquet(str(f)).select("place").toPandas()["place"].tolist()
+        assert places == sorted(places)
+
+
 def plain_plan(sizes):
     order = sorted(sizes, key=lambda r: (r[0] is None, r[0] or ""))
     weight, cap = [mixing.WEIGHTS[i % 3] for i in range(len(order))], [2 * n for _, n in order]
