@@ -252,7 +252,7 @@ def runt_merge(spark, sf):
 
 def hard_split(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    return d.select("doc_id", F.posexplode(X.hard_split(60, 90)("text")).alias("ordinal", "body")).select("doc_id", "ordinal", F.md5("body").alias("digest"))
+    return d.select("doc_id", F.posexplode(X.hard_split(60, 90)(F.col("text"))).alias("ordinal", "body")).select("doc_id", "ordinal", F.md5("body").alias("digest"))
 
 
 def heading_chunks(spark, sf):
@@ -334,17 +334,18 @@ def extract_links(spark, sf):
 
 
 def _targets(spark, sf):
-    """Links between documents: by path, by title, by number of characters (ambiguous or missing)."""
+    """Links between documents: by path (with the extension, a note of twice the extension may exist), by title, by number of characters (ambiguous or missing)."""
     d = notes(spark, sf)
     kind = F.col("doc_id") % 4
-    t = F.when(kind == 0, F.regexp_replace("path", r"\.md$", "")).when(kind == 1, F.upper("path")).when(kind == 2, F.concat(F.lit("x/"), F.upper("title"))).otherwise(F.concat(F.lit("n "), F.col("n_chars").cast("string")))
+    t = F.when(kind == 0, F.concat(F.lit(" "), F.regexp_replace("path", r"\.md$", ""))).when(kind == 1, F.upper("path")).when(kind == 2, F.concat(F.lit("x/"), F.upper("title"))).otherwise(F.concat(F.lit("n "), F.col("n_chars").cast("string")))
     return d.select(F.col("doc_id").alias("src"), t.alias("target"))
 
 
 def _named(spark, sf):
     d = notes(spark, sf)
     title = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("n "), F.col("n_chars").cast("string"))).otherwise(F.col("title"))
-    return d.select(F.lower("path").alias("doc_id"), "path", title.alias("title"))
+    twins = d.where("doc_id % 8 = 1").select(F.concat(F.lower("path"), F.lit(".md")).alias("doc_id"), F.concat("path", F.lit(".md")).alias("path"), F.lit(None).cast("string").alias("title"))
+    return d.select(F.lower("path").alias("doc_id"), "path", title.alias("title")).union(twins)
 
 
 def resolve_links(spark, sf):
@@ -352,7 +353,7 @@ def resolve_links(spark, sf):
 
 
 def name_index(spark, sf):
-    return links.name_index(_named(spark, sf)).groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    return links.name_index(_named(spark, sf)).select("key", F.col("n").alias("n_docs"), F.col("doc_id").alias("first_doc"))
 
 
 def _old(spark, sf):
@@ -450,7 +451,8 @@ def listing_entries(spark, sf):
 def point_get(spark, sf):
     from .sources import listing
 
-    return listing.point_get(_feed(spark, sf), "src1/en/10.md").unionByName(listing.point_get(_feed(spark, sf), "nowhere")).select("id", F.col("value.rev").alias("rev"))
+    feed = _feed(spark, sf)
+    return listing.point_get(feed, feed.agg(F.min("id")).scalar()).unionByName(listing.point_get(feed, "nowhere")).select("id", F.col("value.rev").alias("rev"))
 
 
 def _feed(spark, sf):
@@ -493,6 +495,15 @@ def neighbors(spark, sf):
     return graph.neighbors(every, docs, visible="open").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def resolve_docs(spark, sf):
+    """Needles of every document: its path, the end of it, a title of another case, a number of characters (ambiguous or missing)."""
+    d = notes(spark, sf)
+    kind = F.col("doc_id") % 4
+    needle = F.when(kind == 0, F.upper("path")).when(kind == 1, F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"))).when(kind == 2, F.upper("title")).otherwise(F.concat(F.lit("N "), F.col("n_chars").cast("string")))
+    named = d.select(F.lower("path").alias("doc_id"), "path", F.when(F.col("doc_id") % 2 == 0, F.col("title")).otherwise(F.concat(F.lit("n "), F.col("n_chars").cast("string"))).alias("title"), "sensitivity")
+    return graph.resolve_docs(d.select(needle.alias("needle")), named, visible="open")
+
+
 def resolve_doc(spark, sf):
     d = notes(spark, sf).withColumn("doc_id", F.lower("path"))
     return graph.resolve_doc(d, "DOC 3", visible=None).union(graph.resolve_doc(d, "en/10", visible=None)).union(graph.resolve_doc(d, "src1/en/11", visible=None)).select("doc_id", "path", "title")
@@ -581,7 +592,7 @@ _QUERIES = (
     rerank_apply, web_trigger, web_calibration, graph_ab_displacement, graph_ab_totals, classify_sensitivity, corpus_filter, unmatched_globs, title_derivation, content_hash, chunk_ids,
     chunk_token_windows, runt_merge, hard_split, heading_chunks, extract_links, resolve_links, name_index, cdc_classify, cdc_report, cdc_deletions, mass_delete_guard, upsert_docs, reclassify,
     wikilinks, topic_links, tags, edge_build, edge_catch_up, edge_backfill, frontmatter, sections, cdc_rebuild, touch_docs, index_apply, engine_search, embed_chunks, listing_entries, point_get,
-    hybrid_search_without_graph, hybrid_search_reranked, hits_text, web_context, model_messages, missing_embeddings, lead_chunk, read_document, neighbors, resolve_doc, last_user_message, assemble_context, hits_json, rerank_prompt, parse_grades, fts_query, note_reassembly, stream_ingest,
+    hybrid_search_without_graph, hybrid_search_reranked, hits_text, web_context, model_messages, missing_embeddings, lead_chunk, read_document, neighbors, resolve_doc, resolve_docs, last_user_message, assemble_context, hits_json, rerank_prompt, parse_grades, fts_query, note_reassembly, stream_ingest,
 )
 
 

@@ -100,7 +100,7 @@ _MULTI = """
 multi AS (SELECT doc_id AS chunk_id, source AS doc_id, doc_id AS ordinal, CASE WHEN lang = 'de' THEN '' ELSE lang END AS h, md5(text) AS body, sensitivity FROM notes WHERE sensitivity = 'open')"""
 
 _NAMED = """
-named AS (SELECT lower(path) AS doc_id, path, CASE WHEN doc_id % 2 = 0 THEN 'n ' || n_chars ELSE title END AS title FROM notes),
+named AS (SELECT lower(path) AS doc_id, path, CASE WHEN doc_id % 2 = 0 THEN 'n ' || n_chars ELSE title END AS title FROM notes UNION ALL SELECT lower(path) || '.md', path || '.md', NULL FROM notes WHERE doc_id % 8 = 1),
 keys AS (SELECT DISTINCT doc_id, key FROM (SELECT doc_id, lower(regexp_replace(split_part(path, '/', 3), '\\.md$', '')) AS key FROM named UNION ALL SELECT doc_id, lower(title) FROM named) WHERE key <> ''),
 counted AS (SELECT key, min(doc_id) AS doc_id, count(*) AS n FROM keys GROUP BY key)"""
 
@@ -150,7 +150,7 @@ contexts AS (SELECT qid, string_agg('### ' || cited || chr(10) || text, chr(10)
 _WEB = """
 results AS (SELECT item_id AS qid, text, unnest(range(0, length(text) % 5)) AS i FROM benchmark),
 webs AS (
-  SELECT qid, '## From the web (not from the notes; cite by URL)' || chr(10) || chr(10) || string_agg('### about ' || rtrim(left(text, 9), ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || 'http://w/' || length(text) || '/' || i || chr(10) || trim(left(text, 20), ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) ORDER BY i) AS w
+  SELECT qid, '## Web results: outside the collection, cited by address' || chr(10) || chr(10) || string_agg('### about ' || rtrim(left(text, 9), ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || 'http://w/' || length(text) || '/' || i || chr(10) || trim(left(text, 20), ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) ORDER BY i) AS w
   FROM results WHERE i <> 2 GROUP BY qid
 )"""
 
@@ -249,9 +249,9 @@ SELECT left(sha256(doc_id || h || ordinal), 16) AS chunk_id, doc_id::VARCHAR AS
     "extract_links": "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS target, generate_subscripts(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1), 1) - 1 AS pos FROM pages",
     "resolve_links": _with(
         """SELECT src, target, coalesce(a.doc_id, b.doc_id, c.doc_id, target) AS dst, coalesce(a.doc_id, b.doc_id, c.doc_id) IS NOT NULL AS resolved
-FROM t LEFT JOIN named a ON a.doc_id = lower(target) || '.md' LEFT JOIN named b ON b.doc_id = lower(target) LEFT JOIN counted c ON c.n = 1 AND c.key = lower(split_part(target, '/', -1))""",
+FROM t LEFT JOIN named a ON a.doc_id = regexp_replace(lower(trim(target)), '\\.md$', '') || '.md' LEFT JOIN named b ON b.doc_id = lower(trim(target)) LEFT JOIN counted c ON c.n = 1 AND c.key = lower(split_part(target, '/', -1))""",
         _NAMED,
-        "\nt AS (SELECT doc_id AS src, CASE doc_id % 4 WHEN 0 THEN regexp_replace(path, '\\.md$', '') WHEN 1 THEN upper(path) WHEN 2 THEN 'x/' || upper(title) ELSE 'n ' || n_chars END AS target FROM notes)",
+        "\nt AS (SELECT doc_id AS src, CASE doc_id % 4 WHEN 0 THEN ' ' || regexp_replace(path, '\\.md$', '') WHEN 1 THEN upper(path) WHEN 2 THEN 'x/' || upper(title) ELSE 'n ' || n_chars END AS target FROM notes)",
     ),
     "name_index": _with("SELECT key, n AS n_docs, doc_id AS first_doc FROM counted", _NAMED),
     "cdc_classify": "WITH" + _OLD + "\nSELECT * FROM classed",
@@ -279,6 +279,16 @@ UNION ALL SELECT doc_id, 'out', 'wikilink', 'raw ' || lang FROM seen UNION ALL S
         _EDGES,
         "\nseen AS (SELECT * FROM notes WHERE sensitivity = 'open')",
     ),
+    "resolve_docs": _with(
+        """SELECT needle, coalesce(n, 0) AS n, h.doc_id FROM needles LEFT JOIN (
+  SELECT needle, count(*) AS n, min(doc_id) AS doc_id FROM (
+    SELECT needle, doc_id, exact, bool_or(exact) OVER (PARTITION BY needle) AS any_exact FROM (
+      SELECT needle, doc_id, bool_or(doc_id = want OR doc_id = note) AS exact FROM needles JOIN shown ON doc_id = want OR doc_id = note OR lower(title) = want OR lower(path) = note OR ends_with(lower(path), '/' || note) GROUP BY ALL)
+  ) WHERE exact = any_exact GROUP BY needle
+) h USING (needle)""",
+        "\nshown AS (SELECT lower(path) AS doc_id, path, CASE WHEN doc_id % 2 = 0 THEN title ELSE 'n ' || n_chars END AS title FROM notes WHERE sensitivity = 'open')",
+        "\nneedles AS (SELECT needle, lower(trim(needle)) AS want, CASE WHEN lower(trim(needle)) LIKE '%.md' THEN lower(trim(needle)) ELSE lower(trim(needle)) || '.md' END AS note FROM (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN upper(path) WHEN 1 THEN lang || '/' || doc_id WHEN 2 THEN upper(title) ELSE 'N ' || n_chars END AS needle FROM notes))",
+    ),
     "resolve_doc": _with(
         "SELECT lower(path) AS doc_id, path, title FROM notes WHERE lower(title) = 'doc 3' UNION ALL SELECT lower(path), path, title FROM notes WHERE path LIKE '%/en/10.md' UNION ALL SELECT lower(path), path, title FROM notes WHERE path = 'src1/en/11.md' OR path LIKE '%/src1/en/11.md'"
     ),
@@ -349,7 +359,7 @@ FROM classed JOIN notes USING (doc_id) LEFT JOIN old o USING (doc_id) WHERE clas
 FROM feed WHERE id >= 'src1' AND id <= 'src2' AND doc_id % 7 <> 0 AND type <> 'leaf'""",
         _FEED,
     ),
-    "point_get": _with("SELECT id, (doc_id % 9)::VARCHAR AS rev FROM feed WHERE id = 'src1/en/10.md'", _FEED),
+    "point_get": _with("SELECT id, (doc_id % 9)::VARCHAR AS rev FROM feed WHERE id = (SELECT min(id) FROM feed)", _FEED),
     "rerank_prompt": _with(
         """SELECT qid, count(*) AS n, md5('Question: ' || any_value(q.text) || chr(10) || chr(10) || 'Candidates:' || chr(10) || string_agg('[' || ord || '] ' || title || coalesce(' > ' || h, '') || chr(10) || left(trim(regexp_replace(blocks.text, '\\s+', ' ', 'g')), 500), chr(10) ORDER BY ord)) AS digest
 FROM blocks JOIN benchmark q ON item_id = qid GROUP BY qid""",

@@ -45,7 +45,7 @@ def chunk(docs: DataFrame, target: int, hard: int) -> DataFrame:
     """CHUNKS rows from (doc_id, path, title, sensitivity, markdown)."""
     bodies = docs.select("doc_id", X.strip_frontmatter(F.col("markdown")).alias("body"))
     merged = merge_runts(sections(bodies))
-    pieces = merged.select("doc_id", "pos", "heading_path", F.posexplode(X.hard_split(target, hard)("text")).alias("k", "body"))
+    pieces = merged.select("doc_id", "pos", "heading_path", F.posexplode(X.hard_split(target, hard)(F.col("text"))).alias("k", "body"))
     pieces = pieces.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "k")) - 1)
     out = pieces.join(docs.select("doc_id", "path", "title", "sensitivity"), "doc_id")
     return out.select(

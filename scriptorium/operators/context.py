@@ -55,7 +55,17 @@ def web_citation(url):
     return F.trim(url)
 
 
-WEB_HEADING = "## From the web (not from the notes; cite by URL)"
+WEB_HEADING = "## Web results: outside the collection, cited by address"
+
+#: What every call of a model is told before its question.
+RULES = (
+    "Answer from the passages below.\n"
+    "- Put the [[path|title]] of its passage, letter for letter, behind each statement taken from one; where several statements in a row rest on one passage, once is enough.\n"
+    "- Statements from web results stand under a heading of their own and are cited by address, never in double brackets.\n"
+    "- Where notes and web results contradict each other, report both.\n"
+    "- If no passage bears on the question, answer only that the notes hold nothing about it.\n"
+    "- Make up no source, note or quotation, and mark what you are unsure of."
+)
 
 
 def web_context(results: DataFrame) -> DataFrame:
@@ -65,12 +75,12 @@ def web_context(results: DataFrame) -> DataFrame:
 
 
 def messages(questions: DataFrame, contexts: DataFrame, web: DataFrame | None = None) -> DataFrame:
-    """(qid, message): the question and its context, then what the web gave, for questions that have either."""
+    """(qid, system, message): the rules; the question and its context, then what the web gave. For questions that have either."""
     rows = questions.select("qid", "text").join(contexts, "qid", "left")
     rows = rows.join(web, "qid", "left") if web is not None else rows.withColumn("web", F.lit(None).cast("string"))
     body = F.concat(F.lit("Question: "), "text", F.lit("\n\nContext from the notes:\n\n"), F.coalesce("context", F.lit("")))
     rows = rows.where("context IS NOT NULL OR web IS NOT NULL")
-    return rows.select("qid", F.concat(body, F.when(F.col("web").isNotNull(), F.concat(F.lit("\n\n"), "web")).otherwise(F.lit(""))).alias("message"))
+    return rows.select("qid", F.lit(RULES).alias("system"), F.concat(body, F.when(F.col("web").isNotNull(), F.concat(F.lit("\n\n"), "web")).otherwise(F.lit(""))).alias("message"))
 
 
 def thin(questions: DataFrame, hits: DataFrame, thin_hits: int, thin_distance: float, allow_web: bool = True, enabled: bool = True) -> DataFrame:

@@ -17,8 +17,8 @@ MOST = 3
 
 #: What a grader is told once; its replies are lines of ``number: grade``, or ``none``.
 INSTRUCTION = (
-    "Grade each numbered passage by how directly it answers the question: 1 touches it, 2 is relevant, 3 is about it. "
-    "Answer with lines of the form `number: grade` for passages graded 1 to 3 only, or with `none`."
+    "Below are a question and passages with numbers. Write one line, `number: grade`, for every passage that helps: "
+    "3 where it holds the answer, 2 where it holds a part, 1 where it only mentions the matter. Leave out all others; write `none` if that leaves no line."
 )
 
 Grader = Callable[[str, str], str]
@@ -50,6 +50,7 @@ def parse_grades(reply: Column, n: Column) -> Column:
     if it has exactly n whole grades.
     """
     text = F.coalesce(reply, F.lit(""))
+    # The grammar of replies.
     pair, number = F.lit(r"([0-9]+)\s*[:=]\s*(-?[0-9]+(?:\.[0-9]+)?)"), F.lit(r"-?[0-9]+(?:\.[0-9]+)?")
     numbers = lambda a: F.transform(a, lambda x: x.try_cast("double"))
     labels, values = numbers(F.regexp_extract_all(text, pair, F.lit(1))), numbers(F.regexp_extract_all(text, pair, F.lit(2)))

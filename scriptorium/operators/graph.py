@@ -34,6 +34,28 @@ def resolve_doc(docs: DataFrame, needle: str, *, visible: str | None) -> DataFra
     return found.where(F.col("exact") == found.agg(F.max("exact")).scalar()).drop("exact")
 
 
+def resolve_docs(needles: DataFrame, docs: DataFrame, *, visible: str | None) -> DataFrame:
+    """(needle, n, doc_id) for all needles at once, by the rule of ``resolve_doc``: 1 is found, more are ambiguous, 0 missing.
+
+    Every document stands under its id, its title and each suffix of its path that begins at a folder, so a look-up is an
+    equality join and no needle scans the documents. ``doc_id`` is the smallest one that fits, null if none does. Needles are
+    distinct; null needles are missing.
+    """
+    path = F.split(F.lower("path"), "/")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.array_join(F.slice(path, i, F.size(path)), "/"))
+    key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("key"))
+    names = F.concat(F.array(key("id", F.col("doc_id").cast("string")), key("title", F.lower("title"))), F.transform(suffixes, lambda s: key("path", s)))
+    known = docs.where(X.visible(F.col("sensitivity"), visible)).select("doc_id", F.explode(names).alias("k")).select("doc_id", "k.*")
+    want = F.lower(F.trim("needle"))
+    note = F.when(want.endswith(".md"), want).otherwise(F.concat(want, F.lit(".md")))
+    tried = F.array(key("id", want), key("id", note), key("title", want), key("path", note))
+    each = needles.select("needle").distinct()
+    hits = each.select("needle", F.explode(F.array_distinct(tried)).alias("k")).select("needle", "k.*").join(known, ["kind", "key"])
+    hits = hits.select("needle", (F.col("kind") == "id").alias("exact"), "doc_id").distinct()
+    best = hits.groupBy("needle", "exact").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).groupBy("needle").agg(F.max_by(F.struct("n", "doc_id"), "exact").alias("best"))
+    return each.join(best, "needle", "left").select("needle", F.coalesce("best.n", F.lit(0)).alias("n"), "best.doc_id")
+
+
 def read_document(chunks: DataFrame, docs: DataFrame, *, visible: str | None) -> DataFrame:
     """(doc_id, text): title and link, then chunks in order, with heading lines where the heading changes."""
     w = Window.partitionBy("doc_id").orderBy("ordinal")

@@ -7,7 +7,7 @@ resolves at once, and a title that becomes ambiguous later is not resolved.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -32,17 +32,21 @@ def hrefs(html: Column) -> Column:
 
 
 def name_index(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, n): lower-case file names and titles, and how many documents share the key."""
-    names = F.array_distinct(F.array(F.lower(F.regexp_replace(X.file_name(F.col("path")), r"\.md\z", "")), F.lower(F.col("title"))))
+    """(key, doc_id, n): lower-case file names and titles, how many documents share each, and the smallest id of them.
+
+    Counts are summed before the shuffle, so a name that very many notes share is one row a task.
+    """
+    names = F.array_distinct(F.array(*[F.lower(X.strip(c)) for c in (F.regexp_replace(X.file_name(F.col("path")), r"\.md\z", ""), F.col("title"))]))
     keys = docs.select("doc_id", F.explode(names).alias("key")).where("key <> ''")
-    return keys.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    return keys.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
 def resolve(targets: DataFrame, docs: DataFrame) -> DataFrame:
-    """targets with ``dst`` and ``resolved``: id with .md, id as written, a unique file name or title, else as written."""
+    """targets with ``dst`` and ``resolved``: the id with .md (added where it is missing), the id as written, a unique file name or title, else as written."""
     ids = docs.select(F.col("doc_id").alias("id"))
-    base = F.lower(X.file_name(F.col("target")))
-    keyed = targets.withColumn("k1", F.concat(F.lower("target"), F.lit(".md"))).withColumn("k2", F.lower("target")).withColumn("k3", base)
+    want = F.lower(X.strip(F.col("target")))
+    note = F.when(want.endswith(".md"), want).otherwise(F.concat(want, F.lit(".md")))
+    keyed = targets.withColumn("k1", note).withColumn("k2", want).withColumn("k3", F.lower(X.strip(X.file_name(F.col("target")))))
     unique = name_index(docs).where("n = 1").select(F.col("key").alias("k3"), F.col("doc_id").alias("by_name"))
     found = keyed.join(ids.withColumnRenamed("id", "k1").withColumn("a", F.col("k1")), "k1", "left").join(ids.withColumnRenamed("id", "k2").withColumn("b", F.col("k2")), "k2", "left").join(unique, "k3", "left")
     dst = F.coalesce("a", "b", "by_name")

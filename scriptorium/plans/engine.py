@@ -168,7 +168,7 @@ class Engine:
         return context.assemble(self.search(questions, allow_web=allow_web), gate(allow_web))
 
     def ask(
-        self, questions: DataFrame, generate: Callable[[str], str] | None = None, *, web: WebSearch | None = None, grader: grading.Grader | None = None, allow_web: bool = True, dry_run: bool = False
+        self, questions: DataFrame, generate: Callable[[str, str], str] | None = None, *, web: WebSearch | None = None, grader: grading.Grader | None = None, allow_web: bool = True, dry_run: bool = False
     ) -> DataFrame:
         """(qid, answer, generated): one answer for each question.
 

@@ -73,11 +73,11 @@ def web_results(questions: DataFrame, search: WebSearch, limit: int = 5) -> Data
     return questions.select("qid", "text").mapInPandas(run, f"qid {kind}, ord int, title string, url string, snippet string")
 
 
-def answer(messages: DataFrame, generate: Callable[[str], str]) -> DataFrame:
-    """(qid, answer) of a model called for each (qid, message), where the row is; a failing call fails the job."""
+def answer(messages: DataFrame, generate: Callable[[str, str], str]) -> DataFrame:
+    """(qid, answer) of a model called with the rules and the message of each (qid, system, message), where the row is; a failing call fails the job."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            yield pd.DataFrame({"qid": df["qid"], "answer": [generate(m) for m in df["message"]]})
+            yield pd.DataFrame({"qid": df["qid"], "answer": [generate(s, m) for s, m in zip(df["system"], df["message"], strict=True)]})
 
-    return messages.select("qid", "message").mapInPandas(run, f"qid {messages.schema['qid'].dataType.simpleString()}, answer string")
+    return messages.select("qid", "system", "message").mapInPandas(run, f"qid {messages.schema['qid'].dataType.simpleString()}, answer string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import LISTING
@@ -50,7 +50,8 @@ def reassemble(notes: DataFrame, leaf_rows: DataFrame) -> DataFrame:
     return notes.join(whole.select("doc_id", text.alias("markdown")), "doc_id", "left")
 
 
-def point_get(rows: DataFrame, doc_id: str) -> DataFrame:
+def point_get(rows: DataFrame, doc_id: str | Column) -> DataFrame:
+    """The row of one id, or none."""
     return rows.where(F.col("id") == doc_id)
 
 

@@ -131,14 +131,15 @@ def test_index_search_and_refresh(spark, tmp_path):
     assert e.read("n/b").first()["text"].endswith("a blue dog [[a]]")
     assert e.read("secret/s", allow_web=True).count() == 0
     two = spark.createDataFrame([(0, "red fox"), (1, "zebra")], "qid long, text string")
-    said = {r["qid"]: (r["answer"], r["generated"]) for r in e.ask(two, lambda m: m.upper()).collect()}
+    said = {r["qid"]: (r["answer"], r["generated"]) for r in e.ask(two, lambda rules, m: m.upper()).collect()}
     assert said[1] == (engine.SILENT, False) and said[0][1]
     assert said[0][0].startswith("QUESTION: RED FOX\n\nCONTEXT FROM THE NOTES:\n\n### [[N/A.MD|A]]\nTHE RED FOX\n\n### [[TOPICS/T.MD|TOPIC]]\n")
     assert {r["qid"]: r["answer"] for r in e.ask(two, dry_run=True).collect()}[0] == "2 hit(s):\n  0.016393  [fts]  [[N/a.md|a]]\n  0.008197  [graph]  [[Topics/T.md|Topic]]"
     webbed = engine.Engine(spark, store.root, chosen.with_(web=True))
     found = lambda q, n: [{"title": "Z", "url": "http://z", "snippet": "stripes"}] if q == "zebra" else []
-    said = {r["qid"]: r["answer"] for r in webbed.ask(two, lambda m: m, web=found).collect()}
-    assert said[1].endswith("### Z\nhttp://z\nstripes") and "From the web" not in said[0]
+    said = {r["qid"]: r["answer"] for r in webbed.ask(two, lambda rules, m: m, web=found).collect()}
+    assert said[1].endswith("### Z\nhttp://z\nstripes") and context.WEB_HEADING in said[1] and context.WEB_HEADING not in said[0]
+    assert {r["answer"] for r in e.ask(two.where("qid = 0"), lambda rules, m: rules).collect()} == {context.RULES}
     graded = engine.Engine(spark, store.root, chosen.with_(rerank=True, rerank_top_k=8, graph_enabled=False))
     order = [r["doc_id"] for r in graded.search(q, allow_web=True, grader=lambda i, p: "2: 3\n1: 1").orderBy("ord").collect()]
     assert order == ["topics/t.md", "n/a.md"]

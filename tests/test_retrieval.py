@@ -178,6 +178,9 @@ def test_document_tools(spark):
     docs = spark.createDataFrame([("a/x.md", "A/X.md", "Ex", "open"), ("b/x.md", "B/x.md", "Ex", "open"), ("c/y.md", "c/y.md", "Why", "personal")], "doc_id string, path string, title string, sensitivity string")
     name = lambda n, v=None: sorted(r["doc_id"] for r in graph.resolve_doc(docs, n, visible=v).collect())
     assert name("A/X") == ["a/x.md"] and name("ex") == ["a/x.md", "b/x.md"] and name("why") == ["c/y.md"] and name("why", "open") == [] == name("nope", "open")
+    needles = spark.createDataFrame([(n,) for n in ("A/X", "ex", "why", "nope", "x.md", "y", "ex", None)], "needle string")
+    got = {r["needle"]: (r["n"], r["doc_id"]) for r in graph.resolve_docs(needles, docs, visible="open").collect()}
+    assert got == {"A/X": (1, "a/x.md"), "ex": (2, "a/x.md"), "why": (0, None), "nope": (0, None), "x.md": (2, "a/x.md"), "y": (0, None), None: (0, None)}
     c = spark.createDataFrame([("a/x.md", 0, "", "one", "open"), ("a/x.md", 1, "H", "two", "open"), ("a/x.md", 2, "H", "three", "open")], "doc_id string, ordinal int, heading_path string, body string, sensitivity string")
     got = graph.read_document(c, docs.where("doc_id = 'a/x.md'"), visible=None).first()["text"]
     assert got == "# Ex\n[[A/X.md]]\n\none\n\n## H\n\ntwo\n\nthree"

@@ -65,11 +65,15 @@ def test_runts_join_the_section_before(spark):
     assert got[0]["text"].endswith("\n\nshort")
 
 
-def test_hard_split_loses_nothing():
-    paragraphs = [f"p{i} " + "w " * 9 for i in range(40)]
-    packs = X.greedy(paragraphs, 100, 150)
-    assert len(packs) == 4 and " ".join(" ".join(packs).split()) == " ".join(" ".join(paragraphs).split())
-    assert [len(p.split()) for p in X.greedy(["w " * 200], 50, 100)] == [100, 100]
+def test_hard_split_loses_nothing(spark):
+    paragraphs = [f"p{i} " + "w " * 8 + "w" for i in range(40)]
+    big = " ".join(f"b{i}" for i in range(25))
+    mixed = ["a b", "c d e", "", big, "f", "g h i j k l m", "n"]
+    rows = [("\n\n".join(paragraphs),), ("w " * 200,), ("\n\n".join(mixed),), ("few\n\nwords",), (None,), ("",)]
+    packs, cut, last, whole, none, empty = values(spark, X.hard_split(100, 150)(F.col("t")), rows, "t string")
+    assert packs == ["\n\n".join(paragraphs[i : i + 10]) for i in range(0, 40, 10)]
+    assert [len(p.split()) for p in cut] == [150, 50] and whole == ["few\n\nwords"] and none == [] and empty == [""]
+    assert values(spark, X.hard_split(5, 10)(F.col("t")), rows[2:3], "t string")[0] == ["a b\n\nc d e", " ".join(big.split()[:10]), " ".join(big.split()[10:20]), " ".join(big.split()[20:]), "f", "g h i j k l m", "n"]
 
 
 def test_links(spark):
@@ -84,9 +88,11 @@ def docs(spark):
 
 
 def test_resolution(spark, docs):
-    t = spark.createDataFrame([("s", t) for t in ("X/A", "x/a.md", "alpha", "a", "dup", "none")], "src string, target string")
+    t = spark.createDataFrame([("s", t) for t in ("X/A", " x/a.md ", "alpha", "a", "dup", "none")], "src string, target string")
     got = {r["target"]: (r["dst"], r["resolved"]) for r in links.resolve(t, docs).collect()}
-    assert got == {"X/A": ("x/a.md", True), "x/a.md": ("x/a.md", True), "alpha": ("x/a.md", True), "a": ("x/a.md", True), "dup": ("dup", False), "none": ("none", False)}
+    assert got == {"X/A": ("x/a.md", True), " x/a.md ": ("x/a.md", True), "alpha": ("x/a.md", True), "a": ("x/a.md", True), "dup": ("dup", False), "none": ("none", False)}
+    twice = docs.union(spark.createDataFrame([("x/a.md.md", "x/a.md.md", None)], docs.schema))
+    assert {r["dst"] for r in links.resolve(t.where("target LIKE '%x/a.md%'"), twice).collect()} == {"x/a.md"}
 
 
 def test_edges_are_distinct_and_pending_ones_resolve_later(spark, docs):
