@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium import settings
-from scriptorium.operators import cdc
+from scriptorium.operators import cdc, context
 from scriptorium.plans import engine
 from scriptorium.settings import Settings
 from scriptorium.sources import external, listing
