@@ -137,9 +137,9 @@ def test_index_search_and_refresh(spark, tmp_path):
     assert {r["qid"]: r["answer"] for r in e.ask(two, dry_run=True).collect()}[0] == "2 hit(s):\n  0.016393  [fts]  [[N/a.md|a]]\n  0.008197  [graph]  [[Topics/T.md|Topic]]"
     webbed = engine.Engine(spark, store.root, chosen.with_(web=True))
     found = lambda q, n: [{"title": "Z", "url": "http://z", "snippet": "stripes"}] if q == "zebra" else []
-    said = {r["qid"]: r["answer"] for r in webbed.ask(two, lambda rules, m: m, web=found).collect()}
+    said = {r["qid"]: r["answer"] for r in webbed.ask(two, lambda rules, m: f"{rules}\n{m}", web=found).collect()}
     assert said[1].endswith("### Z\nhttp://z\nstripes") and context.WEB_HEADING in said[1] and context.WEB_HEADING not in said[0]
-    assert {r["answer"] for r in e.ask(two.where("qid = 0"), lambda rules, m: rules).collect()} == {context.RULES}
+    assert all(s.startswith(context.RULES) for s in said.values())
     graded = engine.Engine(spark, store.root, chosen.with_(rerank=True, rerank_top_k=8, graph_enabled=False))
     order = [r["doc_id"] for r in graded.search(q, allow_web=True, grader=lambda i, p: "2: 3\n1: 1").orderBy("ord").collect()]
     assert order == ["topics/t.md", "n/a.md"]
