@@ -53,29 +53,45 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-#: The inverted index of a table of documents, kept while the application runs and the table's files stay the same.
-_indexes: dict[tuple, keyword.Index] = {}
+#: Indexes of tables, kept while the application runs and the tables' files stay the same.
+_indexes: dict[tuple, keyword.Index | vector.PivotIndex] = {}
 
 
-def _index(spark, sf) -> keyword.Index:
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    files = [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)]
-    key = (spark.sparkContext.applicationId, scratch.folder(spark), *sorted(files))
+def _kept(spark, sf, build, *tables, **kw):
+    files = []
+    for name in tables:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)]
+    key = (build.__name__, *kw.items(), spark.sparkContext.applicationId, scratch.folder(spark), *sorted(files))
     if key not in _indexes:
-        _indexes[key] = keyword.build_index(chunks(spark, sf), columns=("body",))
+        _indexes[key] = build(spark, sf, **kw)
     return _indexes[key]
 
 
+def _keyword_index(spark, sf) -> keyword.Index:
+    return keyword.build_index(chunks(spark, sf), columns=("body",))
+
+
+def _vectors(spark, sf) -> DataFrame:
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+def _pivot_index(spark, sf, visible) -> vector.PivotIndex:
+    return vector.build_index(_vectors(spark, sf), chunks(spark, sf), visible=visible)
+
+
+def _index(spark, sf) -> keyword.Index:
+    return _kept(spark, sf, _keyword_index, "documents")
+
+
 def _fts(spark, sf, visible=None, k=TOP_K):
     return keyword.search(_questions(spark, sf), _index(spark, sf), chunks(spark, sf), k, visible=visible)
 
 
 def _knn(spark, sf, visible=None, k=TOP_K):
-    c = chunks(spark, sf)
-    v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    asked = _questions(spark, sf).select("qid").join(v.withColumnRenamed("chunk_id", "qid"), "qid")
-    return vector.search(asked, v, c, k, visible=visible)
+    asked = _questions(spark, sf).select("qid").join(_vectors(spark, sf).withColumnRenamed("chunk_id", "qid"), "qid")
+    return vector.nearest(asked, _kept(spark, sf, _pivot_index, "documents", "embeddings", "labels", visible=visible), k)
 
 
 def _fused(spark, sf, visible=None):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .sizes import ROWS
 
 
 class MassDeletion(RuntimeError):
@@ -18,10 +19,14 @@ def classify(listing: DataFrame, docs: DataFrame, rebuild: bool = False) -> Data
     Same revision: unchanged, whatever the text. Torn notes (null markdown) are skipped, and stay
     indexed if they were. Unknown: new. Same hash: touched. Else changed. A rebuild neither trusts
     revisions nor hashes. Documents that are not listed are ``deleted``.
+
+    Revisions are compared first: where the notes to read are few, only theirs are hashed.
     """
     old = docs.select("doc_id", F.col("rev").alias("old_rev"), F.col("content_hash").alias("old_hash"), F.lit(True).alias("known"))
+    read = F.col("read") if (to_read := None if rebuild else _to_read(listing, docs)) is not None else F.lit(True)
+    rows = listing if to_read is None else listing.join(F.broadcast(to_read.withColumn("read", F.lit(True))), "doc_id", "left")
     # Hashes travel, not texts.
-    new = listing.select("doc_id", "rev", X.content_hash(F.col("markdown")).alias("hash"), F.lit(True).alias("listed"))
+    new = rows.select("doc_id", "rev", F.when(read, X.content_hash(F.col("markdown"))).alias("hash"), F.lit(True).alias("listed"))
     both = new.join(old, "doc_id", "full_outer")
     known, trust = F.col("known").isNotNull(), F.lit(not rebuild)
     kind = (
@@ -35,6 +40,14 @@ def classify(listing: DataFrame, docs: DataFrame, rebuild: bool = False) -> Data
     return both.select("doc_id", kind.alias("class"))
 
 
+def _to_read(listing: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """(doc_id,) of listed notes without a stored document of their revision; None if they are too many to broadcast."""
+    known = docs.select("doc_id", F.col("rev").alias("old_rev"), F.lit(True).alias("known"))
+    open_ = listing.select("doc_id", "rev").join(known, "doc_id", "left").where(F.col("known").isNull() | ~F.col("rev").eqNullSafe(F.col("old_rev")))
+    ids = open_.select("doc_id").distinct()
+    return ids if ids.limit(ROWS + 1).count() <= ROWS else None
+
+
 def deletions(listing: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(listing.select("doc_id"), "doc_id", "left_anti")
 

@@ -25,6 +25,10 @@ def test_classes(spark):
     docs = spark.createDataFrame([("same", "1", h("a")), ("rev", "1", h("a")), ("both", "1", h("a")), ("gone", "1", h("a")), ("torn", "1", h("a"))], "doc_id string, rev string, content_hash string")
     new = spark.createDataFrame([("same", "1", "changed unseen"), ("rev", "2", "a"), ("both", "2", "b"), ("new", "1", "n"), ("torn", "2", None), ("torn2", "1", None)], "doc_id string, rev string, markdown string")
     assert classes(cdc.classify(new, docs)) == {"same": "unchanged", "rev": "touched", "both": "changed", "new": "new", "gone": "deleted", "torn": "skipped", "torn2": "skipped"}
+    assert sorted(r[0] for r in cdc._to_read(new, docs).collect()) == ["both", "new", "rev", "torn", "torn2"]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(cdc, "ROWS", 2)
+        assert cdc._to_read(new, docs) is None and classes(cdc.classify(new, docs))["rev"] == "touched"
     again = classes(cdc.classify(new, docs, rebuild=True))
     assert again["same"] == again["rev"] == "changed" and again["gone"] == "deleted"
 

@@ -159,19 +159,63 @@ def test_a_vector_of_another_space_leaves_the_arm_out(spark):
     assert vector.search_or_nothing(asked, v.where("chunk_id = 'a'"), c, 5, visible=None).count() == 1
 
 
-def test_the_best_of_many_batches(spark):
-    """Ties go to the smaller id whatever the batches; strings and numbers are ids."""
+def plain_nearest(vectors, q, k):
+    """The k nearest of {id: vector} by nine decimals of the distance, ties to the smaller id."""
+    import math
+
+    return sorted((round(math.dist(v, q), 9), i) for i, v in vectors.items() if len(v) == len(q))[:k]
+
+
+def test_nearest_in_a_block():
+    """Ties go to the smaller id; strings and numbers are ids; limits hold."""
     import numpy as np
-    import pandas as pd
 
     rng = np.random.default_rng(2)
-    x, q = rng.integers(0, 4, (500, 3)).astype(float), rng.integers(0, 4, (7, 3)).astype(float)
-    for ids in (rng.permutation(500), np.array([f"c{i:03}" for i in rng.permutation(500)], dtype=object)):
-        frames = [pd.DataFrame({"id": ids[i : i + 90], "embedding": list(x[i : i + 90])}) for i in range(0, 500, 90)]
-        got = pd.concat(vector._nearest(np.arange(7), q, 5)(iter(frames)))
-        for k in range(7):
-            d = np.sqrt(((x - q[k]) ** 2).sum(axis=1))
-            assert got[got["qid"] == k]["id"].tolist() == [ids[i] for i in sorted(range(500), key=lambda i: (d[i], ids[i]))[:5]]
+    x, q = rng.integers(0, 4, (500, 3)).astype(float), rng.integers(0, 4, (70, 3)).astype(float)
+    for ids in (rng.permutation(500), np.array([f"c{i:03}" for i in rng.permutation(500)])):
+        rows = dict(zip(ids.tolist(), x.tolist()))
+        for limit in (np.inf, 1.0):
+            got = vector.nearest_in(x, ids, np.arange(70), q, np.full(70, limit), 5)
+            for k in range(70):
+                mine = got[got["qid"] == k]
+                assert list(zip(mine["distance"].round(9), mine["id"])) == [p for p in plain_nearest(rows, q[k], 5) if p[0] <= limit]
+
+
+def test_pivots_change_no_row_and_spare_vectors(spark):
+    """Clusters, a third of all vectors in one, copies, ties, two lengths, and vectors that take no part."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 20, (12, 8))
+    x = [centres[0 if i % 3 == 0 else i % 12] + rng.normal(0, 0.5, 8) for i in range(1500)]
+    rows = {f"v{i:04}": [float(c) for c in v] for i, v in enumerate(x)}
+    rows |= {f"w{i:04}": rows["v0000"] for i in range(150)} | {f"s{i}": [float(i % 3), 1.0] for i in range(20)}
+    odd = [("o1", None), ("o2", []), ("o3", [1.0, None]), ("o4", [float("nan")] * 8), ("o5", [float("inf"), 0.0]), (None, [0.0] * 8)]
+    v = spark.createDataFrame([*rows.items(), *odd], "chunk_id string, embedding array<double>").repartition(5)
+    c = spark.createDataFrame([(i, "personal" if i and i.endswith("7") else "open") for i in [*rows, *(o[0] for o in odd)]], "chunk_id string, sensitivity string")
+    questions = [(i, rows[f"v{37 * i:04}"]) for i in range(30)] + [(30, [0.0] * 8), (31, [1.0, 1.0]), (32, [5.0]), (33, None), (34, [float("nan")] * 8), (35, [])]
+    asked = spark.createDataFrame(questions, "qid long, embedding array<double>")
+    for visible, seen in ((None, rows), ("open", {i: e for i, e in rows.items() if not i.endswith("7")})):
+        got = {}
+        index = vector.build_index(v, c, visible=visible, block=32)
+        for r in vector.nearest(asked, index, 7).orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append((round(r["distance"], 9), r["id"]))
+        assert got == {k: near for k, q in questions if q and q[0] == q[0] and (near := plain_nearest(seen, q, 7))}
+    index = vector.build_index(v, c, visible=None, block=32)
+    assert sorted(i for r in index.blocks.select("ids").collect() for i in r[0]) == sorted(rows) and index.blocks.where("n > 32 OR n <> size(ids) OR low > high").isEmpty()
+    share = {r["qid"]: (r["n_scored"], r["n_vectors"]) for r in vector.scored(asked.where("qid < 32"), index, 7).collect()}
+    # Questions of the large cluster may need all of it; no other needs more than a fifth of the table.
+    assert all(n == 1650 for k, (_, n) in share.items() if k < 31) and share[31][1] == 20
+    assert all(share[k][0] <= 1650 * 0.2 for k in range(30) if (37 * k) % 3) and sum(s for k, (s, _) in share.items() if k < 30) < 30 * 1650 * 0.3
+
+
+def test_nearest_of_nothing(spark):
+    v = spark.createDataFrame([], "chunk_id long, embedding array<float>")
+    c = spark.createDataFrame([], "chunk_id long, sensitivity string")
+    asked = spark.createDataFrame([(0, [1.0])], "qid long, embedding array<float>")
+    assert vector.search(asked, v, c, 3, visible=None).isEmpty()
+    v, c = spark.createDataFrame([(1, [1.0])], v.schema), spark.createDataFrame([(1, "open")], c.schema)
+    assert vector.search(asked.limit(0), v, c, 3, visible=None).isEmpty() and vector.search(asked, v, c, 3, visible=None).count() == 1
 
 
 def test_document_tools(spark):
