@@ -160,8 +160,8 @@ def _retrieve(spark, sf, grader=None, **changes):
     """The engine's retrieval over the tables, the web being allowed, so that only open rows count."""
     chosen = Settings(fts_top_k=TOP_K, vec_top_k=TOP_K, fusion_top_k=FUSED, graph_siblings=SIBLINGS, graph_discount=DISCOUNT, graph_slots=SLOTS, final_top_k=FINAL).with_(**changes)
     c = chunks(spark, sf).withColumn("heading_path", F.when(F.col("chunk_id") % 2 == 0, F.lit("part")))
-    v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    asked = _questions(spark, sf).join(v.withColumnRenamed("chunk_id", "qid"), "qid", "left")
+    asked = _questions(spark, sf).join(_vectors(spark, sf).withColumnRenamed("chunk_id", "qid"), "qid", "left")
+    v = _kept(spark, sf, _pivot_index, "documents", "embeddings", "labels", visible="open")
     rows, edges = scratch.write(c.drop("body")), scratch.write(topic_edges(spark, sf))
     # Only a grader reads texts.
     known = c.drop("path", "title") if grader else rows.drop("path", "title")

@@ -31,7 +31,7 @@ from ..functions import text as X
 QUESTIONS = 4096
 #: Vectors of a block, at most.
 BLOCK = 1024
-#: Vectors that pivots are fitted on, at most; the pivots are at most the square root of that many.
+#: Vectors that pivots are fitted on, at most; pivots are half the square root of that many.
 SAMPLE = 4096
 #: Question rows of one array of distances.
 STEP = 64
@@ -68,7 +68,7 @@ def fit_pivots(sample: np.ndarray) -> np.ndarray:
     """Centres of the sample: the farthest from all before, one by one, then moved to the means of their cells."""
     chosen = [0]
     near = distances(sample, sample[:1])[0]
-    while len(chosen) < math.isqrt(len(sample)) and near.max() > 0:
+    while len(chosen) < max(1, math.isqrt(len(sample)) // 2) and near.max() > 0:
         chosen.append(int(near.argmax()))
         near = np.minimum(near, distances(sample, sample[chosen[-1:]])[0])
     at = sample[chosen]
@@ -184,8 +184,8 @@ def _asked(questions: DataFrame) -> DataFrame:
 
 
 def _rounds(questions: DataFrame, index: PivotIndex, k: int):
-    """(the first round's distances, written; the pairs left for the second; their questions; the parts questions come in)."""
-    asked = _asked(questions)
+    """(the first round's distances, written; the pairs left for the second; their questions, written; the parts questions come in)."""
+    asked = scratch.write(_asked(questions))
     parts = max(1, math.ceil(asked.count() / QUESTIONS))
     bounds = _bounds(asked, index)
     first = scratch.write(_score(bounds.where(F.col("before") < k).select("qid", "block", F.lit(math.inf).alias("limit")), asked, index, k, parts))
@@ -220,18 +220,20 @@ def search(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int,
     return nearest(questions, build_index(vectors, chunks, visible=visible, key=key), k)
 
 
-def search_or_nothing(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int, **kw) -> DataFrame | None:
+def search_or_nothing(questions: DataFrame, vectors: DataFrame | PivotIndex, chunks: DataFrame, k: int, **kw) -> DataFrame | None:
     """The vector arm when vectors may be missing or of another space: a failure gives None, and is logged.
 
-    Lengths are compared by an aggregate. The result is written, so a failure of its jobs is met here and not in what follows.
+    An index, which must hold the visible vectors only, is searched as it is. Lengths are compared by an aggregate. The result is written, so a failure of its jobs is met here and not in what follows.
     """
     log = logging.getLogger(__name__)
     try:
         asked = questions.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
-        if asked[0] is not None and not vectors.where("embedding IS NOT NULL").where((F.size("embedding") < asked[0]) | (F.size("embedding") > asked[1])).isEmpty():
+        built = isinstance(vectors, PivotIndex)
+        lengths = vectors.directory.select("dim") if built else vectors.where("embedding IS NOT NULL").select(F.size("embedding").alias("dim"))
+        if asked[0] is not None and not lengths.where((F.col("dim") < asked[0]) | (F.col("dim") > asked[1])).isEmpty():
             log.warning("vector search is unavailable: questions have %d to %d components, some vectors others", *asked)
             return None
-        return scratch.write(search(questions, vectors, chunks, k, **kw))
+        return scratch.write(nearest(questions, vectors, k) if built else search(questions, vectors, chunks, k, **kw))
     except Exception:
         log.warning("vector search is unavailable", exc_info=True)
         return None

@@ -106,7 +106,7 @@ def embed_pending(store: Store, embedder: Embedder, model: str, dim: int, rebuil
 
 
 def retrieve(
-    questions: DataFrame, docs: DataFrame, chunks: DataFrame, edges: DataFrame, index_: keyword.Index, vectors: DataFrame | None, settings: Settings,
+    questions: DataFrame, docs: DataFrame, chunks: DataFrame, edges: DataFrame, index_: keyword.Index, vectors: DataFrame | vector.PivotIndex | None, settings: Settings,
     *, allow_web: bool, top_k: int | None = None, grader: grading.Grader | None = None,
 ) -> DataFrame:
     """(qid, ord, id, score, source, distance): hybrid search for (qid, text, embedding) questions.
