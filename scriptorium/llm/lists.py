@@ -25,6 +25,7 @@ from .common import broadcast_if_small, materialize
 
 SEED = 42
 KEY = ("band", "key")
+BLOCK_KEY = ["list", "block", "probes"]
 #: Members and elements of a block at most.
 BLOCK = 2_048
 BLOCK_ELEMENTS = 2_000_000
@@ -75,6 +76,32 @@ def listed(postings: DataFrame) -> DataFrame:
     return materialize(postings.join(ends.select(*KEY, "low"), [*KEY]).select(*KEY, "node", "low"))
 
 
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The members of lists of two or more, from rows by list and node; of the list a batch ends in, its first member is carried on."""
+    held, told = None, False
+    for df in batches:
+        if not len(df):
+            continue
+        k, n = df["key"].to_numpy(), df["node"].to_numpy()
+        if held is not None:
+            k, n = np.concatenate(([held[0]], k)), np.concatenate(([held[1]], n))
+        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        counts = np.diff(np.append(starts, len(k)))
+        low, member = np.repeat(n[starts], counts), np.repeat(counts > 1, counts)
+        if told:
+            member[0] = False
+        yield pd.DataFrame({"key": k[member], "node": n[member], "low": low[member]})
+        held, told = (k[-1], low[-1]), bool(counts[-1] > 1)
+
+
+def listed_mostly_alone(postings: DataFrame) -> DataFrame:
+    """As ``listed``, of postings (node, slice, keys) most of which are alone in their list: they are shuffled once, packed, and no list is held."""
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.shiftleft(F.col("slice").cast("long"), 32).bitwiseOR(F.col("key").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    dealt = postings.repartition(2 * parts, "slice").select("slice", "node", F.explode("keys").alias("key")).select(key.alias("key"), "node")
+    return materialize(dealt.sortWithinPartitions("key", "node").mapInPandas(_listed, "key long, node long, low long").select(F.lit(0).alias("band"), "key", "node", "low"))
+
+
 def stars(listed_: DataFrame) -> DataFrame:
     """(a, b): every member of a list with its smallest one."""
     return materialize(listed_.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
@@ -159,30 +186,58 @@ def joining(kinds: np.ndarray, nodes: np.ndarray, roots: np.ndarray, sets: list[
     return links
 
 
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame]]:
+    """Each block of rows that lie side by side, and whether it is the last of its batch; the last block of a batch may go on in the next."""
+    rest = None
+    for last, df in _with_last(batches):
+        df = df if rest is None else pd.concat([rest, df], ignore_index=True)
+        if not len(df):
+            continue
+        k = df[BLOCK_KEY].to_numpy()
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        stop = len(df) if last else (int(cuts[-1]) if len(cuts) else 0)
+        rest = df.iloc[stop:]
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(df)], strict=True):
+            if j <= stop:
+                yield j == stop, df.iloc[i:j]
+
+
+def _arrays(column: pd.Series, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=kind) for x in column]
+
+
 def _joined(jaccard: float, likely: Likeness | None, sketch: str | None):
-    """Links of all blocks, whose rows lie side by side; the last block of a batch may go on in the next."""
-    key = ["list", "block", "probes"]
+    """Links of all blocks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        links = []
+        for done, df in _blocks(batches):
+            sketches = None if sketch is None else np.stack(_arrays(df["sketch"], sketch))
+            links += joining(*(df[c].to_numpy() for c in ("kind", "node", "root")), _arrays(df["shingles"], "<u8"), jaccard, sketches, likely)
+            if done:
+                yield pd.DataFrame(np.array(links, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
+                links = []
+
+    return run
+
+
+def _hoping(likely: Likeness, sketch: str):
+    """The (list, node) of all blocks that have a likely partner of another group there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for last, df in _with_last(batches):
-            df = df if rest is None else pd.concat([rest, df], ignore_index=True)
-            if not len(df):
-                continue
-            k = df[key].to_numpy()
-            cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            stop = len(df) if last else (int(cuts[-1]) if len(cuts) else 0)
-            rest = df.iloc[stop:]
-            kinds, nodes, roots = (df[c].to_numpy() for c in ("kind", "node", "root"))
-            a, b = [], []
-            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(df)], strict=True):
-                if j <= stop:
-                    sets = [np.frombuffer(x, dtype="<u8") for x in df["shingles"].iloc[i:j]]
-                    sketches = None if sketch is None else np.stack([np.frombuffer(x, dtype=sketch) for x in df["sketch"].iloc[i:j]])
-                    for x, y in joining(kinds[i:j], nodes[i:j], roots[i:j], sets, jaccard, sketches, likely):
-                        a.append(x)
-                        b.append(y)
-            yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+        found = []
+        for done, df in _blocks(batches):
+            kinds, roots, sketches = df["kind"].to_numpy(), df["root"].to_numpy(), np.stack(_arrays(df["sketch"], sketch))
+            members, hope = np.flatnonzero(kinds != PROBE), np.zeros(len(df), dtype=bool)
+            for p in np.flatnonzero(kinds != MEMBER).tolist():
+                others = members[roots[members] != roots[p]]
+                others = others[likely(sketches[others], sketches[p])]
+                hope[others] = True
+                hope[p] |= len(others) > 0
+            found.append(df.loc[hope, ["list", "node"]])
+            if done:
+                yield pd.concat(found, ignore_index=True)
+                found = []
 
     return run
 
@@ -197,12 +252,8 @@ def _with_last(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataF
         yield True, held
 
 
-def between(members: DataFrame, sets: DataFrame, jaccard: float, block: int = BLOCK, likely: Likeness | None = None, sketch: str | None = None) -> DataFrame:
-    """(a, b): links that join groups of the unsettled lists ``members``.
-
-    sets: (node, shingles, n), and with ``likely`` a column ``sketch`` of arrays of the numpy type ``sketch``.
-    """
-    members = materialize(members.join(sets.select("node", "n"), "node"))
+def _dealt(members: DataFrame, block: int, carried: DataFrame) -> DataFrame:
+    """The blocks of lists of (list, node, root, n), n being the elements of a node, with the columns ``carried`` has of each node."""
     each = members.groupBy("list", "root").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
     known = each.groupBy("list").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.max("m").alias("most"), F.sum("m").alias("m"), F.sum("n").alias("n"))
     share = F.col("n") / BLOCK_ELEMENTS
@@ -217,8 +268,23 @@ def between(members: DataFrame, sets: DataFrame, jaccard: float, block: int = BL
     as_probe = F.transform(every("blocks"), lambda b: F.struct(b.alias("block"), part("probings").alias("probes"), F.lit(PROBE).alias("kind")))
     dealt = F.when(single | ~F.col("probe"), as_member).otherwise(F.concat(as_member, as_probe))
     dealt = placed.select("list", "node", "root", F.explode(dealt).alias("d")).select("list", "d.*", "node", "root")
-    key = ["list", "block", "probes"]
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    beside = dealt.join(carried, "node").repartition(parts, *BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
+    return beside.select(*BLOCK_KEY, "kind", "node", "root", *[c for c in carried.columns if c != "node"])
+
+
+def hopeful(members: DataFrame, sketches: DataFrame, block: int, likely: Likeness, sketch: str) -> DataFrame:
+    """The rows of the unsettled lists ``members`` that have, by their sketches (node, sketch), a likely partner of another group in their list."""
+    members = materialize(members)
+    found = materialize(_dealt(members.withColumn("n", F.lit(1)), block, sketches).mapInPandas(_hoping(likely, sketch), "list long, node long").distinct())
+    return materialize(members.join(broadcast_if_small(found), ["list", "node"]))
+
+
+def between(members: DataFrame, sets: DataFrame, jaccard: float, block: int = BLOCK, likely: Likeness | None = None, sketch: str | None = None) -> DataFrame:
+    """(a, b): links that join groups of the unsettled lists ``members``.
+
+    sets: (node, shingles, n), and with ``likely`` a column ``sketch`` of arrays of the numpy type ``sketch``.
+    """
+    members = materialize(members.join(sets.select("node", "n"), "node"))
     carried = ["shingles", "sketch"] if likely is not None else ["shingles"]
-    beside = dealt.join(sets.select("node", *carried), "node").repartition(parts, *key).sortWithinPartitions(*key)
-    return materialize(beside.select(*key, "kind", "node", "root", *carried).mapInPandas(_joined(jaccard, likely, sketch), "a long, b long"))
+    return materialize(_dealt(members, block, sets.select("node", *carried)).mapInPandas(_joined(jaccard, likely, sketch), "a long, b long"))

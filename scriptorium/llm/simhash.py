@@ -18,10 +18,12 @@ linked groups, not all pairs; components are found iteratively.
 Exact copies are one fingerprint: they are grouped before the index and expanded after it.
 
 ``near_duplicates`` is for corpora: two texts link if the sets of their ``shingle``-word shingles
-have a Jaccard similarity of ``jaccard`` or more. Two bits of a SimHash reach hardly any of these, so
-the index lists each distinct text under keys of a MinHash signature (``bands`` keys of ``rows`` minima):
-a pair at 0.8 shares none of 32 keys of 4 with a chance of (1 - 0.8**4)**32 < 5e-8. Whole sets decide; how groups come
-out of the lists is told in ``lists``.
+have a Jaccard similarity of ``jaccard`` or more. Two of 64 bits reach hardly any of these, so each distinct text has a
+SimHash of its set as wide as the index needs (the bits of every position voted by all distinct shingles, ties giving 0), and the index lists it under the conjunctions of ``CONJUNCTION`` neighbouring byte positions. Sets at the
+threshold share every bit with a chance that follows from their angle and sizes; ``conjunctions`` gives the number of lists after which
+a pair meets in none with a chance of ``MISS``: nearly a thousand for long texts, more for short ones, whose votes are
+coarse. Pairs that meet are tallied over the first ``TALLIED`` bytes, retained at ``least_tally`` equal bytes or more,
+and verified on whole sets. How groups come out of the lists is told in ``lists``.
 
 Edge cases: null and empty texts and texts of white space have fingerprint zero and link like any
 other; texts of fewer words than a shingle have one shingle, the whole sequence; repeated rows
@@ -34,7 +36,9 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -55,11 +59,22 @@ LEAST_TALLY = 8 - MOST_BITS
 PAIRWISE = 64
 #: Copies from which a fingerprint is looked up apart.
 HOT = 50
-#: Near-duplicate stages: words of a shingle, similarity, and the keys of a signature and minima of a key.
+#: Near-duplicate stages: words of a shingle and similarity.
 NEAR_SHINGLE = 5
 NEAR_JACCARD = 0.8
-BANDS = 32
-BAND_ROWS = 4
+#: Byte positions of a conjunction, and the chance that a pair at the threshold meets in none.
+CONJUNCTION = 3
+MISS = 5e-8
+#: By the least number of shingles: how much likelier a bit differs than between large sets at the same angle, at most (summed over all splits of votes).
+COARSE = ((125, 1.01), (50, 1.025), (6, 1.064), (0, 1.238))
+#: Bytes of a fingerprint that are tallied, and the chance that a pair at the threshold falls short.
+TALLIED = 192
+SHORT = 1e-9
+#: Slices that postings are dealt in: a text's postings of one slice travel as one row.
+SLICES = 64
+#: Words of votes held at once, and texts whose postings leave together.
+VOTES = 1 << 18
+POSTED = 128
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -176,44 +191,165 @@ def fingerprint_groups(docs: DataFrame) -> DataFrame:
     return prints.join(hot, "fp").select(*out).union(rest.select(*out))
 
 
-def keys(h: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS, seed: int = SEED) -> np.ndarray:
-    """The index keys of a set of shingle hashes: for each band a hash of its minima."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    mult, add = rng.integers(0, 1 << 63, (2, bands * rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    low = np.full(bands * rows, (1 << 64) - 1, dtype=np.uint64)
-    for i in range(0, len(h), 1024):
-        low = np.minimum(low, ((h[i : i + 1024, None] ^ add) * mult).min(axis=0))
-    out = np.arange(bands, dtype=np.uint64)
-    for x in low.reshape(bands, rows).T:
-        out = (out ^ (x >> np.uint64(29)) ^ x) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
-    return out.view(np.int64)
+def differing(n: int, jaccard: float = NEAR_JACCARD) -> float:
+    """The chance that a bit differs between sets at the threshold, the larger of n shingles."""
+    return next(f for least, f in COARSE if n >= least) * math.acos(2 * jaccard / (1 + jaccard)) / math.pi
+
+
+@cache
+def _conjunctions_from(least: int, jaccard: float) -> int:
+    met = (1 - differing(least, jaccard)) ** (8 * CONJUNCTION)
+    return 8 * math.ceil(math.log(MISS) / math.log1p(-met) / 8)
+
+
+def conjunctions(n: int, jaccard: float = NEAR_JACCARD) -> int:
+    """Conjunctions that a set of n shingles is listed under, a multiple of 8; of similar sets the larger never has more."""
+    if n < (n + 1) * jaccard - 1e-9:  # Only equal sets are similar enough.
+        return 8
+    return _conjunctions_from(next(least for least, _ in COARSE if n >= least), jaccard)
+
+
+@cache
+def least_tally(jaccard: float = NEAR_JACCARD) -> int:
+    """Equal bytes among the tallied ones that a pair at the threshold has but for a chance of ``SHORT``."""
+    same, below, k = (1 - differing(0, jaccard)) ** 8, 0.0, 0
+    while k < TALLIED and (below := below + math.comb(TALLIED, k) * same**k * (1 - same) ** (TALLIED - k)) <= SHORT:
+        k += 1
+    return k
+
+
+def _majority(votes: np.ndarray) -> np.ndarray:
+    """For every bit of the columns: whether over half of the rows have it. Counts are kept as bit planes."""
+    n, planes, level = len(votes), [], votes
+    while True:
+        carries = []
+        while len(level) > 1:
+            if m := len(level) // 3:
+                a, b, c = level[:m], level[m : 2 * m], level[2 * m : 3 * m]
+                odd = a ^ b
+                carry = a & b
+                rest = level[3 * m :]
+                level = np.empty((m + len(rest), level.shape[1]), dtype=np.uint64)
+                np.bitwise_xor(odd, c, out=level[:m])
+                level[m:] = rest
+                odd &= c
+                carry |= odd
+                carries.append(carry)
+            else:
+                carries.append(level[:1] & level[1:])
+                level = level[:1] ^ level[1:]
+        planes.append(level[0])
+        if not carries:
+            break
+        level = np.concatenate(carries) if len(carries) > 1 else carries[0]
+    more, same = np.zeros_like(votes[0]), ~np.zeros_like(votes[0])
+    for i, plane in reversed(list(enumerate(planes))):
+        if n // 2 >> i & 1:
+            same = same & plane
+        else:
+            more |= same & plane
+            same = same & ~plane
+    return more
+
+
+@cache
+def _multipliers(words: int, seed: int = SEED) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, (words, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_fingerprint(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The first ``size`` bytes (a multiple of 8) of the SimHash of a set of distinct hashes in ascending order."""
+    if not len(hashes):
+        return np.zeros(size, dtype=np.uint8)
+    out = np.empty(size // 8, dtype="<u8")
+    mult = _multipliers(len(out))
+    step = max(1, VOTES // len(hashes))
+    for i in range(0, len(out), step):
+        x = hashes[:, None] + mult[i : i + step, 0]
+        x *= mult[i : i + step, 1]
+        x ^= x >> np.uint64(32)
+        out[i : i + step] = _majority(x)
+    return out.view(np.uint8)
+
+
+def posting_keys(hashes: np.ndarray, jaccard: float = NEAR_JACCARD) -> list[np.ndarray]:
+    """The lists of a set, by slice (the number of a conjunction modulo ``SLICES``): the rest of its number and its bytes."""
+    n = conjunctions(len(hashes), jaccard)
+    key = np.arange(n, dtype=np.int64) // SLICES
+    for b in wide_fingerprint(hashes, n * CONJUNCTION).reshape(n, CONJUNCTION).astype(np.int64).T:
+        key = key << 8 | b
+    key = key.astype(np.int32)
+    return [key[i::SLICES] for i in range(min(n, SLICES))]
+
+
+def _printed(shingle: int):
+    """Of each text: the digest of its words, the size of its set and the bytes that are tallied."""
 
-
-def _signed(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            digest, listed = [], []
+            out = []
             for t in texts:
                 w = text_words(t)
-                digest.append(hashlib.md5(b" ".join(w)).digest())
-                listed.append(keys(shingle_hashes(w, shingle), bands, rows) if w else [])
-            yield pd.DataFrame({"digest": digest, "keys": listed})
+                h = np.unique(shingle_hashes(w, shingle))
+                out.append((hashlib.md5(b" ".join(w)).digest(), len(h), wide_fingerprint(h, TALLIED).tobytes() if len(h) else None))
+            yield pd.DataFrame(out, columns=["digest", "size", "sketch"])
+
+    return F.pandas_udf(run, "digest binary, size int, sketch binary")
+
+
+def _posted(shingle: int, jaccard: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for i in range(0, len(df), POSTED):
+                part = df.iloc[i : i + POSTED]
+                node, slices, keys = [], [], []
+                for row, t in zip(part["row"], part["text"], strict=True):
+                    h = np.unique(shingle_hashes(text_words(t), shingle))
+                    listed = posting_keys(h, jaccard) if len(h) else []
+                    node += [row] * len(listed)
+                    slices += range(len(listed))
+                    keys += listed
+                yield pd.DataFrame({"node": np.array(node, dtype=np.int64), "slice": np.array(slices, dtype=np.int32), "keys": keys})
+
+    return run
+
+
+def tallied(a: np.ndarray, b: np.ndarray, jaccard: float = NEAR_JACCARD) -> np.ndarray:
+    """Whether fingerprints (rows of bytes) have enough equal bytes."""
+    return (a == b).sum(axis=-1) >= least_tally(jaccard)
+
+
+def _tallied(jaccard: float):
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for pair in batches:
+            a, b = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, TALLIED) for s in pair)
+            yield pd.Series(tallied(a, b, jaccard), dtype=bool)
 
-    return F.pandas_udf(run, "digest binary, keys array<long>")
+    return F.pandas_udf(run, "boolean")
 
 
-def row_groups(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, jaccard: float = NEAR_JACCARD, bands: int = BANDS, rows: int = BAND_ROWS, block: int = lists.BLOCK) -> DataFrame:
+def row_groups(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, jaccard: float = NEAR_JACCARD, block: int = lists.BLOCK) -> DataFrame:
     """(row, digest, root): of docs' rows (row, text), ``row`` a unique long, the digest of the words and the group."""
-    signed = _signed(shingle, bands, rows)
-    prints = materialize(docs.select("row", signed("text").alias("s")).select("row", "s.digest", "s.keys"))
+    printed = _printed(shingle)
+    prints = materialize(docs.select("row", printed("text").alias("s")).select("row", "s.*"))
     # Texts of the same words are one node, the smallest of their rows.
-    least = materialize(prints.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("n"), F.min("keys").alias("keys")))
-    listed = lists.listed(least.select("node", F.posexplode("keys").alias("band", "key")))
-    sets = lists.sets_of(docs, listed, shingle)
-    links = lists.verified(lists.stars(listed), sets, jaccard)
+    least = materialize(prints.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("sketch").alias("sketch")))
+    copied = prints.select("row", "digest").join(broadcast_if_small(least.where("n > 1").select("digest", "node")), "digest").where("row <> node")
+    single = docs.select("row", "text").join(broadcast_if_small(materialize(copied.select("row"))), "row", "left_anti")
+    listed = lists.listed_mostly_alone(single.select("row", "text").mapInPandas(_posted(shingle, jaccard), "node long, slice int, keys array<int>"))
+    pairs = lists.stars(listed)
+    for part in (least.select("node", "size"), least.select("node", "sketch")):
+        name = part.columns[1]
+        a, b = (part.select(F.col("node").alias(c), F.col(name).alias(n)) for c, n in (("a", "x"), ("b", "y")))
+        fit = F.least("x", "y") >= F.greatest("x", "y") * jaccard - 1e-9 if name == "size" else _tallied(jaccard)("x", "y")
+        pairs = materialize(broadcast_if_small(pairs).join(a, "a").join(b, "b").where(fit).select("a", "b"))
+    sets = lists.sets_of(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), shingle)
+    links = lists.verified(pairs, sets, jaccard)
     roots = materialize(components(links))
-    more = lists.between(lists.unsettled(listed, roots), sets, jaccard, block)
+    sketches = least.select("node", "sketch")
+    left = lists.hopeful(lists.unsettled(listed, roots), sketches, block, lambda a, b: tallied(a, b, jaccard), "u1")
+    sets = lists.sets_of(docs, left, shingle)
+    more = lists.between(left, sets.join(sketches, "node"), jaccard, block, lambda a, b: tallied(a, b, jaccard), "u1")
     roots = materialize(components(links.union(more)))
     final = materialize(least.select("digest", "node", "n").join(roots, "node", "left").select("digest", "n", F.coalesce("root", "node").alias("root")))
     # Texts of many copies are looked up apart, so that no task gets all rows of one.

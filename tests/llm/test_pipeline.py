@@ -1,7 +1,10 @@
 import re
 
+import numpy as np
+import pandas as pd
+
 import corpus_pipeline
-from scriptorium.llm import pii, simhash
+from scriptorium.llm import lists, pii, simhash
 from scriptorium.llm.common import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -90,3 +93,36 @@ def test_one_row_of_a_group_whatever_its_id(spark, sf):
     frame = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, frame, sf).collect()}
     assert got == {(1, text + " end"), (2, "some other text"), (3, "of a third kind"), (3, "another of id three"), (None, "null but alone")}
+
+
+def test_wide_fingerprints_are_simhashes_listed_by_byte_positions():
+    """Every bit is a vote of all shingles, and pairs at the threshold meet in lists of equal bytes and reach the tally."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 4, 5, 64, 300):
+        h = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        assert simhash.wide_fingerprint(h, 24).tolist() == plain_votes(h, 24)
+    for common, a, b in ((4, 0, 1), (12, 0, 3), (100, 0, 25), (80, 10, 10)):
+        h = rng.integers(0, 1 << 63, common + a + b, dtype=np.uint64)
+        x, y = np.sort(h[: common + a]), np.sort(np.concatenate((h[:common], h[common + a :])))
+        n = min(simhash.conjunctions(len(x)), simhash.conjunctions(len(y)))
+        f, g = (simhash.wide_fingerprint(v, 3 * n).reshape(n, 3) for v in (x, y))
+        both = {(s, int(k)) for s, keys in enumerate(simhash.posting_keys(x)) for k in keys} & {(s, int(k)) for s, keys in enumerate(simhash.posting_keys(y)) for k in keys}
+        assert len(both) == (f == g).all(axis=1).sum() > 0
+        assert simhash.tallied(f.reshape(1, -1)[:, : simhash.TALLIED], g.reshape(1, -1)[:, : simhash.TALLIED]).all()
+    assert not simhash.tallied(rng.integers(0, 256, simhash.TALLIED), rng.integers(0, 256, simhash.TALLIED))
+
+
+def plain_votes(h, size):
+    m = simhash._multipliers(size // 8)
+    x = [[(int(v) + int(p)) * int(q) % 2**64 for p, q in m] for v in h]
+    bits = [sum(((w[i // 64] ^ w[i // 64] >> 32) >> i % 64) & 1 for w in x) * 2 > len(h) for i in range(8 * size)]
+    return [sum(bits[8 * k + j] << j for j in range(8)) for k in range(size)]
+
+
+def test_lists_that_go_on_in_the_next_batch():
+    rows = [(1, 5), (2, 3), (2, 4), (2, 9), (3, 1), (4, 2), (4, 6)]
+    for cut in range(len(rows) + 1):
+        for cut2 in range(cut, len(rows) + 1):
+            parts = [pd.DataFrame(p, columns=["key", "node"], dtype="int64") for p in (rows[:cut], rows[cut:cut2], rows[cut2:])]
+            got = [tuple(int(v) for v in r) for df in lists._listed(iter(parts)) for r in df.itertuples(index=False)]
+            assert got == [(2, 3, 3), (2, 4, 3), (2, 9, 3), (4, 2, 2), (4, 6, 2)]
