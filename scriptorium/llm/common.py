@@ -7,12 +7,14 @@ Spark's own limit of bytes a batch; no operator changes the session's settings.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import write as materialize
 
-__all__ = ["BROADCAST_ROWS", "SPACE", "WORD", "broadcast_if_small", "components", "materialize", "table", "unused", "word_count", "words"]
+__all__ = ["BROADCAST_ROWS", "SPACE", "WORD", "broadcast_if_small", "components", "kept", "materialize", "table", "unused", "word_count", "words"]
 
 #: White space that separates words, as a Java and Python character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -34,6 +36,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: one thing at a time, since workers go on from operator to operator and would hold what all of them left."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def unused(name: str, columns: list[str]) -> str:
     """name, with underscores until it is none of the columns (whatever their case)."""
     taken = {c.lower() for c in columns}

@@ -13,6 +13,7 @@ A ``Likeness`` may drop pairs by their sketches before sets are compared.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ BLOCK = 2_048
 BLOCK_ELEMENTS = 2_000_000
 #: Candidates of a probe up to which sets are compared one by one.
 FEW = 8
+#: Postings of a group of lists, and of a piece of it, at most (if keys are even).
+GROUP = 1 << 18
 MEMBER, BOTH, PROBE = 0, 1, 2
 #: Whether pairs may be similar, from their sketches (rows of the one against a row, or rows, of the other).
 Likeness = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -77,33 +80,72 @@ def listed(postings: DataFrame) -> DataFrame:
 
 
 def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The members of lists of two or more, from rows by list and node; of the list a batch ends in, its first member is carried on."""
-    held, told = None, False
+    """The members of lists of two or more with their first one, from rows by group of lists (a key's upper half), the lists of a group in any order.
+
+    Of the group a batch ends in, the first members are carried on, so it may be of any length; it is the lists of a group that are bounded.
+    """
+    held = None
     for df in batches:
         if not len(df):
             continue
         k, n = df["key"].to_numpy(), df["node"].to_numpy()
-        if held is not None:
-            k, n = np.concatenate(([held[0]], k)), np.concatenate(([held[1]], n))
+        told = np.zeros(len(k), dtype=bool)
+        if held is not None and held[0][-1] >> 32 == k[0] >> 32:
+            k, n, told = (np.concatenate(x) for x in zip(held, (k, n, told), strict=True))
+        order = np.argsort(k, kind="stable")
+        k, n, told = k[order], n[order], told[order]
         starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         counts = np.diff(np.append(starts, len(k)))
-        low, member = np.repeat(n[starts], counts), np.repeat(counts > 1, counts)
-        if told:
-            member[0] = False
+        low, member = np.repeat(n[starts], counts), np.repeat(counts > 1, counts) & ~told
         yield pd.DataFrame({"key": k[member], "node": n[member], "low": low[member]})
-        held, told = (k[-1], low[-1]), bool(counts[-1] > 1)
+        going = starts[k[starts] >> 32 == k[-1] >> 32]
+        held = k[going], n[going], told[going] | (counts[len(counts) - len(going) :] > 1)
+
+
+def group_bits(postings: int, slices: int) -> int:
+    """Bits of a key by which the lists of a slice are dealt further, so that a group holds about ``GROUP`` of all postings at most."""
+    return max(0, math.ceil(math.log2(max(1, postings) / slices / GROUP)))
+
+
+def packed(node: np.ndarray, slice_: np.ndarray, key: np.ndarray, bits: int) -> pd.DataFrame:
+    """Postings as a row for each group: the first node, the steps from each node to the next, in the fewest bytes that hold them, and the keys (32 bits)."""
+    key = key.astype("<u4")
+    spread = (key.astype(np.uint64) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)
+    group = slice_.astype(np.int64) << bits | spread.astype(np.int64)
+    order = np.argsort(group.astype(np.uint16) if group.max(initial=0) < 1 << 16 else group, kind="stable")
+    group, node, key = group[order], node[order], key[order]
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    steps = np.diff(node, prepend=node[:1])
+    steps[starts] = 0
+    kind = next(t for t in ("<u1", "<u4", "<i8") if not len(steps) or t == "<i8" or 0 <= steps.min() and steps.max() < 256 ** np.dtype(t).itemsize)
+    cut = lambda x: [x[i:j].tobytes() for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=False)]
+    return pd.DataFrame({"group": group[starts].astype(np.int32), "first": node[starts], "steps": cut(steps.astype(kind)), "keys": cut(key)})
+
+
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, node) of packed postings that lie by group, in pieces of one group and about ``GROUP`` postings at most."""
+    for df in batches:
+        held, number = [], 0
+        for group, first, steps, keys, after in zip(df["group"], df["first"], df["steps"], df["keys"], [*df["group"][1:], -1], strict=True):
+            key = np.frombuffer(keys, dtype="<u4").astype(np.int64) | group << 32
+            held.append((key, first + np.cumsum(np.frombuffer(steps, dtype={1: "<u1", 4: "<u4", 8: "<i8"}[len(steps) // len(key)]), dtype=np.int64)))
+            number += len(key)
+            if after != group or number >= GROUP:
+                key, node = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield pd.DataFrame({"key": key, "node": node})
+                held, number = [], 0
 
 
 def listed_mostly_alone(postings: DataFrame) -> DataFrame:
-    """As ``listed``, of postings (node, slice, keys) most of which are alone in their list: they are shuffled once, packed, and no list is held."""
+    """As ``listed``, of ``packed`` postings most of which are alone in their list: they are shuffled once, as they are, and no list is held."""
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.shiftleft(F.col("slice").cast("long"), 32).bitwiseOR(F.col("key").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    dealt = postings.repartition(2 * parts, "slice").select("slice", "node", F.explode("keys").alias("key")).select(key.alias("key"), "node")
-    return materialize(dealt.sortWithinPartitions("key", "node").mapInPandas(_listed, "key long, node long, low long").select(F.lit(0).alias("band"), "key", "node", "low"))
+    dealt = postings.repartition(parts, "group").sortWithinPartitions("group", "first")
+    found = dealt.mapInPandas(lambda batches: _listed(_unpacked(batches)), "key long, node long, low long")
+    return materialize(found.select(F.lit(0).alias("band"), "key", "node", "low"))
 
 
 def stars(listed_: DataFrame) -> DataFrame:
-    """(a, b): every member of a list with its smallest one."""
+    """(a, b): every member of a list with the one it is known by."""
     return materialize(listed_.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
 
 
@@ -132,7 +174,7 @@ def verified(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
 def unsettled(listed_: DataFrame, roots: DataFrame) -> DataFrame:
     """(list, node, root): the members of lists that hold several groups."""
     named = materialize(listed_.join(broadcast_if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    # The smallest member has met all others, so lists of two are settled.
+    # The member a list is known by has met all others, so lists of two are settled.
     told = [F.count("*").alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
     mixed = named.groupBy(*KEY).agg(*told, F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last AND n > 2")
     chosen = mixed.groupBy("n", "low", "x", "y").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*")

@@ -31,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, table
+from .common import broadcast_if_small, kept, materialize, table
 
 CAPACITY = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers at most.
-CACHE_WORDS = 450_000
+CACHE_WORDS = 200_000
 #: Marks that may follow a run of letters (no apostrophe: contractions are split otherwise).
 MARKS = ".,;:!?*#%&$|<>()-"
 #: Letters below this one have a single, composed lower-case form.
@@ -115,14 +115,9 @@ class WordTokenizer:
         return np.array(self.model.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-_loaded: dict[str, WordTokenizer] = {}
-
-
 def tokenizer_at(path: str) -> WordTokenizer:
     """A worker's own tokenizer, kept with its cache from task to task."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+    return kept(("packing", path), lambda: WordTokenizer(path))
 
 
 def cuts(tokens: int, capacity: int = CAPACITY) -> list[int]:

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lists
-from .common import broadcast_if_small, components, materialize, table
+from .common import broadcast_if_small, components, kept, materialize, table
 from .lists import shingle_hashes, text_words
 
 SEED = 42
@@ -70,11 +70,11 @@ COARSE = ((125, 1.01), (50, 1.025), (6, 1.064), (0, 1.238))
 #: Bytes of a fingerprint that are tallied, and the chance that a pair at the threshold falls short.
 TALLIED = 192
 SHORT = 1e-9
-#: Slices that postings are dealt in: a text's postings of one slice travel as one row.
+#: Slices that postings are dealt in, by the numbers of their conjunctions (and each further by keys).
 SLICES = 64
-#: Words of votes held at once, and texts whose postings leave together.
+#: Words of votes held at once, and postings that leave together.
 VOTES = 1 << 18
-POSTED = 128
+POSTED = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -286,6 +286,7 @@ def _printed(shingle: int):
     """Of each text: the digest of its words, the size of its set and the bytes that are tallied."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        kept(("simhash",), dict)  # Nothing, and what earlier stages kept goes.
         for texts in batches:
             out = []
             for t in texts:
@@ -297,19 +298,30 @@ def _printed(shingle: int):
     return F.pandas_udf(run, "digest binary, size int, sketch binary")
 
 
-def _posted(shingle: int, jaccard: float):
+def _posted(shingle: int, jaccard: float, bits: int):
+    """The packed postings of all texts, ``POSTED`` or a few more at a time."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        node, slices, keys, number = [], [], [], 0
+
+        def leaving() -> pd.DataFrame:
+            sizes = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
+            spread = (np.repeat(np.array(x, dtype=np.int64), sizes) for x in (node, slices))
+            return lists.packed(*spread, np.concatenate(keys), bits)
+
         for df in batches:
-            for i in range(0, len(df), POSTED):
-                part = df.iloc[i : i + POSTED]
-                node, slices, keys = [], [], []
-                for row, t in zip(part["row"], part["text"], strict=True):
-                    h = np.unique(shingle_hashes(text_words(t), shingle))
-                    listed = posting_keys(h, jaccard) if len(h) else []
-                    node += [row] * len(listed)
-                    slices += range(len(listed))
-                    keys += listed
-                yield pd.DataFrame({"node": np.array(node, dtype=np.int64), "slice": np.array(slices, dtype=np.int32), "keys": keys})
+            for row, t in zip(df["row"], df["text"], strict=True):
+                h = np.unique(shingle_hashes(text_words(t), shingle))
+                listed = posting_keys(h, jaccard) if len(h) else []
+                node += [row] * len(listed)
+                slices += range(len(listed))
+                keys += listed
+                number += conjunctions(len(h), jaccard) if len(h) else 0
+                if number >= POSTED:
+                    yield leaving()
+                    node, slices, keys, number = [], [], [], 0
+        if keys:
+            yield leaving()
 
     return run
 
@@ -336,7 +348,9 @@ def row_groups(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, jaccard: float =
     least = materialize(prints.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("sketch").alias("sketch")))
     copied = prints.select("row", "digest").join(broadcast_if_small(least.where("n > 1").select("digest", "node")), "digest").where("row <> node")
     single = docs.select("row", "text").join(broadcast_if_small(materialize(copied.select("row"))), "row", "left_anti")
-    listed = lists.listed_mostly_alone(single.select("row", "text").mapInPandas(_posted(shingle, jaccard), "node long, slice int, keys array<int>"))
+    bits = lists.group_bits(least.count() * conjunctions(max(n for n, _ in COARSE), jaccard), SLICES)
+    posted = single.select("row", "text").mapInPandas(_posted(shingle, jaccard, bits), "group int, first long, steps binary, keys binary")
+    listed = lists.listed_mostly_alone(posted)
     pairs = lists.stars(listed)
     for part in (least.select("node", "size"), least.select("node", "sketch")):
         name = part.columns[1]

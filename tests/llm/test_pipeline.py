@@ -126,3 +126,32 @@ def test_lists_that_go_on_in_the_next_batch():
             parts = [pd.DataFrame(p, columns=["key", "node"], dtype="int64") for p in (rows[:cut], rows[cut:cut2], rows[cut2:])]
             got = [tuple(int(v) for v in r) for df in lists._listed(iter(parts)) for r in df.itertuples(index=False)]
             assert got == [(2, 3, 3), (2, 4, 3), (2, 9, 3), (4, 2, 2), (4, 6, 2)]
+
+
+def test_packed_postings_are_listed_whole_in_any_pieces(monkeypatch):
+    """Groups are read back whole, and lists that go on from piece to piece keep the member they are known by."""
+    rng = np.random.default_rng(5)
+    node, slice_, key = np.repeat(np.arange(400), 5), rng.integers(0, 4, 2000), rng.integers(-20, 20, 2000).astype(np.int32)
+    want = {}
+    for s, k, n in zip(slice_.tolist(), key.tolist(), node.tolist(), strict=True):
+        want.setdefault((s, k), []).append(n)
+    for far in (1, 1 << 20, 1 << 40):
+        for bits, piece in ((0, 1 << 18), (0, 7), (3, 50)):
+            monkeypatch.setattr(lists, "GROUP", piece)
+            parts = [lists.packed(node[i : i + 500] * far, slice_[i : i + 500], key[i : i + 500], bits) for i in range(0, 2000, 500)]
+            rows = pd.concat(parts).sort_values(["group", "first"], kind="stable")
+            found = pd.concat(lists._listed(lists._unpacked(iter([rows.iloc[:9], rows.iloc[9:]]))))
+            got = {}
+            for k, n, low in found.itertuples(index=False):
+                got.setdefault((k >> 32 + bits, int(np.uint32(k & 0xFFFFFFFF).astype(np.int32))), []).append((n // far, low // far))
+            assert {at: sorted(n for n, _ in members) for at, members in got.items()} == {at: sorted(n) for at, n in want.items() if len(n) > 1}
+            assert all(len({low for _, low in members}) == 1 for members in got.values())
+
+
+def test_workers_keep_one_operators_tables():
+    from scriptorium.llm import common
+
+    a = common.kept(("a",), list)
+    assert common.kept(("a",), list) is a
+    common.kept(("b",), dict)
+    assert list(common._kept) == [("b",)]
