@@ -5,8 +5,8 @@ statistics over the whole table whatever the visibility filter lets through, neg
 better. A term asked twice counts twice. An underscore separates terms, so ``foo_bar`` asks for
 both terms, not for the phrase.
 
-Index. Terms are counted within a row (sorted, then the lengths of runs), so counting moves nothing. A term's postings
-lie in blocks by the leading bits of a hash of their chunk, as many bits (the level) as make about ``BLOCK`` postings each; a block is known by
+Index. Terms are counted within a row (sorted, then the lengths of runs), so counting moves nothing. Postings are written once, where
+their texts were read, each part sorted by term; nothing is shuffled but the numbers of each term. A term's postings lie in blocks by the leading bits of a hash of their chunk, as many bits (the level) as make about ``BLOCK`` postings each; a block is known by
 its number of postings, its largest tf and its least chunk length, which bound the score of all its postings whatever the average length is.
 
 Search, in three steps that read blocks and not lists:
@@ -19,7 +19,9 @@ Search, in three steps that read blocks and not lists:
 3. Scores. Chunks whose sum so far plus what the passive terms may add reaches the floor are looked up in the blocks of those terms that their hash
    names, and ranked.
 
-What is joined and shuffled is thus bounded by the blocks that can matter, not by the postings of a stop word.
+What is joined and shuffled is thus bounded by the blocks that can matter, not by the postings of a stop word. Where more blocks are left than a broadcast
+holds, each posting is judged by its own share, which never exceeds its block's bound. Postings are dealt by chunk before they meet the questions, so sums of a
+chunk and the best of a task are made where its postings are: a posting moves once, pairs of questions and chunks never.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..functions import text as X
-from .sizes import broadcast_if_small
+from .sizes import broadcast_if_small, is_small
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Asked terms up to which they are a filter of the scan, which skips row groups of postings sorted by term.
@@ -50,11 +52,15 @@ ROUNDING = 1e-6
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, block, id, tf, dl), blocks (term, block, n, most_tf, least_dl; several rows of a block add up) and stats, one row (n, avgdl)."""
+    """postings (term, block, id, tf, dl), blocks (term, block, n, most_tf, least_dl; several rows of a block add up) and stats, one row (n, avgdl).
+
+    terms: what is known of whole terms (term, nt, most_tf, least_dl, levels), so that blocks are counted only for terms of which some can be left out.
+    """
 
     postings: DataFrame
     blocks: DataFrame
     stats: DataFrame
+    terms: DataFrame | None = None
 
 
 #: A term and its repetitions, in the text of sorted terms.
@@ -75,8 +81,9 @@ def entries(chunks: DataFrame, key: str = "chunk_id", columns: tuple[str, ...] =
 def postings(entries_: DataFrame) -> DataFrame:
     """(term, id, tf, dl) of entries."""
     each = entries_.select("id", "dl", F.explode("runs").alias("run"))
-    term = F.substring_index("run", " ", 1)
-    return each.select(term.alias("term"), "id", ((F.length("run") + 1) / (F.length(term) + 1)).cast("long").alias("tf"), "dl")
+    term, once = F.substring_index("run", " ", 1), F.locate(" ", F.col("run")) == 0  # Most terms occur once.
+    tf = F.when(once, F.lit(1)).otherwise((F.length("run") + 1) / (F.length(term) + 1)).cast("long")
+    return each.select(F.when(once, F.col("run")).otherwise(term).alias("term"), "id", tf.alias("tf"), "dl")
 
 
 def _prefix(id_: Column, level: Column) -> Column:
@@ -85,11 +92,15 @@ def _prefix(id_: Column, level: Column) -> Column:
     return level * F.lit(1 << 32) + F.floor(bits / F.pow(F.lit(2.0), 32 - level)).cast("long")
 
 
-def blocked(rows: DataFrame) -> DataFrame:
-    """(term, block, id, tf, dl) of postings: a term of n postings has the level that makes ``BLOCK`` of them a block."""
-    frequent = rows.groupBy("term").agg(F.count("*").alias("nt")).where(F.col("nt") > BLOCK)
-    level = F.coalesce(F.ceil(F.log2(F.col("nt") / BLOCK)), F.lit(0)).cast("long")
-    return rows.join(broadcast_if_small(scratch.write(frequent)), "term", "left").select("term", _prefix(F.col("id"), level).alias("block"), "id", "tf", "dl")
+def _level(nt: Column) -> Column:
+    return F.greatest(F.ceil(F.log2(nt / BLOCK)), F.lit(0)).cast("long")
+
+
+def blocked(rows: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+    """(term, block, id, tf, dl) of postings: a term of n postings has the level that makes ``BLOCK`` of them a block. numbers: (term, nt), if they are counted already."""
+    frequent = scratch.write(rows.groupBy("term").agg(F.count("*").alias("nt")).where(F.col("nt") > BLOCK)) if numbers is None else numbers.where(F.col("nt") > BLOCK).select("term", "nt")
+    level = F.coalesce(_level(F.col("nt")), F.lit(0))
+    return rows.join(broadcast_if_small(frequent), "term", "left").select("term", _prefix(F.col("id"), level).alias("block"), "id", "tf", "dl")
 
 
 def bounds(rows: DataFrame) -> DataFrame:
@@ -107,9 +118,14 @@ def build_index(chunks: DataFrame, key: str = "chunk_id", columns: tuple[str, ..
     if len(texts.inputFiles()) < parallel:
         # A few files may be as few tasks, for counting terms and for scoring later.
         texts = texts.repartition(parallel, key)
-    rows = scratch.write(entries(texts, key, columns))
-    made = scratch.write(blocked(postings(rows)).repartitionByRange("term", "block").sortWithinPartitions("term", "block"))
-    return Index(made, scratch.write(bounds(made)), scratch.write(statistics(rows)))
+    # A posting of the empty term tells the length of every chunk, of those without terms too.
+    rows = entries(texts, key, columns).withColumn("runs", F.concat("runs", F.array(F.lit(""))))
+    made = scratch.write(postings(rows).sortWithinPartitions("term"))
+    listed = made.where("term <> ''")
+    known = listed.groupBy("term").agg(F.count("*").alias("nt"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"))
+    terms = scratch.write(known).withColumn("levels", F.array(_level(F.col("nt"))))
+    listed = blocked(listed, terms)
+    return Index(listed, bounds(listed), scratch.write(statistics(made.where("term = ''"))), terms)
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -121,6 +137,21 @@ def _part(tf: Column, dl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
 
 
+def _of_terms(rows: DataFrame, names: DataFrame, few: list[str] | None) -> DataFrame:
+    """The rows of the terms ``names``, which are ``few`` if they can be a filter of the scan."""
+    return rows.join(broadcast_if_small(names), "term", "left_semi") if few is None else rows.where(F.col("term").isin(few))
+
+
+def _active(judged: DataFrame) -> DataFrame:
+    """(qid, term, weight, avgdl, need) of the terms that give candidates: what a posting adds at least if its chunk reaches the floor."""
+    return judged.where("NOT passive").select("qid", "term", "weight", "avgdl", (F.col("floor") + F.col("top") - F.col("all") - ROUNDING).alias("need"))
+
+
+def _least(asked: DataFrame) -> DataFrame:
+    """(term, least, avgdl) of (qid, term, weight, avgdl, need) rows: the least share, for a weight of one, that any question needs of a posting."""
+    return asked.groupBy("term").agg(F.min(F.col("need") / F.col("weight")).alias("least"), F.first("avgdl").alias("avgdl"))
+
+
 @dataclass(frozen=True)
 class Search:
     """One batch of questions over an index: the steps above, each a table that can be looked at."""
@@ -139,11 +170,13 @@ class Search:
         names = asked.select("term").distinct()
         few = [r["term"] for r in names.limit(PUSHED + 1).collect()]
         few = few if len(few) <= PUSHED else None
-        known = index.blocks.where(F.col("term").isin(few)) if few is not None else index.blocks.join(broadcast_if_small(names), "term", "left_semi")
-        known = scratch.write(known.select("term", "block", "n", "most_tf", "least_dl"))
-        # Rows without bounds only take back numbers.
-        blocks = scratch.write(known.where("most_tf IS NOT NULL").groupBy("term", "block").agg(F.max("most_tf").alias("most_tf"), F.min("least_dl").alias("least_dl")))
-        of_term = known.groupBy("term").agg(F.sum("n").alias("nt"), F.max("most_tf").alias("most_tf"), F.min("least_dl").alias("least_dl"), F.collect_set(F.when(F.col("most_tf").isNotNull(), F.shiftright("block", 32))).alias("levels")).where("nt > 0")
+        if index.terms is not None:
+            blocks, of_term = _of_terms(index.blocks, names, few), _of_terms(index.terms, names, few)
+        else:
+            known = scratch.write(_of_terms(index.blocks, names, few).select("term", "block", "n", "most_tf", "least_dl"))
+            # Rows without bounds only take back numbers.
+            blocks = scratch.write(known.where("most_tf IS NOT NULL").groupBy("term", "block").agg(F.max("most_tf").alias("most_tf"), F.min("least_dl").alias("least_dl")))
+            of_term = known.groupBy("term").agg(F.sum("n").alias("nt"), F.max("most_tf").alias("most_tf"), F.min("least_dl").alias("least_dl"), F.collect_set(F.when(F.col("most_tf").isNotNull(), F.shiftright("block", 32))).alias("levels")).where("nt > 0")
         idf = F.log((F.col("n") - F.col("nt") + 0.5) / (F.col("nt") + 0.5))
         weight = F.col("qtf") * F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
         rows = asked.join(of_term, "term").join(F.broadcast(index.stats)).withColumn("weight", weight)  # stats: one row
@@ -151,8 +184,7 @@ class Search:
         return cls(index, k, scratch.write(terms), blocks, few, None if only is None else scratch.write(only))
 
     def _postings(self) -> DataFrame:
-        rows = self.index.postings
-        return rows if self.few is None else rows.where(F.col("term").isin(self.few))
+        return _of_terms(self.index.postings, self.terms.select("term").distinct(), self.few)
 
     def _seen(self, rows: DataFrame) -> DataFrame:
         return rows if self.only is None else rows.join(broadcast_if_small(self.only), "id", "left_semi")
@@ -166,16 +198,25 @@ class Search:
         met = want.join(held, ["term", "block", "id"])
         return met.groupBy("qid", "id").agg(F.sum(F.col("weight") * _part(F.col("tf"), F.col("dl"))).alias("added"))
 
-    def _scored(self, chosen: DataFrame) -> DataFrame:
-        """(qid, id, part): sums over the postings of (qid, term, block, weight, avgdl) rows."""
-        hit = self._seen(self._postings().join(broadcast_if_small(chosen), ["term", "block"]))
-        return hit.groupBy("qid", "id").agg(F.sum(F.col("weight") * _part(F.col("tf"), F.col("dl"))).alias("part"))
+    def _scored(self, asked: DataFrame, held: DataFrame | None = None) -> DataFrame:
+        """(qid, id, part): sums over the postings of (qid, term, weight, avgdl, need) rows, without those that add less than ``need``.
+
+        Before they move, postings are left out that add too little to every question, and, of terms with a need, those outside the blocks ``held``.
+        """
+        rows = self._postings().join(broadcast_if_small(_least(asked)), "term").where(_part(F.col("tf"), F.col("dl")) >= F.col("least"))
+        if held is not None:
+            rows = rows.where("least <= 0").union(rows.where("least > 0").join(F.broadcast(held), ["term", "block"], "left_semi").select(*rows.columns))
+        rows = rows.select("term", "id", "tf", "dl")
+        if is_small(asked):
+            rows = rows.repartition("id")
+        hit = self._seen(rows).join(broadcast_if_small(asked), "term").withColumn("added", F.col("weight") * _part(F.col("tf"), F.col("dl")))
+        return hit.where("added >= need").groupBy("qid", "id").agg(F.sum("added").alias("part"))
 
     def floors(self) -> DataFrame:
         """(qid, floor): a score that the k-th best of each question reaches; questions with fewer candidates have none."""
         rarest = Window.partitionBy("qid").orderBy(F.desc("weight"), "term").rowsBetween(Window.unboundedPreceding, -1)
         lead = self.terms.withColumn("before", F.coalesce(F.sum("nt").over(rarest), F.lit(0))).where(F.col("before") < LEAD * self.k)
-        lead = scratch.write(lead.join(self.blocks.select("term", "block"), "term").select("qid", "term", "block", "weight", "avgdl"))
+        lead = scratch.write(lead.select("qid", "term", "weight", "avgdl", F.lit(0.0).alias("need")))
         best = Window.partitionBy("qid").orderBy(F.desc("part"), "id")
         kth = self._scored(lead).withColumn("place", F.row_number().over(best)).where(F.col("place") == self.k)
         return scratch.write(kth.select("qid", (F.col("part") - ROUNDING).alias("floor")))
@@ -196,11 +237,18 @@ class Search:
         reach = F.col("weight") * _part(F.col("most_tf"), F.col("least_dl")) + F.col("all") - F.col("top")
         return rows.where(reach >= F.col("floor")).select("qid", "term", "block", "weight", "avgdl")
 
+    def reaching(self, needed: DataFrame) -> DataFrame:
+        """(term, block): of terms with a need (term, least, avgdl), the blocks that are chosen for any question."""
+        rows = self.blocks.join(broadcast_if_small(needed), "term")
+        return rows.where(_part(F.col("most_tf"), F.col("least_dl")) >= F.col("least")).select("term", "block")
+
     def results(self) -> DataFrame:
         """(qid, id, score): whole scores of all chunks that may be among the k best, larger is better."""
         judged = scratch.write(self.judged(self.floors()))
         ends = judged.select("qid", "floor", "rest").distinct()
-        parts = self._scored(scratch.write(self.chosen(judged))).join(broadcast_if_small(ends), "qid")
+        needed = scratch.write(_least(_active(judged)).where("least > 0"))
+        held = None if needed.isEmpty() else scratch.write(self.reaching(needed))
+        parts = self._scored(_active(judged), held if held is not None and is_small(held) else None).join(broadcast_if_small(ends), "qid")
         parts, passive = parts.where("part + rest >= floor").select("qid", "id", "part"), judged.where("passive")
         if passive.isEmpty():
             return parts.withColumnRenamed("part", "score")

@@ -63,3 +63,29 @@ def test_a_block_may_be_known_in_parts(spark, corpus):
     q = spark.createDataFrame(QUESTIONS, "qid long, text string")
     rows = [[(r["qid"], r["rank"], r["id"], round(r["score"], 8)) for r in keyword.search(q, i, chunks, 7, visible=None).orderBy("qid", "rank").collect()] for i in (left, whole)]
     assert rows[0] == rows[1] != []
+
+
+def test_pairs_of_questions_and_chunks_do_not_move(spark, corpus):
+    """Postings are dealt by chunk before they meet the questions, and the index's own are written where they are read."""
+    import re
+
+    _, index = corpus
+    # No passive terms here, whose look-ups are joined by question and chunk.
+    search = keyword.Search.of(spark.createDataFrame([(0, "w100 w101"), (1, "w200")], "qid long, text string"), index, 5)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    exchanges = re.findall(r"hashpartitioning\(([^)]*)\)", plan(search.results()))
+    dealt = [re.findall(r"(\w+)#", e) for e in exchanges]
+    assert ["id"] in dealt and ["qid", "id"] not in dealt
+    # Chunks without terms have a length too.
+    made = keyword.build_index(spark.createDataFrame([(1, "a b a"), (2, "c"), (3, ""), (4, None)], "chunk_id long, body string"), columns=("body",))
+    assert made.stats.first() == (4, 1.0) and made.postings.where("term = ''").count() == 0
+    numbers = {r["term"]: (r["nt"], r["most_tf"], r["least_dl"]) for r in index.terms.collect()}
+    counted = index.blocks.groupBy("term").agg(F.sum("n"), F.max("most_tf"), F.min("least_dl")).collect()
+    assert {r[0]: (r[1], r[2], r[3]) for r in counted} == numbers
+
+
+def test_a_kept_index_reads_documents_alone(spark, sf):
+    from scriptorium import catalog
+
+    files = catalog._index(spark, sf).postings.inputFiles() + catalog._index(spark, sf).stats.inputFiles()
+    assert files and catalog._index(spark, sf).stats.first()["n"] == spark.read.parquet(f"{sf}/documents.parquet").count()
