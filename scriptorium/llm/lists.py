@@ -8,6 +8,7 @@
    members of the largest group are linked already, so every pair that matters holds a probe.) Lists are cut into blocks of
    bounded members and elements, each met by each block of its probes, so a task's share is bounded whatever the list.
 
+Lists of packed postings carry classes of sizes, and are cut where no similar sets can meet, before any pair is made.
 A ``Likeness`` may drop pairs by their sketches before sets are compared.
 """
 
@@ -34,6 +35,8 @@ BLOCK_ELEMENTS = 2_000_000
 FEW = 8
 #: Postings of a group of lists, and of a piece of it, at most (if keys are even).
 GROUP = 1 << 18
+#: Classes of sizes between a set and the smallest that is similar enough.
+CLASSES = 4
 MEMBER, BOTH, PROBE = 0, 1, 2
 #: Whether pairs may be similar, from their sketches (rows of the one against a row, or rows, of the other).
 Likeness = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -55,6 +58,29 @@ def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> np.nda
     return np.fromiter((hash64(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(starts))
 
 
+def shingle_codes(words: list[bytes], shingle: int, seed: int = SEED) -> np.ndarray:
+    """A 64-bit code of every shingle, repeated ones too: the XXH64 of its words, folded in their order and mixed. Each word is hashed once, not once a shingle."""
+    if len(words) <= shingle:
+        return shingle_hashes(words, shingle, seed)
+    hash64 = xxhash.xxh64_intdigest
+    each = np.fromiter((hash64(w, seed) for w in words), dtype=np.uint64, count=len(words))
+    n = len(words) - shingle + 1
+    out = each[:n].copy()
+    for j in range(1, shingle):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        out += each[j : j + n]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return out
+
+
+def size_class(n: int, jaccard: float) -> int:
+    """The class of a set's size, at most 255. Classes of similar sets differ by at most ``CLASSES`` + 1."""
+    return min(255, int(CLASSES * math.log(max(n, 1)) / -math.log(jaccard))) if jaccard < 1 else 0
+
+
 def _sets(shingle: int):
     """The distinct shingle hashes of each text, sorted, as bytes, and their number."""
 
@@ -83,6 +109,8 @@ def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The members of lists of two or more with their first one, from rows by group of lists (a key's upper half), the lists of a group in any order.
 
     Of the group a batch ends in, the first members are carried on, so it may be of any length; it is the lists of a group that are bounded.
+    With classes of sizes (``size``), the lists of a group that a batch holds whole are cut where sizes leave a gap that no similar sets span; then
+    ``band`` tells the parts of a list apart.
     """
     held = None
     for df in batches:
@@ -90,14 +118,25 @@ def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         k, n = df["key"].to_numpy(), df["node"].to_numpy()
         told = np.zeros(len(k), dtype=bool)
-        if held is not None and held[0][-1] >> 32 == k[0] >> 32:
-            k, n, told = (np.concatenate(x) for x in zip(held, (k, n, told), strict=True))
-        order = np.argsort(k, kind="stable")
-        k, n, told = k[order], n[order], told[order]
-        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        sized = "size" in df
+        if sized and df["whole"].iloc[0]:
+            held, size = None, df["size"].to_numpy().astype(np.int64)
+            order = np.argsort(k << 8 | size, kind="stable")
+            k, n, size = k[order], n[order], size[order]
+            new = np.concatenate(([True], (k[1:] != k[:-1]) | (np.diff(size) > CLASSES + 1)))
+        else:
+            if held is not None and held[0][-1] >> 32 == k[0] >> 32:
+                k, n, told = (np.concatenate(x) for x in zip(held, (k, n, told), strict=True))
+            order = np.argsort(k, kind="stable")
+            k, n, told = k[order], n[order], told[order]
+            size, new = np.zeros(len(k), dtype=np.int64), np.concatenate(([True], k[1:] != k[:-1]))
+        starts = np.flatnonzero(new)
         counts = np.diff(np.append(starts, len(k)))
         low, member = np.repeat(n[starts], counts), np.repeat(counts > 1, counts) & ~told
-        yield pd.DataFrame({"key": k[member], "node": n[member], "low": low[member]})
+        found = {"key": k[member], "node": n[member], "low": low[member]}
+        if sized:
+            found = {"band": np.repeat(size[starts], counts)[member].astype(np.int32)} | found
+        yield pd.DataFrame(found)
         going = starts[k[starts] >> 32 == k[-1] >> 32]
         held = k[going], n[going], told[going] | (counts[len(counts) - len(going) :] > 1)
 
@@ -107,41 +146,66 @@ def group_bits(postings: int, slices: int) -> int:
     return max(0, math.ceil(math.log2(max(1, postings) / slices / GROUP)))
 
 
-def packed(node: np.ndarray, slice_: np.ndarray, key: np.ndarray, bits: int) -> pd.DataFrame:
-    """Postings as a row for each group: the first node, the steps from each node to the next, in the fewest bytes that hold them, and the keys (32 bits)."""
+def packed(node: np.ndarray, slice_: np.ndarray, key: np.ndarray, bits: int, size: np.ndarray | None = None) -> pd.DataFrame:
+    """Postings as a row for each group: the first node, the steps from each node to the next and the keys, in the fewest bytes that hold them, and the classes of sizes, if given.
+
+    Rows of one batch have much the same nodes and sizes, which is what shuffled blocks are compressed by.
+    """
     key = key.astype("<u4")
     spread = (key.astype(np.uint64) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)
     group = slice_.astype(np.int64) << bits | spread.astype(np.int64)
     order = np.argsort(group.astype(np.uint16) if group.max(initial=0) < 1 << 16 else group, kind="stable")
     group, node, key = group[order], node[order], key[order]
+    size = None if size is None else size[order].astype(np.uint8)
+    narrow = not len(key) or key.max() < 1 << 24
+    bytes_ = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 4)[:, : 3 if narrow else 4])
     starts = np.flatnonzero(np.diff(group, prepend=-1))
     steps = np.diff(node, prepend=node[:1])
     steps[starts] = 0
     kind = next(t for t in ("<u1", "<u4", "<i8") if not len(steps) or t == "<i8" or 0 <= steps.min() and steps.max() < 256 ** np.dtype(t).itemsize)
     cut = lambda x: [x[i:j].tobytes() for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=False)]
-    return pd.DataFrame({"group": group[starts].astype(np.int32), "first": node[starts], "steps": cut(steps.astype(kind)), "keys": cut(key)})
+    number = np.diff(np.append(starts, len(node))).astype(np.int32)
+    out = pd.DataFrame({"group": group[starts].astype(np.int32), "first": node[starts], "n": number, "steps": cut(steps.astype(kind)), "keys": cut(bytes_)})
+    return out if size is None else out.assign(sizes=cut(size))
+
+
+def _keys(raw: bytes, n: int) -> np.ndarray:
+    """Keys of three or four bytes."""
+    if len(raw) == 4 * n:
+        return np.frombuffer(raw, dtype="<u4").astype(np.int64)
+    wide = np.zeros((n, 4), dtype=np.uint8)
+    wide[:, :3] = np.frombuffer(raw, dtype=np.uint8).reshape(n, 3)
+    return wide.view("<u4").ravel().astype(np.int64)
 
 
 def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, node) of packed postings that lie by group, in pieces of one group and about ``GROUP`` postings at most."""
+    """(key, node) of packed postings that lie by group, in pieces of about ``GROUP`` postings, twice as many at most; with sizes, these and whether the piece is of whole groups."""
+    held, number, at, whole = [], 0, None, True
+
+    def piece(ends: bool) -> pd.DataFrame:
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        out = pd.DataFrame(dict(zip(("key", "node", "size"), columns, strict=False)))
+        return out.assign(whole=whole and ends) if "size" in out else out
+
     for df in batches:
-        held, number = [], 0
-        for group, first, steps, keys, after in zip(df["group"], df["first"], df["steps"], df["keys"], [*df["group"][1:], -1], strict=True):
-            key = np.frombuffer(keys, dtype="<u4").astype(np.int64) | group << 32
-            held.append((key, first + np.cumsum(np.frombuffer(steps, dtype={1: "<u1", 4: "<u4", 8: "<i8"}[len(steps) // len(key)]), dtype=np.int64)))
-            number += len(key)
-            if after != group or number >= GROUP:
-                key, node = (np.concatenate(x) for x in zip(*held, strict=True))
-                yield pd.DataFrame({"key": key, "node": node})
+        sizes = df["sizes"] if "sizes" in df else [None] * len(df)
+        for group, first, n, steps, keys, size in zip(df["group"], df["first"], df["n"], df["steps"], df["keys"], sizes, strict=True):
+            if held and (number >= GROUP // 2 if group != at else number >= 2 * GROUP):
+                yield piece(group != at)
+                whole = group != at
                 held, number = [], 0
+            node = first + np.cumsum(np.frombuffer(steps, dtype={1: "<u1", 4: "<u4", 8: "<i8"}[len(steps) // n]), dtype=np.int64)
+            held.append((_keys(keys, n) | group << 32, node) if size is None else (_keys(keys, n) | group << 32, node, np.frombuffer(size, dtype=np.uint8)))
+            number, at = number + n, group
+    if held:
+        yield piece(True)
 
 
 def listed_mostly_alone(postings: DataFrame) -> DataFrame:
-    """As ``listed``, of ``packed`` postings most of which are alone in their list: they are shuffled once, as they are, and no list is held."""
+    """As ``listed``, of ``packed`` postings with sizes most of which are alone in their list: they are shuffled once, as they are, and no list is held."""
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = postings.repartition(parts, "group").sortWithinPartitions("group", "first")
-    found = dealt.mapInPandas(lambda batches: _listed(_unpacked(batches)), "key long, node long, low long")
-    return materialize(found.select(F.lit(0).alias("band"), "key", "node", "low"))
+    return materialize(dealt.mapInPandas(lambda batches: _listed(_unpacked(batches)), "band int, key long, node long, low long"))
 
 
 def stars(listed_: DataFrame) -> DataFrame:

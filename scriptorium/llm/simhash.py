@@ -70,8 +70,6 @@ COARSE = ((125, 1.01), (50, 1.025), (6, 1.064), (0, 1.238))
 #: Bytes of a fingerprint that are tallied, and the chance that a pair at the threshold falls short.
 TALLIED = 192
 SHORT = 1e-9
-#: Slices that postings are dealt in, by the numbers of their conjunctions (and each further by keys).
-SLICES = 64
 #: Words of votes held at once, and postings that leave together.
 VOTES = 1 << 18
 POSTED = 1 << 18
@@ -272,14 +270,13 @@ def wide_fingerprint(hashes: np.ndarray, size: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def posting_keys(hashes: np.ndarray, jaccard: float = NEAR_JACCARD) -> list[np.ndarray]:
-    """The lists of a set, by slice (the number of a conjunction modulo ``SLICES``): the rest of its number and its bytes."""
+def posting_keys(hashes: np.ndarray, jaccard: float = NEAR_JACCARD) -> np.ndarray:
+    """The lists of a set: a row for each conjunction, which holds its bytes as a number."""
     n = conjunctions(len(hashes), jaccard)
-    key = np.arange(n, dtype=np.int64) // SLICES
-    for b in wide_fingerprint(hashes, n * CONJUNCTION).reshape(n, CONJUNCTION).astype(np.int64).T:
+    key = np.zeros(n, dtype=np.int32)
+    for b in wide_fingerprint(hashes, n * CONJUNCTION).reshape(n, CONJUNCTION).astype(np.int32).T:
         key = key << 8 | b
-    key = key.astype(np.int32)
-    return [key[i::SLICES] for i in range(min(n, SLICES))]
+    return key[:, None]
 
 
 def _printed(shingle: int):
@@ -291,7 +288,7 @@ def _printed(shingle: int):
             out = []
             for t in texts:
                 w = text_words(t)
-                h = np.unique(shingle_hashes(w, shingle))
+                h = np.unique(lists.shingle_codes(w, shingle))
                 out.append((hashlib.md5(b" ".join(w)).digest(), len(h), wide_fingerprint(h, TALLIED).tobytes() if len(h) else None))
             yield pd.DataFrame(out, columns=["digest", "size", "sketch"])
 
@@ -302,25 +299,24 @@ def _posted(shingle: int, jaccard: float, bits: int):
     """The packed postings of all texts, ``POSTED`` or a few more at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        node, slices, keys, number = [], [], [], 0
+        held, number = [], 0
 
         def leaving() -> pd.DataFrame:
-            sizes = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
-            spread = (np.repeat(np.array(x, dtype=np.int64), sizes) for x in (node, slices))
-            return lists.packed(*spread, np.concatenate(keys), bits)
+            rows, sizes, keys = zip(*held, strict=True)
+            counts = [len(k) for k in keys]
+            each = [np.arange(n) for n in counts]
+            return lists.packed(np.repeat(np.array(rows, dtype=np.int64), counts), np.concatenate(each), np.concatenate(keys)[:, 0], bits, np.repeat(np.array(sizes, dtype=np.uint8), counts))
 
         for df in batches:
             for row, t in zip(df["row"], df["text"], strict=True):
-                h = np.unique(shingle_hashes(text_words(t), shingle))
-                listed = posting_keys(h, jaccard) if len(h) else []
-                node += [row] * len(listed)
-                slices += range(len(listed))
-                keys += listed
-                number += conjunctions(len(h), jaccard) if len(h) else 0
+                h = np.unique(lists.shingle_codes(text_words(t), shingle))
+                if len(h):
+                    held.append((row, lists.size_class(len(h), jaccard), posting_keys(h, jaccard)))
+                    number += len(held[-1][2])
                 if number >= POSTED:
                     yield leaving()
-                    node, slices, keys, number = [], [], [], 0
-        if keys:
+                    held, number = [], 0
+        if held:
             yield leaving()
 
     return run
@@ -348,8 +344,9 @@ def row_groups(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, jaccard: float =
     least = materialize(prints.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("sketch").alias("sketch")))
     copied = prints.select("row", "digest").join(broadcast_if_small(least.where("n > 1").select("digest", "node")), "digest").where("row <> node")
     single = docs.select("row", "text").join(broadcast_if_small(materialize(copied.select("row"))), "row", "left_anti")
-    bits = lists.group_bits(least.count() * conjunctions(max(n for n, _ in COARSE), jaccard), SLICES)
-    posted = single.select("row", "text").mapInPandas(_posted(shingle, jaccard, bits), "group int, first long, steps binary, keys binary")
+    # Every conjunction is a slice, and dealt further by keys where it has many.
+    bits = lists.group_bits(least.count(), 1)
+    posted = single.select("row", "text").mapInPandas(_posted(shingle, jaccard, bits), "group int, first long, n int, steps binary, keys binary, sizes binary")
     listed = lists.listed_mostly_alone(posted)
     pairs = lists.stars(listed)
     for part in (least.select("node", "size"), least.select("node", "sketch")):

@@ -155,3 +155,33 @@ def test_workers_keep_one_operators_tables():
     assert common.kept(("a",), list) is a
     common.kept(("b",), dict)
     assert list(common._kept) == [("b",)]
+
+
+def test_lists_are_cut_only_where_no_similar_sizes_meet(monkeypatch):
+    """Strangers of far sizes leave their lists; similar sizes stay together in whatever pieces, and groups in several pieces are not cut."""
+    pairs = [(a, b) for a in range(1, 400) for b in range(a, 400) if a >= 0.8 * b - 1e-9]
+    assert all(lists.size_class(b, 0.8) - lists.size_class(a, 0.8) <= lists.CLASSES + 1 for a, b in pairs)
+    rng = np.random.default_rng(8)
+    n = np.sort(rng.integers(1, 3000, 900))
+    node, key, size = np.arange(900), rng.integers(0, 60, 900).astype(np.int32), np.array([lists.size_class(int(x), 0.8) for x in n])
+    found = {}
+    for piece in (1 << 18, 40):
+        monkeypatch.setattr(lists, "GROUP", piece)
+        rows = pd.concat([lists.packed(node[i : i + 300], np.zeros(300, dtype=int), key[i : i + 300], 1, size[i : i + 300]) for i in (0, 300, 600)]).sort_values(["group", "first"], kind="stable")
+        assert all(len(k) == 3 * m for k, m in zip(rows["keys"], rows["n"], strict=True))
+        got = pd.concat(lists._listed(lists._unpacked(iter([rows.iloc[:2], rows.iloc[2:]]))))
+        found[piece] = {(int(r.band), int(r.key)): set() for r in got.itertuples()}
+        for r in got.itertuples():
+            found[piece][int(r.band), int(r.key)].add(int(r.node))
+        together = {(a, b) for m in found[piece].values() for a in m for b in m}
+        assert all((a, b) in together for a in range(900) for b in range(a) if key[a] == key[b] and n[b] >= 0.8 * n[a] - 1e-9)
+    met = {piece: sum(len(m) ** 2 for m in lists_.values()) for piece, lists_ in found.items()}
+    assert met[1 << 18] < 0.7 * met[40]
+
+
+def test_shingle_codes_tell_shingles_apart():
+    words = [b"a", b"b", b"a", b"b", b"c", b"a", b"b", b"a", b"b", b"c", b"b", b"a"]
+    for k in (2, 3, 5):
+        code, plain = lists.shingle_codes(words, k).tolist(), [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+        assert len(code) == len(plain) and all((code[i] == code[j]) == (plain[i] == plain[j]) for i in range(len(code)) for j in range(i))
+    assert lists.shingle_codes([], 5).tolist() == [] and len(lists.shingle_codes(words[:3], 5)) == 1
